@@ -1,7 +1,7 @@
 """Follow-the-regularised-leader (proximal) updates for sparse linear models, trained on shards of a bounded sample in Spark tasks.
 
-Every shard is worked off by one task; the mean of the shards' weights, each counted by its rows, is the model
-(parameter mixing). Rows of a shard are taken in the order of their hash, so the model is the same in every run.
+Every shard is worked off by one task; a weight of the model is its mean over the shards that have met its feature
+(parameter mixing), so rare features don't fade. Rows of a shard are taken in the order of their hash, so the model is the same in every run.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ class Ftrl:
     shards: int = 4
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, classes: int, how: Ftrl) -> np.ndarray:
-    """Weights (size + 1, classes) of a softmax model, or (size + 1, 1) of a logistic one if classes is 1; the last row is the bias."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, classes: int, how: Ftrl) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (size + 1, classes) of a softmax model, or (size + 1, 1) of a logistic one if classes is 1, the last row the bias; and which rows were met."""
     z, n = np.zeros((size + 1, classes)), np.zeros((size + 1, classes))
 
     def weights(zi, ni, l1):
@@ -52,7 +52,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, classes: int,
             n[size] = nb + err * err
     out = weights(z, n, how.l1)
     out[size] = weights(z[size], n[size], 0.0)
-    return out
+    return out, (n > 0).any(1)
 
 
 def train(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]], size: int, classes: int, how: Ftrl) -> np.ndarray:
@@ -71,13 +71,15 @@ def train(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndar
     def shard(group: pa.Table) -> pa.Table:
         group = group.sort_by([("u", "ascending")])
         rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32).astype(np.float64), y) for i, v, y in zip(group["idx"].to_pylist(), group["val"].to_pylist(), group["y"].to_pylist(), strict=True)]
-        w = fit(rows, size, classes, how).astype(np.float32)
-        keep = np.flatnonzero(np.any(w != 0, axis=1)).astype(np.int32)
-        return pa.table({"n": pa.array([len(rows)], pa.int64()), "at": pa.array([keep.tobytes()], pa.binary()), "w": pa.array([w[keep].tobytes()], pa.binary())})
+        w, met = fit(rows, size, classes, how)
+        keep, w = np.flatnonzero(met).astype(np.int32), w.astype(np.float32)
+        return pa.table({"at": pa.array([keep.tobytes()], pa.binary()), "w": pa.array([w[keep].tobytes()], pa.binary())})
 
     some = sample.select("_u", "text", F.col("y").cast("int").alias("y")).filter(F.col("y").isNotNull())
-    parts = some.mapInArrow(featurise, "shard int, u double, y int, idx binary, val binary").groupBy("shard").applyInArrow(shard, "n long, at binary, w binary").collect()
-    total, out = sum(p.n for p in parts) or 1, np.zeros((size + 1, classes), np.float64)
+    parts = some.mapInArrow(featurise, "shard int, u double, y int, idx binary, val binary").groupBy("shard").applyInArrow(shard, "at binary, w binary").collect()
+    out, met = np.zeros((size + 1, classes), np.float64), np.zeros((size + 1, 1))
     for p in parts:
-        out[np.frombuffer(p.at, np.int32)] += np.frombuffer(p.w, np.float32).reshape(-1, classes).astype(np.float64) * (p.n / total)
-    return out.astype(np.float32)
+        at = np.frombuffer(p.at, np.int32)
+        out[at] += np.frombuffer(p.w, np.float32).reshape(-1, classes)
+        met[at] += 1
+    return (out / np.maximum(met, 1)).astype(np.float32)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
+from .jaccard import JaccardParams, link_documents
 from .langid import predict_langid, train_langid
 from .quality import score_quality, train_quality
 from .toxicity import score_toxicity, train_toxicity
@@ -30,6 +31,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_langid(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"), JaccardParams(words=3, num=90, den=100))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_toxicity(docs, _labels(spark, sf_dir, "toxic", 5, 0))
@@ -39,6 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
+    "op4_jaccard": op4_jaccard,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
