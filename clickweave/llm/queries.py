@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
+from .embed_dedup import link_embeddings
+from .host_rules import judge
 from .jaccard import JaccardParams, link_documents
 from .langid import predict_langid, train_langid
+from .mixing import replicate
 from .quality import score_quality, train_quality
 from .toxicity import score_toxicity, train_toxicity
 
@@ -35,6 +38,21 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), JaccardParams(words=3, num=90, den=100))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with all sources drawn towards the square roots of their sizes, at the input's total."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return replicate(docs).select("doc_id", "source", F.col("_mix_copy").alias("copy"), F.col("_mix_order").alias("order_key"))
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source."""
+    return judge(table(spark, sf_dir, "documents"), F.col("source")).drop("host_rate")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_toxicity(docs, _labels(spark, sf_dir, "toxic", 5, 0))
@@ -45,6 +63,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op4_jaccard": op4_jaccard,
+    "op7_mixing": op7_mixing,
+    "op8_embeddings": op8_embeddings,
+    "op9_host_rules": op9_host_rules,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """
+both_ways AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
+reach(node, low) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT both_ways.b, reach.low FROM reach JOIN both_ways ON both_ways.a = reach.node),
+lows AS (SELECT node, min(low) AS low FROM reach GROUP BY node),
+degrees AS (SELECT a AS node, count(*) AS n FROM both_ways GROUP BY a)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard": rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN ws ELSE ws[i:i + 2] END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM words WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT p.doc_id AS x, q.doc_id AS y, count(*) AS k FROM shingles p JOIN shingles q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * k >= 90 * (s.n + t.n - k)),
+{_REACH}
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(low, d.doc_id) AS component_id, coalesce(g.n, 0) AS n_links
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN lows ON lows.node = d.doc_id LEFT JOIN degrees g ON g.node = d.doc_id""",
+    "op7_mixing": """
+WITH n AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
+sums AS (SELECT sum(n) AS rows, sum(pow(n, 0.5)) AS weight FROM n),
+rates AS (SELECT s, rows * 1.0::DOUBLE * pow(n, 0.5) / weight / n AS rate FROM n, sums),
+terms AS (SELECT s, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM (SELECT s, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 20)::BIGINT + 1)) AS k FROM rates)),
+cdfs AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS c FROM terms),
+units AS (SELECT *, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+counts AS (SELECT doc_id, any_value(source) AS source, count(*) AS n FROM units JOIN cdfs ON s = coalesce(source, '') AND c <= u GROUP BY doc_id)
+SELECT doc_id, source, copy::INTEGER AS copy, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR), 1, 15))::BIGINT AS order_key
+FROM (SELECT doc_id, source, unnest(range(1, n + 1)) AS copy FROM counts)""",
+    "op8_embeddings": f"""
+WITH RECURSIVE vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT p.vec_id AS x, q.vec_id AS y FROM vectors p JOIN vectors q ON p.label = q.label AND len(p.v) = len(q.v) AND p.vec_id < q.vec_id WHERE list_cosine_similarity(p.v, q.v) >= 0.98),
+{_REACH}
+SELECT e.vec_id, coalesce(g.n, 0) AS n_links, coalesce(low, e.vec_id) AS component_id, coalesce(low, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN lows ON lows.node = e.vec_id LEFT JOIN degrees g ON g.node = e.vec_id""",
+    "op9_host_rules": r"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM words),
+windows AS (SELECT r, i, ws[i:i + 4] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 5)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM windows) WHERE c > 1),
+repeats AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(0, 5) t(k) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+stats AS (SELECT w.doc_id, host, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN lines USING (r) LEFT JOIN repeats USING (r)),
+base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM stats),
+hosts AS (SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM base GROUP BY host),
+moments AS (SELECT sum(n) AS n, sum(f) / sum(n) AS m, count(*) AS k, sum(f * f / n) AS ff FROM hosts),
+spread AS (SELECT m, (ff - n * m * m - m * (1 - m) * (k - 1)) / n AS v FROM moments),
+prior AS (SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS strength FROM spread)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (f + m * strength) / (n + strength) <= 0.5 AS kept
+FROM base JOIN hosts USING (host), prior""",
+}
