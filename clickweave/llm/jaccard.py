@@ -1,11 +1,11 @@
 """Exact Jaccard self-join on word shingles by a token-group matrix, and the classes of linked documents.
 
 1. Equal sets collapse into one class (128-bit digest of the sorted shingle hashes).
-2. Classes with the same least shingle hashes go into one group; large groups are cut in blocks of bounded documents and
-   tokens, so no task holds an unbounded group. A group keeps the union of its members' tokens.
-3. Tokens are ordered by how often their hash bucket occurs in all documents. Two sets that reach the threshold share one
-   of the rarest n - ceil(t * n) + 1 tokens of either, so the matrix of those tokens by group gives every pair of groups that
-   can hold a link, and nothing is lost.
+2. Tokens are ordered by how often their hash bucket occurs in all documents. Two sets that reach the threshold share one
+   of the rarest n - ceil(t * n) + 1 tokens of either, so sets none of whose rare tokens is shared link with nothing.
+3. The others form groups by the most common of their shared rare tokens, which similar documents have in common; large
+   groups are cut in blocks of bounded documents and tokens, so no task holds an unbounded group. The matrix of rare tokens
+   by group gives every pair of groups that can hold a link, and nothing is lost.
 4. For such a pair, the overlap of each query with the other group's union bounds its overlap with any member. Only
    groups that qualify are opened, and their members' intersections are counted exactly. What leaves a task is a
    spanning forest of the links found and each set's number of links, never all pairs of a group.
@@ -41,7 +41,6 @@ class JaccardParams:
     num: int = 80
     den: int = 100
     bits: int = 20
-    key_tokens: int = 2
     block_docs: int = 256
     block_tokens: int = 1 << 17
 
@@ -55,7 +54,7 @@ def _sets(batch: pa.RecordBatch, params: JaccardParams):
 
 
 def shingle_sets(docs: DataFrame, params: JaccardParams) -> DataFrame:
-    """doc_id, n_shingles, set_id, key (of the group), prefix (the rarest tokens) for every row."""
+    """doc_id, n_shingles, set_id, prefix (the rarest tokens) for every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shift, size = np.uint64(64 - params.bits), 1 << params.bits
 
@@ -72,32 +71,48 @@ def shingle_sets(docs: DataFrame, params: JaccardParams) -> DataFrame:
 
     def describe(batches):
         for batch in batches:
-            n, ids, keys, prefixes = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
+            n, ids, prefixes = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
             for i, tokens in _sets(batch, params):
                 n[i] = len(tokens)
                 if len(tokens):
                     ids[i] = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-                    keys[i] = int.from_bytes(hashlib.blake2b(tokens[: params.key_tokens].tobytes(), digest_size=8).digest(), "little", signed=True)
                     rare = len(tokens) + params.num * len(tokens) // -params.den + 1
                     counts = held.value[(tokens >> shift).astype(np.int64)]
                     prefixes[i] = tokens[np.argsort(counts, kind="stable")[:rare]].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_id", "key", "prefix"],
+                [batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_id", "prefix"],
             )
 
-    return texts.mapInArrow(describe, "doc_id long, n_shingles long, set_id binary, key long, prefix array<long>")
+    return texts.mapInArrow(describe, "doc_id long, n_shingles long, set_id binary, prefix array<long>")
 
 
-def candidate_pairs(groups: DataFrame, scratch: Scratch, params: JaccardParams) -> DataFrame:
-    """groups: gid, n, prefix of every class. Returns g1 < g2 of groups whose members share a rare token and may agree in size."""
-    cells = groups.select(F.explode("prefix").alias("token"), "gid", "n")
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """sets: node, prefix. Returns token, node, n_nodes of the rare tokens that two nodes or more have."""
+    cells = sets.select(F.explode("prefix").alias("token"), "node")
     by = Window.partitionBy("token")
-    shared = cells.withColumn("lo", F.min("gid").over(by)).withColumn("hi", F.max("gid").over(by)).filter("lo <> hi")
-    matrix = scratch.save(shared.groupBy("token", "gid").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max")), "matrix")
-    left, right = matrix.select("token", F.col("gid").alias("g1"), F.col("n_min").alias("lo1"), F.col("n_max").alias("hi1")), matrix.select("token", F.col("gid").alias("g2"), F.col("n_min").alias("lo2"), F.col("n_max").alias("hi2"))
+    cells = cells.withColumn("_lo", F.min("node").over(by)).withColumn("_hi", F.max("node").over(by)).withColumn("n_nodes", F.count("*").over(by))
+    return cells.filter("_lo <> _hi").select("token", "node", "n_nodes")
+
+
+def group_documents(shared: DataFrame, sizes: DataFrame, params: JaccardParams) -> DataFrame:
+    """Groups the nodes by the most common of their shared tokens, large groups cut in blocks. sizes: node, n, ... Returns these and gid."""
+    keys = shared.groupBy("node").agg(F.max(F.struct("n_nodes", "token"))["token"].alias("key"))
+    keyed = sizes.join(keys, "node")
+    blocks = keyed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / params.block_docs), F.ceil(F.sum("n") / params.block_tokens)).alias("blocks")).filter("blocks > 1")
+    gid = F.xxhash64("key", F.pmod(F.xxhash64(F.lit(3), "set_id"), F.coalesce("blocks", F.lit(1))))
+    return keyed.join(blocks, "key", "left").withColumn("gid", gid).drop("key", "blocks")
+
+
+def candidate_pairs(shared: DataFrame, groups: DataFrame, scratch: Scratch, params: JaccardParams) -> DataFrame:
+    """g1 <= g2 of groups whose members share a rare token and may agree in size; g1 = g2 where two members share one."""
+    cells = shared.select("token", "node").join(groups.select("node", "gid", "n"), "node")
+    matrix = scratch.save(cells.groupBy("token", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("nodes")), "matrix")
+    left, right = (matrix.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("gid", "lo", "hi"))) for k in (1, 2))
     fits = (F.col("hi1") * params.den >= F.col("lo2") * params.num) & (F.col("hi2") * params.den >= F.col("lo1") * params.num)
-    return left.join(right, "token").filter((F.col("g1") < F.col("g2")) & fits).select("g1", "g2").distinct()
+    two = left.join(right, "token").filter((F.col("gid1") < F.col("gid2")) & fits)
+    one = matrix.filter("nodes > 1").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
+    return two.select(F.col("gid1").alias("g1"), F.col("gid2").alias("g2")).union(one).distinct()
 
 
 def _open_groups(a: list[dict], b: list[dict], same: bool, params: JaccardParams):
@@ -128,16 +143,20 @@ def _open_groups(a: list[dict], b: list[dict], same: bool, params: JaccardParams
 
 
 def links(blocks: DataFrame, pairs: DataFrame, params: JaccardParams) -> DataFrame:
-    """blocks: gid, members (array of node, copies, tokens). Returns forest edges (node, other) and link counts (node, n)."""
-    one = blocks.filter(F.size("members") > 1).select(F.col("members").alias("m1"), F.lit(None).cast(blocks.schema["members"].dataType).alias("m2"))
-    two = pairs.join(blocks.select(F.col("gid").alias("g1"), F.col("members").alias("m1")), "g1").join(blocks.select(F.col("gid").alias("g2"), F.col("members").alias("m2")), "g2").select("m1", "m2")
+    """blocks: gid, members (array of node, copies, set_id, tokens). Returns forest edges and link counts: node, other, n."""
+    first, second = (blocks.select(F.col("gid").alias(f"g{k}"), F.col("members").alias(f"m{k}")) for k in (1, 2))
+    one = pairs.filter("g1 = g2").join(first, "g1").select("m1", F.lit(None).cast(blocks.schema["members"].dataType).alias("m2"))
+    two = pairs.filter("g1 < g2").join(first, "g1").join(second, "g2").select("m1", "m2")
+
+    def distinct(members):
+        return list({(m["node"], m["set_id"]): m for m in members}.values())
 
     def found(batches):
         for batch in batches:
             out: list[tuple[int, int | None, int]] = []
             for m1, m2 in zip(batch.column("m1"), batch.column("m2"), strict=True):
-                a = m1.as_py()
-                b, same = (m2.as_py(), False) if m2.is_valid else (a, True)
+                a = distinct(m1.as_py())
+                b, same = (distinct(m2.as_py()), False) if m2.is_valid else (a, True)
                 root: dict[int, int] = {}
                 n: dict[int, int] = {}
 
@@ -168,34 +187,35 @@ def link_documents(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     scratch = Scratch(docs.sparkSession)
     sets = scratch.save(shingle_sets(docs, params), "sets")
     narrow = sets.select("doc_id", "n_shingles", "set_id")
-    classes = sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    classes = narrow.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
     classes = scratch.save(classes, "classes")
-    # one row of each class speaks for it; a doc_id that occurs in several classes links them
-    named = sets.join(classes.withColumn("doc_id", F.col("node")), ["set_id", "doc_id"]).dropDuplicates(["set_id"])
-    sizes = named.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / params.block_docs), F.ceil(F.sum("n_shingles") / params.block_tokens)).alias("blocks")).filter("blocks > 1")
-    grouped = named.join(sizes, "key", "left")
-    gid = F.xxhash64("key", F.pmod(F.xxhash64(F.lit(3), "set_id"), F.coalesce("blocks", F.lit(1))))
-    grouped = scratch.save(grouped.select(gid.alias("gid"), "node", "copies", "set_id", F.col("n_shingles").alias("n"), "prefix"), "grouped")
-    pairs = scratch.save(candidate_pairs(grouped, scratch, params), "pairs")
-    active = pairs.select(F.col("g1").alias("gid")).union(pairs.select("g2")).union(grouped.groupBy("gid").count().filter("count > 1").select("gid")).distinct()
-    members = scratch.save(grouped.join(active, "gid", "left_semi").select("gid", "node", "copies", "set_id"), "members")
+    # the row with a class's least doc_id speaks for it; a doc_id that occurs in several classes stands for all of them
+    copies = scratch.save(narrow.join(classes, "set_id").filter("doc_id > node").select("doc_id").distinct(), "copies")
+    speakers = join_on_key(sets.filter("set_id IS NOT NULL AND doc_id IS NOT NULL"), copies.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"), "doc_id", "left_anti")
+    shared = scratch.save(shared_tokens(speakers.select(F.col("doc_id").alias("node"), "prefix")), "shared")
+    groups = scratch.save(group_documents(shared, classes.filter("node IS NOT NULL"), params), "groups")
+    pairs = scratch.save(candidate_pairs(shared, groups, scratch, params), "pairs")
+    active = pairs.select(F.col("g1").alias("gid")).union(pairs.select("g2")).distinct()
+    members = scratch.save(groups.join(active, "gid", "left_semi").select("gid", "node", "copies", "set_id"), "members")
 
     def retoken(batches):
         for batch in batches:
-            tokens = [None] * batch.num_rows
+            tokens = [b""] * batch.num_rows
             for i, t in _sets(batch, params):
                 tokens[i] = t.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("gid", "node", "copies")] + [batch.column("set_id"), pa.array([hashlib.blake2b(t or b"", digest_size=16).digest() for t in tokens], pa.binary()), pa.array(tokens, pa.binary())], ["gid", "node", "copies", "set_id", "now", "tokens"])
+            same = [hashlib.blake2b(t, digest_size=16).digest() == s for t, s in zip(tokens, batch.column("set_id").to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("gid", "node", "copies", "set_id")), pa.array(tokens, pa.binary())], ["gid", "node", "copies", "set_id", "tokens"])
+            yield out.filter(pa.array(same))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     again = join_on_key(texts, members, "node").select("gid", "node", "copies", "set_id", "text")
-    again = again.mapInArrow(retoken, "gid long, node long, copies long, set_id binary, now binary, tokens binary").filter("set_id = now").dropDuplicates(["gid", "set_id"])
-    blocks = scratch.save(again.groupBy("gid").agg(F.collect_list(F.struct("node", "copies", "tokens")).alias("members")), "blocks")
+    again = again.mapInArrow(retoken, "gid long, node long, copies long, set_id binary, tokens binary")
+    blocks = scratch.save(again.groupBy("gid").agg(F.collect_list(F.struct("node", "copies", "set_id", "tokens")).alias("members")), "blocks")
     found = scratch.save(links(blocks, pairs, params), "found")
     comps = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch, "components")
     counted = found.groupBy("node").agg(F.sum("n").alias("linked"))
     info = classes.join(counted, "node", "left").join(comps, "node", "left")
     info = scratch.save(info.select("set_id", F.coalesce("component", "node").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "info")
-    scratch.drop("matrix", "grouped", "pairs", "members", "blocks", "found", "classes")
+    scratch.drop("copies", "shared", "matrix", "groups", "pairs", "members", "blocks", "found", "classes")
     out = narrow.join(info, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
