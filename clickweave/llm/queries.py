@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import Scratch, crc_mod, scratch_path, table
 from .embed_dedup import link_embeddings
 from .host_rules import judge
 from .jaccard import JaccardParams, link_documents
 from .langid import predict_langid, train_langid
 from .mixing import replicate
+from .packing import pack_documents
 from .quality import score_quality, train_quality
 from .toxicity import score_toxicity, train_toxicity
+from .warc import originals, page_records, read_archives, resolve, write_archives
 
 
 def _labels(spark: SparkSession, sf_dir: str, label: str, folds: int, held_out: int) -> DataFrame:
@@ -38,6 +40,17 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), JaccardParams(words=3, num=90, den=100))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives stay in the shared scratch folder; the result is read back from them."""
+    path = scratch_path(spark, "archives")
+    write_archives(resolve(page_records(table(spark, sf_dir, "pages"))), path)
+    return originals(Scratch(spark).save(read_archives(spark, path, payloads=False), "headers"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with all sources drawn towards the square roots of their sizes, at the input's total."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -63,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op4_jaccard": op4_jaccard,
+    "op5_warc": op5_warc,
+    "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_embeddings": op8_embeddings,
     "op9_host_rules": op9_host_rules,
