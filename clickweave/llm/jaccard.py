@@ -1,8 +1,9 @@
 """Exact Jaccard self-join on word shingles by a token-group matrix, and the classes of linked documents.
 
 1. Equal sets collapse into one class (128-bit digest of the sorted shingle hashes).
-2. Tokens are ordered by how often their hash bucket occurs in all documents. Two sets that reach the threshold share one
-   of the rarest n - ceil(t * n) + 1 tokens of either, so sets none of whose rare tokens is shared link with nothing.
+2. In any order of tokens, two sets that reach the threshold t share one of the first n - ceil(t * n) + 1 tokens of either.
+   With the rarest first, a set with so many tokens that no other set has links with nothing: it is set aside. The rest are
+   ordered by how often a token's hash bucket occurs among them, and tokens that one of them has alone are dropped.
 3. The others form groups by the most common of their shared rare tokens, which similar documents have in common; large
    groups are cut in blocks of bounded documents and tokens, so no task holds an unbounded group. The matrix of rare tokens
    by group gives every pair of groups that can hold a link, and nothing is lost.
@@ -21,6 +22,7 @@ columns don't matter and aren't returned.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,19 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_on_key, sum_vectors
+from .common import MAX_BROADCAST_ROWS, Scratch, join_on_key, sum_vectors
 from .components import components
 from .textnum import shingles, text_slices, word_hashes
 
 
 @dataclass(frozen=True)
 class JaccardParams:
-    """words per shingle; links reach num / den; bits: buckets of the token order; a block holds about block_docs sets or block_tokens tokens."""
+    """words per shingle; links reach num / den; bits: buckets of the token order; chunk_tokens: tokens of a chunk of documents and of a range
+    of tokens; rounds: how often documents with enough tokens of their own are set aside; a block holds about block_docs sets or block_tokens tokens."""
 
     words: int = 5
     num: int = 80
     den: int = 100
     bits: int = 20
+    chunk_tokens: int = 1 << 21
+    rounds: int = 2
     block_docs: int = 256
     block_tokens: int = 1 << 17
 
@@ -53,38 +58,140 @@ def _sets(batch: pa.RecordBatch, params: JaccardParams):
             yield i + k, np.unique(shingles(words[at[k] : at[k + 1]], params.words))
 
 
-def shingle_sets(docs: DataFrame, params: JaccardParams) -> DataFrame:
-    """doc_id, n_shingles, set_id, prefix (the rarest tokens) for every row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _rare(n: int, params: JaccardParams) -> int:
+    """How many of the rarest of n tokens a linked set must share one of."""
+    return n + params.num * n // -params.den + 1
+
+
+def shingle_sets(texts: DataFrame, params: JaccardParams) -> DataFrame:
+    """doc_id, n_shingles, set_id (null without words) for every row."""
+
+    def describe(batches):
+        for batch in batches:
+            n, ids = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            for i, tokens in _sets(batch, params):
+                if len(tokens):
+                    n[i], ids[i] = len(tokens), hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "n_shingles", "set_id"])
+
+    return texts.mapInArrow(describe, "doc_id long, n_shingles long, set_id binary")
+
+
+_MANY = 0xFFFF
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Differences of sorted 32-bit numbers, byte by byte, so that the shuffle's compression meets the zeros together."""
+    return np.diff(x, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def crowded(texts: DataFrame, tokens: int, params: JaccardParams) -> DataFrame:
+    """doc_id of the rows of which fewer tokens occur in no other row than the rare ones that a link needs: all others link with nothing.
+
+    Chunks of documents send their tokens to ranges of the hash space, of about chunk_tokens each (`tokens`: of all rows), six bytes a
+    token before compression and once for a token that several documents of the chunk have; a range answers with the number of
+    tokens that each document of a chunk has alone. Tokens that agree in the range and 32 bits count as the same, which
+    only keeps a few more documents.
+    """
+    ranges = max(1, -(-tokens // params.chunk_tokens))
+
+    def send(batches):
+        held: list[np.ndarray] = []
+        ids: list = []
+
+        def flush():
+            token = np.concatenate(held)
+            owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(t) for t in held])
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            first = np.append(True, token[1:] != token[:-1])
+            several = np.append(first[1:], True) != first  # begins a run of two or more
+            token, owner = token[first], np.where(several | ~np.append(first[1:], True), _MANY, owner)[first].astype(np.uint16)
+            chunk = int.from_bytes(hashlib.blake2b(np.array([len(token), len(ids)]).tobytes() + repr(ids[:3] + ids[-3:]).encode() + token[:64].tobytes(), digest_size=8).digest(), "little", signed=True)
+            cut = np.searchsorted((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+            rows = [(k, chunk, None, None, _planes((token[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)[o]), owner[a:b][o].tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a for o in [np.argsort(token[a:b] & np.uint64(0xFFFFFFFF), kind="stable")]]
+            rows.append((-1 - chunk % ranges, chunk, ids[:], np.array([_rare(len(t), params) for t in held]).tolist(), None, None))
+            held.clear()
+            ids.clear()
+            return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema=arrow)
+
+        size = 0
+        for batch in batches:
+            key = batch.column("doc_id").to_pylist()
+            for i, t in _sets(batch, params):
+                if len(t) and key[i] is not None:
+                    held.append(t)
+                    ids.append(key[i])
+                    size += len(t)
+                    if size >= params.chunk_tokens or len(held) >= _MANY - 1:
+                        yield flush()
+                        size = 0
+        if held:
+            yield flush()
+
+    names = ["range", "chunk", "ids", "rare", "token", "owner"]
+    arrow = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("rare", pa.list_(pa.int64())), ("token", pa.binary()), ("owner", pa.binary())])
+
+    def answer(group: pa.Table) -> pa.Table:
+        if group["range"][0].as_py() < 0:  # what the chunks consist of is passed on
+            return group.select(["chunk", "ids", "rare"]).append_column("alone", pa.nulls(len(group), pa.binary()))
+        token = [_from_planes(t) for t in group["token"].to_pylist()]
+        owner = [np.frombuffer(o, np.uint16) for o in group["owner"].to_pylist()]
+        order = np.argsort(np.concatenate(token), kind="stable")
+        token_sorted = np.concatenate(token)[order]
+        differs = token_sorted[1:] != token_sorted[:-1]
+        alone = np.empty(len(order), bool)
+        alone[order] = np.append(True, differs) & np.append(differs, True)
+        counts, at = [], 0
+        for o in owner:
+            mine = o[alone[at : at + len(o)] & (o != _MANY)]
+            counts.append(zlib.compress(np.bincount(mine).astype(np.uint32).tobytes(), 1))
+            at += len(o)
+        return pa.table({"chunk": group["chunk"], "ids": pa.nulls(len(group), pa.list_(pa.int64())), "rare": pa.nulls(len(group), pa.list_(pa.int64())), "alone": pa.array(counts, pa.binary())})
+
+    def add(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        ids = next(r["ids"] for r in rows if r["ids"] is not None)
+        rare = next(r["rare"] for r in rows if r["ids"] is not None)
+        sums = np.zeros(len(ids), np.int64)
+        for r in rows:
+            if r["alone"] is not None:
+                n = np.frombuffer(zlib.decompress(r["alone"]), np.uint32)
+                sums[: len(n)] += n
+        return pa.table({"doc_id": pa.array(np.array(ids, np.int64)[sums < np.array(rare)])})
+
+    sent = texts.mapInArrow(send, "range int, chunk long, ids array<long>, rare array<long>, token binary, owner binary")
+    answers = sent.groupBy("range").applyInArrow(answer, "chunk long, ids array<long>, rare array<long>, alone binary")
+    return answers.groupBy("chunk").applyInArrow(add, "doc_id long").distinct()
+
+
+def rare_tokens(texts: DataFrame, params: JaccardParams) -> DataFrame:
+    """node, prefix: the rarest tokens of every row, by how often their hash bucket occurs in these rows."""
     shift, size = np.uint64(64 - params.bits), 1 << params.bits
 
     def count(batches):
         sums = np.zeros(size, np.int64)
         for batch in batches:
-            parts = [(t >> shift).astype(np.int32) for _, t in _sets(batch, params)]
-            if parts:
-                sums += np.bincount(np.concatenate(parts), minlength=size)
+            for _, t in _sets(batch, params):
+                np.add.at(sums, (t >> shift).astype(np.int64), 1)
         return sums
 
     order = sum_vectors(texts.select("text"), count, size)
-    held = docs.sparkSession.sparkContext.broadcast(np.minimum(order, (1 << 32) - 1).astype(np.uint32))
+    held = texts.sparkSession.sparkContext.broadcast(np.minimum(order, (1 << 32) - 1).astype(np.uint32))
 
-    def describe(batches):
+    def prefix(batches):
         for batch in batches:
-            n, ids, prefixes = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
+            out = [None] * batch.num_rows
             for i, tokens in _sets(batch, params):
-                n[i] = len(tokens)
-                if len(tokens):
-                    ids[i] = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-                    rare = len(tokens) + params.num * len(tokens) // -params.den + 1
-                    counts = held.value[(tokens >> shift).astype(np.int64)]
-                    prefixes[i] = tokens[np.argsort(counts, kind="stable")[:rare]].astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_id", "prefix"],
-            )
+                counts = held.value[(tokens >> shift).astype(np.int64)]
+                out[i] = tokens[np.argsort(counts, kind="stable")[: _rare(len(tokens), params)]].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], ["node", "prefix"])
 
-    return texts.mapInArrow(describe, "doc_id long, n_shingles long, set_id binary, prefix array<long>")
+    return texts.mapInArrow(prefix, "node long, prefix array<long>")
 
 
 def shared_tokens(sets: DataFrame) -> DataFrame:
@@ -185,14 +292,21 @@ def links(blocks: DataFrame, pairs: DataFrame, params: JaccardParams) -> DataFra
 def link_documents(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (other rows linked directly) of every row."""
     scratch = Scratch(docs.sparkSession)
-    sets = scratch.save(shingle_sets(docs, params), "sets")
-    narrow = sets.select("doc_id", "n_shingles", "set_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = scratch.save(shingle_sets(texts, params), "sets")
     classes = narrow.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
     classes = scratch.save(classes, "classes")
-    # the row with a class's least doc_id speaks for it; a doc_id that occurs in several classes stands for all of them
-    copies = scratch.save(narrow.join(classes, "set_id").filter("doc_id > node").select("doc_id").distinct(), "copies")
-    speakers = join_on_key(sets.filter("set_id IS NOT NULL AND doc_id IS NOT NULL"), copies.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"), "doc_id", "left_anti")
-    shared = scratch.save(shared_tokens(speakers.select(F.col("doc_id").alias("node"), "prefix")), "shared")
+    # the row with a class's least doc_id speaks for it; a doc_id that occurs in several rows stands for all of them, each text once
+    often = scratch.save(narrow.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "often")
+    silent = scratch.save(narrow.join(classes, "set_id").filter("doc_id > node").select("doc_id").union(often).distinct(), "silent")
+    live = join_on_key(texts, silent, "doc_id", "left_anti").union(join_on_key(texts, often, "doc_id").dropDuplicates())
+    for k in range(params.rounds):
+        tokens = classes.join(F.broadcast(crowd), "node", "left_semi") if k and crowd_rows <= MAX_BROADCAST_ROWS else classes
+        tokens = int(tokens.agg(F.sum("n")).first()[0] or 0)
+        crowd = scratch.save(crowded(live, tokens, params).select(F.col("doc_id").alias("node")), f"crowd-{k}")
+        crowd_rows = crowd.count()
+        live = join_on_key(live, crowd.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi", crowd_rows)
+    shared = scratch.save(shared_tokens(rare_tokens(live, params)), "shared")
     groups = scratch.save(group_documents(shared, classes.filter("node IS NOT NULL"), params), "groups")
     pairs = scratch.save(candidate_pairs(shared, groups, scratch, params), "pairs")
     active = pairs.select(F.col("g1").alias("gid")).union(pairs.select("g2")).distinct()
@@ -207,8 +321,7 @@ def link_documents(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("gid", "node", "copies", "set_id")), pa.array(tokens, pa.binary())], ["gid", "node", "copies", "set_id", "tokens"])
             yield out.filter(pa.array(same))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    again = join_on_key(texts, members, "node").select("gid", "node", "copies", "set_id", "text")
+    again = join_on_key(texts.withColumnRenamed("doc_id", "node"), members, "node").select("gid", "node", "copies", "set_id", "text")
     again = again.mapInArrow(retoken, "gid long, node long, copies long, set_id binary, tokens binary")
     blocks = scratch.save(again.groupBy("gid").agg(F.collect_list(F.struct("node", "copies", "set_id", "tokens")).alias("members")), "blocks")
     found = scratch.save(links(blocks, pairs, params), "found")
@@ -216,6 +329,6 @@ def link_documents(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     counted = found.groupBy("node").agg(F.sum("n").alias("linked"))
     info = classes.join(counted, "node", "left").join(comps, "node", "left")
     info = scratch.save(info.select("set_id", F.coalesce("component", "node").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "info")
-    scratch.drop("copies", "shared", "matrix", "groups", "pairs", "members", "blocks", "found", "classes")
+    scratch.drop("often", "silent", "crowd-0", "crowd-1", "shared", "matrix", "groups", "pairs", "members", "blocks", "found", "classes")
     out = narrow.join(info, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
