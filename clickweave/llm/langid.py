@@ -108,14 +108,15 @@ def temperature(y: list[int], z: np.ndarray) -> float:
 
 
 def predict_langid(docs: DataFrame, model: LangModel, params: LangParams = LangParams(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score (the calibrated probability of lang_pred) for every row, after the columns named in keep."""
+    """lang_pred and score (its calibrated probability) for every row, after the columns named in keep (doc_id, if none is)."""
+    keep = keep or ("doc_id",)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
         m = held.value
         for batch in batches:
             langs, scores = [], np.zeros(batch.num_rows)
-            for k, text in enumerate(batch.column("_text")):
+            for k, text in enumerate(batch.column("text")):
                 text = text.as_py()
                 if not m.langs or not has_letter(text):
                     langs.append("und")
@@ -126,7 +127,7 @@ def predict_langid(docs: DataFrame, model: LangModel, params: LangParams = LangP
                 best = int(e.argmax())
                 langs.append(m.langs[best])
                 scores[k] = e[best] / e.sum()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
 
-    rows = docs.select(*(F.col(c) for c in keep or ("doc_id",)), F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(predict, rows.drop("_text").schema.add("lang_pred", "string").add("score", "double"))
+    rows = docs.select(*(F.col(c) for c in keep if c != "text"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(predict, rows.select(*keep).schema.add("lang_pred", "string").add("score", "double"))

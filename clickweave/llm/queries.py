@@ -15,6 +15,7 @@ from .langid import predict_langid, train_langid
 from .mixing import replicate
 from .packing import pack_documents
 from .quality import score_quality, train_quality
+from .secrets import labelled_samples, scan, train_markov
 from .toxicity import score_toxicity, train_toxicity
 from .warc import originals, page_records, read_archives, resolve, write_archives
 
@@ -36,6 +37,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_langid(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, train_markov(labelled_samples(docs)))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), JaccardParams(words=3, num=90, den=100))
 
@@ -75,6 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
+    "op3_secrets": op3_secrets,
     "op4_jaccard": op4_jaccard,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
