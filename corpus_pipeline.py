@@ -26,7 +26,7 @@ from clickweave.llm.mixing import MixParams, replicate
 from clickweave.llm.packing import PackParams, pack_documents
 from clickweave.llm.secrets import labelled_samples, redact, train_markov
 
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
