@@ -1,0 +1 @@
+"""User-behaviour analytics over event tables and streams, as DataFrame and Structured Streaming jobs."""

@@ -1,0 +1 @@
+"""Column functions: validation rules and scrubbing."""
