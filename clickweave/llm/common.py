@@ -53,6 +53,14 @@ class Scratch:
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(name: str, taken: list[str] | tuple[str, ...]) -> str:
+    """The name, lengthened until no column has it (in either case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def crc_mod(key: Column | str, n: int) -> Column:
     """crc32 of the key as text, modulo n; null keys count as the empty text."""
     key = F.col(key) if isinstance(key, str) else key

@@ -107,8 +107,8 @@ def temperature(y: list[int], z: np.ndarray) -> float:
     return float(min((2 ** (k / 8) for k in range(-32, 33)), key=loss))
 
 
-def predict_langid(docs: DataFrame, model: LangModel, params: LangParams = LangParams(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """lang_pred and score (its calibrated probability) for every row, after the columns named in keep (doc_id, if none is)."""
+def predict_langid(docs: DataFrame, model: LangModel, params: LangParams = LangParams(), keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The predicted language and its calibrated probability for every row, after the columns named in keep (doc_id, if none is)."""
     keep = keep or ("doc_id",)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -127,7 +127,7 @@ def predict_langid(docs: DataFrame, model: LangModel, params: LangParams = LangP
                 best = int(e.argmax())
                 langs.append(m.langs[best])
                 scores[k] = e[best] / e.sum()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], [*keep, *names])
 
     rows = docs.select(*(F.col(c) for c in keep if c != "text"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(predict, rows.select(*keep).schema.add("lang_pred", "string").add("score", "double"))
+    return rows.mapInArrow(predict, rows.select(*keep).schema.add(names[0], "string").add(names[1], "double"))

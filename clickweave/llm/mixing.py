@@ -8,7 +8,7 @@ shares, whatever source holds most rows.
 
 Edge cases: a null source is a source of its own; a null doc_id hashes as the empty text; a source without a weight gets
 rate 0, as does one of weight 0, and its rows go; null and empty texts are documents like others; an empty table gives an
-empty result; further columns are kept (names that begin with `_mix_` are reserved).
+empty result; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS
+from .common import MAX_BROADCAST_ROWS, fresh
 
 
 @dataclass(frozen=True)
@@ -65,13 +65,13 @@ def source_rates(docs: DataFrame, params: MixParams = MixParams(), weights: Data
     return n.select("source", "n", (F.lit(rows * params.epochs) * F.col("weight") / F.lit(total or 1.0) / F.col("n")).alias("rate"))
 
 
-def replicate(docs: DataFrame, params: MixParams = MixParams(), weights: DataFrame | None = None) -> DataFrame:
-    """The columns of docs, `_mix_copy` (from 1) and `_mix_order`, in the order of the latter."""
-    rates = source_rates(docs, params, weights).select(F.col("source").alias("_mix_source"), poisson_cdf(F.col("rate")).alias("_mix_cdf"))
+def replicate(docs: DataFrame, params: MixParams = MixParams(), weights: DataFrame | None = None, names: tuple[str, str] = ("copy", "order_key")) -> DataFrame:
+    """The columns of docs, the copy's number (from 1) and its place in the shuffle, in that order."""
+    source, cdf, u, n, copy, order = (fresh(f"_{c}", docs.columns) for c in ("source_key", "cdf", "u", "n", "copy", "order"))
+    rates = source_rates(docs, params, weights).select(F.col("source").alias(source), poisson_cdf(F.col("rate")).alias(cdf))
     few = rates.count() <= MAX_BROADCAST_ROWS // 100
-    keyed = docs.withColumn("_mix_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).join(F.broadcast(rates) if few else rates, "_mix_source")
-    u = unit(F.lit(params.seed), F.col("doc_id"))
-    keyed = keyed.withColumn("_mix_u", u).withColumn("_mix_n", F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u"))))
-    copies = keyed.filter("_mix_n > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
-    copies = copies.withColumn("_mix_order", order_key(F.lit(params.seed), F.col("doc_id"), F.col("_mix_copy")))
-    return copies.select(*docs.columns, "_mix_copy", "_mix_order").orderBy("_mix_order")
+    keyed = docs.withColumn(source, F.coalesce(F.col("source").cast("string"), F.lit(""))).join(F.broadcast(rates) if few else rates, source)
+    keyed = keyed.withColumn(u, unit(F.lit(params.seed), F.col("doc_id"))).withColumn(n, F.size(F.filter(cdf, lambda c: c <= F.col(u))))
+    copies = keyed.filter(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+    copies = copies.withColumn(order, order_key(F.lit(params.seed), F.col("doc_id"), F.col(copy))).orderBy(order)
+    return copies.select(*docs.columns, F.col(copy).alias(names[0]), F.col(order).alias(names[1]))

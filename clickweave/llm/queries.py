@@ -60,7 +60,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with all sources drawn towards the square roots of their sizes, at the input's total."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return replicate(docs).select("doc_id", "source", F.col("_mix_copy").alias("copy"), F.col("_mix_order").alias("order_key"))
+    return replicate(docs)
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

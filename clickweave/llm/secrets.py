@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, fresh
 
 #: Kinds in their order, patterns, the group that a length limit counts, and that limit.
 KINDS = {
@@ -176,8 +176,8 @@ def scan(docs: DataFrame, model: list[float], params: SecretParams = SecretParam
 
 def redact(docs: DataFrame, model: list[float], params: SecretParams = SecretParams(), by: str = "[SECRET]") -> DataFrame:
     """docs with `by` in the place of every span, kind after kind, and n_chars (if docs has it) counted again."""
-    text = docs.withColumn("text", F.col("text").cast("string"))
+    text, found = docs.withColumn("text", F.col("text").cast("string")), fresh("_found", docs.columns)
     for pattern, group, limit in [*FOUND.values(), (CANDIDATE, 0, None)]:
         passes = _random(model, params) if limit is None else _long(limit)
-        text = text.withColumn("_m", _matches(F.col("text"), (pattern, group, 0))).withColumn("text", _replaced(F.col("text"), F.col("_m"), passes, lambda _: F.lit(by))).drop("_m")
+        text = text.withColumn(found, _matches(F.col("text"), (pattern, group, 0))).withColumn("text", _replaced(F.col("text"), F.col(found), passes, lambda _: F.lit(by))).drop(found)
     return text.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else text

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickweave.llm.common import Scratch, join_on_key, table
+from clickweave.llm.common import Scratch, fresh, join_on_key, table
 from clickweave.llm.jaccard import JaccardParams, link_documents
 from clickweave.llm.langid import predict_langid, train_langid
 from clickweave.llm.mixing import MixParams, replicate
@@ -30,8 +30,9 @@ MIN_LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = predict_langid(docs, train_langid(docs), keep=tuple(docs.columns))
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    names = fresh("_lang", docs.columns), fresh("_score", docs.columns)
+    judged = predict_langid(docs, train_langid(docs), keep=tuple(docs.columns), names=names)
+    return judged.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     often = scratch.save(linked.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")).filter("n > 1"), "often")
     gone = linked.filter("component_id <> doc_id").select("doc_id").union(often.select("doc_id")).distinct()
     once = join_on_key(docs, gone, "doc_id", "left_anti")
-    row = F.min(F.struct("text", *(c for c in docs.columns if c != "text"))).alias("row")
+    row = F.min_by(F.struct(*docs.columns), F.col("text")).alias("row")
     one = join_on_key(docs, often.filter("least = doc_id").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(row)
     return once.unionByName(one.select(*(F.col(f"row.{c}").alias(c) for c in docs.columns)))
 
@@ -50,7 +51,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return replicate(docs, MixParams()).select(*docs.columns)
+    names = fresh("_copy", docs.columns), fresh("_order", docs.columns)
+    return replicate(docs, MixParams(), names=names).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
