@@ -44,7 +44,7 @@ class JaccardParams:
     num: int = 80
     den: int = 100
     bits: int = 20
-    chunk_tokens: int = 1 << 21
+    chunk_tokens: int = 1 << 20
     rounds: int = 2
     block_docs: int = 256
     block_tokens: int = 1 << 17
