@@ -1,0 +1,152 @@
+import pytest
+from events import T0, frame, row, views
+from pyspark.sql import functions as F
+
+from clickweave.operators import curated, funnel, journeys, live, pages, sessions
+from clickweave.sources.events import interval
+
+MIN = 60_000
+
+
+def test_session_counts(spark):
+    got = sessions.session_aggregates(views(spark, ("PAGE_VIEW", "/home", 0), ("CLICK", "/home", 1000), ("SCROLL", "/home", 2000), ("PAGE_VIEW", "/about", 5000))).collect()
+    assert [(r.pageViewCount, r.clickCount, r.scrollEvents, r.bounced, r.durationMs, r.entryPage, r.exitPage) for r in got] == [(2, 1, 1, False, 5000, "/home", "/about")]
+
+
+def test_bounce_is_one_page_and_under_ten_seconds(spark):
+    assert sessions.session_aggregates(views(spark, ("PAGE_VIEW", "/landing", 0), ("CLICK", "/landing", 5000))).first().bounced
+    assert not sessions.session_aggregates(views(spark, ("PAGE_VIEW", "/landing", 0), ("CLICK", "/landing", 10_000))).first().bounced
+
+
+@pytest.mark.parametrize(("gap", "n"), [(30 * MIN, 1), (30 * MIN + 1, 2), (31 * MIN, 2)])
+def test_session_gap(spark, gap, n):
+    assert sessions.session_aggregates(views(spark, ("PAGE_VIEW", "/home", 0), ("PAGE_VIEW", "/home", gap))).count() == n
+
+
+def test_entry_and_exit_page(spark):
+    r = sessions.session_aggregates(views(spark, ("PAGE_VIEW", "/middle", 5000), ("PAGE_VIEW", "/exit", 10_000), ("PAGE_VIEW", "/entry", 0))).first()
+    assert (r.entryPage, r.exitPage, r.uniquePages) == ("/entry", "/exit", ["/entry", "/exit", "/middle"])
+
+
+def test_whole_seconds(spark):
+    df = views(spark, ("PAGE_VIEW", "/a", 900), ("PAGE_VIEW", "/b", 2100))
+    assert sessions.session_aggregates(df).first().durationMs == 1200
+    assert sessions.session_aggregates(df, whole_seconds=True).first().durationMs == 2000
+
+
+def test_interval_needs_a_unit():
+    for text in ("30", "0 minutes", "minutes", ""):
+        with pytest.raises(ValueError, match="interval"):
+            interval(text)
+
+
+def page_rows(spark, *rows):
+    return frame(spark, [row(f"e{k}", user, "s", kind, page, at) for k, (user, kind, page, at) in enumerate(rows)])
+
+
+def test_page_metrics(spark):
+    df = page_rows(spark, ("u1", "PAGE_VIEW", "/p", 0), ("u2", "PAGE_VIEW", "/p", 1000), ("u1", "CLICK", "/p", 2000), ("u1", "CLICK", "/p", 3000))
+    r = pages.page_metrics(df).collect()
+    assert [(x.totalViews, x.clickCount, x.uniqueVisitors, x.avgScrollDepth) for x in r] == [(2, 2, 2, None)]
+
+
+def test_unique_visitors_exact_and_approximate(spark):
+    df = page_rows(spark, *((u, "PAGE_VIEW", "/about", k * 1000) for k, u in enumerate(["u1", "u2", "u1", "u3"])))
+    assert pages.page_metrics(df).first().uniqueVisitors == 3
+    assert pages.page_metrics(df, exact=False).first().uniqueVisitors == 3
+
+
+def test_page_windows_and_pages(spark):
+    assert pages.page_metrics(page_rows(spark, ("u", "PAGE_VIEW", "/h", 0), ("u", "PAGE_VIEW", "/h", 6 * MIN))).count() == 2
+    assert pages.page_metrics(page_rows(spark, ("u", "PAGE_VIEW", "/1", 0), ("u", "PAGE_VIEW", "/2", 0), ("v", "PAGE_VIEW", "/1", 0))).count() == 2
+
+
+def test_bounce_rate_per_page(spark):
+    df = frame(spark, [row("a", "u1", "s1", "PAGE_VIEW", "/x", 0), row("b", "u2", "s2", "PAGE_VIEW", "/x", 1000), row("c", "u2", "s2", "PAGE_VIEW", "/y", 2000)])
+    got = {r.pageUrl: r.bounceRate for r in pages.page_metrics_with_bounces(df, sessions.session_aggregates(df)).collect()}
+    assert got == {"/x": 0.5, "/y": 0.0}
+
+
+def test_journey_order_and_clicks(spark):
+    df = views(spark, ("PAGE_VIEW", "/home", 0), ("CLICK", "/home", 1000), ("PAGE_VIEW", "/products", 5000), ("CLICK", "/products", 6000), ("CLICK", "/products", 7000))
+    plain, counted = journeys.user_journeys(df).first(), journeys.user_journeys(df, clicks=True).first()
+    assert [(s.pageUrl, s.clicksOnPage) for s in plain.orderedPages] == [("/home", 0), ("/products", 0)]
+    assert [(s.pageUrl, s.clicksOnPage) for s in counted.orderedPages] == [("/home", 1), ("/products", 2)]
+
+
+def test_clicks_on_another_page_do_not_count(spark):
+    df = views(spark, ("CLICK", "/a", 0), ("PAGE_VIEW", "/a", 1000), ("CLICK", "/b", 2000), ("CLICK", "/a", 3000))
+    assert [r.clicksOnPage for r in journeys.clicks_by_view(df).collect()] == [1]
+
+
+def test_journey_duration_filter_and_gap(spark):
+    assert journeys.user_journeys(views(spark, ("PAGE_VIEW", "/s", 0), ("PAGE_VIEW", "/e", 10_000))).first().totalSessionDuration == 10_000
+    assert len(journeys.user_journeys(views(spark, ("PAGE_VIEW", "/1", 0), ("CLICK", "/1", 1000), ("SCROLL", "/1", 2000), ("PAGE_VIEW", "/2", 5000))).first().orderedPages) == 2
+    two = journeys.user_journeys(views(spark, ("PAGE_VIEW", "/1", 0), ("PAGE_VIEW", "/2", 31 * MIN)))
+    assert two.count() == 2
+    assert two.select("_compositeKey").distinct().count() == 2
+    assert journeys.user_journeys(views(spark, ("PAGE_VIEW", "/1", 0), ("PAGE_VIEW", "/2", 31 * MIN)), legacy_key=True).select("_compositeKey").distinct().count() == 1
+
+
+def test_journey_steps(spark):
+    steps = journeys.journey_steps(journeys.user_journeys(views(spark, ("PAGE_VIEW", "/1", 0), ("PAGE_VIEW", "/2", 700)))).orderBy("sequence").collect()
+    assert [(s.sequence, s.pageUrl, s.stepDurationMs) for s in steps] == [(1, "/1", 700), (2, "/2", None)]
+
+
+def test_funnel_needs_order(spark):
+    df = frame(spark, [row("1", "u1", "s1", "PAGE_VIEW", "/", 0), row("2", "u1", "s1", "CLICK", "/", 10), row("3", "u2", "s2", "CLICK", "/", 0), row("4", "u2", "s2", "PAGE_VIEW", "/", 10), row("5", "u3", "s3", "PAGE_VIEW", "/", 0), row("6", "u3", "s3", "CLICK", "/", 0)])
+    got = funnel.funnel(df, [("view", F.col("eventType") == "PAGE_VIEW"), ("click", F.col("eventType") == "CLICK")]).collect()
+    assert [(r.step, r.sessions) for r in got] == [(1, 3), (2, 1)]
+    assert [r.conversionRate for r in funnel.funnel(df.limit(0), [("view", F.col("eventType") == "PAGE_VIEW")]).collect()] == [0.0]
+
+
+SHORT = {"users_ms": 30_000, "clicks_ms": 10_000, "rate_ms": 10_000}
+
+
+def at_once(spark, rows):
+    return frame(spark, [row(f"e{k}", u, "s", kind, page) for k, (u, kind, page) in enumerate(rows)])
+
+
+def test_live_snapshot(spark):
+    users = at_once(spark, [("user1", "PAGE_VIEW", "/home"), ("user2", "CLICK", "/home"), ("user3", "PAGE_VIEW", "/about"), ("user1", "SCROLL", "/home")])
+    r = live.live_snapshot(users, T0, **SHORT).first()
+    assert (r.activeUsers, r.clicksPerSecond, r.eventRate, r.computedAt) == (3, 0.1, 0.4, T0)
+    assert live.live_snapshot(at_once(spark, [("u", "CLICK", "/")] * 5), T0, **SHORT).first().clicksPerSecond == 0.5
+    assert live.live_snapshot(at_once(spark, [("u", "PAGE_VIEW", "/")] * 20), T0, **SHORT).first().eventRate == 2.0
+    empty = live.live_snapshot(users.limit(0), T0).first()
+    assert (empty.activeUsers, empty.clicksPerSecond, empty.eventRate) == (0, 0.0, 0.0)
+
+
+def test_ages_are_strict(spark):
+    df = at_once(spark, [("u", "CLICK", "/a")])
+    for age, users, clicks in ((10_000, 1, 0.0), (9_999, 1, 0.1), (30_000, 0, 0.0)):
+        r = live.live_snapshot(df, T0 + age, **SHORT).first()
+        assert (r.activeUsers, r.clicksPerSecond) == (users, clicks)
+    assert live.trending_pages(df, T0 + 60_000, 60_000).count() == 0
+
+
+def test_trending(spark):
+    rows = [("u", "CLICK", f"/page-{i:02d}") for i in range(15) for _ in range(15 - i)]
+    got = live.trending_pages(at_once(spark, rows), T0).collect()
+    assert [(r.pageUrl, r.viewCount) for r in got] == [(f"/page-{i:02d}", 15 - i) for i in range(10)]
+
+
+def test_paging(spark):
+    df = sessions.session_aggregates(frame(spark, [row(f"e{k}", f"u{k}", f"s{k}", "PAGE_VIEW", "/", k * 1000) for k in range(5)]))
+    assert [r.sessionId for r in curated.page_of(df, 0, 2).collect()] == ["s4", "s3"]
+    assert [r.sessionId for r in curated.page_of(df, 2, 2).collect()] == ["s0"]
+    assert curated.page_of(df, 9, 2).count() == 0
+    e = curated.envelope(df, 9, 2).first()
+    assert (e.totalElements, e.totalPages, e.hasNext, e.hasPrevious) == (5, 3, False, True)
+    for page, size in ((-1, 10), (0, 0), (0, 101)):
+        with pytest.raises(ValueError):
+            curated.page_of(df, page, size)
+    with pytest.raises(ValueError):
+        curated.top_pages(df, "2024-01-01", "2024-01-02", 101)
+
+
+def test_range_needs_both_bounds(spark):
+    df = sessions.session_aggregates(frame(spark, [row("e", "u", "s", "PAGE_VIEW", "/")]))
+    assert curated.sessions(df, start="2025-01-01 00:00:00").count() == 1
+    assert curated.sessions(df, start="2025-01-01 00:00:00", end="2025-01-02 00:00:00").count() == 0
+    assert curated.sessions(df, start="2024-01-01 00:00:00", end="2024-01-01 00:00:00").count() == 1
