@@ -1,6 +1,5 @@
 import pytest
-from compare import same
-from conftest import DATA
+from compare import DATA, same
 
 from clickweave.plans.queries import QUERIES, SQL
 
