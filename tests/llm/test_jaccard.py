@@ -1,0 +1,129 @@
+import random
+import re
+from collections import Counter
+
+import cases
+import numpy as np
+import pytest
+from compare import DATA
+
+from clickweave.llm.common import Scratch
+from clickweave.llm.components import components
+from clickweave.llm.jaccard import JaccardParams, link_documents
+from clickweave.llm.textnum import WHITE, shingles, word_hashes
+
+LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def brute(rows, words, num, den=100):
+    """(doc_id, text) -> doc_id: (size, component, links); doc_ids are unique."""
+    sets = {}
+    for i, t in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+        sets[i] = frozenset(tuple(ws[k : k + words]) for k in range(len(ws) - words + 1)) if len(ws) >= words else frozenset([tuple(ws)] if ws else [])
+    holders, parent, links = {}, {i: i for i in sets}, Counter()
+    for i, s in sets.items():
+        for g in s:
+            holders.setdefault(g, []).append(i)
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in sets.items():
+        common = Counter(o for g in s for o in holders[g] if o < i)
+        for o, k in common.items():
+            if den * k >= num * (len(s) + len(sets[o]) - k):
+                links[i] += 1
+                links[o] += 1
+                a, b = top(i), top(o)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(s), top(i), links[i]) for i, s in sets.items()}
+
+
+def found(df):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in df.collect()}
+
+
+def near_copies(n, seed):
+    """Families of texts with few words changed, around and across the threshold, and chains of them."""
+    rng, rows = random.Random(seed), []
+    for family in range(n):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([3, 12, 40, 120]))]
+        for _ in range(rng.choice([1, 2, 5, 30])):
+            rows.append((len(rows) * 3, " ".join(base)))
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                base = list(base)
+                base[rng.randrange(len(base))] = f"x{rng.randrange(10_000)}"
+    return rows
+
+
+@pytest.mark.parametrize(("words", "num", "blocks"), [(3, 90, 256), (5, 80, 256), (2, 50, 4), (1, 80, 8)])
+def test_equals_brute_force(spark, words, num, blocks):
+    rows = near_copies(25, words)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    params = JaccardParams(words=words, num=num, block_docs=blocks, chunk_tokens=500, bits=8)
+    assert found(link_documents(df, params)) == brute(rows, words, num)
+
+
+def test_small_table_equals_brute_force(spark):
+    df = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    assert found(link_documents(df)) == brute([(r.doc_id, r.text) for r in df.collect()], 5, 80)
+
+
+def test_edges(spark):
+    got = link_documents(cases.docs(spark), JaccardParams(words=3, num=90)).collect()
+    assert len(got) == len(cases.EDGE_TEXTS)
+    by = {r.doc_id: r for r in got if r.doc_id != 9}
+    for i in (1, 2, 3):
+        assert (by[i].n_shingles, by[i].component_id, by[i].n_links) == (0, i, 0)
+    assert (by[5].component_id, by[5].n_links, by[0].n_links) == (0, 1, 1)
+    assert (by[7].component_id, by[6].n_links) == (6, 1)
+    assert (by[4].n_shingles, by[4].n_links) == (1, 0)
+    assert [(r.component_id, r.n_links) for r in got if r.doc_id == 9] == [(9, 1), (9, 1)]
+    assert by[None].component_id is None
+    assert link_documents(cases.empty(spark)).count() == 0
+
+
+def test_one_id_with_two_texts_links_them(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    df = spark.createDataFrame([(1, a), (2, b), (1, b), (1, b), (3, "c d e f g")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in link_documents(df).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_words_are_split_and_hashed_alike_in_pieces():
+    rng = random.Random(3)
+    text = "".join(rng.choice("ab cd\n\té\x0b") for _ in range(5000)) + "x" * 700 + " end"
+    data = np.frombuffer(text.encode(), np.uint8)
+    offsets = np.array([0, 100, 100, 2000, len(data)])
+    while not all(data[o] & 0xC0 != 0x80 for o in offsets[1:-1]):
+        offsets[1:-1] += 1
+    whole, at = word_hashes(data, offsets, WHITE)
+    pieces, at2 = word_hashes(data, offsets, WHITE, piece=64)
+    assert (whole == pieces).all()
+    assert (at == at2).all()
+    assert np.diff(at).tolist() == [len(re.findall(rb"[^\x20\x09-\x0D]+", data[a:b].tobytes())) for a, b in zip(offsets, offsets[1:], strict=False)]
+    assert shingles(whole[:2], 3).shape == (1,)
+    assert shingles(whole[:0], 3).shape == (0,)
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random"])
+def test_components(spark, shape):
+    rng = random.Random(5)
+    ids = list(range(300))
+    rng.shuffle(ids)
+    edges = {"chain": list(zip(ids, ids[1:], strict=False)), "star": [(ids[0], i) for i in ids[1:]], "random": [(rng.choice(ids), rng.choice(ids)) for _ in range(200)]}[shape]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+    parent = {i: i for i in ids}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    assert got == {i: top(i) for i in ids if top(i) != i}
