@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textnum import few_rows
+
 
 @dataclass(frozen=True)
 class Ftrl:
@@ -59,7 +61,7 @@ def train(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndar
     """sample: columns _u (order), text, y (class number); bounded by the caller. Returns float32 weights as of fit()."""
 
     def featurise(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in few_rows(batches):
             u, ys, idx, val = batch.column("_u"), batch.column("y"), [], []
             for text in batch.column("text").to_pylist():
                 i, v = features(text or "")
@@ -70,7 +72,7 @@ def train(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndar
 
     def shard(group: pa.Table) -> pa.Table:
         group = group.sort_by([("u", "ascending")])
-        rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32).astype(np.float64), y) for i, v, y in zip(group["idx"].to_pylist(), group["val"].to_pylist(), group["y"].to_pylist(), strict=True)]
+        rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for i, v, y in zip(group["idx"].to_pylist(), group["val"].to_pylist(), group["y"].to_pylist(), strict=True)]
         w, met = fit(rows, size, classes, how)
         keep, w = np.flatnonzero(met).astype(np.int32), w.astype(np.float32)
         return pa.table({"at": pa.array([keep.tobytes()], pa.binary()), "w": pa.array([w[keep].tobytes()], pa.binary())})

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_ROWS, Scratch, join_on_key, sum_vectors
 from .components import components
-from .textnum import shingles, text_slices, word_hashes
+from .textnum import few_rows, shingles, text_slices, word_hashes
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,7 @@ def shingle_sets(texts: DataFrame, params: JaccardParams) -> DataFrame:
     """doc_id, n_shingles, set_id (null without words) for every row."""
 
     def describe(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             n, ids = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
             for i, tokens in _sets(batch, params):
                 if len(tokens):
@@ -120,7 +120,7 @@ def crowded(texts: DataFrame, tokens: int, params: JaccardParams) -> DataFrame:
             return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema=arrow)
 
         size = 0
-        for batch in batches:
+        for batch in few_rows(batches):
             key = batch.column("doc_id").to_pylist()
             for i, t in _sets(batch, params):
                 if len(t) and key[i] is not None:
@@ -175,7 +175,7 @@ def rare_tokens(texts: DataFrame, params: JaccardParams) -> DataFrame:
 
     def count(batches):
         sums = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in few_rows(batches):
             for _, t in _sets(batch, params):
                 np.add.at(sums, (t >> shift).astype(np.int64), 1)
         return sums
@@ -184,7 +184,7 @@ def rare_tokens(texts: DataFrame, params: JaccardParams) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(np.minimum(order, (1 << 32) - 1).astype(np.uint32))
 
     def prefix(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             out = [None] * batch.num_rows
             for i, tokens in _sets(batch, params):
                 counts = held.value[(tokens >> shift).astype(np.int64)]
@@ -259,7 +259,7 @@ def links(blocks: DataFrame, pairs: DataFrame, params: JaccardParams) -> DataFra
         return list({(m["node"], m["set_id"]): m for m in members}.values())
 
     def found(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             out: list[tuple[int, int | None, int]] = []
             for m1, m2 in zip(batch.column("m1"), batch.column("m2"), strict=True):
                 a = distinct(m1.as_py())
@@ -313,7 +313,7 @@ def link_documents(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     members = scratch.save(groups.join(active, "gid", "left_semi").select("gid", "node", "copies", "set_id"), "members")
 
     def retoken(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             tokens = [b""] * batch.num_rows
             for i, t in _sets(batch, params):
                 tokens[i] = t.tobytes()

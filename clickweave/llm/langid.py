@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, sum_vectors
 from .ftrl import Ftrl, train
-from .textnum import char_ngrams
+from .textnum import char_ngrams, few_rows
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def train_langid(docs: DataFrame, params: LangParams = LangParams()) -> LangMode
 
     def count(batches):
         df, rows = np.zeros(size, np.int64), 0
-        for batch in batches:
+        for batch in few_rows(batches):
             for text in batch.column("text"):
                 grams = char_ngrams(f" {text.as_py().lower()} ", params.sizes, params.bits)
                 df += np.bincount(grams, minlength=size) > 0 if len(grams) > 8192 else np.bincount(np.unique(grams), minlength=size)
@@ -87,7 +87,7 @@ def train_langid(docs: DataFrame, params: LangParams = LangParams()) -> LangMode
     sent = docs.sparkSession.sparkContext.broadcast(w)
 
     def logits(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = [tfidf(t, held.value, params) for t in batch.column("text").to_pylist()]
             out = np.array([v @ sent.value[i] + sent.value[-1] for i, v in rows], np.float64).reshape(-1, len(langs))
             yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int64()), pa.array(list(out), pa.list_(pa.float64()))], ["y", "z"])
@@ -114,7 +114,7 @@ def predict_langid(docs: DataFrame, model: LangModel, params: LangParams = LangP
 
     def predict(batches):
         m = held.value
-        for batch in batches:
+        for batch in few_rows(batches):
             langs, scores = [], np.zeros(batch.num_rows)
             for k, text in enumerate(batch.column("text")):
                 text = text.as_py()

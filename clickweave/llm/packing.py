@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .textnum import few_rows
 
 
 @dataclass(frozen=True)
@@ -75,7 +76,7 @@ def token_pieces(docs: DataFrame, params: PackParams = PackParams()) -> DataFram
 
     def pieces(batches):
         encode = encoder(params.vocabulary)
-        for batch in batches:
+        for batch in few_rows(batches):
             rows, docs_of, number, starts, lengths, sums = batch.column("doc_id"), [], [], [], [], []
             for row, text in enumerate(batch.column("text")):
                 ids = np.array([*encode(text.as_py() or ""), params.end], "<u4")

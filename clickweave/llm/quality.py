@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, join_on_key
 from .ftrl import Ftrl, train
-from .textnum import SIGNS, mix, text_slices, word_hashes
+from .textnum import SIGNS, few_rows, mix, text_slices, word_hashes
 
 _AGAIN = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0xDA942042E4DD58B5)
@@ -32,8 +32,8 @@ class QualityParams:
     """sample_rows: the most labelled rows that train the model (by hash of doc_id)."""
 
     bits: int = 20
-    sample_rows: int = 20_000
-    ftrl: Ftrl = Ftrl(alpha=0.5, l1=0.02, l2=1e-6, epochs=4)
+    sample_rows: int = 12_000
+    ftrl: Ftrl = Ftrl(alpha=0.5, l1=0.02, l2=1e-6, epochs=4, shards=1)
 
 
 def row_features(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +66,7 @@ def score_quality(docs: DataFrame, model: np.ndarray, params: QualityParams = Qu
 
     def score(batches):
         w = held.value
-        for batch in batches:
+        for batch in few_rows(batches):
             out = np.empty(batch.num_rows)
             for i, j, data, offsets in text_slices(batch, "text"):
                 words, at = word_hashes(data, offsets, SIGNS, lower=False)

@@ -52,6 +52,13 @@ SIGNS = WHITE.copy()
 SIGNS[[b for b in range(0x21, 0x7F) if not (chr(b).isalnum() or b == ord("_"))]] = 2
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that what a task makes of a batch stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a batch into runs of rows of at most max_bytes of text (or a single longer text).
 
