@@ -565,6 +565,33 @@ def io10_reingest(spark, sf_dir):
     return maintenance.reingest(bad.withColumn("batch_id", F.lit(0)), good, V_AS_OF + DAY_MS).select("eventId")
 
 
+@query("m2_retention", f"WITH {EV} SELECT eventId FROM ev WHERE ts >= TIMESTAMP '2024-01-20 07:00:00'")
+def m2_retention(spark, sf_dir):
+    """The lake without the hour folders before a cutoff."""
+    import datetime as dt
+
+    path = scratch_path(spark, "lake")
+    sinks.archive(all_events(spark, sf_dir), path)
+    maintenance.drop_before(spark, path, dt.datetime(2024, 1, 20, 7))
+    return spark.read.parquet(path).select("eventId")
+
+
+@query("m4_lookup_layout", _SES_WHERE("userId = 'user-7'"))
+def m4_lookup_layout(spark, sf_dir):
+    """Sessions written for lookups by user, and one user's read back."""
+    path = scratch_path(spark, "lookup")
+    maintenance.write_for_lookup(curated_sessions(spark, sf_dir), path, "userId")
+    return flat(spark.read.parquet(path).drop("date").filter(F.col("userId") == "user-7"))
+
+
+@query("io9_quarantine", f"WITH {_V} SELECT eventId, array_to_string(errors, '|') AS errors, 7 AS batch_id FROM checked WHERE len(errors) > 0")
+def io9_quarantine(spark, sf_dir):
+    """A batch routed as a stream routes it: what is rejected, read back from quarantine."""
+    path = scratch_path(spark, "errors")
+    sinks.route(lambda good, batch_id: None, path, V_AS_OF)(all_events(spark, sf_dir).drop("ts"), 7)
+    return flat(spark.read.schema("eventId string, errors array<string>, batch_id int").json(path))
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
@@ -600,3 +627,31 @@ def s_stream_archive(spark, sf_dir):
     jobs.start_archive(stream_events(spark, sf_dir), root, None).awaitTermination()
     pad = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
     return spark.read.parquet(f"{root}/lake").select("eventId", F.concat_ws("-", pad("year", 4), pad("month", 2), pad("day", 2), pad("hour", 2)).alias("folder"))
+
+
+@query(
+    "s_stream_journeys",
+    f"""{_A3.replace("SELECT userId, sessionId, strftime(min(ts)", "SELECT max(ts) + INTERVAL 12 hours AS closes, userId, sessionId, strftime(min(ts)", 1)}""".replace("WITH ", "WITH closed AS (WITH ", 1)
+    + f") SELECT * EXCLUDE (closes) FROM closed WHERE closes <= (SELECT max(ts) FROM events WHERE event_type = 'view') - INTERVAL 10 minutes",
+)
+def s_stream_journeys(spark, sf_dir):
+    """Journeys as a stream in append mode: those that the watermark of page views has passed."""
+    root = scratch_path(spark, "stream")
+    views = stream_events(spark, sf_dir).filter(sessions.is_type("PAGE_VIEW"))
+    jobs._start(journeys.user_journeys(sources.with_watermark(views), "12 hours"), "user-journeys", root, "append", None).awaitTermination()
+    return flat_journeys(sinks.KeyedTable(spark, f"{root}/tables/user-journeys").read().drop("updatedAt"))
+
+
+@query(
+    "s_stream_clicks",
+    f"""WITH {EV}, vc AS (SELECT * FROM va WHERE eventType IN ('PAGE_VIEW', 'CLICK')), views AS ({_VIEWS.replace("FROM va", "FROM vc")}),
+ranked AS (SELECT *, lead(eventId) OVER (PARTITION BY userId, sessionId ORDER BY ts, eventId) AS following FROM views),
+lasts AS (SELECT userId, sessionId, max(ms) AS last FROM vc GROUP BY ALL)
+SELECT eventId, sessionId, pageUrl, clicks AS clicksOnPage FROM ranked JOIN lasts USING (userId, sessionId) WHERE following IS NOT NULL OR last + 1800000 < (SELECT max(ms) FROM vc) - 600000""",
+)
+def s_stream_clicks(spark, sf_dir):
+    """Clicks per page view by state for each session: views that the next one or the session's silence has closed."""
+    root = scratch_path(spark, "stream")
+    out = jobs.clicks_by_view_stream(stream_events(spark, sf_dir)).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("eventId", "sessionId", "pageUrl", "clicksOnPage")

@@ -3,7 +3,7 @@ from compare import DATA, same
 
 from clickweave.plans.queries import QUERIES, SQL
 
-SLOW = {"m3_compact", "io11_archive_range", "s_stream_archive"}
+SLOW = {"m2_retention", "m3_compact", "io11_archive_range", "s_stream_archive"}  # hundreds of small files
 
 
 def test_every_query_has_sql():
