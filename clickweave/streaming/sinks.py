@@ -44,39 +44,66 @@ def archive_stream(events: DataFrame, path: str, checkpoint: str, every: str = "
 
 
 class KeyedTable:
-    """A Parquet table that is merged by key. Each batch writes a whole new version folder; the newest complete one (with
-    _SUCCESS) is the table, so readers never see half a merge and a batch that is replayed changes nothing."""
+    """A Parquet table that is merged by key, a day of `by` at a time.
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "_compositeKey", latest: str = "windowEnd", keep: int = 2):
-        self.spark, self.root, self.key, self.latest, self.keep = spark, root, key, latest, keep
+    A batch reads and writes only the days that it touches: each becomes a new version date=D/v=batch, and a marker in
+    _commits makes the batch count. Readers take each day's newest version that is committed, so they never see half a merge;
+    a batch that is replayed, after its commit or before it, changes nothing. Keys must hold what `by` is derived from;
+    for keys that don't, by=None keeps one day for all.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str = "_compositeKey", latest: str = "windowEnd", by: str | None = "windowStart", keep: int = 2):
+        self.spark, self.root, self.key, self.latest, self.by, self.keep = spark, root, key, latest, by, keep
 
     def _path(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def versions(self) -> list[int]:
-        fs, root = self._path(self.root)
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(int(n[2:]) for n in names if n.startswith("v-") and fs.exists(self._path(f"{self.root}/{n}/_SUCCESS")[1]))
+    def _list(self, path: str) -> list[str]:
+        fs, at = self._path(path)
+        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+    def commits(self) -> list[int]:
+        return sorted(int(n) for n in self._list("_commits"))
+
+    def versions(self) -> dict[str, list[int]]:
+        """The committed versions of each day, oldest first."""
+        done = set(self.commits())
+        days = {d: sorted(int(v[2:]) for v in self._list(d) if int(v[2:]) in done) for d in self._list("") if d.startswith("date=")}
+        return {d: v for d, v in days.items() if v}
 
-    def read(self) -> DataFrame | None:
-        versions = self.versions()
-        return self.spark.read.parquet(f"{self.root}/v-{versions[-1]:012d}") if versions else None
+    def read(self, days: set[str] | None = None) -> DataFrame | None:
+        paths = [f"{self.root}/{d}/v={v[-1]}" for d, v in self.versions().items() if days is None or d in days]
+        return self.spark.read.option("basePath", self.root).option("mergeSchema", "false").parquet(*paths).drop("date", "v") if paths else None
 
     def merge(self, rows: DataFrame, batch_id: int) -> None:
         """Rows replace those of their key; of a batch's rows of one key the latest stays; rows without a key are added."""
-        versions = self.versions()
-        if versions and versions[-1] >= batch_id:
+        if (done := self.commits()) and done[-1] >= batch_id:
             return
         order = Window.partitionBy(self.key).orderBy(F.desc(self.latest))
         new = rows.filter(F.col(self.key).isNotNull()).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-        out = new.unionByName(rows.filter(F.col(self.key).isNull())).withColumn("updatedAt", F.current_timestamp())
-        if (old := self.read()) is not None:
-            out = old.join(new.select(self.key), self.key, "left_anti").select(*out.columns).unionByName(out)
-        out.write.mode("overwrite").parquet(f"{self.root}/v-{batch_id:012d}")
-        for v in self.versions()[: -self.keep]:
-            fs, at = self._path(f"{self.root}/v-{v:012d}")
-            fs.delete(at, True)
+        new = new.unionByName(rows.filter(F.col(self.key).isNull())).withColumn("updatedAt", F.current_timestamp())
+        day = F.coalesce(F.date_format(self.by, "yyyy-MM-dd"), F.lit("none")) if self.by else F.lit("all")
+        staged = f"{self.root}/_staging/{batch_id}"
+        new.withColumn("date", day).write.mode("overwrite").partitionBy("date").parquet(f"{staged}/new")
+        days = {d for d in self._list(f"_staging/{batch_id}/new") if d.startswith("date=")}
+        if days:
+            out = self.spark.read.schema(new.withColumn("date", day).schema).parquet(f"{staged}/new")
+            if (old := self.read(days)) is not None:
+                keys = out.select(self.key)
+                out = old.join(keys, self.key, "left_anti").select(*new.columns).withColumn("date", day).unionByName(out.select(*new.columns, "date"))
+            out.write.mode("overwrite").partitionBy("date").parquet(f"{staged}/merged")
+        for d in days:
+            fs, target = self._path(f"{d}/v={batch_id}")
+            fs.delete(target, True)  # of an attempt that didn't reach its commit
+            fs.mkdirs(target.getParent())
+            fs.rename(self._path(f"_staging/{batch_id}/merged/{d}")[1], target)
+        fs, marker = self._path(f"_commits/{batch_id}")
+        fs.create(marker, True).close()
+        fs.delete(self._path("_staging")[1], True)
+        for d, versions in self.versions().items():
+            for v in versions[: -self.keep]:
+                fs.delete(self._path(f"{d}/v={v}")[1], True)
 
 
 def with_retries(write: Callable[[DataFrame, int], None], tries: int = 3, first_ms: int = 100, failed: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:

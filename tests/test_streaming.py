@@ -86,19 +86,47 @@ def test_streamed_clicks_by_view(spark, tmp_path):
     assert got == {"a": 1, "c": 2}
 
 
-def test_keyed_merge(spark, tmp_path):
-    table = sinks.KeyedTable(spark, str(tmp_path / "t"))
-    df = lambda *rows: spark.createDataFrame(rows, "_compositeKey string, windowEnd timestamp, n int")
+@pytest.mark.parametrize("by", [None, "windowStart"])
+def test_keyed_merge(spark, tmp_path, by):
+    table = sinks.KeyedTable(spark, str(tmp_path / "t"), by=by)
     day = lambda d: dt.datetime(2024, 1, d)
+
+    def df(*rows):
+        return spark.createDataFrame([(k, day(s), day(e), n) for k, s, e, n in rows], "_compositeKey string, windowStart timestamp, windowEnd timestamp, n int")
+
     assert table.read() is None
-    table.merge(df(("a", day(1), 1), ("a", day(2), 2), ("b", day(1), 3), (None, day(1), 9)), 0)
-    table.merge(df(("a", day(1), 4), ("c", day(1), 5), (None, day(1), 9)), 1)
-    table.merge(df(("a", day(1), 99)), 1)  # the same batch again
+    table.merge(df(("a", 1, 1, 1), ("a", 1, 2, 2), ("b", 1, 1, 3), (None, 3, 3, 9)), 0)
+    table.merge(df(("a", 1, 1, 4), ("c", 2, 2, 5), (None, 3, 3, 9)), 1)
+    table.merge(df(("a", 1, 1, 99)), 1)  # the same batch again
     got = table.read().collect()
     assert sorted((str(r._compositeKey), r.n) for r in got) == [("None", 9), ("None", 9), ("a", 4), ("b", 3), ("c", 5)]
     assert all(r.updatedAt for r in got)
-    table.merge(df(("d", day(1), 6)), 2)
-    assert table.versions() == [1, 2]
+    table.merge(df(("d", 2, 2, 6)), 2)
+    table.merge(df(), 3)
+    assert table.commits() == [0, 1, 2, 3]
+    assert table.versions() == ({"date=all": [1, 2]} if by is None else {"date=2024-01-01": [0, 1], "date=2024-01-02": [1, 2], "date=2024-01-03": [0, 1]})
+    assert table.read().count() == 6
+
+
+def test_a_merge_that_broke_off_is_done_again(spark, tmp_path, monkeypatch):
+    table = sinks.KeyedTable(spark, str(tmp_path / "t"))
+    day = dt.datetime(2024, 1, 1)
+    df = lambda n: spark.createDataFrame([("a", day, day, n), ("b", day, day, n)], "_compositeKey string, windowStart timestamp, windowEnd timestamp, n int")
+    table.merge(df(1), 0)
+    whole = sinks.KeyedTable._path
+
+    def broken(self, path):
+        if path.startswith("_commits/1"):
+            raise RuntimeError("lost")
+        return whole(self, path)
+
+    monkeypatch.setattr(sinks.KeyedTable, "_path", broken)
+    with pytest.raises(RuntimeError):
+        table.merge(df(2), 1)
+    monkeypatch.setattr(sinks.KeyedTable, "_path", whole)
+    assert {r.n for r in table.read().collect()} == {1}  # not committed, not seen
+    table.merge(df(3), 1)
+    assert sorted((r._compositeKey, r.n) for r in table.read().collect()) == [("a", 3), ("b", 3)]
 
 
 def test_retries_and_routing(spark, tmp_path):
