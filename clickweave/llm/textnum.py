@@ -53,10 +53,11 @@ SIGNS[[b for b in range(0x21, 0x7F) if not (chr(b).isalnum() or b == ord("_"))]]
 
 
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches of fewer rows, so that what a task makes of a batch stays small."""
+    """Batches of fewer rows, so that what a task makes of a batch stays small; workers are used again, so memory is given back at the end."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
