@@ -66,12 +66,13 @@ def resolve(records: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
     A record whose payload is null is a revisit already; it stays one and refers to the original of its digest, if there is any.
     """
     own = F.col("payload").isNotNull() & F.col("page_id").isNotNull() & (F.col("payload_bytes") >= params.min_bytes)
-    first = F.min(F.when(own, F.struct("page_id", "record_id", "uri"))).alias("original")
+    first = F.min(F.when(own, F.struct("page_id", "record_id", "uri", "payload_bytes"))).alias("original")
     repeated = records.groupBy("payload_digest").agg(first, F.count("*").alias("n")).filter("n > 1 AND original IS NOT NULL").drop("n")
     few = repeated.count() <= MAX_BROADCAST_ROWS // 4
     joined = records.join(F.broadcast(repeated) if few else repeated, "payload_digest", "left")
     revisit = F.col("payload").isNull() | (F.col("original").isNotNull() & (F.col("payload_bytes") >= params.min_bytes) & ~F.col("page_id").eqNullSafe(F.col("original.page_id")))
     joined = joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
+    joined = joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "original.payload_bytes"))
     refers = {"refers_to": F.col("original.record_id"), "refers_to_uri": F.col("original.uri")}
     return joined.withColumns({k: F.when(F.col("record_type") == "revisit", v) for k, v in refers.items()}).drop("original")
 
@@ -79,7 +80,7 @@ def resolve(records: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
 def record_text(params: WarcParams = WarcParams()) -> Column:
     """The record with fresh headers, without the line ends that close it."""
     revisit = F.col("record_type") == "revisit"
-    http = F.concat(F.lit(HTTP), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
+    http = F.concat(F.lit(HTTP), F.coalesce("payload_bytes", F.lit(0)).cast("string"), F.lit("\r\n\r\n"))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.coalesce("payload", F.lit(""))))
 
     def field(name, value):
