@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a two-column label table that one broadcast may hold (about 50 MB of hash table); larger ones are shuffled.
+#: Rows of a two-column label table that one broadcast may hold (about 75 MB of hash table); larger ones are shuffled.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
