@@ -650,8 +650,8 @@ lasts AS (SELECT userId, sessionId, max(ms) AS last FROM vc GROUP BY ALL)
 SELECT eventId, sessionId, pageUrl, clicks AS clicksOnPage FROM ranked JOIN lasts USING (userId, sessionId) WHERE following IS NOT NULL OR last + 1800000 < (SELECT max(ms) FROM vc) - 600000""",
 )
 def s_stream_clicks(spark, sf_dir):
-    """Clicks per page view by state for each session: views that the next one or the session's silence has closed."""
+    """Clicks per page view by state for each session: views that the next one or the session's silence has closed, as last reported."""
     root = scratch_path(spark, "stream")
-    out = jobs.clicks_by_view_stream(stream_events(spark, sf_dir)).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+    out = jobs.clicks_by_view_stream(stream_events(spark, sf_dir), early=True).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
     out.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("eventId", "sessionId", "pageUrl", "clicksOnPage")
+    return jobs.last_reports(spark.read.parquet(f"{root}/out")).select("eventId", "sessionId", "pageUrl", "clicksOnPage")

@@ -102,37 +102,63 @@ def over_lag(progress: DataFrame, limit: int = 1000) -> DataFrame:
     return counters(progress).filter(F.col("maxLag") > limit)
 
 
-def clicks_by_view_stream(events: DataFrame, watermark: str = "10 minutes", timeout_ms: int = 1_800_000) -> DataFrame:
-    """Streaming clicks per page view: state per session holds the open view and its clicks, and emits a view when the next one
-    begins or the session has been silent for timeout_ms of event time.
-
-    Events that arrive before the watermark are ordered within each micro-batch.
+def _apply(view: list | None, rows: list[tuple]) -> tuple[list[list], list | None]:
+    """The views that rows (us, eventId, eventType, pageUrl, in order) close and the one that stays open; a view is eventId, pageUrl, us, clicks, clicks reported."""
+    done = []
+    for us, event_id, kind, page in rows:
+        if kind == "PAGE_VIEW":
+            done += [view] if view else []
+            view = [event_id, page, us, 0, -1]
+        elif view and page is not None and view[1] == page:
+            view = [*view[:3], view[3] + 1, view[4]]
+    return done, view
+
+
+def clicks_by_view_stream(events: DataFrame, watermark: str = "10 minutes", timeout_ms: int = 1_800_000, keep_ms: int = 86_400_000, early: bool = False) -> DataFrame:
+    """Streaming clicks per page view, as clicks_by_view counts them, whatever micro-batches the events come in.
+
+    State per session holds the events that the watermark hasn't passed and the open view. Events are settled in the order of (ts, eventId)
+    once the watermark has passed them. A view is reported when a later one is settled or the session has been silent for timeout_ms of
+    event time; a click after such a silence reports its view again, until the session has been silent for keep_ms and is forgotten. early
+    also reports views that an event above the watermark closes so far (settled is false). Of a view's rows that with the highest revision counts.
     """
-    output = "userId string, sessionId string, eventId string, pageUrl string, ts timestamp, clicksOnPage long"
+    output = "userId string, sessionId string, eventId string, pageUrl string, us long, clicksOnPage long, revision long, settled boolean"
+    held = "eventId string, pageUrl string, us long, clicks long, reported long, last long, revision long, waiting array<struct<us:long,eventId:string,eventType:string,pageUrl:string>>"
+    forget_ms = max(keep_ms, timeout_ms)
 
     def step(key, frames, state: GroupState):
         import pandas as pd
 
-        view = list(state.get) if state.exists else None
-        done = []
-        if state.hasTimedOut:
+        *view, last, revision, waiting = state.get if state.exists else (*[None] * 5, 0, 0, [])
+        view, waiting, mark = view if view[2] is not None else None, [tuple(w) for w in waiting], state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for rows in frames:
+                texts = rows[["eventId", "eventType", "pageUrl"]].astype(object).where(rows[["eventId", "eventType", "pageUrl"]].notna(), None)
+                waiting += zip(rows["us"].tolist(), texts["eventId"], texts["eventType"], texts["pageUrl"], strict=True)
+        waiting.sort(key=lambda w: (w[0], w[1] is not None, w[1] or ""))
+        passed = sum(w[0] <= mark * 1000 for w in waiting)
+        done, view = _apply(view, waiting[:passed])
+        last = max(last, waiting[passed - 1][0]) if passed else last
+        waiting = waiting[passed:]
+        if view and not waiting and last // 1000 + timeout_ms < mark:
+            done.append(view)
+            view = [*view[:4], view[3]]
+        soon = _apply(view, waiting)[0] if early else []
+        if waiting or (view and last // 1000 + forget_ms >= mark):
+            state.update((*(view or [None] * 5), last, revision + 1, waiting))
+            timer = -(-waiting[0][0] // 1000) - 1 if waiting else last // 1000 + (forget_ms if view[3] == view[4] else timeout_ms)
+            state.setTimeoutTimestamp(max(timer, 1))
+        elif state.exists:
             state.remove()
-        else:
-            rows = pd.concat(list(frames)).sort_values(["ts", "eventId"])
-            for event_id, kind, page, ts in zip(rows["eventId"], rows["eventType"], rows["pageUrl"], rows["ts"], strict=True):
-                if kind == "PAGE_VIEW":
-                    done += [view] if view else []
-                    view = [event_id, page, int(ts.value // 1000), 0]
-                elif kind == "CLICK" and view and view[1] == page:
-                    view[3] += 1
-            if view:
-                state.update(tuple(view))
-            elif not state.exists:
-                state.update(("", "", 0, 0))
-            state.setTimeoutTimestamp(max(int(rows["ts"].max().value // 1_000_000), state.getCurrentWatermarkMs()) + timeout_ms)
-            view = None
-        done = [v for v in [*done, *([view] if view else [])] if v[0]]
-        yield pd.DataFrame({"userId": [key[0]] * len(done), "sessionId": [key[1]] * len(done), "eventId": [v[0] for v in done], "pageUrl": [v[1] for v in done], "ts": pd.to_datetime([v[2] for v in done], unit="us"), "clicksOnPage": [v[3] for v in done]})
-
-    timed = with_watermark(events.filter(F.col("eventType").isin("PAGE_VIEW", "CLICK")), watermark).select("userId", "sessionId", "eventId", "eventType", "pageUrl", "ts")
-    return timed.groupBy("userId", "sessionId").applyInPandasWithState(step, output, "eventId string, pageUrl string, ts long, clicks long", "append", GroupStateTimeout.EventTimeTimeout)
+        out = [(*key, *v[:4], revision, settled) for views, settled in ((done, True), (soon, False)) for v in views if v[3] != v[4]]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in output.split(", ")])
+
+    timed = with_watermark(events.filter(F.col("eventType").isin("PAGE_VIEW", "CLICK")), watermark).select("userId", "sessionId", "eventId", "eventType", "pageUrl", "ts", F.unix_micros("ts").alias("us"))
+    out = timed.groupBy("userId", "sessionId").applyInPandasWithState(step, output, held, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("userId", "sessionId", "eventId", "pageUrl", F.timestamp_micros("us").alias("ts"), "clicksOnPage", "revision", "settled")
+
+
+def last_reports(reports: DataFrame) -> DataFrame:
+    """Of the rows of clicks_by_view_stream the last of every view."""
+    last = F.max_by(F.struct("pageUrl", "ts", "clicksOnPage"), "revision").alias("last")
+    return reports.groupBy("userId", "sessionId", "eventId").agg(last).select("userId", "sessionId", "eventId", "last.*")

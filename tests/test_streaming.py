@@ -1,11 +1,15 @@
 import datetime as dt
 
 import pytest
+from compare import DATA, spark_rows, sql_rows, tables
 from events import T0, frame, row
+from pyspark.sql import functions as F
 
 from clickweave.functions import validation
-from clickweave.operators import maintenance, pages, sessions
+from clickweave.operators import journeys, maintenance, pages, sessions
+from clickweave.plans import queries
 from clickweave.sources import events as sources
+from clickweave.sources.schema import EVENT
 from clickweave.streaming import jobs, sinks
 
 MIN = 60_000
@@ -86,6 +90,59 @@ def test_streamed_clicks_by_view(spark, tmp_path):
     assert got == {"a": 1, "c": 2}
 
 
+def click_batches(spark, tmp_path, batches, **options):
+    """Runs the click stream with one file a micro-batch; all rows that it reports."""
+    for rows in batches:
+        write(spark, rows, tmp_path / "in")
+        q = jobs.clicks_by_view_stream(stream(spark, tmp_path / "in"), **options).writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(f"{tmp_path}/out")
+
+
+def counted(df):
+    return sorted((r.sessionId, r.eventId, r.pageUrl, r.ts, r.clicksOnPage) for r in df.collect())
+
+
+def test_clicks_that_come_out_of_order_in_later_batches(spark, tmp_path):
+    one = lambda name, kind, page, at: row(name, "u", "s", kind, page, at * MIN)
+    batches = [
+        [one("a", "PAGE_VIEW", "/h", 0), one("c", "PAGE_VIEW", "/h", 4), one("d", "CLICK", "/h", 5), one("g", "CLICK", "/p", 7)],
+        [one("b", "CLICK", "/h", 1), one("h", "PAGE_VIEW", "/q", 8)],  # a click older than the open view
+        [one("f", "PAGE_VIEW", "/p", 6), one("i", "CLICK", "/h", 3), one("j", "CLICK", "/q", 9)],  # a view older than the open one and its click
+        [one("k", "PAGE_VIEW", "/h", 30), one("l", "CLICK", "/q", 25)],
+        [one("m", "CLICK", "/h", 31), row("x", "z", "z", "PAGE_VIEW", "/z", 300 * MIN)],
+    ]
+    got = click_batches(spark, tmp_path, batches).filter("sessionId = 's'")
+    expected = counted(journeys.clicks_by_view(frame(spark, sum(batches, [])).filter("sessionId = 's'")))
+    assert counted(got) == expected  # each view once
+    assert got.filter("NOT settled").count() == 0
+
+
+def test_a_click_after_a_silence_reports_its_view_again(spark, tmp_path):
+    one = lambda name, kind, at: row(name, "u", "s", kind, "/h", at * MIN)
+    other = lambda at: row(f"x{at}", "z", f"z{at}", "PAGE_VIEW", "/z", at * MIN)
+    batches = [[one("a", "PAGE_VIEW", 0), one("b", "CLICK", 1), other(60)], [one("c", "CLICK", 100)], [other(200)], [other(4000)]]
+    got = click_batches(spark, tmp_path, batches).filter("sessionId = 's'")
+    assert sorted(r.clicksOnPage for r in got.collect()) == [1, 2]
+    assert [r.clicksOnPage for r in jobs.last_reports(got).collect()] == [2]
+
+
+def test_click_stream_over_several_files_equals_its_sql(spark, tmp_path):
+    events = queries.all_events(spark, f"{DATA}/sf0.001").filter("eventType <> 'ERROR'")
+    order = F.unix_millis("ts") + F.pmod(F.xxhash64("eventId"), F.lit(9 * MIN))  # up to nine minutes late
+    rows = [r.asDict(recursive=True) for r in events.orderBy(order).drop("ts").collect()]
+    for k in range(0, len(rows), 200):
+        sinks.keyed_json(sources.with_event_time(spark.createDataFrame(rows[k : k + 200], EVENT))).select("value").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+    files = spark.readStream.option("maxFilesPerTrigger", 1).format("text").load(str(tmp_path / "in"))
+    out = jobs.clicks_by_view_stream(sources.with_event_time(sources.parse_json(files)), early=True).writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check")
+    q = out.trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len({p.batchId for p in q.recentProgress}) > 4
+    columns = ["eventId", "sessionId", "pageUrl", "clicksOnPage"]
+    got = jobs.last_reports(spark.read.parquet(f"{tmp_path}/out")).select(*columns)
+    assert spark_rows(got, columns) == sql_rows(tables(f"{DATA}/sf0.001"), queries.SQL["s_stream_clicks"], columns)
+
+
 @pytest.mark.parametrize("by", [None, "windowStart"])
 def test_keyed_merge(spark, tmp_path, by):
     table = sinks.KeyedTable(spark, str(tmp_path / "t"), by=by)
