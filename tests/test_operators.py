@@ -100,6 +100,15 @@ def test_funnel_needs_order(spark):
     assert [r.conversionRate for r in funnel.funnel(df.limit(0), [("view", F.col("eventType") == "PAGE_VIEW")]).collect()] == [0.0]
 
 
+def test_funnel_holds_no_arrays_of_events(spark):
+    kinds = ["PAGE_VIEW", "CLICK", "SCROLL"]
+    df = frame(spark, [row(f"e{k}", ["u1", "u2", None][k % 3], "s", kinds[k // 3 % 3], "/", k // 3 * 10) for k in range(60)])
+    steps = [(kind, F.col("eventType") == kind) for kind in [*kinds, *kinds]]
+    got = funnel.funnel(df, steps, keys=("userId",))
+    assert [r.sessions for r in got.collect()] == [3] * 6  # null is a key of its own
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 SHORT = {"users_ms": 30_000, "clicks_ms": 10_000, "rate_ms": 10_000}
 
 
