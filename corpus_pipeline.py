@@ -7,9 +7,9 @@
 4. mixture: each source's documents are repeated towards the target weights, and the result is shuffled globally;
 5. packing: documents become token pieces of sequences.
 
-Edge cases: null and empty texts are rejected by the first stage; ties and repeated rows: of rows that share a doc_id one
-stays in the second; rows with a null doc_id stay; an empty table gives an empty result; columns beside those of documents are
-kept by the first four stages.
+Edge cases: null and empty texts are rejected by the first stage; ties and repeated rows: the second stage compares
+rows, whatever their ids: rows that share a doc_id or have none go only if their text is in the class of a row that stays (ids before
+null, then the least text); an empty table gives an empty result; columns beside those of documents are kept by the first four stages.
 """
 
 from __future__ import annotations
@@ -36,14 +36,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    linked = scratch.save(link_documents(docs, JaccardParams()).select("doc_id", "component_id"), "linked")
-    often = scratch.save(linked.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")).filter("n > 1"), "often")
-    gone = linked.filter("component_id <> doc_id").select("doc_id").union(often.select("doc_id")).distinct()
-    once = join_on_key(docs, gone, "doc_id", "left_anti")
-    row = F.min_by(F.struct(*docs.columns), F.col("text")).alias("row")
-    one = join_on_key(docs, often.filter("least = doc_id").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(row)
-    return once.unionByName(one.select(*(F.col(f"row.{c}").alias(c) for c in docs.columns)))
+    scratch, key, doc_id = Scratch(spark), fresh("_row", docs.columns), F.col("doc_id").cast("long")
+    unique = docs.groupBy(doc_id.alias("id")).count().filter("count > 1 OR id IS NULL").isEmpty()
+    # ids that repeat or are missing don't tell rows apart: then every row gets a number of its own
+    rows = docs.withColumn(key, doc_id) if unique else scratch.save(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    linked = scratch.save(link_documents(rows.select(F.col(key).alias("doc_id"), "text"), JaccardParams()).select(F.col("doc_id").alias(key), "n_shingles", "component_id"), "linked")
+    if unique:
+        gone = linked.filter(F.col("component_id") != F.col(key)).select(key)
+    else:
+        # of a class the row with the least id stays, null last, then that with the least text; texts without words are classes by id and text
+        by = [F.when(F.col("n_shingles") > 0, F.col("component_id")), *(F.when(F.col("n_shingles") == 0, F.col(c)) for c in ("doc_id", "text"))]
+        least = F.min(F.struct(F.isnull("doc_id"), doc_id, "text", F.col(key).alias("row")))["row"].alias(key)
+        kept = rows.select(key, "doc_id", "text").join(linked, key).groupBy(*by).agg(least).select(key)
+        gone = scratch.save(linked.select(key).join(kept, key, "left_anti"), "gone")
+    return join_on_key(rows, gone, key, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

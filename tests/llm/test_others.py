@@ -375,5 +375,13 @@ def test_pipeline_equals_brute_force(spark):
     assert corpus_pipeline.run(spark, sf).count() == outs["packing"].count()
 
 
+def test_near_duplicates_compares_rows_and_not_ids(spark):
+    text = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, text("a")), (5, text("b")), (5, text("c")), (5, text("a") + " more"), (7, text("c") + " more"), (7, text("d")), (None, text("e")), (None, text("e")), (None, text("e") + " more"), (None, text("b") + " more"), (None, text("f")), (8, " "), (8, " "), (9, " ")]
+    df = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], cases.DOCS)
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == sorted((str(i), t) for i, t in [(1, text("a")), (5, text("b")), (5, text("c")), (7, text("d")), (None, text("e")), (None, text("f")), (8, " "), (9, " ")])
+
+
 def test_scratch_is_in_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
