@@ -1,8 +1,8 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams, FTRL with elastic net, then temperature calibration.
 
 Inverse document frequencies of hashed character n-grams cover all documents that may be learned from; the classifier is
-fitted on a bounded sample of them, and one positive temperature is chosen on a part of that sample that didn't train, by
-least log-loss. Whole texts are scored; nothing but bounded vectors is shuffled.
+fitted on a bounded sample of them, which has a floor of rows for every language, and one positive temperature is chosen on a part
+of each language's rows that didn't train, by least log-loss. Whole texts are scored; nothing but bounded vectors is shuffled.
 
 Edge cases: null text and text without a letter give `und` with score 0, as does a model that has seen no language; rows
 with null lang don't train; repeated rows are scored each; empty tables work; further columns don't matter.
@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, sum_vectors
+from .common import sum_vectors, unit_hash
 from .ftrl import Ftrl, train
 from .textnum import char_ngrams, few_rows
 
@@ -75,14 +75,14 @@ def train_langid(docs: DataFrame, params: LangParams = LangParams()) -> LangMode
     sums = sum_vectors(known.select("text"), count, size + 1)
     total = int(sums[-1])
     idf = np.log((1 + total) / (1 + sums[:-1])).astype(np.float32) + 1
-    sample = bounded_sample(known, "doc_id", params.sample_rows, total=total)
-    langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    langs = sorted(quotas(counts, params.sample_rows))
     if not langs:
         return LangModel([], idf, np.zeros((size + 1, 0), np.float32), 1.0)
+    sample = by_language(known, counts, params)
     held = docs.sparkSession.sparkContext.broadcast(idf)
     y = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
-    part = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1000)) < int(1000 * params.calibrate)
-    sample = sample.select("_u", "text", y.alias("y"), part.alias("calibrates"))
+    sample = sample.select("_u", "text", y.alias("y"), "calibrates")
     w = train(sample.filter("NOT calibrates"), lambda t: tfidf(t, held.value, params), size, len(langs), params.ftrl)
     sent = docs.sparkSession.sparkContext.broadcast(w)
 
@@ -96,6 +96,34 @@ def train_langid(docs: DataFrame, params: LangParams = LangParams()) -> LangMode
     return LangModel(langs, idf, w, temperature([r.y for r in got], np.array([r.z for r in got])) if got else 1.0)
 
 
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many rows of every language a sample of at most `rows` takes: a floor of a quarter of an even split, and the rest by share.
+
+    Of more languages than rows the most frequent have one each.
+    """
+    if sum(counts.values()) <= rows:
+        return dict(counts)
+    most = sorted(counts, key=lambda lang: (-counts[lang], lang))[:rows]
+    floor = max(1, rows // (4 * len(most)))
+    out = {lang: min(counts[lang], floor) for lang in most}
+    rest, over = rows - sum(out.values()), {lang: counts[lang] - out[lang] for lang in most}
+    total = sum(over.values())
+    return {lang: out[lang] + rest * over[lang] // total for lang in most}
+
+
+def by_language(known: DataFrame, counts: dict[str, int], params: LangParams) -> DataFrame:
+    """A sample of `known` by quotas in the order of a hash. Adds _u and calibrates, which the same share of every language's rows is, rounded down."""
+    wanted = quotas(counts, params.sample_rows)
+    # the hash keeps few more rows than are wanted, so that only about the sample is sorted
+    rows = [(lang, n, (n + 6 * n**0.5 + 20) / counts[lang]) for lang, n in wanted.items()]
+    limits = known.sparkSession.createDataFrame(rows, "lang string, _wanted long, _below double")
+    df = known.withColumn("_u", unit_hash(F.col("doc_id"), seed=7)).join(F.broadcast(limits), "lang").filter("_u < _below OR _below >= 1")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id", F.xxhash64("text")))
+    df = df.withColumn("_place", place).filter("_place <= _wanted")
+    other = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(11), "doc_id"), "_place"))
+    return df.withColumn("calibrates", other <= F.floor(F.lit(params.calibrate) * F.col("_wanted"))).drop("_wanted", "_below", "_place")
+
+
 def temperature(y: list[int], z: np.ndarray) -> float:
     """The temperature of least log-loss, on a grid of factors of two to the eighth root."""
 

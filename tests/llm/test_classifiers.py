@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import cases
 import numpy as np
@@ -7,7 +8,7 @@ from compare import DATA
 from pyspark.sql import functions as F
 
 from clickweave.llm.ftrl import Ftrl, fit
-from clickweave.llm.langid import LangParams, has_letter, predict_langid, temperature, tfidf, train_langid
+from clickweave.llm.langid import LangParams, by_language, has_letter, predict_langid, quotas, temperature, tfidf, train_langid
 from clickweave.llm.quality import QualityParams, features, score_quality, train_quality
 from clickweave.llm.queries import QUERIES
 from clickweave.llm.toxicity import ToxicityParams, buckets, score_toxicity, train_toxicity
@@ -56,6 +57,24 @@ def test_ftrl_separates_and_l1_prunes():
     assert w[:3].argmax(1).tolist() == [0, 1, 2]
 
 
+def test_rare_languages_are_learned_from_a_small_sample(spark):
+    words = {"aa": "lorem ipsum dolor", "bb": "quick brown fox", "cc": "zwölf boxkämpfer jagen"}
+    rows = [(k, f"{words[lang]} {k}", lang) for k, lang in enumerate(["aa"] * 9000 + ["bb"] * 3000 + ["cc"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    params = LangParams(bits=12, sample_rows=480)
+    counts = {"aa": 9000, "bb": 3000, "cc": 40}
+    sample = by_language(docs, counts, params).collect()
+    got = Counter((r.lang, r.calibrates) for r in sample)
+    assert len(sample) <= 480
+    assert (got["cc", False], got["cc", True]) == (32, 8)
+    assert all(n == quotas(counts, 480)[lang] for lang, n in Counter(r.lang for r in sample).items())
+    model = train_langid(docs, params)
+    assert model.langs == ["aa", "bb", "cc"]
+    found = predict_langid(docs, model, params).join(docs, "doc_id").filter("lang = 'cc'").collect()
+    assert {r.lang_pred for r in found} == {"cc"}
+    assert quotas({"x": 5, "y": 1, "z": 1}, 2) == {"x": 1, "y": 1}
+
+
 def test_temperature_softens_overconfidence():
     z = np.array([[9.0, 0.0]] * 10)
     assert temperature([0] * 6 + [1] * 4, z) > 4
