@@ -7,8 +7,8 @@
 3. The others form groups by the most common of their shared rare tokens, which similar documents have in common; large
    groups are cut in blocks of bounded documents and tokens, so no task holds an unbounded group. The matrix of rare tokens
    by group gives every pair of groups that can hold a link, and nothing is lost.
-4. For such a pair, the overlap of each query with the other group's union bounds its overlap with any member. Only
-   groups that qualify are opened, and their members' intersections are counted exactly. What leaves a task is a
+4. For such a pair, the overlap of each query with the other group's union bounds its overlap with any member. The
+   members of both come with their tokens, and only for queries that qualify are intersections counted, exactly. What leaves a task is a
    spanning forest of the links found and each set's number of links, never all pairs of a group.
 
 Shingle hashes have 64 bits: two different shingles of a compared pair count as one with probability below n**2 / 2**64.
