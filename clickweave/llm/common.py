@@ -21,10 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; only where it is unset (tests) a folder of our own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
         shared = spark.sparkContext.getCheckpointDir()
     return shared
 
@@ -87,32 +88,45 @@ def join_on_key(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
     return big.join(F.broadcast(small) if small_rows <= MAX_BROADCAST_ROWS else small, key, how)
 
 
-def sum_vectors(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, pieces: int = 32) -> np.ndarray:
-    """Sums one int64 vector of fixed size per partition: partial vectors are cut in pieces, shuffled by piece and added.
+def vector_pieces(vector: np.ndarray, pieces: int) -> Iterator[tuple[int, bytes]]:
+    """The pieces of a vector (padded to a whole number of them) that hold anything, compressed."""
+    step = -(-len(vector) // pieces)
+    for k in range(pieces):
+        part = vector[k * step : (k + 1) * step]
+        if part.any():
+            yield k, zlib.compress(part.tobytes(), 1)
+
+
+def add_pieces(parts: DataFrame, size: int, pieces: int = 32, fan_in: int = 32) -> np.ndarray:
+    """parts: piece, data, as of vector_pieces, of any number of int64 vectors of one size. Returns their sum.
 
-    Only the sum reaches the driver; its size is the parameter `size`, whatever the input.
+    Pieces are added in levels of at most about fan_in inputs a group, so that no task's input grows with their number. Only
+    the sum reaches the driver; its size is the parameter `size`, whatever the input.
     """
-    step = -(-size // pieces)
 
-    def partial(batches):
-        vector = np.zeros(step * pieces, np.int64)
-        got = fill(batches)
-        vector[:size] = got
-        for k in range(pieces):
-            part = vector[k * step : (k + 1) * step]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["piece", "data"])
-
-    def total(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(data), np.int64)
-        for k, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["piece", "data"])
-
-    schema = "piece int, data binary"
+    def total(group: pa.Table) -> pa.Table:
+        data, out = group["data"], None
+        for one in data:
+            part = np.frombuffer(zlib.decompress(one.as_py()), np.int64)
+            out = part.copy() if out is None else np.add(out, part, out=out)
+        return pa.table({"piece": group["piece"][:1].cast(pa.int32()), "data": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+
+    step, groups = -(-size // pieces), parts.rdd.getNumPartitions()
+    while groups > 1:
+        groups = -(-groups // fan_in)
+        parts = parts.withColumn("_group", F.pmod(F.xxhash64("data"), F.lit(groups))).groupBy("piece", "_group").applyInArrow(total, "piece int, data binary")
     out = np.zeros(step * pieces, np.int64)
-    for k, data in df.mapInArrow(partial, schema).repartition(pieces, "piece").mapInArrow(total, schema).collect():
-        out[k * step : (k + 1) * step] = np.frombuffer(zlib.decompress(data), np.int64)
+    for k, data in parts.collect():
+        part = np.frombuffer(zlib.decompress(data), np.int64)
+        out[k * step : k * step + len(part)] += part
     return out[:size]
+
+
+def sum_vectors(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, pieces: int = 32) -> np.ndarray:
+    """Sums one int64 vector of fixed size per partition."""
+
+    def partial(batches):
+        for k, data in vector_pieces(fill(batches), pieces):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["piece", "data"])
+
+    return add_pieces(df.mapInArrow(partial, "piece int, data binary"), size, pieces)

@@ -1,20 +1,28 @@
 """Exact Jaccard self-join on word shingles by a token-group matrix, and the classes of linked documents.
 
 1. Equal sets collapse into one class (128-bit digest of the sorted shingle hashes).
-2. In any order of tokens, two sets that reach the threshold t share one of the first n - ceil(t * n) + 1 tokens of either.
-   With the rarest first, a set with so many tokens that no other set has links with nothing: it is set aside. The rest are
-   ordered by how often a token's hash bucket occurs among them, and tokens that one of them has alone are dropped.
-3. The others form groups by the most common of their shared rare tokens, which similar documents have in common; large
-   groups are cut in blocks of bounded documents and tokens, so no task holds an unbounded group. The matrix of rare tokens
-   by group gives every pair of groups that can hold a link, and nothing is lost.
-4. For such a pair, the overlap of each query with the other group's union bounds its overlap with any member. The
-   members of both come with their tokens, and only for queries that qualify are intersections counted, exactly. What leaves a task is a
-   spanning forest of the links found and each set's number of links, never all pairs of a group.
+2. With tokens in any one order (here: those first whose hash bucket is rarest), the first n - ceil(t n) + l tokens of two sets
+   of similarity t or more have at least l in common, l growing slowly with n (`least_shared`). Sets whose first
+   tokens have fewer in common with all others together link with nothing and are set aside; the rest is a small share of ordinary text.
+3. The others are partitioned into groups of similar sets: those whose most common shared token and whose size (to a
+   factor of t) agree, cut in blocks of bounded documents and tokens. Two tables are stored for the groups: the token-group
+   matrix (token, group) of these first tokens, and each group's union of all tokens.
+4. A query is compared with groups, not with sets. Its overlap with the matrix, by a join and a grouped count, gives the
+   pairs of query and group that may hold a link (`candidates`); for these its overlap with the group's whole union bounds
+   the overlap with every member (`bound`). Only groups that still qualify are opened: their members meet the query, and intersections
+   are counted exactly. What leaves a task is a spanning forest of the links found and each set's number of links.
+
+Whole texts are read twice without a shuffle; the first tokens are shuffled, not all tokens; all tokens move only for sets that are
+candidates. Frequent tokens come last in the order, and a token that many sets do share is counted before the shuffle and
+joined by an equi-join that AQE may split. What grows faster than the input is a family of distinct near copies: its
+blocks meet pairwise, as its links must all be counted.
 
 Shingle hashes have 64 bits: two different shingles of a compared pair count as one with probability below n**2 / 2**64.
+The unions hold 32 bits of them, which can only open a group too many.
 
 Edge cases: null or empty text and text without words has n_shingles 0, no links and its own id as component; texts of
-any length are taken whole; repeated rows and copies are one class whose rows link with each other; rows with a null
+any length are taken whole; repeated rows and copies are one class whose rows link with each other; ties: a component is
+named by its smallest doc_id, tokens of equal counts are ordered by hash, and which group a set falls in changes no result; rows with a null
 doc_id are kept with a null component if nothing with an id equals them; an empty table gives an empty result; further
 columns don't matter and aren't returned.
 """
@@ -22,32 +30,39 @@ columns don't matter and aren't returned.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, Scratch, join_on_key, sum_vectors
+from .common import Scratch, add_pieces, join_on_key, vector_pieces
 from .components import components
 from .textnum import few_rows, shingles, text_slices, word_hashes
 
 
 @dataclass(frozen=True)
 class JaccardParams:
-    """words per shingle; links reach num / den; bits: buckets of the token order; chunk_tokens: tokens of a chunk of documents and of a range
-    of tokens; rounds: how often documents with enough tokens of their own are set aside; a block holds about block_docs sets or block_tokens tokens."""
+    """words per shingle; links reach num / den (a fifth at least); bits: buckets of the token order; extra: one more common token is asked for
+    (and one more looked at) for so many tokens of a set; rounds: how often sets that share too few tokens are set aside;
+    a block holds about block_docs sets or block_tokens tokens."""
 
     words: int = 5
     num: int = 80
     den: int = 100
     bits: int = 20
-    chunk_tokens: int = 1 << 20
+    extra: int = 32
     rounds: int = 2
     block_docs: int = 256
-    block_tokens: int = 1 << 17
+    block_tokens: int = 1 << 16
+
+    def __post_init__(self):
+        if self.num * 5 < self.den or self.num > self.den:
+            raise ValueError("the similarity must lie in 0.2 to 1")
+
+
+_PIECES = 32
 
 
 def _sets(batch: pa.RecordBatch, params: JaccardParams):
@@ -58,212 +73,198 @@ def _sets(batch: pa.RecordBatch, params: JaccardParams):
             yield i + k, np.unique(shingles(words[at[k] : at[k + 1]], params.words))
 
 
-def _rare(n: int, params: JaccardParams) -> int:
-    """How many of the rarest of n tokens a linked set must share one of."""
-    return n + params.num * n // -params.den + 1
+def _digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 def shingle_sets(texts: DataFrame, params: JaccardParams) -> DataFrame:
-    """doc_id, n_shingles, set_id (null without words) for every row."""
+    """doc_id, n_shingles, set_id (null without words) for every row, piece null; and, with these null, pieces of a count of token buckets."""
+    shift, size = np.uint64(64 - params.bits), 1 << params.bits
 
     def describe(batches):
+        sums = np.zeros(size, np.int64)
         for batch in few_rows(batches):
             n, ids = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
             for i, tokens in _sets(batch, params):
                 if len(tokens):
-                    n[i], ids[i] = len(tokens), hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "n_shingles", "set_id"])
+                    n[i], ids[i] = len(tokens), _digest(tokens)
+                    np.add.at(sums, (tokens >> shift).astype(np.int64), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+        for k, data in vector_pieces(sums, _PIECES):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([data], pa.binary())], names)
 
-    return texts.mapInArrow(describe, "doc_id long, n_shingles long, set_id binary")
+    names = ["doc_id", "n_shingles", "set_id", "piece", "data"]
+    return texts.mapInArrow(describe, "doc_id long, n_shingles long, set_id binary, piece int, data binary")
 
 
-_MANY = 0xFFFF
+def first_tokens(texts: DataFrame, order: np.ndarray, params: JaccardParams) -> DataFrame:
+    """doc_id, set_id, prefix: the tokens of every row that come first in the order (counts of token buckets, then the hash)."""
+    shift = np.uint64(64 - params.bits)
+    held = texts.sparkSession.sparkContext.broadcast(np.minimum(order, (1 << 32) - 1).astype(np.uint32))
 
+    def prefix(batches):
+        for batch in few_rows(batches):
+            ids, out = [None] * batch.num_rows, [None] * batch.num_rows
+            for i, tokens in _sets(batch, params):
+                if len(tokens):
+                    n, ids[i] = len(tokens), _digest(tokens)
+                    most = n + params.num * n // -params.den + min(1 + n // params.extra, -(-params.num * n // params.den))
+                    counts = held.value[(tokens >> shift).astype(np.int64)]
+                    out[i] = tokens[np.argsort(counts, kind="stable")[:most]].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "set_id", "prefix"])
 
-def _planes(x: np.ndarray) -> bytes:
-    """Differences of sorted 32-bit numbers, byte by byte, so that the shuffle's compression meets the zeros together."""
-    return np.diff(x, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return texts.mapInArrow(prefix, "doc_id long, set_id binary, prefix array<long>")
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+def _least(n: Column, params: JaccardParams) -> Column:
+    return F.least(1 + F.floor(n / params.extra), F.ceil(params.num * n / params.den))
 
 
-def crowded(texts: DataFrame, tokens: int, params: JaccardParams) -> DataFrame:
-    """doc_id of the rows of which fewer tokens occur in no other row than the rare ones that a link needs: all others link with nothing.
+def least_shared(n: Column, lo: Column, hi: Column, params: JaccardParams) -> Column:
+    """How many first tokens a set of n tokens has in common, at least, with a linked one of lo to hi tokens; null if sizes exclude a link.
 
-    Chunks of documents send their tokens to ranges of the hash space, of about chunk_tokens each (`tokens`: of all rows), six bytes a
-    token before compression and once for a token that several documents of the chunk have; a range answers with the number of
-    tokens that each document of a chunk has alone. Tokens that agree in the range and 32 bits count as the same, which
-    only keeps a few more documents.
+    Linked sets of n and s tokens have a = ceil(num (n + s) / (num + den)) in common. The last n - p of a set's tokens hold at
+    most so many of these; so the first p of it hold a - (n - p), and what the first ones of that set hold which ends earlier in the order, the other's
+    first ones hold, too. With p = n - ceil(t n) + l(n) that is the smaller of a - ceil(t n) + l(n) and a - ceil(t s) + l(s): the
+    first grows with s, the second lies above a linear function of s less 2, which is least at an end.
     """
-    ranges = max(1, -(-tokens // params.chunk_tokens))
-
-    def send(batches):
-        held: list[np.ndarray] = []
-        ids: list = []
-
-        def flush():
-            token = np.concatenate(held)
-            owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(t) for t in held])
-            order = np.argsort(token, kind="stable")
-            token, owner = token[order], owner[order]
-            first = np.append(True, token[1:] != token[:-1])
-            several = np.append(first[1:], True) != first  # begins a run of two or more
-            token, owner = token[first], np.where(several | ~np.append(first[1:], True), _MANY, owner)[first].astype(np.uint16)
-            chunk = int.from_bytes(hashlib.blake2b(np.array([len(token), len(ids)]).tobytes() + repr(ids[:3] + ids[-3:]).encode() + token[:64].tobytes(), digest_size=8).digest(), "little", signed=True)
-            cut = np.searchsorted((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
-            rows = [(k, chunk, None, None, _planes((token[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)[o]), owner[a:b][o].tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a for o in [np.argsort(token[a:b] & np.uint64(0xFFFFFFFF), kind="stable")]]
-            rows.append((-1 - chunk % ranges, chunk, ids[:], np.array([_rare(len(t), params) for t in held]).tolist(), None, None))
-            held.clear()
-            ids.clear()
-            return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema=arrow)
-
-        size = 0
-        for batch in few_rows(batches):
-            key = batch.column("doc_id").to_pylist()
-            for i, t in _sets(batch, params):
-                if len(t) and key[i] is not None:
-                    held.append(t)
-                    ids.append(key[i])
-                    size += len(t)
-                    if size >= params.chunk_tokens or len(held) >= _MANY - 1:
-                        yield flush()
-                        size = 0
-        if held:
-            yield flush()
-
-    names = ["range", "chunk", "ids", "rare", "token", "owner"]
-    arrow = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("rare", pa.list_(pa.int64())), ("token", pa.binary()), ("owner", pa.binary())])
-
-    def answer(group: pa.Table) -> pa.Table:
-        if group["range"][0].as_py() < 0:  # what the chunks consist of is passed on
-            return group.select(["chunk", "ids", "rare"]).append_column("alone", pa.nulls(len(group), pa.binary()))
-        token = [_from_planes(t) for t in group["token"].to_pylist()]
-        owner = [np.frombuffer(o, np.uint16) for o in group["owner"].to_pylist()]
-        order = np.argsort(np.concatenate(token), kind="stable")
-        token_sorted = np.concatenate(token)[order]
-        differs = token_sorted[1:] != token_sorted[:-1]
-        alone = np.empty(len(order), bool)
-        alone[order] = np.append(True, differs) & np.append(differs, True)
-        counts, at = [], 0
-        for o in owner:
-            mine = o[alone[at : at + len(o)] & (o != _MANY)]
-            counts.append(zlib.compress(np.bincount(mine).astype(np.uint32).tobytes(), 1))
-            at += len(o)
-        return pa.table({"chunk": group["chunk"], "ids": pa.nulls(len(group), pa.list_(pa.int64())), "rare": pa.nulls(len(group), pa.list_(pa.int64())), "alone": pa.array(counts, pa.binary())})
-
-    def add(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        ids = next(r["ids"] for r in rows if r["ids"] is not None)
-        rare = next(r["rare"] for r in rows if r["ids"] is not None)
-        sums = np.zeros(len(ids), np.int64)
-        for r in rows:
-            if r["alone"] is not None:
-                n = np.frombuffer(zlib.decompress(r["alone"]), np.uint32)
-                sums[: len(n)] += n
-        return pa.table({"doc_id": pa.array(np.array(ids, np.int64)[sums < np.array(rare)])})
-
-    sent = texts.mapInArrow(send, "range int, chunk long, ids array<long>, rare array<long>, token binary, owner binary")
-    answers = sent.groupBy("range").applyInArrow(answer, "chunk long, ids array<long>, rare array<long>, alone binary")
-    return answers.groupBy("chunk").applyInArrow(add, "doc_id long").distinct()
-
-
-def rare_tokens(texts: DataFrame, params: JaccardParams) -> DataFrame:
-    """node, prefix: the rarest tokens of every row, by how often their hash bucket occurs in these rows."""
-    shift, size = np.uint64(64 - params.bits), 1 << params.bits
+    t, share = params.num / params.den, params.num / (params.num + params.den)
+    lo, hi = F.greatest(lo, F.ceil(params.num * n / params.den)), F.least(hi, F.floor(params.den * n / params.num))
+    own = F.ceil(params.num * (n + lo) / (params.num + params.den)) - F.ceil(params.num * n / params.den) + _least(n, params)
+    line = lambda s: share * (n + s) - t * s + s / params.extra - 1
+    need = F.greatest(F.least(_least(n, params), _least(lo, params)), F.least(own, F.ceil(F.least(line(lo), line(hi)))))
+    return F.when(lo <= hi, need)
+
+
+def shared_cells(prefixes: DataFrame, scratch: Scratch, params: JaccardParams) -> DataFrame:
+    """prefixes: node, n, prefix. Returns token, node, n, holders (nodes that have the token) of the sets that share enough first tokens."""
+    cells = prefixes.select("node", "n", F.explode("prefix").alias("token"))
+    for k in range(params.rounds + 1):
+        if k:
+            any_size = F.lit(0), F.lit(1 << 62)
+            nodes = cells.groupBy("node").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+            nodes = scratch.save(nodes.filter(F.col("shared") >= least_shared(F.col("n"), *any_size, params)).select("node"), "enough")
+            cells = join_on_key(cells, nodes, "node", "left_semi")
+        tokens = scratch.save(cells.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1"), "tokens")
+        new = scratch.save(join_on_key(cells.select("token", "node", "n"), tokens, "token"), f"cells-{k}")
+        scratch.drop(f"cells-{k - 1}")
+        cells = new
+    scratch.drop("enough", "tokens")
+    return cells
+
+
+def group_documents(cells: DataFrame, params: JaccardParams) -> DataFrame:
+    """node, n, gid: sets by their most common shared token and their size to a factor of the similarity, large groups cut in blocks by hash."""
+    keyed = cells.groupBy("node", "n").agg(F.max(F.struct("holders", "token"))["token"].alias("key"))
+    keyed = keyed.withColumn("band", F.floor(F.log("n") / -float(np.log(min(params.num / params.den, 0.99)))))
+    blocks = keyed.groupBy("key", "band").agg(F.greatest(F.ceil(F.count("*") / params.block_docs), F.ceil(F.sum("n") / params.block_tokens)).alias("blocks")).filter("blocks > 1")
+    gid = F.xxhash64("key", "band", F.pmod(F.xxhash64(F.lit(3), "node"), F.coalesce("blocks", F.lit(1))))
+    return keyed.join(blocks, ["key", "band"], "left").select("node", "n", gid.alias("gid"))
+
+
+def token_group_matrix(cells: DataFrame, groups: DataFrame) -> DataFrame:
+    """token, gid, holders (members that have the token) and, of the whole group, lo and hi (sizes of its sets)."""
+    sizes = groups.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    cells = cells.select("token", "node").join(groups.select("node", "gid"), "node")
+    return cells.groupBy("token", "gid").agg(F.count("*").alias("holders")).join(sizes, "gid")
+
+
+def candidates(cells: DataFrame, groups: DataFrame, matrix: DataFrame, params: JaccardParams) -> DataFrame:
+    """node, own, gid: queries and the groups whose row of the matrix they share enough tokens with; own <= gid, their own group.
+
+    Each two groups meet in one direction; within its own group a query's tokens count if another member has them.
+    """
+    queries = cells.select("token", "node").join(groups.select("node", "n", F.col("gid").alias("own")), "node")
+    need = least_shared(F.col("n"), F.col("lo"), F.col("hi"), params)
+    met = queries.join(matrix, "token").filter(((F.col("own") < F.col("gid")) | ((F.col("own") == F.col("gid")) & (F.col("holders") > 1))) & need.isNotNull())
+    return met.groupBy("node", "own", "gid", "n", "lo", "hi").agg(F.count("*").alias("shared")).filter(F.col("shared") >= need).select("node", "own", "gid")
 
-    def count(batches):
-        sums = np.zeros(size, np.int64)
-        for batch in few_rows(batches):
-            for _, t in _sets(batch, params):
-                np.add.at(sums, (t >> shift).astype(np.int64), 1)
-        return sums
 
-    order = sum_vectors(texts.select("text"), count, size)
-    held = texts.sparkSession.sparkContext.broadcast(np.minimum(order, (1 << 32) - 1).astype(np.uint32))
+def unions(blocks: DataFrame) -> DataFrame:
+    """blocks: gid, members. Returns gid, least (size of the smallest set), all (the union of the members' tokens) and twice (those of two members or more)."""
 
-    def prefix(batches):
-        for batch in few_rows(batches):
-            out = [None] * batch.num_rows
-            for i, tokens in _sets(batch, params):
-                counts = held.value[(tokens >> shift).astype(np.int64)]
-                out[i] = tokens[np.argsort(counts, kind="stable")[: _rare(len(tokens), params)]].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], ["node", "prefix"])
-
-    return texts.mapInArrow(prefix, "node long, prefix array<long>")
-
-
-def shared_tokens(sets: DataFrame) -> DataFrame:
-    """sets: node, prefix. Returns token, node, n_nodes of the rare tokens that two nodes or more have."""
-    cells = sets.select(F.explode("prefix").alias("token"), "node")
-    by = Window.partitionBy("token")
-    cells = cells.withColumn("_lo", F.min("node").over(by)).withColumn("_hi", F.max("node").over(by)).withColumn("n_nodes", F.count("*").over(by))
-    return cells.filter("_lo <> _hi").select("token", "node", "n_nodes")
-
-
-def group_documents(shared: DataFrame, sizes: DataFrame, params: JaccardParams) -> DataFrame:
-    """Groups the nodes by the most common of their shared tokens, large groups cut in blocks. sizes: node, n, ... Returns these and gid."""
-    keys = shared.groupBy("node").agg(F.max(F.struct("n_nodes", "token"))["token"].alias("key"))
-    keyed = sizes.join(keys, "node")
-    blocks = keyed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / params.block_docs), F.ceil(F.sum("n") / params.block_tokens)).alias("blocks")).filter("blocks > 1")
-    gid = F.xxhash64("key", F.pmod(F.xxhash64(F.lit(3), "set_id"), F.coalesce("blocks", F.lit(1))))
-    return keyed.join(blocks, "key", "left").withColumn("gid", gid).drop("key", "blocks")
-
-
-def candidate_pairs(shared: DataFrame, groups: DataFrame, scratch: Scratch, params: JaccardParams) -> DataFrame:
-    """g1 <= g2 of groups whose members share a rare token and may agree in size; g1 = g2 where two members share one."""
-    cells = shared.select("token", "node").join(groups.select("node", "gid", "n"), "node")
-    matrix = scratch.save(cells.groupBy("token", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("nodes")), "matrix")
-    left, right = (matrix.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("gid", "lo", "hi"))) for k in (1, 2))
-    fits = (F.col("hi1") * params.den >= F.col("lo2") * params.num) & (F.col("hi2") * params.den >= F.col("lo1") * params.num)
-    two = left.join(right, "token").filter((F.col("gid1") < F.col("gid2")) & fits)
-    one = matrix.filter("nodes > 1").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
-    return two.select(F.col("gid1").alias("g1"), F.col("gid2").alias("g2")).union(one).distinct()
-
-
-def _open_groups(a: list[dict], b: list[dict], same: bool, params: JaccardParams):
-    """Yields (place in a, places in b) of all links between two groups, or within one."""
-    sets_b = [np.frombuffer(m["tokens"], np.uint64) for m in b]
-    sizes = np.array([len(s) for s in sets_b])
-    all_tokens = np.concatenate(sets_b)
-    order = np.argsort(all_tokens, kind="stable")
-    tokens, owner = all_tokens[order], np.repeat(np.arange(len(b)), sizes)[order]
+    def unite(batches):
+        for batch in few_rows(batches, 64):
+            least, every, twice = [], [], []
+            for members in batch.column("members"):
+                sets = [np.frombuffer(m, np.uint64) >> np.uint64(32) for m in {(m["node"], m["set_id"]): m["tokens"] for m in members.as_py()}.values()]
+                least.append(min(map(len, sets)))
+                tokens, n = np.unique(np.concatenate([np.unique(s) for s in sets]).astype(np.uint32), return_counts=True)
+                every.append(tokens.tobytes())
+                twice.append(tokens[n > 1].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("gid"), pa.array(least, pa.int64()), pa.array(every, pa.binary()), pa.array(twice, pa.binary())], ["gid", "least", "all", "twice"])
+
+    return blocks.mapInArrow(unite, "gid long, least long, all binary, twice binary")
+
+
+def bound(pairs: DataFrame, blocks: DataFrame, united: DataFrame, params: JaccardParams) -> DataFrame:
+    """pairs: node, own, gid. Returns gid, same (own = gid), queries (array of members) of those whose overlap with the group's union may reach the threshold.
+
+    A group's queries come by the group they are in, so that no row holds more than a block of them.
+    """
+    members = blocks.select(F.col("gid").alias("own"), F.explode("members").alias("m"))
+    asked = pairs.join(members.withColumn("node", F.col("m.node")), ["own", "node"]).groupBy("own", "gid").agg(F.collect_list("m").alias("queries"))
+    asked = asked.join(united, "gid").select("gid", (F.col("own") == F.col("gid")).alias("same"), "queries", "least", F.when(F.col("own") == F.col("gid"), F.col("twice")).otherwise(F.col("all")).alias("tokens"))
+
+    def qualify(batches):
+        for batch in few_rows(batches, 64):
+            lists = batch.column("queries")
+            flat, at = lists.flatten(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+            own, keep = flat.field("tokens"), np.zeros(len(flat), bool)
+            for r, (tokens, least) in enumerate(zip(batch.column("tokens"), batch.column("least").to_pylist(), strict=True)):
+                union = np.frombuffer(tokens.as_py(), np.uint32)
+                if len(union):
+                    for k in range(at[r], at[r + 1]):
+                        query = (np.frombuffer(own[k].as_py(), np.uint64) >> np.uint64(32)).astype(np.uint32)
+                        place = np.searchsorted(union, query)
+                        place[place == len(union)] = 0
+                        overlap = int((union[place] == query).sum())
+                        smallest = max(least, -(-params.num * len(query) // params.den))
+                        keep[k] = (params.num + params.den) * overlap >= params.num * (len(query) + smallest)
+            left = np.append(0, np.cumsum(keep))[at]
+            queries = pa.ListArray.from_arrays(pa.array(left, pa.int32()), flat.filter(pa.array(keep)))
+            out = pa.RecordBatch.from_arrays([batch.column("gid"), batch.column("same"), queries], ["gid", "same", "queries"])
+            yield out.filter(pa.array(np.diff(left) > 0))
+
+    return asked.mapInArrow(qualify, asked.select("gid", "same", "queries").schema)
+
+
+def _open_group(queries: list[dict], members: list[dict], same: bool, params: JaccardParams):
+    """Yields (place in queries, places in members) of all links; within a group each once, from the smaller node."""
+    sets = [np.frombuffer(m["tokens"], np.uint64) for m in members]
+    sizes = np.array([len(s) for s in sets])
+    names = np.array([m["node"] for m in members], np.int64)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    tokens, owner = every[order], np.repeat(np.arange(len(members)), sizes)[order]
     union, first = np.unique(tokens, return_index=True)
     last = np.append(first[1:], len(tokens))
-    least = int(sizes.min())
-    for i, m in enumerate(a):
+    for i, m in enumerate(queries):
         query = np.frombuffer(m["tokens"], np.uint64)
         at = np.searchsorted(union, query)
         at[at == len(union)] = 0
         at = at[union[at] == query]
-        if (params.num + params.den) * len(at) < params.num * (len(query) + least):
-            continue  # the bound: no member can reach the threshold
         counts = last[at] - first[at]
         runs = np.repeat(first[at] - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(counts.sum())
-        overlap = np.bincount(owner[runs], minlength=len(b))
+        overlap = np.bincount(owner[runs], minlength=len(members))
         hit = params.den * overlap >= params.num * (len(query) + sizes - overlap)
         if same:
-            hit[: i + 1] = False
+            hit &= names > m["node"]
         if hit.any():
             yield i, np.flatnonzero(hit)
 
 
-def links(blocks: DataFrame, pairs: DataFrame, params: JaccardParams) -> DataFrame:
-    """blocks: gid, members (array of node, copies, set_id, tokens). Returns forest edges and link counts: node, other, n."""
-    first, second = (blocks.select(F.col("gid").alias(f"g{k}"), F.col("members").alias(f"m{k}")) for k in (1, 2))
-    one = pairs.filter("g1 = g2").join(first, "g1").select("m1", F.lit(None).cast(blocks.schema["members"].dataType).alias("m2"))
-    two = pairs.filter("g1 < g2").join(first, "g1").join(second, "g2").select("m1", "m2")
+def links(qualified: DataFrame, blocks: DataFrame, params: JaccardParams) -> DataFrame:
+    """Opens the groups that queries qualify for. Returns forest edges and link counts: node, other, n."""
 
     def distinct(members):
         return list({(m["node"], m["set_id"]): m for m in members}.values())
 
     def found(batches):
-        for batch in few_rows(batches):
-            out: list[tuple[int, int | None, int]] = []
-            for m1, m2 in zip(batch.column("m1"), batch.column("m2"), strict=True):
-                a = distinct(m1.as_py())
-                b, same = (distinct(m2.as_py()), False) if m2.is_valid else (a, True)
+        for batch in few_rows(batches, 64):
+            out: list[tuple[int, int, int]] = []
+            for asked, block, same in zip(batch.column("queries"), batch.column("members"), batch.column("same").to_pylist(), strict=True):
+                queries, members = distinct(asked.as_py()), distinct(block.as_py())
                 root: dict[int, int] = {}
                 n: dict[int, int] = {}
 
@@ -273,10 +274,10 @@ def links(blocks: DataFrame, pairs: DataFrame, params: JaccardParams) -> DataFra
                         x = up
                     return x
 
-                for i, others in _open_groups(a, b, same, params):
-                    x = a[i]
+                for i, others in _open_group(queries, members, same, params):
+                    x = queries[i]
                     for j in others:
-                        y = b[j]
+                        y = members[j]
                         n[x["node"]] = n.get(x["node"], 0) + y["copies"]
                         n[y["node"]] = n.get(y["node"], 0) + x["copies"]
                         if (p := top(x["node"])) != (q := top(y["node"])):
@@ -286,31 +287,11 @@ def links(blocks: DataFrame, pairs: DataFrame, params: JaccardParams) -> DataFra
                 node, other, count = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(count, pa.int64())], ["node", "other", "n"])
 
-    return one.unionByName(two).mapInArrow(found, "node long, other long, n long")
+    return qualified.join(blocks, "gid").select("queries", "members", "same").mapInArrow(found, "node long, other long, n long")
 
 
-def link_documents(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (other rows linked directly) of every row."""
-    scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    narrow = scratch.save(shingle_sets(texts, params), "sets")
-    classes = narrow.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
-    classes = scratch.save(classes, "classes")
-    # the row with a class's least doc_id speaks for it; a doc_id that occurs in several rows stands for all of them, each text once
-    often = scratch.save(narrow.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "often")
-    silent = scratch.save(narrow.join(classes, "set_id").filter("doc_id > node").select("doc_id").union(often).distinct(), "silent")
-    live = join_on_key(texts, silent, "doc_id", "left_anti").union(join_on_key(texts, often, "doc_id").dropDuplicates())
-    for k in range(params.rounds):
-        tokens = classes.join(F.broadcast(crowd), "node", "left_semi") if k and crowd_rows <= MAX_BROADCAST_ROWS else classes
-        tokens = int(tokens.agg(F.sum("n")).first()[0] or 0)
-        crowd = scratch.save(crowded(live, tokens, params).select(F.col("doc_id").alias("node")), f"crowd-{k}")
-        crowd_rows = crowd.count()
-        live = join_on_key(live, crowd.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi", crowd_rows)
-    shared = scratch.save(shared_tokens(rare_tokens(live, params)), "shared")
-    groups = scratch.save(group_documents(shared, classes.filter("node IS NOT NULL"), params), "groups")
-    pairs = scratch.save(candidate_pairs(shared, groups, scratch, params), "pairs")
-    active = pairs.select(F.col("g1").alias("gid")).union(pairs.select("g2")).distinct()
-    members = scratch.save(groups.join(active, "gid", "left_semi").select("gid", "node", "copies", "set_id"), "members")
+def tokenised(texts: DataFrame, wanted: DataFrame, params: JaccardParams) -> DataFrame:
+    """wanted: gid, node, copies, set_id, of some sets. Returns gid, members: an array of node, copies, set_id and all tokens, for each group."""
 
     def retoken(batches):
         for batch in few_rows(batches):
@@ -321,14 +302,37 @@ def link_documents(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("gid", "node", "copies", "set_id")), pa.array(tokens, pa.binary())], ["gid", "node", "copies", "set_id", "tokens"])
             yield out.filter(pa.array(same))
 
-    again = join_on_key(texts.withColumnRenamed("doc_id", "node"), members, "node").select("gid", "node", "copies", "set_id", "text")
+    again = join_on_key(texts.withColumnRenamed("doc_id", "node"), wanted, "node").select("gid", "node", "copies", "set_id", "text")
     again = again.mapInArrow(retoken, "gid long, node long, copies long, set_id binary, tokens binary")
-    blocks = scratch.save(again.groupBy("gid").agg(F.collect_list(F.struct("node", "copies", "set_id", "tokens")).alias("members")), "blocks")
-    found = scratch.save(links(blocks, pairs, params), "found")
+    return again.groupBy("gid").agg(F.collect_list(F.struct("node", "copies", "set_id", "tokens")).alias("members"))
+
+
+def link_documents(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (other rows linked directly) of every row."""
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = scratch.save(shingle_sets(texts, params), "sets")
+    narrow = sets.filter("piece IS NULL").select("doc_id", "n_shingles", "set_id")
+    classes = narrow.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
+    classes = scratch.save(classes, "classes")
+    order = add_pieces(sets.filter("piece IS NOT NULL").select("piece", "data"), 1 << params.bits, _PIECES)
+    # the row with a class's least doc_id speaks for it; a doc_id that occurs in several rows stands for all of them
+    speaks = join_on_key(first_tokens(texts, order, params), classes.filter("node IS NOT NULL").select("set_id", "node", "n"), "set_id").filter("doc_id = node")
+    prefixes = scratch.save(speaks.select("node", "n", "prefix"), "prefixes")
+    cells = shared_cells(prefixes, scratch, params)
+    groups = scratch.save(group_documents(cells, params), "groups")
+    matrix = scratch.save(token_group_matrix(cells, groups), "matrix")
+    pairs = scratch.save(candidates(cells, groups, matrix, params), "pairs")
+    asked = groups.join(pairs.select("gid").distinct(), "gid", "left_semi").select("node", "gid").union(pairs.select("node", F.col("own").alias("gid"))).distinct()
+    wanted = scratch.save(asked.join(classes.select("node", "copies", "set_id"), "node"), "wanted")
+    blocks = scratch.save(tokenised(texts, wanted, params), "blocks")
+    united = scratch.save(unions(blocks), "united")
+    qualified = scratch.save(bound(pairs, blocks, united, params), "qualified")
+    found = scratch.save(links(qualified, blocks, params), "found")
     comps = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch, "components")
     counted = found.groupBy("node").agg(F.sum("n").alias("linked"))
     info = classes.join(counted, "node", "left").join(comps, "node", "left")
     info = scratch.save(info.select("set_id", F.coalesce("component", "node").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "info")
-    scratch.drop("often", "silent", "crowd-0", "crowd-1", "shared", "matrix", "groups", "pairs", "members", "blocks", "found", "classes")
+    scratch.drop(*(label for label in list(scratch.paths) if label not in ("sets", "info")))
     out = narrow.join(info, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

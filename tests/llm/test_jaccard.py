@@ -63,7 +63,7 @@ def near_copies(n, seed):
 def test_equals_brute_force(spark, words, num, blocks):
     rows = near_copies(25, words)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    params = JaccardParams(words=words, num=num, block_docs=blocks, chunk_tokens=500, bits=8)
+    params = JaccardParams(words=words, num=num, block_docs=blocks, bits=8)
     assert found(link_documents(df, params)) == brute(rows, words, num)
 
 
