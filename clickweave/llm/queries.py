@@ -110,6 +110,14 @@ links AS (SELECT x, y FROM common JOIN sizes s ON s.doc_id = x JOIN sizes t ON t
 {_REACH}
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(low, d.doc_id) AS component_id, coalesce(g.n, 0) AS n_links
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN lows ON lows.node = d.doc_id LEFT JOIN degrees g ON g.node = d.doc_id""",
+    "op5_warc": """
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+sums AS (SELECT page_id, strlen(body) AS payload_bytes, list_transform(range(0, 8), lambda k: ('0x' || substr(sha1(body), 1 + 5 * k, 5))::BIGINT) AS fives FROM bodies),
+digests AS (SELECT page_id, payload_bytes, array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+  lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> s) & 31), 1)), '')), '') AS payload_digest FROM sums),
+firsts AS (SELECT payload_digest, min(page_id) AS original FROM digests GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to
+FROM digests JOIN firsts USING (payload_digest)""",
     "op7_mixing": """
 WITH n AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
 sums AS (SELECT sum(n) AS rows, sum(pow(n, 0.5)) AS weight FROM n),

@@ -1,12 +1,15 @@
 """WARC archives: write records, read them back, and replace repeated payloads by revisit records.
 
-Only headers (id, digest, size) are shuffled to find the original of every payload: a grouped minimum, combined before the
-shuffle, so copies that hold most records don't meet in one task. Payloads stay in the partitions they were read in and
-are written once. Archives are written by Spark's text writer as gzip files of bounded numbers of records, each record
-followed by two line ends, and are read back by their lengths, so payloads may hold anything.
+Only headers (ids, digest, size) are shuffled by payload digest, at any number of digests: a grouped minimum, combined before the
+shuffle, finds the original of every payload, so copies that hold most records don't meet in one task. Few originals are
+broadcast to where the payloads are read. Of more, the headers are joined with their originals first, and each record
+then gets its verdict by its own id: payloads never meet by digest, so the payload that most records hold isn't a hot key.
+
+Archives are written by Spark's text writer as gzip files of bounded numbers of records, each record followed by two line ends. They
+are read as a stream, by the lengths that the headers state, so payloads may hold anything, and a task holds a record and not a file.
 
 Edge cases: null payloads are empty; null or empty addresses are written as urn:page:<id>; line ends in addresses are
-percent-encoded; rows with the same page_id and payload are all responses; a record without page_id is never an original
+percent-encoded; ties: rows with the same page_id and payload are all responses; a record without page_id is never an original
 and revisits one that has an id; an empty table gives an empty archive, which reads as an empty result; further columns
 are ignored; payloads of any length up to Spark's 2 GB of a value are written whole.
 """
@@ -14,8 +17,8 @@ are ignored; payloads of any length up to Spark's 2 GB of a value are written wh
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -65,11 +68,16 @@ def resolve(records: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
 
     A record whose payload is null is a revisit already; it stays one and refers to the original of its digest, if there is any.
     """
-    own = F.col("payload").isNotNull() & F.col("page_id").isNotNull() & (F.col("payload_bytes") >= params.min_bytes)
+    headers = records.select("page_id", "record_id", "uri", "payload_digest", "payload_bytes", F.col("payload").isNull().alias("_bare"))
+    own = ~F.col("_bare") & F.col("page_id").isNotNull() & (F.col("payload_bytes") >= params.min_bytes)
     first = F.min(F.when(own, F.struct("page_id", "record_id", "uri", "payload_bytes"))).alias("original")
-    repeated = records.groupBy("payload_digest").agg(first, F.count("*").alias("n")).filter("n > 1 AND original IS NOT NULL").drop("n")
-    few = repeated.count() <= MAX_BROADCAST_ROWS // 4
-    joined = records.join(F.broadcast(repeated) if few else repeated, "payload_digest", "left")
+    repeated = headers.groupBy("payload_digest").agg(first, F.count("*").alias("n")).filter("n > 1 AND original IS NOT NULL").drop("n")
+    if repeated.count() <= MAX_BROADCAST_ROWS // 4:
+        joined = records.join(F.broadcast(repeated), "payload_digest", "left")
+    else:
+        keys = ["record_id", "payload_digest"]
+        found = headers.join(repeated, "payload_digest").select(*keys, "original").dropDuplicates(keys)
+        joined = records.join(found, keys, "left")
     revisit = F.col("payload").isNull() | (F.col("original").isNotNull() & (F.col("payload_bytes") >= params.min_bytes) & ~F.col("page_id").eqNullSafe(F.col("original.page_id")))
     joined = joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
     joined = joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "original.payload_bytes"))
@@ -107,48 +115,69 @@ def write_archives(resolved: DataFrame, path: str, params: WarcParams = WarcPara
     text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", params.records_per_file).text(path)
 
 
-def parse_records(data: bytes):
-    """Header fields (names in lower case) and block of each record."""
-    at = 0
-    while (at := data.find(b"WARC/1.0\r\n", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+def parse_records(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and block of each record of bytes that come in parts; line ends before a record are skipped."""
+    source, held = iter(parts), bytearray()
+
+    def more() -> bool:
+        held.extend(part := next(source, b""))
+        return bool(part)
+
+    while True:
+        while not held.strip(b"\r\n"):
+            held.clear()
+            if not more():
+                return
+        del held[: len(held) - len(held.lstrip(b"\r\n"))]
+        while (end := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        head, *lines = bytes(held[: max(end, 0)]).split(b"\r\n")
+        if not head.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record begins with {bytes(held[:40])!r}")
         fields = {}
-        for line in data[at + 10 : end].split(b"\r\n"):
+        for line in lines:
             name, _, value = line.partition(b":")
             fields[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
         length = int(fields["content-length"])
-        yield fields, memoryview(data)[end + 4 : end + 4 + length]
-        at = end + 4 + length + 4
+        while len(held) < end + 4 + length:
+            if not more():
+                raise ValueError(f"record {fields.get('warc-record-id')} ends before its {length} bytes")
+        yield fields, bytes(held[end + 4 : end + 4 + length])
+        del held[: end + 4 + length]
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of WARC files: page_id, uri, record_id, record_type, refers_to, payload_digest, payload_bytes and, if asked for, payload (null in revisits).
+    """Records of gzip WARC files: page_id, uri, record_id, record_type, refers_to, payload_digest, payload_bytes and, if asked for, payload (null in revisits).
 
     Digest and size are computed from the payload that was read; those of revisits, which hold none, are what the header says and null.
+    Spark's text reader cuts a file at double line ends, which are put back: gzip files aren't split, so a file's parts come in order.
     """
 
+    def rows_of(h: dict[str, str], block: bytes) -> dict:
+        revisit, body = h["warc-type"] == "revisit", None
+        if not revisit:
+            body = block[block.index(b"\r\n\r\n") + 4 :] if h.get("content-type", "").startswith("application/http") else block
+        digest = h.get("warc-payload-digest", "").rpartition(":")[2] if revisit else base64.b32encode(hashlib.sha1(body).digest()).decode()
+        row = {"page_id": int(h["page-id"]) if h.get("page-id") else None, "uri": h.get("warc-target-uri"), "record_id": h.get("warc-record-id"), "record_type": h["warc-type"], "refers_to": h.get("warc-refers-to"), "payload_digest": digest, "payload_bytes": None if revisit else len(body)}
+        return row | ({"payload": None if revisit else body.decode("utf-8", "replace")} if payloads else {})
+
     def parse(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = []
-                for h, block in parse_records(data):
-                    revisit, body = h["warc-type"] == "revisit", None
-                    if not revisit:
-                        body = bytes(block)
-                        body = body[body.index(b"\r\n\r\n") + 4 :] if h.get("content-type", "").startswith("application/http") else body
-                    digest = h.get("warc-payload-digest", "").rpartition(":")[2] if revisit else base64.b32encode(hashlib.sha1(body).digest()).decode()
-                    row = {"page_id": int(h["page-id"]) if h.get("page-id") else None, "uri": h.get("warc-target-uri"), "record_id": h.get("warc-record-id"), "record_type": h["warc-type"], "refers_to": h.get("warc-refers-to"), "payload_digest": digest, "payload_bytes": None if revisit else len(body)}
-                    rows.append(row | ({"payload": None if revisit else body.decode("utf-8", "replace")} if payloads else {}))
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        parts = (part.as_py() + b"\r\n\r\n" for batch in batches for part in batch.column("value"))
+        rows, size = [], 0
+        for h, block in parse_records(parts):
+            rows.append(rows_of(h, block))
+            size += len(block) if payloads else 0
+            if len(rows) == 1024 or size >= 1 << 23:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     names = ["uri", "record_id", "record_type", "refers_to", "payload_digest"]
     arrow = pa.schema([("page_id", pa.int64()), *((n, pa.string()) for n in names), ("payload_bytes", pa.int64())] + [("payload", pa.string())] * payloads)
     schema = "page_id long, " + ", ".join(f"{n} string" for n in names) + ", payload_bytes long" + ", payload string" * payloads
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(parse, schema)
+    lines = spark.read.option("pathGlobFilter", "*.gz").text(path, lineSep="\r\n\r\n")
+    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(parse, schema)
 
 
 def deduplicate_archives(spark: SparkSession, source: str, target: str, params: WarcParams = WarcParams()) -> None:

@@ -22,7 +22,7 @@ from clickweave.llm.host_rules import HostParams, host_rates, judge
 from clickweave.llm.mixing import MixParams, replicate, source_rates
 from clickweave.llm.packing import PackParams, configurations, encoder, pack, pack_documents
 from clickweave.llm.queries import ORACLE_SQL, QUERIES
-from clickweave.llm.warc import deduplicate_archives, originals, page_records, parse_records, read_archives, resolve, write_archives
+from clickweave.llm.warc import WarcParams, deduplicate_archives, originals, page_records, parse_records, read_archives, resolve, write_archives
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -61,7 +61,7 @@ def test_warc_files_are_well_formed(spark, tmp_path):
     for f in tmp_path.glob("a/*.gz"):
         data = gzip.decompress(f.read_bytes())
         at = 0
-        for fields, block in parse_records(data):
+        for fields, block in parse_records([data[k : k + 7] for k in range(0, len(data), 7)]):
             assert data[at : at + 10] == b"WARC/1.0\r\n"
             at = data.index(b"\r\n\r\n", at) + 4 + len(block)
             assert data[at : at + 4] == b"\r\n\r\n"
@@ -96,8 +96,28 @@ def test_warc_without_pages_and_with_a_shuffled_join(spark, tmp_path, monkeypatc
     from clickweave.llm import warc
 
     monkeypatch.setattr(warc, "MAX_BROADCAST_ROWS", 0)
-    got = resolve(page_records(pages(spark))).groupBy("record_type").count().collect()
+    resolved = resolve(page_records(pages(spark)))
+    got = resolved.groupBy("record_type").count().collect()
     assert {r.record_type: r["count"] for r in got} == {"response": 4, "revisit": 5}
+    plan = spark._jvm.PythonSQLUtils.explainString(resolved._jdf.queryExecution(), "formatted")
+    by_digest = re.findall(r"Exchange\nInput \[\d+\]: (.*)\nArguments: hashpartitioning\(payload_digest", plan)
+    assert len(by_digest) == 2  # the originals and the headers, and no payload among them
+    assert not any(re.search(r"\bpayload#", columns) for columns in by_digest)
+
+
+def test_records_that_end_early_are_refused():
+    whole = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
+    assert [(h["content-length"], b) for h, b in parse_records([whole, b"\r\n", whole])] == [("5", b"ab\r\nc")] * 2
+    for broken in ([whole[:-7]], [b"x" + whole], [whole[:20]]):
+        with pytest.raises(ValueError, match="record"):
+            list(parse_records(broken))
+
+
+def test_an_archive_of_large_pages_is_read_as_a_stream(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.col("id").cast("string"), F.repeat(F.lit("\r\n\r\nWARC/1.0 "), 7000)).alias("html"))
+    write_archives(resolve(page_records(rows)), str(tmp_path / "a"), WarcParams(records_per_file=10_000))
+    got = read_archives(spark, str(tmp_path / "a"), payloads=False)  # one file of 270 MB
+    assert got.agg(F.count("*"), F.sum("payload_bytes"), F.countDistinct("payload_digest")).first()[:] == (3000, 3000 * 7000 * 13 + 10890, 3000)
 
 
 # --- packing -----------------------------------------------------------------------------------------------------------
