@@ -82,7 +82,7 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 7, total: int
     return df.filter(F.col("_u") < 1.1 * rows / total).orderBy("_u", key).limit(rows)
 
 
-def join_on_key(big: DataFrame, small: DataFrame, key: str, how: str = "inner", small_rows: int | None = None) -> DataFrame:
+def join_on_key(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", small_rows: int | None = None) -> DataFrame:
     """Joins with a narrow table: broadcast if its counted rows fit MAX_BROADCAST_ROWS, else a shuffle join (AQE splits skew)."""
     small_rows = small.count() if small_rows is None else small_rows
     return big.join(F.broadcast(small) if small_rows <= MAX_BROADCAST_ROWS else small, key, how)

@@ -137,25 +137,30 @@ def least_shared(n: Column, lo: Column, hi: Column, params: JaccardParams) -> Co
 
 
 def shared_cells(prefixes: DataFrame, scratch: Scratch, params: JaccardParams) -> DataFrame:
-    """prefixes: node, n, prefix. Returns token, node, n, holders (nodes that have the token) of the sets that share enough first tokens."""
-    cells = prefixes.select("node", "n", F.explode("prefix").alias("token"))
+    """prefixes: node, n, prefix. Returns token, node, holders (nodes that have the token) of the sets that share enough first tokens with others.
+
+    The two holders of a token come out of its grouped minimum and maximum; only tokens of three or more are joined again.
+    """
+    cells, sizes = prefixes.select("node", F.explode("prefix").alias("token")), prefixes.select("node", "n")
     for k in range(params.rounds + 1):
         if k:
-            any_size = F.lit(0), F.lit(1 << 62)
-            nodes = cells.groupBy("node").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-            nodes = scratch.save(nodes.filter(F.col("shared") >= least_shared(F.col("n"), *any_size, params)).select("node"), "enough")
+            shared = cells.groupBy("node").agg(F.count("*").alias("shared")).join(sizes, "node")
+            nodes = scratch.save(shared.filter(F.col("shared") >= least_shared(F.col("n"), F.lit(0), F.lit(1 << 62), params)).select("node"), "enough")
             cells = join_on_key(cells, nodes, "node", "left_semi")
-        tokens = scratch.save(cells.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1"), "tokens")
-        new = scratch.save(join_on_key(cells.select("token", "node", "n"), tokens, "token"), f"cells-{k}")
+        holders = cells.groupBy("token").agg(F.count("*").alias("holders"), F.min("node").alias("first"), F.max("node").alias("last"))
+        holders = scratch.save(holders.filter("first < last"), "holders")
+        two = holders.filter("holders = 2").select("token", F.explode(F.array("first", "last")).alias("node"), "holders")
+        more = join_on_key(cells.select("token", "node"), holders.filter("holders > 2").select("token", "holders"), "token")
+        new = scratch.save(two.unionByName(more), f"cells-{k}")
         scratch.drop(f"cells-{k - 1}")
         cells = new
-    scratch.drop("enough", "tokens")
+    scratch.drop("enough", "holders")
     return cells
 
 
-def group_documents(cells: DataFrame, params: JaccardParams) -> DataFrame:
+def group_documents(cells: DataFrame, sizes: DataFrame, params: JaccardParams) -> DataFrame:
     """node, n, gid: sets by their most common shared token and their size to a factor of the similarity, large groups cut in blocks by hash."""
-    keyed = cells.groupBy("node", "n").agg(F.max(F.struct("holders", "token"))["token"].alias("key"))
+    keyed = cells.groupBy("node").agg(F.max(F.struct("holders", "token"))["token"].alias("key")).join(sizes, "node")
     keyed = keyed.withColumn("band", F.floor(F.log("n") / -float(np.log(min(params.num / params.den, 0.99)))))
     blocks = keyed.groupBy("key", "band").agg(F.greatest(F.ceil(F.count("*") / params.block_docs), F.ceil(F.sum("n") / params.block_tokens)).alias("blocks")).filter("blocks > 1")
     gid = F.xxhash64("key", "band", F.pmod(F.xxhash64(F.lit(3), "node"), F.coalesce("blocks", F.lit(1))))
@@ -165,7 +170,7 @@ def group_documents(cells: DataFrame, params: JaccardParams) -> DataFrame:
 def token_group_matrix(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """token, gid, holders (members that have the token) and, of the whole group, lo and hi (sizes of its sets)."""
     sizes = groups.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    cells = cells.select("token", "node").join(groups.select("node", "gid"), "node")
+    cells = join_on_key(cells.select("token", "node"), groups.select("node", "gid"), "node")
     return cells.groupBy("token", "gid").agg(F.count("*").alias("holders")).join(sizes, "gid")
 
 
@@ -174,7 +179,7 @@ def candidates(cells: DataFrame, groups: DataFrame, matrix: DataFrame, params: J
 
     Each two groups meet in one direction; within its own group a query's tokens count if another member has them.
     """
-    queries = cells.select("token", "node").join(groups.select("node", "n", F.col("gid").alias("own")), "node")
+    queries = join_on_key(cells.select("token", "node"), groups.select("node", "n", F.col("gid").alias("own")), "node")
     need = least_shared(F.col("n"), F.col("lo"), F.col("hi"), params)
     met = queries.join(matrix, "token").filter(((F.col("own") < F.col("gid")) | ((F.col("own") == F.col("gid")) & (F.col("holders") > 1))) & need.isNotNull())
     return met.groupBy("node", "own", "gid", "n", "lo", "hi").agg(F.count("*").alias("shared")).filter(F.col("shared") >= need).select("node", "own", "gid")
@@ -203,7 +208,7 @@ def bound(pairs: DataFrame, blocks: DataFrame, united: DataFrame, params: Jaccar
     A group's queries come by the group they are in, so that no row holds more than a block of them.
     """
     members = blocks.select(F.col("gid").alias("own"), F.explode("members").alias("m"))
-    asked = pairs.join(members.withColumn("node", F.col("m.node")), ["own", "node"]).groupBy("own", "gid").agg(F.collect_list("m").alias("queries"))
+    asked = join_on_key(members.withColumn("node", F.col("m.node")), pairs, ["own", "node"]).groupBy("own", "gid").agg(F.collect_list("m").alias("queries"))
     asked = asked.join(united, "gid").select("gid", (F.col("own") == F.col("gid")).alias("same"), "queries", "least", F.when(F.col("own") == F.col("gid"), F.col("twice")).otherwise(F.col("all")).alias("tokens"))
 
     def qualify(batches):
@@ -320,7 +325,7 @@ def link_documents(docs: DataFrame, params: JaccardParams = JaccardParams()) ->
     speaks = join_on_key(first_tokens(texts, order, params), classes.filter("node IS NOT NULL").select("set_id", "node", "n"), "set_id").filter("doc_id = node")
     prefixes = scratch.save(speaks.select("node", "n", "prefix"), "prefixes")
     cells = shared_cells(prefixes, scratch, params)
-    groups = scratch.save(group_documents(cells, params), "groups")
+    groups = scratch.save(group_documents(cells, prefixes.select("node", "n"), params), "groups")
     matrix = scratch.save(token_group_matrix(cells, groups), "matrix")
     pairs = scratch.save(candidates(cells, groups, matrix, params), "pairs")
     asked = groups.join(pairs.select("gid").distinct(), "gid", "left_semi").select("node", "gid").union(pairs.select("node", F.col("own").alias("gid"))).distinct()

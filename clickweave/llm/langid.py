@@ -4,8 +4,13 @@ Inverse document frequencies of hashed character n-grams cover all documents tha
 fitted on a bounded sample of them, which has a floor of rows for every language, and one positive temperature is chosen on a part
 of each language's rows that didn't train, by least log-loss. Whole texts are scored; nothing but bounded vectors is shuffled.
 
-Edge cases: null text and text without a letter give `und` with score 0, as does a model that has seen no language; rows
-with null lang don't train; repeated rows are scored each; empty tables work; further columns don't matter.
+A softmax always names some language it knows. What tells texts in none of them is how much of a text the model knows at all:
+`familiar`, the share of its squared TF-IDF length in n-grams that have a weight. The model's limit comes from the calibrating rows, which
+are text of the learned languages: half of the share that all but one in a hundred of them exceed, whatever the number of languages.
+
+Edge cases: null text and text without a letter give `und` with score 0, as does a model that has seen no language; ties: of languages of
+equal probability the first by name; texts of any length are scored whole; rows with null lang don't train; repeated rows are scored each; empty
+tables work; further columns don't matter; of more than max_langs languages the most frequent are learned, ties by name.
 """
 
 from __future__ import annotations
@@ -24,12 +29,15 @@ from .textnum import char_ngrams, few_rows
 
 @dataclass(frozen=True)
 class LangParams:
-    """sizes: characters of the n-grams; sample_rows: the most documents that train and calibrate; calibrate: the share of them that calibrates."""
+    """sizes: characters of the n-grams; sample_rows: the most documents that train and calibrate; calibrate: the share of them that calibrates;
+    familiar: the limit of familiarity as a share of the calibrating rows' first percentile; max_langs bounds the model's classes."""
 
     sizes: tuple[int, ...] = (1, 2, 3)
     bits: int = 16
     sample_rows: int = 12_000
     calibrate: float = 0.2
+    familiar: float = 0.5
+    max_langs: int = 256
     ftrl: Ftrl = Ftrl(alpha=0.3, l1=0.05, l2=1e-5, epochs=2)
 
 
@@ -39,6 +47,7 @@ class LangModel:
     idf: np.ndarray
     weights: np.ndarray
     temperature: float
+    familiar: float = 0.0
 
 
 def has_letter(text: str | None) -> bool:
@@ -75,7 +84,8 @@ def train_langid(docs: DataFrame, params: LangParams = LangParams()) -> LangMode
     sums = sum_vectors(known.select("text"), count, size + 1)
     total = int(sums[-1])
     idf = np.log((1 + total) / (1 + sums[:-1])).astype(np.float32) + 1
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_langs)
+    counts = {r["lang"]: r["count"] for r in most.collect()}
     langs = sorted(quotas(counts, params.sample_rows))
     if not langs:
         return LangModel([], idf, np.zeros((size + 1, 0), np.float32), 1.0)
@@ -87,13 +97,17 @@ def train_langid(docs: DataFrame, params: LangParams = LangParams()) -> LangMode
     sent = docs.sparkSession.sparkContext.broadcast(w)
 
     def logits(batches):
+        used = (sent.value[:-1] != 0).any(1)
         for batch in few_rows(batches):
             rows = [tfidf(t, held.value, params) for t in batch.column("text").to_pylist()]
             out = np.array([v @ sent.value[i] + sent.value[-1] for i, v in rows], np.float64).reshape(-1, len(langs))
-            yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int64()), pa.array(list(out), pa.list_(pa.float64()))], ["y", "z"])
+            share = np.array([(v[used[i]] ** 2).sum() for i, v in rows], np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int64()), pa.array(list(out), pa.list_(pa.float64())), pa.array(share)], ["y", "z", "familiar"])
 
-    got = sample.filter("calibrates").select("text", "y").mapInArrow(logits, "y long, z array<double>").collect()
-    return LangModel(langs, idf, w, temperature([r.y for r in got], np.array([r.z for r in got])) if got else 1.0)
+    got = sample.filter("calibrates").select("text", "y").mapInArrow(logits, "y long, z array<double>, familiar double").collect()
+    if not got:
+        return LangModel(langs, idf, w, 1.0)
+    return LangModel(langs, idf, w, temperature([r.y for r in got], np.array([r.z for r in got])), params.familiar * float(np.quantile([r.familiar for r in got], 0.01)))
 
 
 def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
@@ -135,15 +149,16 @@ def temperature(y: list[int], z: np.ndarray) -> float:
     return float(min((2 ** (k / 8) for k in range(-32, 33)), key=loss))
 
 
-def predict_langid(docs: DataFrame, model: LangModel, params: LangParams = LangParams(), keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The predicted language and its calibrated probability for every row, after the columns named in keep (doc_id, if none is)."""
+def predict_langid(docs: DataFrame, model: LangModel, params: LangParams = LangParams(), keep: tuple[str, ...] = (), names: tuple[str, str, str] = ("lang_pred", "score", "is_familiar")) -> DataFrame:
+    """The predicted language, its calibrated probability and whether the text is familiar enough, for every row, after the columns named in keep (doc_id, if none is)."""
     keep = keep or ("doc_id",)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
         m = held.value
+        used = (m.weights[:-1] != 0).any(1)
         for batch in few_rows(batches):
-            langs, scores = [], np.zeros(batch.num_rows)
+            langs, scores, familiar = [], np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             for k, text in enumerate(batch.column("text")):
                 text = text.as_py()
                 if not m.langs or not has_letter(text):
@@ -155,7 +170,8 @@ def predict_langid(docs: DataFrame, model: LangModel, params: LangParams = LangP
                 best = int(e.argmax())
                 langs.append(m.langs[best])
                 scores[k] = e[best] / e.sum()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], [*keep, *names])
+                familiar[k] = (val[used[idx]] ** 2).sum() >= m.familiar
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores), pa.array(familiar)], [*keep, *names])
 
     rows = docs.select(*(F.col(c) for c in keep if c != "text"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(predict, rows.select(*keep).schema.add(names[0], "string").add(names[1], "double"))
+    return rows.mapInArrow(predict, rows.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean"))

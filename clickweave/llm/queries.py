@@ -12,7 +12,7 @@ from .embed_dedup import link_embeddings
 from .host_rules import judge
 from .jaccard import JaccardParams, link_documents
 from .langid import predict_langid, train_langid
-from .mixing import replicate
+from .mixing import MixParams, replicate
 from .packing import pack_documents
 from .quality import score_quality, train_quality
 from .secrets import labelled_samples, scan, train_markov
@@ -57,10 +57,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def source_weights(docs: DataFrame) -> DataFrame:
+    """Explicit, unequal target weights: 1 to 4 by the hash of a source's name."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    weight = F.conv(F.substring(F.md5(source.cast("binary")), 1, 4), 16, 10).cast("long") % 4 + 1
+    return docs.select(source.alias("source"), weight.cast("double").alias("weight")).distinct()
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, with all sources drawn towards the square roots of their sizes, at the input's total."""
+    """Every document, with all sources drawn towards explicit weights, at twice the input's total."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return replicate(docs)
+    return replicate(docs, MixParams(epochs=2.0), source_weights(docs))
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +127,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN
 FROM digests JOIN firsts USING (payload_digest)""",
     "op7_mixing": """
 WITH n AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
-sums AS (SELECT sum(n) AS rows, sum(pow(n, 0.5)) AS weight FROM n),
-rates AS (SELECT s, rows * 1.0::DOUBLE * pow(n, 0.5) / weight / n AS rate FROM n, sums),
+w AS (SELECT *, (('0x' || substr(md5(s), 1, 4))::BIGINT % 4 + 1)::DOUBLE AS weight FROM n),
+sums AS (SELECT sum(n) AS rows, sum(weight) AS total FROM w),
+rates AS (SELECT s, rows * 2.0::DOUBLE * weight / total / n AS rate FROM w, sums),
 terms AS (SELECT s, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM (SELECT s, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 20)::BIGINT + 1)) AS k FROM rates)),
 cdfs AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS c FROM terms),
 units AS (SELECT *, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),

@@ -6,10 +6,11 @@ import cases
 import numpy as np
 import pytest
 from compare import DATA
+from pyspark.sql import functions as F
 
-from clickweave.llm.common import Scratch
+from clickweave.llm.common import Scratch, add_pieces
 from clickweave.llm.components import components
-from clickweave.llm.jaccard import JaccardParams, link_documents
+from clickweave.llm.jaccard import JaccardParams, bound, candidates, first_tokens, group_documents, least_shared, link_documents, links, shared_cells, shingle_sets, token_group_matrix, tokenised, unions
 from clickweave.llm.textnum import WHITE, shingles, word_hashes
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -67,6 +68,58 @@ def test_equals_brute_force(spark, words, num, blocks):
     assert found(link_documents(df, params)) == brute(rows, words, num)
 
 
+def test_only_qualifying_groups_are_opened(spark):
+    """Documents around one shared passage are set aside or turned away by the tables; every link still comes out."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    rows = [(k, " ".join([*(word() for _ in range(rng.randrange(100, 140))), *passage])) for k in range(60)]
+    for k in range(0, 60, 10):  # near copies of six of them, and a family
+        words = rows[k][1].split()
+        rows += [(1000 + 20 * k + j, " ".join([*words[: 3 * j], "new", *words[3 * j + 1 :]])) for j in range(20 if k == 0 else 1)]
+    params, scratch = JaccardParams(words=3, num=90, block_docs=4), Scratch(spark)
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(link_documents(texts, params)) == brute(rows, 3, 90)
+    sets = shingle_sets(texts, params)
+    order = add_pieces(sets.filter("piece IS NOT NULL").select("piece", "data"), 1 << params.bits)
+    narrow = sets.filter("set_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.lit(1).cast("long").alias("copies"), "set_id", F.col("n_shingles").alias("n"))
+    prefixes = first_tokens(texts, order, params).join(narrow, "set_id").select("node", "n", "prefix")
+    assert sum(len(r.prefix) for r in prefixes.collect()) < 0.15 * sum(r.n for r in narrow.collect())
+    cells = shared_cells(prefixes, scratch, params)
+    groups = scratch.save(group_documents(cells, prefixes.select("node", "n"), params), "groups")
+    assert groups.groupBy("gid").count().agg(F.max("count")).first()[0] <= 12  # blocks by hash, of about 4
+    matrix = token_group_matrix(cells, groups)
+    pairs = scratch.save(candidates(cells, groups, matrix, params), "pairs")
+    every = groups.count() * groups.select("gid").distinct().count()
+    asked = groups.join(narrow.drop("n"), "node").select("gid", "node", "copies", "set_id")
+    blocks = scratch.save(tokenised(texts, asked, params), "blocks")
+    opened = bound(pairs, blocks, unions(blocks), params)
+    n_opened = opened.select(F.explode("queries")).count()
+    assert n_opened <= pairs.count() < every / 2
+    linked = {tuple(sorted((a, b))) for a, b in [(r.node, r.other) for r in links(opened, blocks, params).collect()] if a != b}
+    assert {i for pair in linked for i in pair} == {i for i, (_, _, n) in brute(rows, 3, 90).items() if n}
+
+
+def test_least_shared_is_a_bound(spark):
+    """For random pairs of linked sets, their first tokens have at least so many in common, whatever range the sizes are known by."""
+    rng, params = random.Random(11), JaccardParams(words=1, num=80)
+    rows = []
+    while len(rows) < 400:
+        n = rng.randrange(1, 300)
+        a = set(rng.sample(range(10**6), n))
+        b = set(a)
+        for x in rng.sample(sorted(a), rng.randrange(0, n // 5 + 1)):
+            b.discard(x)
+        b |= set(rng.sample(range(10**6, 2 * 10**6), rng.randrange(0, n // 5 + 1)))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            mix = {x: rng.random() for x in a | b}
+            first = lambda s: set(sorted(s, key=mix.get)[: len(s) - -(-80 * len(s) // 100) + min(1 + len(s) // 32, -(-80 * len(s) // 100))])
+            rows.append((len(a), max(0, len(b) - rng.randrange(30)), len(b) + rng.randrange(30), len(first(a) & first(b))))
+    df = spark.createDataFrame(rows, "n long, lo long, hi long, common long")
+    assert df.filter(~(F.col("common") >= least_shared(F.col("n"), F.col("lo"), F.col("hi"), params))).count() == 0
+    assert df.filter(least_shared(F.col("n"), F.col("lo"), F.col("hi"), params) > 2).count() > 50
+
+
 def test_small_table_equals_brute_force(spark):
     df = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     assert found(link_documents(df)) == brute([(r.doc_id, r.text) for r in df.collect()], 5, 80)
