@@ -19,6 +19,7 @@ from clickweave.llm import common
 from clickweave.llm.common import Scratch, scratch_path
 from clickweave.llm.embed_dedup import EmbeddingParams, link_embeddings, quantise, tile_links, tile_product
 from clickweave.llm.host_rules import HostParams, host_rates, judge
+from clickweave.llm.langid import LangParams, predict_langid, tfidf, train_langid
 from clickweave.llm.mixing import MixParams, replicate, source_rates
 from clickweave.llm.packing import PackParams, configurations, encoder, pack, pack_documents
 from clickweave.llm.queries import ORACLE_SQL, QUERIES
@@ -388,6 +389,8 @@ def test_pipeline_equals_brute_force(spark):
             assert all(len(r.text) == r.n_chars for r in outs[name].collect())
         docs = outs[name]
     assert outs["language"].count() >= 0.99 * common.table(spark, sf, "documents").count()
+    shares = Counter(r.source for r in outs["mixture"].collect())
+    assert shares["src1"] > 1.5 * shares["src0"]
     pieces = outs["packing"].groupBy("doc_id").agg(F.countDistinct("piece").alias("n"), F.count("*").alias("rows")).collect()
     copies = Counter(r.doc_id for r in outs["mixture"].collect())
     assert all(r.rows == r.n * copies[r.doc_id] for r in pieces)
@@ -395,6 +398,34 @@ def test_pipeline_equals_brute_force(spark):
     assert corpus_pipeline.run(spark, sf).count() == outs["packing"].count()
 
 
+OTHER_TEXTS = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "xq zzkw 93!! vvbn @@ qqq ##kkk wxyz jjjj qzx vkq zxcv qwrt pgh",
+    "for (int i=0;i<n;++i){ a[i]=b[i]*c[i]; } return 0;",
+    "12345 67890 !!!",
+    "",
+    None,
+]
+
+
+def test_language_stage_drops_unlearned_text_only(spark):
+    docs = common.table(spark, f"{DATA}/sf0.01", "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    other = spark.createDataFrame([(-1 - k, t, None, "x", 0) for k, t in enumerate(OTHER_TEXTS)], cases.DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(other), "").select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert not {i for i in kept if i < 0}
+    assert len(clean - kept) <= 0.002 * len(clean)
+    model = train_langid(docs)
+    assert model.familiar > 0.2
+    got = {r.doc_id: r for r in predict_langid(docs.unionByName(other), model).collect()}
+    for r in [*docs.limit(200).collect(), *other.collect()]:  # once more, text by text
+        if r.text and any(c.isalpha() for c in r.text):
+            idx, val = tfidf(r.text, model.idf, LangParams())
+            assert got[r.doc_id].is_familiar == (sum(float(v) ** 2 for i, v in zip(idx, val, strict=True) if model.weights[i].any()) >= model.familiar)
+
+
 def test_near_duplicates_compares_rows_and_not_ids(spark):
     text = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
     rows = [(1, text("a")), (5, text("b")), (5, text("c")), (5, text("a") + " more"), (7, text("c") + " more"), (7, text("d")), (None, text("e")), (None, text("e")), (None, text("e") + " more"), (None, text("b") + " more"), (None, text("f")), (8, " "), (8, " "), (9, " ")]
