@@ -1,13 +1,14 @@
 """A corpus pipeline in five stages over the table documents, each written as Parquet and read again by the next.
 
-1. language: documents whose text has no letter, or whose language is not recognised with a calibrated probability of
-   MIN_LANGUAGE_SCORE, go;
+1. language: documents whose text has no letter, or is in no learned language (less familiar to the model than the limit that it draws from
+   text of these languages), go;
 2. near_duplicates: of each class of documents linked by five-word shingles at a similarity of 0.8, that with the smallest doc_id stays;
 3. secrets: every span that the scan finds is replaced;
-4. mixture: each source's documents are repeated towards the target weights, and the result is shuffled globally;
+4. mixture: each source's documents are repeated towards TARGETS, weights by source that are scaled by the square root of its size, at
+   the input's total, and the result is shuffled globally; a mean repetition of r leaves out the share exp(-r), which is this operator's nature;
 5. packing: documents become token pieces of sequences.
 
-Edge cases: null and empty texts are rejected by the first stage; ties and repeated rows: the second stage compares
+Edge cases: null and empty texts are rejected by the first stage; texts of any length are worked on whole; ties and repeated rows: the second stage compares
 rows, whatever their ids: rows that share a doc_id or have none go only if their text is in the class of a row that stays (ids before
 null, then the least text); an empty table gives an empty result; columns beside those of documents are kept by the first four stages.
 """
@@ -26,13 +27,15 @@ from clickweave.llm.mixing import MixParams, replicate
 from clickweave.llm.packing import PackParams, pack_documents
 from clickweave.llm.secrets import labelled_samples, redact, train_markov
 
-MIN_LANGUAGE_SCORE = 0.3
+#: Target weights by source before they are scaled by its size; sources that aren't named have DEFAULT_TARGET.
+TARGETS: dict[str, float] = {"src0": 0.5, "src1": 2.0, "src2": 1.5}
+DEFAULT_TARGET = 1.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = fresh("_lang", docs.columns), fresh("_score", docs.columns)
+    names = fresh("_lang", docs.columns), fresh("_score", docs.columns), fresh("_familiar", docs.columns)
     judged = predict_langid(docs, train_langid(docs), keep=tuple(docs.columns), names=names)
-    return judged.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return judged.filter((F.col(names[0]) != "und") & F.col(names[2])).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +60,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = fresh("_copy", docs.columns), fresh("_order", docs.columns)
-    return replicate(docs, MixParams(), names=names).select(*docs.columns)
+    names, source = (fresh("_copy", docs.columns), fresh("_order", docs.columns)), F.coalesce(F.col("source").cast("string"), F.lit(""))
+    target = F.lit(DEFAULT_TARGET)
+    for name, weight in TARGETS.items():
+        target = F.when(F.col("source") == name, weight).otherwise(target)
+    weights = docs.groupBy(source.alias("source")).agg(F.sqrt(F.count("*")).alias("weight")).withColumn("weight", F.col("weight") * target)
+    return replicate(docs, MixParams(), weights, names=names).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
