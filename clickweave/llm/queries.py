@@ -76,7 +76,7 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's host is its source."""
-    return judge(table(spark, sf_dir, "documents"), F.col("source")).drop("host_rate")
+    return judge(table(spark, sf_dir, "documents"), F.col("source")).drop("host_rate", "host_verdict")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +158,6 @@ hosts AS (SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f
 moments AS (SELECT sum(n) AS n, sum(f) / sum(n) AS m, count(*) AS k, sum(f * f / n) AS ff FROM hosts),
 spread AS (SELECT m, (ff - n * m * m - m * (1 - m) * (k - 1)) / n AS v FROM moments),
 prior AS (SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS strength FROM spread)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (f + m * strength) / (n + strength) <= 0.5 AS kept
-FROM base JOIN hosts USING (host), prior""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AND NOT (rate > m * (1 + 1e-9) AND 100 * n_symbols > 10 * n_words) AS kept
+FROM base JOIN (SELECT host, m, (f + m * strength) / (n + strength) AS rate FROM hosts, prior) USING (host)""",
 }

@@ -330,6 +330,24 @@ def test_hosts_are_shrunk(spark):
     assert host_rates(stats).first().rate == 1.0
 
 
+def test_watched_hosts_are_judged_by_symbols(spark):
+    good, bad, symbols = " ".join(map(str, range(20))), "x", " ".join(map(str, range(20))) + " # $ %"
+    rows = [(k, [good, bad, symbols][k % 3 if k % 9 < 3 else 0], "watched") for k in range(90)] + [(100 + k, [good, good, symbols][k % 3], "trusted") for k in range(90)]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.col("source")).collect()}
+    assert {r.host_verdict for i, r in got.items() if i < 100} == {"watched"}
+    assert {r.host_verdict for i, r in got.items() if i >= 100} == {"trusted"}
+    assert {i for i, r in got.items() if not r.kept} == {i for i, t, s in rows if t == bad or (t == symbols and s == "watched")}
+    same_rate = spark.createDataFrame([(k, [good, bad, symbols][k % 3], f"h{k % 2}") for k in range(60)], "doc_id long, text string, source string")
+    assert {r.host_verdict for r in judge(same_rate, F.col("source")).collect()} == {"trusted"}  # ties with the mean
+
+
+def test_host_verdicts_decide_in_the_query(spark):
+    got = QUERIES["op9_host_rules"](spark, f"{DATA}/sf0.01").groupBy("base_failed", "kept").count().collect()
+    n = {(r.base_failed, r.kept): r["count"] for r in got}
+    assert n[False, False] >= 10
+    assert n[False, True] > 10 * n[False, False]
+
+
 def test_salted_verdicts_are_the_same(spark, monkeypatch):
     from clickweave.llm import host_rules
 
