@@ -1,15 +1,15 @@
 """Secret scans in DataFrame functions only: fixed patterns, and a likelihood ratio of two character Markov models.
 
 A pattern's matches and the pieces between them come from the same regular expression; the running sum of their lengths
-gives every span. Tokens outside the spans that are long and hold letters and digits are compared under two first-order
-Markov models over characters, one of random strings and one of ordinary identifiers, both estimated from labelled samples;
-a token whose mean log-likelihood ratio per transition exceeds a limit is a span of kind `markov`.
+gives every span. Long runs of key characters outside the spans, and then the parts of other runs between / = _ -, are compared under two
+first-order Markov models over characters, one of random strings and one of ordinary identifiers, both estimated from labelled
+samples; a run or part with letters whose mean log-likelihood ratio per transition exceeds a limit, a stricter one if it has no digit, is a span of kind `markov`.
 
-The models are tables of (alphabet + 1) squared numbers, whatever the input; scanning needs no shuffle. Work grows with
+A text without a run of 16 key characters, as most are, meets two patterns only. The models are tables of (alphabet + 1) squared numbers, whatever the input; scanning needs no shuffle. Work grows with
 the text, and with k * sqrt(k) in the number k of a text's matches.
 
 Edge cases: null text counts as empty and has no span (and stays null when redacted); texts of any length are scanned whole;
-repeated rows are scanned each; without samples no token is added; an empty table gives an empty result; further columns don't matter.
+ties: spans that start together stand in the order of the kinds; repeated rows are scanned each; without samples no token is added; an empty table gives an empty result; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -32,16 +32,18 @@ KINDS = {
 #: The same matches, found without those that fail for their length; a run that fails can hold none that passes.
 FOUND = KINDS | {"access": (r"AKIA[A-Z0-9]{16,}+", 0, 20), "hex": (r"(?<![0-9a-f])[0-9a-f]{24,}+", 0, 24)}
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+PART = r"(?<![A-Za-z0-9+])[A-Za-z0-9+]{16,}+"
 IDENTIFIER = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
 @dataclass(frozen=True)
 class SecretParams:
-    """ratio: least mean log-likelihood ratio of a span; smoothing: added to every transition; sample_docs: the most documents that
+    """ratio: least mean log-likelihood ratio of a span; letters_ratio: of a span without a digit; smoothing: added to every transition; sample_docs: the most documents that
     labelled samples are taken from; random_strings: generated samples of random strings of each kind."""
 
     ratio: float = 0.7
+    letters_ratio: float = 1.3
     smoothing: float = 0.5
     sample_docs: int = 5_000
     random_strings: int = 2_000
@@ -67,12 +69,18 @@ def prefix_sums(lengths: Column) -> Column:
     return _let(lengths, lambda v: _let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda block: by_blocks(v, block)))
 
 
-def _matches(text: Column, kind: tuple[str, int, int]) -> Column:
-    """Of a text with a match: the matches, whether each passes, the pieces between them, and what precedes each piece and match."""
+def has_run(text: Column) -> Column:
+    """Whether a text can have a match of any kind but assign."""
+    return F.coalesce(text, F.lit("")).rlike(CANDIDATE)
+
+
+def _matches(text: Column, kind: tuple[str, int, int], gate: Column | None = None) -> Column:
+    """Of a text with a match: the matches, what a length limit counts of each, and the pieces between them; null without a match or where the gate is false."""
     pattern, group, _ = kind
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.when(F.coalesce(text, F.lit("")).rlike(pattern), F.struct(whole.alias("found"), counted.alias("counted"), F.split(text, pattern, -1).alias("pieces")))
+    some = F.coalesce(text, F.lit("")).rlike(pattern)
+    return F.when(some if gate is None else gate & some, F.struct(whole.alias("found"), counted.alias("counted"), F.split(text, pattern, -1).alias("pieces")))
 
 
 def _spans(m: Column, rank: int, passes) -> Column:
@@ -90,6 +98,12 @@ def _replaced(text: Column, m: Column, passes, by) -> Column:
     return F.when(m.isNotNull(), F.array_join(parts, "")).otherwise(text)
 
 
+def _replace(text: Column, kind: tuple[str, int, int], passes, by, gate: Column | None = None, found=None) -> Column:
+    """The text with by(match) for every match that passes; the text and its matches are computed once, so that steps can be chained."""
+    found = found or (lambda t: _matches(t, kind, gate))
+    return _let(text, lambda t: _let(found(t), lambda m: _replaced(t, m, passes, by)))
+
+
 def _long(limit: int):
     return lambda x: F.length(x) >= limit
 
@@ -144,22 +158,29 @@ def mean_ratio(token: Column, model: list[float]) -> Column:
 
 
 def _random(model: list[float], params: SecretParams):
-    return lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]") & (mean_ratio(x, model) > params.ratio)
+    return lambda x: x.rlike("[A-Za-z]") & (mean_ratio(x, model) > F.when(x.rlike("[0-9]"), params.ratio).otherwise(params.letters_ratio))
 
 
 def scan(docs: DataFrame, model: list[float], params: SecretParams = SecretParams()) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256 and spans (kind:start:end, comma-joined) of every row."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined) and n_markov of every row."""
     df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    df = df.select("doc_id", "text", *(_matches(F.col("text"), k).alias(f"m_{name}") for name, k in FOUND.items()))
-    # what the patterns found is blanked, one kind after the other, before tokens are looked for
-    df = df.select(
-        "doc_id", "text", *(_spans(F.col(f"m_{name}"), r, _long(k[2])).alias(f"s_{name}") for r, (name, k) in enumerate(FOUND.items())),
-        _replaced(F.col("text"), F.col("m_assign"), _long(6), _blank).alias("rest"),
-    )
-    for name in ("access", "hex"):
-        pattern = FOUND[name][0]
-        df = df.withColumn("m", _matches(F.col("rest"), FOUND[name])).withColumn("rest", F.when(F.col("rest").rlike(pattern), _replaced(F.col("rest"), F.col("m"), _long(FOUND[name][2]), _blank)).otherwise(F.col("rest"))).drop("m")
-    df = df.withColumn("m", _matches(F.col("rest"), (CANDIDATE, 0, 16))).withColumn("s_markov", _spans(F.col("m"), len(FOUND), _random(model, params)))
+    df = df.withColumn("run", has_run(F.col("text")))
+    df = df.withColumns({f"m_{name}": _matches(F.col("text"), k, None if name == "assign" else F.col("run")) for name, k in FOUND.items()})
+    df = df.withColumns({f"s_{name}": _spans(F.col(f"m_{name}"), r, _long(k[2])) for r, (name, k) in enumerate(FOUND.items())})
+    # what the patterns found is blanked, one kind after the other, before runs are looked for; where nothing was blanked, matches stay as they are
+    rest, same = F.col("text"), F.lit(True)
+    for name, kind in FOUND.items():
+        rest = _replace(rest, kind, _long(kind[2]), _blank, F.col("run"), lambda t, k=kind, n=name, s=same: F.when(s, F.col(f"m_{n}")).otherwise(_matches(t, k, F.col("run"))))
+        same = same & F.col(f"m_{name}").isNull()
+    random, rank = _random(model, params), len(FOUND)
+
+    def parts(t, m):
+        return _let(_replaced(t, m, random, _blank), lambda u: _let(_matches(u, (PART, 0, 16), m.isNotNull()), lambda p: _spans(p, rank, random)))
+
+    def runs(t):
+        return _let(_matches(t, (CANDIDATE, 0, 16), F.col("run")), lambda m: F.struct(_spans(m, rank, random).alias("run"), parts(t, m).alias("part")))
+
+    df = df.withColumn("m", _let(rest, runs)).withColumn("s_run", F.col("m.run")).withColumn("s_part", F.col("m.part"))
     names = F.array(*map(F.lit, [*FOUND, "markov"]))
 
     def joined(*kinds):
@@ -168,16 +189,20 @@ def scan(docs: DataFrame, model: list[float], params: SecretParams = SecretParam
 
     return df.select(
         "doc_id",
-        *(F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in [*FOUND, "markov"]),
+        *(F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in FOUND),
         F.sha2(joined(*FOUND).cast("binary"), 256).alias("base_sha256"),
-        joined(*FOUND, "markov").alias("spans"),
+        joined(*FOUND, "run", "part").alias("spans"),
+        (F.size("s_run") + F.size("s_part")).cast("long").alias("n_markov"),
     )
 
 
 def redact(docs: DataFrame, model: list[float], params: SecretParams = SecretParams(), by: str = "[SECRET]") -> DataFrame:
     """docs with `by` in the place of every span, kind after kind, and n_chars (if docs has it) counted again."""
-    text, found = docs.withColumn("text", F.col("text").cast("string")), fresh("_found", docs.columns)
-    for pattern, group, limit in [*FOUND.values(), (CANDIDATE, 0, None)]:
+    run = fresh("_run", docs.columns)
+    df = docs.withColumn("text", F.col("text").cast("string")).withColumn(run, has_run(F.col("text")))
+    text = F.col("text")
+    for name, (pattern, group, limit) in [*FOUND.items(), ("run", (CANDIDATE, 0, None)), ("part", (PART, 0, None))]:
         passes = _random(model, params) if limit is None else _long(limit)
-        text = text.withColumn(found, _matches(F.col("text"), (pattern, group, 0))).withColumn("text", _replaced(F.col("text"), F.col(found), passes, lambda _: F.lit(by))).drop(found)
-    return text.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else text
+        text = _replace(text, (pattern, group, 0), passes, lambda _: F.lit(by), None if name == "assign" else F.col(run))
+    df = df.withColumn("text", text).drop(run)
+    return df.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else df

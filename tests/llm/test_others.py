@@ -4,12 +4,14 @@ import base64
 import gzip
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import cases
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from compare import DATA, same
 from pyspark.sql import functions as F
@@ -132,6 +134,11 @@ def test_encoder_equals_tokenizers():
     for text in ["", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "   ok\r\n\t ", "a" * 3000, "\x00�\U0001f600" * 50, "don't  stop", cases.EDGE_TEXTS[8][1], cases.EDGE_TEXTS[12][1]]:
         assert theirs.encode(text, add_special_tokens=False).ids == ours(text)
         assert encoder(public_tokenizers.path("byte_bpe_50k.json"))(text) == ours(text)
+    rng = random.Random(8)
+    parts = ["a", "Ab", " ", "  ", "\n", "\t\r\n", "'s", "'LL", "é", "ß", "\u0301", "\u00a0", "\u3000", "漢字", "\U0001f600", "123", "٣", "<|endoftext|>", "<|end", "!!", "#", "_", "\x00", "\u200d", "don't", "x" * 40]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        assert theirs.encode(text, add_special_tokens=False).ids == ours(text)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -148,7 +155,18 @@ def test_packing_is_valid_and_tight(seed):
             assert o == at
             at += n
         assert at <= 2048
-    assert len(ends) <= math.ceil(lengths.sum() / 2048) * 1.02 + 2
+    assert len(ends) <= math.ceil(lengths.sum() / 2048) + 2
+
+
+@pytest.mark.parametrize("part", [1.0, 0.6, 0.3])
+def test_packing_takes_about_the_fewest_sequences(part):
+    """Lengths of the table: at most one sequence above the number that no packing can go below."""
+    encode, rng = encoder(None), np.random.default_rng(7)
+    docs = pq.read_table(f"{DATA}/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    lengths = [n for text in docs for all_ in [len(encode(text or "")) + 1] for n in [all_ % 2048 or 2048] + [2048] * ((all_ - 1) // 2048)]
+    lengths = np.array(lengths)[rng.random(len(lengths)) < part]
+    sequence, _ = pack(lengths, PackParams())
+    assert len(set(sequence.tolist())) <= math.ceil(lengths.sum() / 2048) + 1
 
 
 def test_packing_of_few_pieces():

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 
 import cases
 from compare import DATA
@@ -20,6 +21,9 @@ TRICKY = [
 ]
 
 
+BASE = [re.compile(pattern, re.ASCII) for pattern, _, _ in KINDS.values() if pattern != "[0-9a-f]+"] + [re.compile("[0-9a-f]{24,}")]
+
+
 def brute(text):
     spans, counts = [], []
     for rank, (pattern, group, least) in enumerate(KINDS.values()):
@@ -54,6 +58,36 @@ def test_markov_spans(spark):
     assert r.n_markov == 2
 
 
+ORDINARY = """HttpServletRequestWrapper2 ConcurrentModificationException AbstractSingletonProxyFactoryBean internationalization getElementsByClassName2
+snake_case_identifier_name_1 Donaudampfschifffahrtsgesellschaft anticonstitutionnellement otorrinolaringologia THE_QUICK_BROWN_FOX /usr/local/share/applications
+some/path/to/a/module requestAnimationFrame MAX_CONNECTION_TIMEOUT_SECONDS 4539578763621486 2024-01-15T00-00-00""".split()
+
+
+def test_markov_precision_and_recall(spark):
+    """On strings that no sample holds: random ones of several alphabets, alone and behind a path, and ordinary runs of the tables and of code."""
+    rng, docs = random.Random(5), spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    made = lambda alphabet, n: ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(300)]
+    letters = string.ascii_letters
+    keys = {"base64": made(letters + string.digits + "+", 40), "letters": made(letters, 24), "alnum": made(letters + string.digits, 20)}
+    keys["path"] = ["some/ordinary/path/" + k for k in keys["alnum"]]
+    held_out = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").filter("doc_id >= 1000")
+    runs = {w for r in held_out.select("text").collect() for w in re.findall(r"[A-Za-z0-9+/_=-]{16,}", r.text or "") if not any(p.search(w) for p in BASE) and not re.fullmatch(r"[0-9]+", w)}
+    keys["ordinary"] = sorted(w for w in runs if not re.search("[0-9]", w)) + ORDINARY
+    df = spark.createDataFrame([(kind, k) for kind, values in keys.items() for k in values], "doc_id string, text string")
+    found = scan(df, train_markov(labelled_samples(docs))).groupBy("doc_id").agg(F.avg((F.col("n_markov") > 0).cast("int")).alias("share")).collect()
+    share = {r.doc_id: r.share for r in found}
+    assert share["base64"] > 0.99
+    assert share["alnum"] > 0.99
+    assert share["letters"] > 0.97
+    assert share["path"] > 0.97
+    assert share["ordinary"] < 0.005
+
+
+def test_columns_stand_in_the_order_of_the_contract(spark):
+    df = spark.createDataFrame([(0, TRICKY[3])], "doc_id long, text string")
+    assert scan(df, train_markov(labelled_samples(df))).columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"]
+
+
 def test_plan_has_no_python(spark):
     df = cases.docs(spark)
     model = train_markov(labelled_samples(df))
