@@ -6,7 +6,8 @@ log-scaled counts of length 1. The model is broadcast (4 * 2**bits bytes, whatev
 in Arrow batches, and a pass over the documents shuffles nothing.
 
 Edge cases: null and empty texts have no feature and get the score of the bias; texts of any length are scored whole;
-rows with null labels or null text don't train; repeated rows are scored each; an empty document table gives an empty
+rows with null labels or null text don't train; ties: a score of 0.5 counts as label 1, rows of equal hash train in the order of their doc_id; repeated
+rows are scored each, and don't train beyond the bound; an empty document table gives an empty
 result, an empty label table the score 0.5; further columns of the documents don't matter and aren't returned.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, join_on_key
+from .common import bounded_sample, sample_texts
 from .ftrl import Ftrl, train
 from .textnum import SIGNS, few_rows, mix, text_slices, word_hashes
 
@@ -29,7 +30,7 @@ _PAIR = np.uint64(0xDA942042E4DD58B5)
 
 @dataclass(frozen=True)
 class QualityParams:
-    """sample_rows: the most labelled rows that train the model (by hash of doc_id)."""
+    """sample_rows: the most texts that train the model, by hash of doc_id."""
 
     bits: int = 20
     sample_rows: int = 12_000
@@ -56,7 +57,7 @@ def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> np.ndarray:
     """labels: doc_id, y (0 or 1). Returns weights of 2**bits buckets and, last, the bias."""
     labels = bounded_sample(labels.filter("y IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "y"), "doc_id", params.sample_rows)
-    sample = join_on_key(docs.select("doc_id", "text").filter("text IS NOT NULL"), labels, "doc_id", small_rows=params.sample_rows)
+    sample = sample_texts(docs.select("doc_id", "text").filter("text IS NOT NULL"), labels, params.sample_rows)
     return train(sample, lambda t: features(t, params.bits), 1 << params.bits, 1, params.ftrl)[:, 0]
 
 

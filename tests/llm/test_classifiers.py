@@ -7,6 +7,7 @@ import pytest
 from compare import DATA
 from pyspark.sql import functions as F
 
+from clickweave.llm.common import bounded_sample, sample_texts
 from clickweave.llm.ftrl import Ftrl, fit
 from clickweave.llm.langid import LangParams, by_language, has_letter, predict_langid, quotas, temperature, tfidf, train_langid
 from clickweave.llm.quality import QualityParams, features, score_quality, train_quality
@@ -27,14 +28,14 @@ def held_out_accuracy(spark, name, label, folds, rest):
 
 def test_quality_on_held_out_rows(spark):
     low, high = held_out_accuracy(spark, "op1_quality", "quality", 3, 1)
-    assert low > 0.85
-    assert high > 0.99
+    assert low > 0.95
+    assert high > 0.995
 
 
 def test_toxicity_on_held_out_rows(spark):
     clean, toxic = held_out_accuracy(spark, "op10_toxicity", "toxic", 5, 0)
     assert clean > 0.995
-    assert toxic > 0.65
+    assert toxic > 0.7  # of few labels: 352 toxic ones train; of 1,735 in a larger table all but one in 400 are found
 
 
 def test_language_on_held_out_rows(spark):
@@ -45,6 +46,12 @@ def test_language_on_held_out_rows(spark):
     assert abs(np.mean([r.score for r in got]) - np.mean([r.lang == r.lang_pred for r in got])) < 0.02
 
 
+def test_repeated_ids_stay_within_the_bound(spark):
+    texts = spark.range(0, 4000).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text")
+    labels = bounded_sample(spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, y int"), "doc_id", 50)
+    assert sample_texts(texts, labels, 50).count() == 50
+
+
 def test_ftrl_separates_and_l1_prunes():
     rng = np.random.default_rng(1)
     rows = [(np.array([y, 2 + int(rng.integers(50))]), np.ones(2), y) for y in rng.integers(0, 2, 400).tolist()]
