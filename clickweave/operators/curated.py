@@ -22,7 +22,10 @@ def in_range(df: DataFrame, start: Time | None, end: Time | None) -> DataFrame:
     """windowStart within both bounds, inclusive; a range applies only if both are given."""
     if start is None or end is None:
         return df
-    return df.filter(F.col("windowStart").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    start, end = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    if "date" in df.columns:  # a table written for lookups: its folders outside the range aren't read
+        df = df.filter(F.col("date").between(F.to_date(start), F.to_date(end)))
+    return df.filter(F.col("windowStart").between(start, end))
 
 
 def select_rows(df: DataFrame, start: Time | None = None, end: Time | None = None, **equal: str | None) -> DataFrame:

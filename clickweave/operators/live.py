@@ -16,13 +16,19 @@ def _age(as_of_ms: Column | int) -> Column:
     return (as_of_ms if isinstance(as_of_ms, Column) else F.lit(as_of_ms)) - F.unix_millis("ts")
 
 
+def _recent(events: DataFrame, as_of_ms: Column | int, span_ms: int) -> DataFrame:
+    """Events of less than span_ms of age; the first filter, on ts alone, reaches the scan and prunes it."""
+    limit = F.lit(as_of_ms - span_ms) if not isinstance(as_of_ms, Column) else as_of_ms - span_ms
+    return events.filter((F.col("ts") >= F.timestamp_millis(limit)) & (_age(as_of_ms) < span_ms))
+
+
 def live_snapshot(events: DataFrame, as_of_ms: Column | int, users_ms: int = USERS_MS, clicks_ms: int = CLICKS_MS, rate_ms: int = RATE_MS) -> DataFrame:
     """One row, zeros without events: users of less than users_ms of age, clicks and events of less than clicks_ms, each a second.
 
     Ages are compared strictly; events after as_of count. Events are counted in the clicks window and divided by rate_ms.
     """
     age = _age(as_of_ms)
-    return events.agg(
+    return _recent(events, as_of_ms, max(users_ms, clicks_ms)).agg(
         F.count_distinct(F.when(age < users_ms, F.col("userId"))).cast("int").alias("activeUsers"),
         (count_if(is_type("CLICK") & (age < clicks_ms)) / F.lit(clicks_ms / 1000.0)).alias("clicksPerSecond"),
         (count_if(age < clicks_ms) / F.lit(rate_ms / 1000.0)).alias("eventRate"),
@@ -31,7 +37,7 @@ def live_snapshot(events: DataFrame, as_of_ms: Column | int, users_ms: int = USE
 
 def trending_pages(events: DataFrame, as_of_ms: Column | int, pages_ms: int = PAGES_MS, k: int = TOP_PAGES) -> DataFrame:
     """The k pages with most events (of any type) of less than pages_ms of age; ties by page."""
-    counts = events.filter(_age(as_of_ms) < pages_ms).groupBy("pageUrl").agg(F.count("*").cast("int").alias("viewCount"))
+    counts = _recent(events, as_of_ms, pages_ms).groupBy("pageUrl").agg(F.count("*").cast("int").alias("viewCount"))
     return counts.orderBy(F.desc("viewCount"), "pageUrl").limit(k)
 
 

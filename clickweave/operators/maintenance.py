@@ -51,10 +51,13 @@ def drop_before(spark: SparkSession, path: str, cutoff: datetime.datetime) -> in
 
 
 def compact(spark: SparkSession, path: str, target: str, file_rows: int = 250_000) -> DataFrame:
-    """Rewrites a partitioned table with few files a partition (split beyond file_rows); fails if a row is lost. Returns the new table."""
+    """Rewrites a partitioned table with few files a partition; fails if a row is lost. Returns the new table.
+
+    Rows of a folder are brought together by a rebalancing shuffle, which adaptive execution splits where one folder holds much.
+    """
     table = spark.read.parquet(path)
     by = [c for c in PARTITIONS if c in table.columns]
-    table.repartition(*by).write.mode("overwrite").option("maxRecordsPerFile", file_rows).partitionBy(*by).parquet(target)
+    table.hint("rebalance", *by).write.mode("overwrite").option("maxRecordsPerFile", file_rows).partitionBy(*by).parquet(target)
     compacted = spark.read.parquet(target)
     if (was := table.count()) != (now := compacted.count()):
         raise RuntimeError(f"{was} rows before compaction, {now} after")

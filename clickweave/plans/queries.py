@@ -125,10 +125,13 @@ def io5_json_batches(spark, sf_dir):
     return sources.parse_json_batches(arrays).select("eventId", "sessionId", "index")
 
 
-@query("io6_keyed_json", f"WITH {EV} SELECT sessionId AS key, eventId, referrerUrl IS NOT NULL AS hasReferrer, FALSE AS hasDevice FROM ev")
+@query("io6_keyed_json", f"""WITH {EV} SELECT sessionId AS key, eventId, userId, eventType, pageUrl, referrerUrl, targetElement, ms::VARCHAR AS timestamp, userAgent, x::VARCHAR AS x, y::VARCHAR AS y, durationMs::VARCHAR AS durationMs,
+  'item ' || k AS elementText, '1.0' AS schemaVersion, NULL::VARCHAR AS deviceType FROM ev""")
 def io6_keyed_json(spark, sf_dir):
-    field = lambda path: F.get_json_object("value", path)
-    return sinks.keyed_json(all_events(spark, sf_dir)).select("key", field("$.eventId").alias("eventId"), field("$.referrerUrl").isNotNull().alias("hasReferrer"), field("$.metadata.deviceType").isNotNull().alias("hasDevice"))
+    """Key and every value of the JSON, as text; what is null isn't in it."""
+    top = ("eventId", "userId", "eventType", "pageUrl", "referrerUrl", "targetElement", "timestamp", "userAgent", "schemaVersion")
+    paths = {c: f"$.{c}" for c in top} | {c: f"$.metadata.{c}" for c in ("x", "y", "durationMs", "elementText", "deviceType")}
+    return sinks.keyed_json(all_events(spark, sf_dir)).select("key", *(F.get_json_object("value", path).alias(c) for c, path in paths.items()))
 
 
 _HOURS = "SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, strftime(ts, '%H') AS hour"
@@ -153,12 +156,12 @@ def io11_archive_range(spark, sf_dir):
 
 @query("io8_keyed_merge", f"WITH {EV}, {pages_cte('1 DAY')} SELECT pageUrl, {text('windowStart')} AS windowStart, totalViews FROM pm")
 def io8_keyed_merge(spark, sf_dir):
-    """Page metrics of the first half, then of all events, merged by key: later rows replace earlier ones; a replay changes nothing."""
+    """Page metrics of the first half, then of all events, merged by key: later rows replace earlier ones; replays of either batch change nothing."""
     ev, target = good_events(spark, sf_dir), sinks.KeyedTable(spark, scratch_path(spark, "merge"))
-    target.merge(pages.page_metrics(ev.filter(F.col("timestamp") < AS_OF), "1 day"), 0)
+    half = pages.page_metrics(ev.filter(F.col("timestamp") < AS_OF - 12 * 3_600_000), "1 day")
     everything = pages.page_metrics(ev, "1 day")
-    target.merge(everything, 1)
-    target.merge(everything.limit(0), 1)
+    for batch, batch_id in ((half, 0), (everything, 1), (half, 1), (half, 0)):
+        target.merge(batch, batch_id)
     return flat(target.read().select("pageUrl", "windowStart", "totalViews"))
 
 
@@ -182,6 +185,82 @@ def v_all_rules(spark, sf_dir):
     return flat(checked_events(spark, sf_dir).select("eventId", "errors"))
 
 
+#: What an otherwise valid event has instead (SQL), case by case, and what validation says of it.
+_BROKEN: list[tuple[dict[str, str], str]] = [
+    ({}, ""),
+    ({"eventId": "NULL"}, "eventId is required"),
+    ({"eventId": "'  '"}, "eventId is required"),
+    ({"userId": "NULL"}, "userId is required"),
+    ({"sessionId": "''"}, "sessionId is required"),
+    ({"eventType": "NULL"}, "eventType is required"),
+    ({"eventType": "'SWIPE'"}, "eventType is unknown"),
+    ({"pageUrl": "NULL"}, "pageUrl is required"),
+    ({"timestamp": "NULL"}, "timestamp is required"),
+    ({"timestamp": "0"}, "timestamp must be positive"),
+    ({"timestamp": f"{V_AS_OF + 300_001}"}, "timestamp is in the future"),
+    ({"timestamp": f"{V_AS_OF + 300_000}"}, ""),
+    ({"timestamp": f"{V_AS_OF - DAY_MS - 1}"}, "timestamp is too old"),
+    ({"timestamp": f"{V_AS_OF - DAY_MS}"}, ""),
+    ({"eventId": "repeat('x', 256)"}, "eventId is longer than 255"),
+    ({"userId": "repeat('x', 256)"}, "userId is longer than 255"),
+    ({"sessionId": "repeat('x', 256)"}, "sessionId is longer than 255"),
+    ({"pageUrl": "rpad('https://e.com/', 2049, 'x')"}, "pageUrl is longer than 2048"),
+    ({"pageUrl": "rpad('https://e.com/', 2048, 'x')"}, ""),
+    ({"referrerUrl": "rpad('https://e.com/', 2049, 'x')"}, "referrerUrl is longer than 2048"),
+    ({"targetElement": "repeat('x', 513)"}, "targetElement is longer than 512"),
+    ({"userAgent": "repeat('x', 8193)"}, "userAgent is longer than 8192"),
+    ({"userAgent": "repeat('x', 8192)"}, ""),
+    ({"elementText": "repeat('x', 1025)"}, "elementText is longer than 1024"),
+    ({"pageUrl": "'ftp://example.com/x'"}, "pageUrl must use http or https"),
+    ({"pageUrl": "'www.example.com/x'"}, "pageUrl has no scheme"),
+    ({"pageUrl": "'http://exa mple.com'"}, "pageUrl is not a valid URL"),
+    ({"referrerUrl": "'ftp://example.com/x'"}, "referrerUrl must use http or https"),
+    ({"referrerUrl": "'example.com'"}, "referrerUrl has no scheme"),
+    ({"referrerUrl": "''"}, ""),
+    ({"targetElement": "'<ScRiPt>x'"}, "targetElement holds markup or script"),
+    ({"targetElement": "'a onclick=b'"}, "targetElement holds markup or script"),
+    ({"pageUrl": "'https://e.com/?q=javascript:x'"}, "pageUrl holds markup or script"),
+    ({"elementText": "'an <iframe src=x>'"}, "elementText holds markup or script"),
+    ({"sessionId": "userId"}, "sessionId equals userId"),
+    ({"elementText": "'Enter Password'"}, "elementText names personal data"),
+    ({"elementText": "'Credit-Card number'"}, "elementText names personal data"),
+    ({"elementText": "'spinning'"}, ""),
+    ({"userAgent": "'Mozilla/5.0 (192.168.0.1)'"}, "userAgent holds an IP address"),
+    ({"eventType": "'CLICK'", "targetElement": "NULL"}, "CLICK needs targetElement"),
+    ({"eventType": "'CLICK'", "y": "NULL"}, "CLICK needs x and y"),
+    ({"eventType": "'CLICK'"}, ""),
+    ({"eventType": "'SCROLL'", "scrollDepth": "NULL"}, "SCROLL needs scrollDepth"),
+    ({"eventType": "'SCROLL'", "scrollDepth": "1.1"}, "scrollDepth must lie in 0 to 1"),
+    ({"eventType": "'SCROLL'", "scrollDepth": "1.0"}, ""),
+    ({"eventType": "'HOVER'", "targetElement": "' '"}, "HOVER needs targetElement"),
+    ({"eventType": "'HOVER'", "durationMs": "NULL"}, "HOVER needs durationMs"),
+    ({"eventType": "'HOVER'"}, ""),
+    ({"eventType": "'SWIPE'", "userId": "NULL"}, "userId is required|eventType is unknown"),
+]
+
+
+@query("v_each_rule", f"SELECT event_id, ({[m for _, m in _BROKEN]!r}::VARCHAR[])[1 + event_id % {len(_BROKEN)}] AS errors FROM events")
+def v_each_rule(spark, sf_dir):
+    """Every event, made valid and then broken in the way of its number: each rule meets events on both of its sides."""
+    ev = all_events(spark, sf_dir).withColumn("event_id", F.substring("eventId", 5, 20).cast("long"))
+    valid = {"eventType": F.lit("PAGE_VIEW"), "timestamp": F.lit(V_AS_OF), "targetElement": F.lit("button"), "referrerUrl": F.lit(None).cast("string")}
+    inner = {"x": F.lit(1), "y": F.lit(2), "scrollDepth": F.lit(0.5), "elementText": F.lit("item"), "durationMs": F.lit(5)}
+    case = F.pmod("event_id", F.lit(len(_BROKEN)))
+
+    def chosen(name: str, otherwise: Column) -> Column:
+        for k, (change, _) in enumerate(_BROKEN):
+            if name in change:
+                otherwise = F.when(case == k, F.expr(change[name])).otherwise(otherwise)
+        return otherwise
+
+    metadata = F.col("metadata")
+    for name, value in inner.items():
+        metadata = metadata.withField(name, chosen(name, value).cast(ev.schema["metadata"].dataType[name].dataType))
+    top = {c: chosen(c, valid.get(c, F.col(c))).cast(ev.schema[c].dataType) for c in ("eventId", "userId", "sessionId", "eventType", "pageUrl", "referrerUrl", "timestamp", "targetElement", "userAgent")}
+    broken = ev.select("event_id", *(value.alias(c) for c, value in top.items()), metadata.alias("metadata"))
+    return flat(validation.validate(broken, V_AS_OF).select("event_id", "errors"))
+
+
 @query("v18_url_rules", """
 WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'ftp://files.example/' || page_id WHEN 2 THEN 'www.example.com/' || page_id ELSE 'http://bad host/' || page_id END AS u FROM pages)
 SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'url must use http or https' WHEN 2 THEN 'url has no scheme' WHEN 3 THEN 'url is not a valid URL' END AS error FROM u""")
@@ -194,22 +273,33 @@ def v18_url_rules(spark, sf_dir):
 _EDGE = r"($|[^\p{L}\p{N}_])"
 
 
-@query("v24_v25_text_rules", rf"""
+_TEXTS = "CASE doc_id % 5 WHEN 0 THEN 'Enter Password: ' || text WHEN 1 THEN text || ' SSN' WHEN 2 THEN text || ' at 10.0.0.' || doc_id % 256 WHEN 3 THEN 'passwords ' || text ELSE text END"
+
+
+@query("v24_v25_text_rules", rf"""WITH t AS (SELECT doc_id, {_TEXTS} AS text FROM documents)
 SELECT doc_id, regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])(password|passwd|pwd|ssn|social.?security|credit.?card|cvv|pin){_EDGE}') AS pii,
-  regexp_matches(text, '(^|[^/\p{{L}}\p{{N}}_])(\d{{1,3}}\.){{3}}\d{{1,3}}{_EDGE}') AS ip FROM documents""")
+  regexp_matches(text, '(^|[^/\p{{L}}\p{{N}}_])(\d{{1,3}}\.){{3}}\d{{1,3}}{_EDGE}') AS ip FROM t""")
 def v24_v25_text_rules(spark, sf_dir):
-    """The rules for personal data and addresses over whole texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(validation.PII).alias("pii"), F.col("text").rlike(validation.IPV4).alias("ip"))
+    """The rules for personal data and addresses over whole texts, to some of which a case of them was added."""
+    text = F.expr(_TEXTS)
+    return table(spark, sf_dir, "documents").select("doc_id", text.rlike(validation.PII).alias("pii"), text.rlike(validation.IPV4).alias("ip"))
 
 
-@query("v33_batches", f"""WITH {_V}, numbered AS (SELECT *, row_number() OVER (PARTITION BY sessionId ORDER BY ms, event_id) - 1 AS i FROM checked)
-SELECT sessionId AS batch_id, count(*) AS n, (min(i) FILTER (len(errors) > 0))::INT AS first_invalid, min(i) FILTER (len(errors) > 0) IS NULL AND count(*) <= 100 AS accepted FROM numbered GROUP BY sessionId""")
+#: Batches of two kinds: the events of a session, and page views by a sixteenth of the users (over 100 but in the smallest table), each judged at its own time.
+_JUDGED = f"""{EV}, own AS (SELECT *, eventType = 'ERROR' OR (eventType IN ('CLICK', 'HOVER') AND targetElement IS NULL) OR (eventType = 'SCROLL' AND scrollDepth > 1) AS broken FROM ev),
+dealt AS (SELECT sessionId AS batch_id, * FROM own UNION ALL SELECT 'views-' || user_id % 16, * FROM own WHERE eventType = 'PAGE_VIEW'),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ms, event_id) - 1 AS i FROM dealt)"""
+
+
+@query("v33_batches", f"WITH {_JUDGED} SELECT batch_id, count(*) AS n, (min(i) FILTER (broken))::INT AS first_invalid, min(i) FILTER (broken) IS NULL AND count(*) <= 100 AS accepted FROM numbered GROUP BY batch_id")
 def v33_batches(spark, sf_dir):
     from pyspark.sql import Window
 
-    number = F.row_number().over(Window.partitionBy("sessionId").orderBy("timestamp", F.substring("eventId", 5, 20).cast("long"))) - 1
-    rows = checked_events(spark, sf_dir).withColumn("index", number).withColumn("batch_id", F.col("sessionId"))
-    return validation.judge_batches(rows)
+    rows = validation.validate(all_events(spark, sf_dir), F.col("timestamp"))
+    views = F.concat(F.lit("views-"), F.substring("userId", 6, 20).cast("long") % 16)
+    rows = rows.withColumn("batch_id", F.col("sessionId")).union(rows.filter(sessions.is_type("PAGE_VIEW")).withColumn("batch_id", views))
+    number = F.row_number().over(Window.partitionBy("batch_id").orderBy("timestamp", F.substring("eventId", 5, 20).cast("long"))) - 1
+    return validation.judge_batches(rows.withColumn("index", number))
 
 
 @query("v34_reasons", f"WITH {_V} SELECT reason, count(*) AS n FROM (SELECT unnest(errors) AS reason FROM checked) GROUP BY reason")
@@ -217,9 +307,12 @@ def v34_reasons(spark, sf_dir):
     return validation.reason_counts(checked_events(spark, sf_dir))
 
 
-@query("v35_has_keys", f"WITH {EV} SELECT count(*) AS n FROM ev WHERE eventId IS NOT NULL AND sessionId IS NOT NULL")
+@query("v35_has_keys", "SELECT event_id FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0")
 def v35_has_keys(spark, sf_dir):
-    return all_events(spark, sf_dir).filter(validation.has_keys()).agg(F.count("*").alias("n"))
+    """Events of which some were left without either key."""
+    ev = all_events(spark, sf_dir).withColumn("event_id", F.substring("eventId", 5, 20).cast("long"))
+    keys = {c: F.when(F.col("event_id") % n != 0, F.col(c)) for c, n in (("eventId", 3), ("sessionId", 5))}
+    return ev.withColumns(keys).filter(validation.has_keys()).select("event_id")
 
 
 @query("v36_acceptance", f"WITH {_V} SELECT count(*) AS n, count(*) FILTER (len(errors) = 0) AS accepted, round(avg(CASE WHEN len(errors) = 0 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM checked")
@@ -250,9 +343,14 @@ def p5_strip_markup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scrub.strip_markup(F.col("html")).alias("stripped"))
 
 
-@query("p6_sensitive", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'password|creditcard|ssn|secret')")
+_ELEMENTS = "CASE event_id % 7 WHEN 0 THEN 'input#Password-' || event_id WHEN 1 THEN 'CREDITCARD' WHEN 2 THEN 'field.ssn' WHEN 3 THEN 'the-secret' WHEN 4 THEN NULL ELSE 'button#b' || event_id END"
+
+
+@query("p6_sensitive", f"SELECT event_id, event_id % 7 < 4 AS sensitive FROM events UNION ALL SELECT doc_id, regexp_matches(lower(text), 'password|creditcard|ssn|secret') FROM documents")
 def p6_sensitive(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(scrub.is_sensitive(F.col("text"))).select("doc_id")
+    """Elements of events and whole texts."""
+    elements = table(spark, sf_dir, "events").select("event_id", scrub.is_sensitive(F.expr(_ELEMENTS)).alias("sensitive"))
+    return elements.union(table(spark, sf_dir, "documents").select("doc_id", scrub.is_sensitive(F.col("text"))))
 
 
 @query("p7_p8_urls", """WITH u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url || '<script>x</script>&onload=javascript:go' WHEN 1 THEN 'mailto:<b>''"' || page_id ELSE url END AS u FROM pages)
@@ -369,12 +467,12 @@ def _snapshot(as_of: str, users: int, clicks: int) -> str:
   round((count(*) FILTER (t - ms < {clicks})) / {clicks / 1000}::DOUBLE, 6) AS eventRate, any_value(t) AS computedAt FROM va, t"""
 
 
-@query("a10_snapshot_latest", _snapshot("(SELECT max(ms) FROM va)", 300_000, 60_000))
+@query("a10_snapshot_latest", _snapshot("(SELECT max(ms) FROM va)", 12 * 3_600_000, 3_600_000 * 6))
 def a10_snapshot_latest(spark, sf_dir):
-    """Active users, clicks and events a second at the time of the last event."""
+    """Active users of 12 hours, clicks and events a second of 6 hours at the time of the last event (this table has few events a minute)."""
     ev = good_events(spark, sf_dir)
     latest = ev.agg(F.max("timestamp")).first()[0] or 0
-    return rounded(live.live_snapshot(ev, latest), "clicksPerSecond", "eventRate")
+    return rounded(live.live_snapshot(ev, latest, 12 * 3_600_000, 6 * 3_600_000, 6 * 3_600_000), "clicksPerSecond", "eventRate")
 
 
 @query("a10_snapshot_days", _snapshot(f"{AS_OF}::BIGINT", 5 * DAY_MS, DAY_MS))
@@ -482,18 +580,36 @@ _SES_WHERE = lambda where: f"WITH {EV}, {sessions_cte('12 hours')}, chosen AS (S
 _PM_WHERE = lambda where: f"WITH {EV}, {pages_cte('1 DAY')}, chosen AS (SELECT * FROM pm WHERE {where}) SELECT {PAGE_COLUMNS} FROM chosen"
 
 
+#: Where this session has written a curated table of a data folder, by the operator's name.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def curated_table(spark: SparkSession, sf_dir: str, name: str, key: str, make: Query) -> DataFrame:
+    """A curated table, written for lookups when it is first asked for and read from then on, as services read what the jobs wrote."""
+    place = (spark.sparkContext.applicationId, sf_dir, name)
+    if place not in _WRITTEN:
+        path = scratch_path(spark, name)
+        maintenance.write_for_lookup(make(spark, sf_dir), path, key)
+        _WRITTEN[place] = path
+    return spark.read.parquet(_WRITTEN[place])
+
+
 def curated_sessions(spark, sf_dir):
-    return sessions.session_aggregates(good_events(spark, sf_dir), "12 hours")
+    return curated_table(spark, sf_dir, "sessions", "userId", lambda *a: sessions.session_aggregates(good_events(*a), "12 hours"))
 
 
 def curated_pages(spark, sf_dir):
-    return pages.page_metrics(good_events(spark, sf_dir), "1 day")
+    return curated_table(spark, sf_dir, "page-metrics", "pageUrl", lambda *a: pages.page_metrics(good_events(*a), "1 day"))
+
+
+def curated_journeys(spark, sf_dir):
+    return curated_table(spark, sf_dir, "user-journeys", "userId", lambda *a: journeys.user_journeys(good_events(*a), "12 hours"))
 
 
 def _curated(name: str, sql: str, base: Query, pick: Callable[[DataFrame], DataFrame]) -> None:
     @query(name, sql)
     def run(spark, sf_dir):
-        df = pick(base(spark, sf_dir))
+        df = pick(base(spark, sf_dir)).drop("date")
         return flat(rounded(df, "avgScrollDepth") if "avgScrollDepth" in df.columns else df)
 
 
@@ -520,12 +636,20 @@ _A3 = _journey_sql("SELECT eventId, userId, sessionId, pageUrl, ts, 0 AS clicks
 
 @query("q14_journeys_user", f"SELECT * FROM ({_A3}) WHERE userId = 'user-7'")
 def q14_journeys_user(spark, sf_dir):
-    return flat_journeys(curated.journeys_of_user(journeys.user_journeys(good_events(spark, sf_dir), "12 hours"), "user-7"))
+    return flat_journeys(curated.journeys_of_user(curated_journeys(spark, sf_dir), "user-7").drop("date"))
 
 
-@query("q15_journey_session", f"SELECT * FROM ({_A3}) WHERE sessionId = 'sess-7-20240105'")
+@query("q15_journey_session", f"SELECT * FROM ({_A3}) WHERE sessionId = (SELECT min('sess-' || user_id || '-' || strftime(ts, '%Y%m%d')) FROM events WHERE event_type = 'view')")
 def q15_journey_session(spark, sf_dir):
-    return flat_journeys(curated.journey_of_session(journeys.user_journeys(good_events(spark, sf_dir), "12 hours"), "sess-7-20240105"))
+    """The journey of the first session by name."""
+    table = curated_journeys(spark, sf_dir)
+    return flat_journeys(curated.journey_of_session(table, table.agg(F.min("sessionId")).first()[0] or "").drop("date"))
+
+
+@query("f13_percent", f"{_EXPLODED} SELECT pageUrl, printf('%.1f%%', 100.0 * (count(*) FILTER (exitPage = pageUrl)) / count(*)) AS exitPercent FROM sp GROUP BY pageUrl")
+def f13_percent(spark, sf_dir):
+    """Exit rates as percentages."""
+    return pages.exit_rates(sessions.session_aggregates(good_events(spark, sf_dir), "12 hours")).select("pageUrl", curated.percent("exitRate").alias("exitPercent"))
 
 
 # --- maintenance and audits ------------------------------------------------------------------------------------------
@@ -533,7 +657,7 @@ def q15_journey_session(spark, sf_dir):
 
 @query("m1_expire", f"WITH {EV}, {pages_cte('1 DAY')}, chosen AS (SELECT * FROM pm WHERE windowStart >= TIMESTAMP '2024-02-14' - INTERVAL 30 DAYS) SELECT {PAGE_COLUMNS} FROM chosen")
 def m1_expire(spark, sf_dir):
-    return flat(rounded(maintenance.expire(curated_pages(spark, sf_dir), "2024-02-14 00:00:00"), "avgScrollDepth"))
+    return flat(rounded(maintenance.expire(curated_pages(spark, sf_dir).drop("date"), "2024-02-14 00:00:00"), "avgScrollDepth"))
 
 
 @query("m3_compact", f"WITH {EV} {_HOURS}, count(*) AS n FROM ev GROUP BY ALL")
@@ -580,7 +704,7 @@ def m2_retention(spark, sf_dir):
 def m4_lookup_layout(spark, sf_dir):
     """Sessions written for lookups by user, and one user's read back."""
     path = scratch_path(spark, "lookup")
-    maintenance.write_for_lookup(curated_sessions(spark, sf_dir), path, "userId")
+    maintenance.write_for_lookup(sessions.session_aggregates(good_events(spark, sf_dir), "12 hours"), path, "userId")
     return flat(spark.read.parquet(path).drop("date").filter(F.col("userId") == "user-7"))
 
 
@@ -589,7 +713,7 @@ def io9_quarantine(spark, sf_dir):
     """A batch routed as a stream routes it: what is rejected, read back from quarantine."""
     path = scratch_path(spark, "errors")
     sinks.route(lambda good, batch_id: None, path, V_AS_OF)(all_events(spark, sf_dir).drop("ts"), 7)
-    return flat(spark.read.schema("eventId string, errors array<string>, batch_id int").json(path))
+    return flat(spark.read.schema("eventId string, errors array<string>, batch_id int").option("recursiveFileLookup", "true").json(path))
 
 
 # --- streams ---------------------------------------------------------------------------------------------------------
@@ -655,3 +779,50 @@ def s_stream_clicks(spark, sf_dir):
     out = jobs.clicks_by_view_stream(stream_events(spark, sf_dir), early=True).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
     out.trigger(availableNow=True).start().awaitTermination()
     return jobs.last_reports(spark.read.parquet(f"{root}/out")).select("eventId", "sessionId", "pageUrl", "clicksOnPage")
+
+
+def piped(spark: SparkSession, sf_dir: str) -> str:
+    """All events as JSON values in files, with text that is no event beside every hundredth, through the whole pipeline as of V_AS_OF; the folder of its outputs."""
+    place = (spark.sparkContext.applicationId, sf_dir, "pipeline")
+    if place not in _WRITTEN:
+        root = scratch_path(spark, "pipeline")
+        values = sinks.keyed_json(all_events(spark, sf_dir))
+        broken = values.filter(F.get_json_object("value", "$.eventId").endswith("00")).withColumn("value", F.substring("value", 1, 20))
+        values.union(broken).select("value").write.text(f"{root}/in")
+        started = jobs.start_pipeline(spark.readStream.schema("value string").text(f"{root}/in"), root, "12 hours", "1 day", every=None, as_of_ms=V_AS_OF)
+        for q in started.values():
+            q.awaitTermination()
+        _WRITTEN[place] = root
+    return _WRITTEN[place]
+
+
+_OK = f"{_V}, ok AS (SELECT * FROM checked WHERE len(errors) = 0)"
+
+
+@query("s_pipeline_pages", f"WITH {_OK} SELECT pageUrl, {text('time_bucket(INTERVAL 1 DAY, ts)')} AS windowStart, count(*) FILTER (eventType = 'PAGE_VIEW') AS totalViews, count(*) FILTER (eventType = 'CLICK') AS clickCount FROM ok GROUP BY ALL")
+def s_pipeline_pages(spark, sf_dir):
+    """Page metrics of the valid events that the whole job took in."""
+    return flat(sinks.KeyedTable(spark, f"{piped(spark, sf_dir)}/tables/page-metrics").read().select("pageUrl", "windowStart", "totalViews", "clickCount"))
+
+
+@query("s_pipeline_archive", f"WITH {_OK} SELECT eventId FROM ok")
+def s_pipeline_archive(spark, sf_dir):
+    return spark.read.parquet(f"{piped(spark, sf_dir)}/lake").select("eventId")
+
+
+_NO_EVENT = "eventId is required|userId is required|sessionId is required|eventType is required|pageUrl is required|timestamp is required"
+
+
+@query("s_pipeline_quarantine", f"WITH {_V} SELECT eventId, array_to_string(errors, '|') AS errors FROM checked WHERE len(errors) > 0 UNION ALL SELECT NULL, '{_NO_EVENT}' FROM ev WHERE event_id % 100 = 0 AND event_id > 0")
+def s_pipeline_quarantine(spark, sf_dir):
+    """What the whole job rejected, with the reasons."""
+    return flat(spark.read.schema("eventId string, errors array<string>").option("recursiveFileLookup", "true").json(f"{piped(spark, sf_dir)}/quarantine"))
+
+
+@query("s_live_series", f"""WITH {EV}, slid AS (SELECT *, time_bucket(INTERVAL 30 minutes, ts) - w * INTERVAL 30 minutes AS s FROM va, range(0, 2) r(w))
+SELECT {text("s")} AS windowStart, {text("s + INTERVAL 1 hour")} AS windowEnd, count(*) FILTER (eventType = 'CLICK') AS clicks, count(*) AS events FROM slid GROUP BY s""")
+def s_live_series(spark, sf_dir):
+    """The live series as a stream in update mode (users, which are approximate there, are left out)."""
+    root = scratch_path(spark, "stream")
+    jobs.start_series(stream_events(spark, sf_dir), root, "1 hour", "30 minutes", every=None).awaitTermination()
+    return flat(sinks.KeyedTable(spark, f"{root}/tables/live-series").read().select("windowStart", "windowEnd", "clicks", "events"))

@@ -8,5 +8,8 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    shared = shared or "/tmp/checkpoints"
     return f"{shared}/{label}-{uuid.uuid4().hex}"

@@ -5,17 +5,21 @@ from __future__ import annotations
 import json
 import logging
 import threading
+from collections import deque
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.validation import errors
 from ..operators.journeys import user_journeys
+from ..operators.live import metric_series
 from ..operators.pages import page_metrics
 from ..operators.sessions import session_aggregates
-from ..sources.events import with_watermark
-from .sinks import KeyedTable, archive_stream, with_retries
+from ..sources.events import parse_json, with_event_time, with_watermark
+from .sinks import KeyedTable, archive, quarantine, with_retries
 
 log = logging.getLogger(__name__)
 
@@ -37,9 +41,37 @@ def start_jobs(events: DataFrame, root: str, gap: str = "30 minutes", window: st
     }
 
 
-def start_archive(events: DataFrame, root: str, every: str | None = "60 seconds") -> StreamingQuery:
-    writer = archive_stream(events, f"{root}/lake", f"{root}/checkpoints/archive", every or "60 seconds")
-    return (writer if every else writer.trigger(availableNow=True)).start()
+def start_series(events: DataFrame, root: str, width: str = "5 minutes", slide: str = "1 minute", watermark: str = "10 minutes", every: str | None = "5 seconds") -> StreamingQuery:
+    """The live metrics as a stream in update mode: users (approximate), clicks and events of each sliding window, merged by window."""
+    series = metric_series(with_watermark(events, watermark), width, slide, exact=False)
+    return _start(series.withColumn("_compositeKey", F.col("windowStart").cast("string")), "live-series", root, "update", every)
+
+
+def _batches(df: DataFrame, name: str, root: str, write: Callable[[DataFrame, int], None], every: str | None) -> StreamingQuery:
+    writer = df.writeStream.queryName(name).outputMode("append").option("checkpointLocation", f"{root}/checkpoints/{name}").foreachBatch(write)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def start_archive(events: DataFrame, root: str, every: str | None = "60 seconds", write: Callable[[DataFrame, str], None] = archive, first_ms: int = 100) -> StreamingQuery:
+    """Appends every batch to root/lake; a batch that fails three times goes to root/undelivered, and the stream goes on.
+
+    A batch whose commit was lost is appended again (at least once); eventId tells its rows.
+    """
+    failed = lambda batch, batch_id: quarantine(batch, batch_id, f"{root}/undelivered")
+    return _batches(events, "archive", root, with_retries(lambda batch, _: write(batch, f"{root}/lake"), first_ms=first_ms, failed=failed), every)
+
+
+def start_pipeline(values: DataFrame, root: str, gap: str = "30 minutes", window: str = "5 minutes", watermark: str = "10 minutes", every: str | None = "30 seconds", as_of_ms: int | None = None) -> dict[str, StreamingQuery]:
+    """The whole job over a stream of JSON values: parse, validate, jobs and archive over valid events, the others to root/quarantine with their errors.
+
+    Every query reads the source by itself, with offsets and checkpoint of its own, so one may fall behind or fail without the others.
+    """
+    checked = with_event_time(parse_json(values)).withColumn("errors", errors(as_of_ms))
+    good = checked.filter(F.size("errors") == 0).drop("errors")
+    queries = start_jobs(good, root, gap, window, watermark, every)
+    queries["archive"] = start_archive(good, root, every)
+    queries["quarantine"] = _batches(checked.filter(F.size("errors") > 0), "quarantine", root, with_retries(lambda b, i: quarantine(b, i, f"{root}/quarantine")), every)
+    return queries
 
 
 def run_until_stopped(spark: SparkSession, queries: dict[str, StreamingQuery]) -> None:
@@ -52,11 +84,11 @@ def run_until_stopped(spark: SparkSession, queries: dict[str, StreamingQuery]) -
 
 
 class ProgressListener(StreamingQueryListener):
-    """Keeps a row for each progress report, logs every tenth, and warns when a query falls behind its input."""
+    """Keeps a row for each of the last progress reports, logs every tenth, and warns when a query falls behind its input."""
 
-    def __init__(self, every: int = 10, behind: float = 1.5):
-        self.rows: list[dict] = []
-        self.failures: list[dict] = []
+    def __init__(self, every: int = 10, behind: float = 1.5, keep: int = 10_000):
+        self.rows: deque[dict] = deque(maxlen=keep)
+        self.failures: deque[dict] = deque(maxlen=keep)
         self._every, self._behind, self._lock = every, behind, threading.Lock()
 
     def onQueryStarted(self, event) -> None:
@@ -76,7 +108,7 @@ class ProgressListener(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         with self._lock:
-            self.failures += [{"runId": str(event.runId), "exception": event.exception}] if event.exception else []
+            self.failures.extend([{"runId": str(event.runId), "exception": event.exception}] if event.exception else [])
         (log.error if event.exception else log.info)("ended %s: %s", event.runId, event.exception)
 
 
@@ -84,11 +116,11 @@ PROGRESS = "name string, runId string, batchId long, timestamp string, rows long
 
 
 def job_progress(spark: SparkSession, listener: ProgressListener) -> DataFrame:
-    return spark.createDataFrame([[r[f.split()[0]] for f in PROGRESS.split(", ")] for r in listener.rows], PROGRESS)
+    return spark.createDataFrame([[r[f.split()[0]] for f in PROGRESS.split(", ")] for r in list(listener.rows)], PROGRESS)
 
 
 def counters(progress: DataFrame) -> DataFrame:
-    """Rows, batches and last write of each job."""
+    """Rows, batches and last write of each job, of the reports that the listener keeps."""
     return progress.groupBy("name").agg(F.sum("rows").alias("processed"), F.count("*").alias("batches"), F.max(F.to_timestamp("timestamp")).alias("lastWrite"), F.sum("late").alias("late"), F.max("lag").alias("maxLag"))
 
 

@@ -34,8 +34,8 @@ ARCHIVE_OPTIONS = {"compression": "snappy", "maxRecordsPerFile": "10000", "parqu
 
 
 def archive(events: DataFrame, path: str) -> None:
-    """Appends a batch to the lake; rows of a folder meet in one task first, so that each folder gets few files."""
-    with_partitions(events).repartition(*PARTITIONS).write.mode("append").options(**ARCHIVE_OPTIONS).partitionBy(*PARTITIONS).parquet(path)
+    """Appends a batch to the lake. Rows of a folder are brought together first, so that each gets few files; adaptive execution splits a hot hour."""
+    with_partitions(events).hint("rebalance", *PARTITIONS).write.mode("append").options(**ARCHIVE_OPTIONS).partitionBy(*PARTITIONS).parquet(path)
 
 
 def archive_stream(events: DataFrame, path: str, checkpoint: str, every: str = "60 seconds") -> DataStreamWriter:
@@ -44,16 +44,17 @@ def archive_stream(events: DataFrame, path: str, checkpoint: str, every: str = "
 
 
 class KeyedTable:
-    """A Parquet table that is merged by key, a day of `by` at a time.
+    """A Parquet table that is merged by key: a batch is appended, and the newest row of each key counts.
 
-    A batch reads and writes only the days that it touches: each becomes a new version date=D/v=batch, and a marker in
-    _commits makes the batch count. Readers take each day's newest version that is committed, so they never see half a merge;
-    a batch that is replayed, after its commit or before it, changes nothing. Keys must hold what `by` is derived from;
-    for keys that don't, by=None keeps one day for all.
+    A batch writes its own rows only, as date=D/v=batch for each day D of `by` that it touches, and a marker in _commits makes it
+    count. Readers take the rows of committed batches and keep the last of every key, so they never see half a merge; a batch that is
+    replayed, after its commit or before it, changes nothing. A day that `fold` batches have touched is folded: its last rows are
+    written once as date=D/f=batch, and what is older than the fold before goes. Batches come in order of their numbers. Keys must hold what
+    `by` is derived from; for keys that don't, by=None keeps one day for all.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "_compositeKey", latest: str = "windowEnd", by: str | None = "windowStart", keep: int = 2):
-        self.spark, self.root, self.key, self.latest, self.by, self.keep = spark, root, key, latest, by, keep
+    def __init__(self, spark: SparkSession, root: str, key: str = "_compositeKey", latest: str = "windowEnd", by: str | None = "windowStart", fold: int = 20):
+        self.spark, self.root, self.key, self.latest, self.by, self.fold = spark, root, key, latest, by, fold
 
     def _path(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
@@ -63,47 +64,70 @@ class KeyedTable:
         fs, at = self._path(path)
         return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
-    def commits(self) -> list[int]:
-        return sorted(int(n) for n in self._list("_commits"))
-
-    def versions(self) -> dict[str, list[int]]:
-        """The committed versions of each day, oldest first."""
-        done = set(self.commits())
-        days = {d: sorted(int(v[2:]) for v in self._list(d) if int(v[2:]) in done) for d in self._list("") if d.startswith("date=")}
-        return {d: v for d, v in days.items() if v}
+    def _rename(self, source: str, target: str) -> None:
+        fs, at = self._path(target)
+        fs.delete(at, True)  # of an attempt that broke off
+        fs.mkdirs(at.getParent())
+        fs.rename(self._path(source)[1], at)
+
+    def last_commit(self) -> int:
+        return max(map(int, self._list("_commits")), default=-1)
+
+    def parts(self, days: set[str] | None = None) -> dict[str, list[str]]:
+        """For each day the folders that count: its newest fold, and the committed batches after it."""
+        last, out = self.last_commit(), {}
+        for day in self._list("") if days is None else days:
+            if day.startswith("date="):
+                found = sorted((int(n[2:]), n) for n in self._list(day) if int(n[2:]) <= last)
+                folds = [n for n, name in found if name.startswith("f=")]
+                out[day] = [name for n, name in found if not folds or n > folds[-1] or name == f"f={folds[-1]}"]
+        return {day: names for day, names in out.items() if names}
+
+    def _last_rows(self, parts: dict[str, list[str]]) -> DataFrame | None:
+        paths = [f"{self.root}/{day}/{name}" for day, names in parts.items() for name in names]
+        if not paths:
+            return None
+        rows = self.spark.read.option("recursiveFileLookup", "true").parquet(*paths)
+        if all(len(names) == 1 for names in parts.values()):
+            return rows
+        keyed = rows.filter(F.col(self.key).isNotNull()).groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), "_batch").alias("_row")).select("_row.*")
+        return keyed.unionByName(rows.filter(F.col(self.key).isNull()))
 
     def read(self, days: set[str] | None = None) -> DataFrame | None:
-        paths = [f"{self.root}/{d}/v={v[-1]}" for d, v in self.versions().items() if days is None or d in days]
-        return self.spark.read.option("basePath", self.root).option("mergeSchema", "false").parquet(*paths).drop("date", "v") if paths else None
+        """The table, or its days (as date=2024-01-01); None while it is empty."""
+        rows = self._last_rows(self.parts(days))
+        return rows.drop("_batch") if rows is not None else None
 
     def merge(self, rows: DataFrame, batch_id: int) -> None:
         """Rows replace those of their key; of a batch's rows of one key the latest stays; rows without a key are added."""
-        if (done := self.commits()) and done[-1] >= batch_id:
+        if self.last_commit() >= batch_id:
             return
         order = Window.partitionBy(self.key).orderBy(F.desc(self.latest))
         new = rows.filter(F.col(self.key).isNotNull()).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-        new = new.unionByName(rows.filter(F.col(self.key).isNull())).withColumn("updatedAt", F.current_timestamp())
+        new = new.unionByName(rows.filter(F.col(self.key).isNull())).withColumn("updatedAt", F.current_timestamp()).withColumn("_batch", F.lit(batch_id).cast("long"))
         day = F.coalesce(F.date_format(self.by, "yyyy-MM-dd"), F.lit("none")) if self.by else F.lit("all")
-        staged = f"{self.root}/_staging/{batch_id}"
-        new.withColumn("date", day).write.mode("overwrite").partitionBy("date").parquet(f"{staged}/new")
-        days = {d for d in self._list(f"_staging/{batch_id}/new") if d.startswith("date=")}
-        if days:
-            out = self.spark.read.schema(new.withColumn("date", day).schema).parquet(f"{staged}/new")
-            if (old := self.read(days)) is not None:
-                keys = out.select(self.key)
-                out = old.join(keys, self.key, "left_anti").select(*new.columns).withColumn("date", day).unionByName(out.select(*new.columns, "date"))
-            out.write.mode("overwrite").partitionBy("date").parquet(f"{staged}/merged")
+        new.withColumn("date", day).hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(f"{self.root}/_staging/{batch_id}")
+        days = {d for d in self._list(f"_staging/{batch_id}") if d.startswith("date=")}
         for d in days:
-            fs, target = self._path(f"{d}/v={batch_id}")
-            fs.delete(target, True)  # of an attempt that didn't reach its commit
-            fs.mkdirs(target.getParent())
-            fs.rename(self._path(f"_staging/{batch_id}/merged/{d}")[1], target)
+            self._rename(f"_staging/{batch_id}/{d}", f"{d}/v={batch_id}")
         fs, marker = self._path(f"_commits/{batch_id}")
         fs.create(marker, True).close()
+        for old in self._list("_commits"):
+            if int(old) < batch_id - 1:
+                fs.delete(self._path(f"_commits/{old}")[1], True)
+        for d, names in self.parts(days).items():
+            if len(names) > self.fold:
+                self._fold(d, names, batch_id)
         fs.delete(self._path("_staging")[1], True)
-        for d, versions in self.versions().items():
-            for v in versions[: -self.keep]:
-                fs.delete(self._path(f"{d}/v={v}")[1], True)
+
+    def _fold(self, day: str, names: list[str], batch_id: int) -> None:
+        self._last_rows({day: names}).write.mode("overwrite").parquet(f"{self.root}/_staging/fold")
+        self._rename("_staging/fold", f"{day}/f={batch_id}")
+        before = max((int(n[2:]) for n in names if n.startswith("f=")), default=-1)
+        for name in self._list(day):  # readers that began earlier still find what they listed
+            if int(name[2:]) < before:
+                fs, at = self._path(f"{day}/{name}")
+                fs.delete(at, True)
 
 
 def with_retries(write: Callable[[DataFrame, int], None], tries: int = 3, first_ms: int = 100, failed: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
@@ -124,8 +148,8 @@ def with_retries(write: Callable[[DataFrame, int], None], tries: int = 3, first_
 
 
 def quarantine(rejected: DataFrame, batch_id: int, path: str) -> None:
-    """Appends rejected events (with errors) as JSON."""
-    rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("append").json(path)
+    """Writes rejected events as JSON, each batch in a folder of its own, so that a replayed batch replaces its rows."""
+    rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").json(f"{path}/batch={batch_id}")
 
 
 def route(valid: Callable[[DataFrame, int], None], errors_path: str, as_of_ms: int | None = None) -> Callable[[DataFrame, int], None]:

@@ -160,11 +160,37 @@ def test_keyed_merge(spark, tmp_path, by):
     assert all(r.updatedAt for r in got)
     table.merge(df(("d", 2, 2, 6)), 2)
     table.merge(df(), 3)
-    assert table.commits() == [0, 1, 2, 3]
-    assert table.versions() == ({"date=all": [1, 2]} if by is None else {"date=2024-01-01": [0, 1], "date=2024-01-02": [1, 2], "date=2024-01-03": [0, 1]})
+    assert table.last_commit() == 3
+    assert table.parts() == ({"date=all": ["v=0", "v=1", "v=2"]} if by is None else {"date=2024-01-01": ["v=0", "v=1"], "date=2024-01-02": ["v=1", "v=2"], "date=2024-01-03": ["v=0", "v=1"]})
     assert table.read().count() == 6
 
 
+def test_a_batch_writes_its_own_rows_and_days_are_folded(spark, tmp_path):
+    table = sinks.KeyedTable(spark, str(tmp_path / "t"), fold=3)
+    day = lambda k: dt.datetime(2024, 1, 1 + k % 2)
+
+    def df(batch, keys):
+        return spark.createDataFrame([(f"k{k}", day(k), day(k), batch) for k in keys], "_compositeKey string, windowStart timestamp, windowEnd timestamp, n int")
+
+    files = lambda: {f.relative_to(tmp_path) for f in tmp_path.glob("t/date=*/*/*.parquet")}
+    table.merge(df(0, range(50)), 0)
+    before = files()
+    table.merge(df(1, [4]), 1)
+    new = files() - before
+    assert before <= files()
+    assert {f.parts[1:3] for f in new} == {("date=2024-01-01", "v=1")}  # one key: no other row is written again
+    assert spark.read.parquet(*[str(tmp_path / f) for f in new]).count() == 1
+    for batch in range(2, 12):
+        table.merge(df(batch, [4, batch + 50]), batch)
+    assert table.parts()["date=2024-01-02"][0].startswith("f=")
+    assert all(len(names) <= 4 for names in table.parts().values())
+    assert len(list((tmp_path / "t" / "date=2024-01-01").iterdir())) <= 9
+    assert len([f for f in (tmp_path / "t" / "_commits").iterdir() if not f.name.startswith(".")]) <= 2
+    got = {r._compositeKey: r.n for r in table.read().collect()}
+    assert got == {f"k{k}": 0 for k in range(50)} | {f"k{k}": k - 50 for k in range(52, 62)} | {"k4": 11}
+    assert {r._compositeKey for r in table.read({"date=2024-01-02"}).collect()} == {k for k in got if int(k[1:]) % 2}
+
+
 def test_a_merge_that_broke_off_is_done_again(spark, tmp_path, monkeypatch):
     table = sinks.KeyedTable(spark, str(tmp_path / "t"))
     day = dt.datetime(2024, 1, 1)
@@ -202,11 +228,124 @@ def test_retries_and_routing(spark, tmp_path):
     kept = []
     df = frame(spark, [row("a", "u", "s", "PAGE_VIEW", "https://e.com/"), row("b", "u", "s", "X", "https://e.com/")])
     sinks.route(lambda b, i: kept.extend(r.eventId for r in b.collect()), f"{tmp_path}/errors", T0)(df, 3)
-    bad = spark.read.json(f"{tmp_path}/errors")
+    bad = spark.read.option("recursiveFileLookup", "true").json(f"{tmp_path}/errors")
     assert kept == ["a"]
     assert [(r.eventId, r.errors, r.batch_id) for r in bad.collect()] == [("b", ["eventType is unknown"], 3)]
 
 
+def json_values(spark, path, rows, *others):
+    values = sinks.keyed_json(frame(spark, rows)).select("value").union(spark.createDataFrame([(x,) for x in others], "value string"))
+    values.coalesce(1).write.mode("append").text(str(path))
+    return spark.readStream.schema("value string").text(str(path))
+
+
+def test_the_whole_job(spark, tmp_path):
+    """Values in, tables, archive and quarantine out; a restart takes in what is new."""
+    rows = [{**r, "pageUrl": "https://e.com" + r["pageUrl"], "metadata": (1, 2, *[None] * 8)} for r in visits(6)]
+    end = row("end", "z", "zs", "PAGE_VIEW", "https://e.com/z", 10 * 60 * MIN)
+
+    def go(new, *others):
+        values = json_values(spark, tmp_path / "in", new, *others)
+        for q in jobs.start_pipeline(values, str(tmp_path), every=None, as_of_ms=T0 + 11 * 60 * MIN).values():
+            q.awaitTermination()
+
+    go(rows, "no json")
+    go([end, row("bad", "u", "u", "PAGE_VIEW", "https://e.com/")], '{"eventId": "x"}')
+    assert sorted(r.eventId for r in spark.read.parquet(f"{tmp_path}/lake").collect()) == sorted([r["eventId"] for r in rows] + ["end"])
+    bad = spark.read.schema("eventId string, errors array<string>").option("recursiveFileLookup", "true").json(f"{tmp_path}/quarantine")
+    assert {r.eventId: len(r.errors) for r in bad.collect()} == {None: 6, "x": 5, "bad": 1}
+    table = lambda name: sinks.KeyedTable(spark, f"{tmp_path}/tables/{name}").read()
+    assert [(r.sessionId, r.pageViewCount, r.clickCount) for r in table("sessions").collect()] == [("s", 3, 3)]
+    assert table("page-metrics").agg(F.sum("totalViews")).first()[0] == 4
+
+
+def test_undelivered_batches_are_kept_and_the_stream_goes_on(spark, tmp_path):
+    tries = []
+
+    def flaky(batch, path):
+        tries.append(1)
+        if len(tries) <= 3:
+            raise RuntimeError("no store")
+        sinks.archive(batch, path)
+
+    for n in (3, 2):
+        write(spark, visits(n, n * 100 * MIN), tmp_path / "in")
+        jobs.start_archive(stream(spark, tmp_path / "in"), str(tmp_path), None, write=flaky, first_ms=1).awaitTermination()
+    assert len(tries) == 4
+    lost = spark.read.option("recursiveFileLookup", "true").json(f"{tmp_path}/undelivered")
+    assert (lost.count(), spark.read.parquet(f"{tmp_path}/lake").count()) == (3, 2)
+
+
+def test_live_series_as_a_stream(spark, tmp_path):
+    write(spark, visits(7), tmp_path / "in")
+    jobs.start_series(stream(spark, tmp_path / "in"), str(tmp_path), "2 minutes", "1 minute", every=None).awaitTermination()
+    from clickweave.operators import live
+
+    got = sinks.KeyedTable(spark, f"{tmp_path}/tables/live-series").read()
+    columns = ["windowStart", "windowEnd", "activeUsers", "clicks", "events"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, live.metric_series(frame(spark, visits(7)), "2 minutes", "1 minute").select(*columns).collect()))
+
+
+def test_all_queries_stop_with_the_first(spark, tmp_path):
+    write(spark, visits(3), tmp_path / "in")
+    started = {name: stream(spark, tmp_path / "in").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/{name}") for name in "ab"}
+    spark.streams.resetTerminated()
+    running = {"a": started["a"].trigger(processingTime="1 second").start(), "b": started["b"].trigger(availableNow=True).start()}
+    jobs.run_until_stopped(spark, running)
+    assert not any(q.isActive for q in running.values())
+    spark.streams.resetTerminated()
+
+
+def test_listener_keeps_the_last_reports():
+    assert jobs.ProgressListener(keep=5).rows.maxlen == 5
+
+
+def test_kafka_options():
+    """What is handed to Spark's Kafka source, whose package isn't here."""
+
+    class Reader:
+        def __init__(self):
+            self.seen = {}
+
+        def format(self, name):
+            self.seen["format"] = name
+            return self
+
+        def option(self, key, value):
+            self.seen[key] = value
+            return self
+
+        def options(self, **more):
+            self.seen |= more
+            return self
+
+        def load(self):
+            return self
+
+        def selectExpr(self, *columns):
+            return self.seen | {"columns": columns}
+
+    class Session:
+        readStream = Reader()
+
+    got = sources.kafka_events(Session(), "k:9092", "events", "latest", maxOffsetsPerTrigger="1000")
+    assert got == {"format": "kafka", "kafka.bootstrap.servers": "k:9092", "subscribe": "events", "startingOffsets": "latest", "failOnDataLoss": "false", "maxOffsetsPerTrigger": "1000", "columns": ("CAST(key AS STRING) AS key", "CAST(value AS STRING) AS value")}
+
+
+def test_snapshots_and_lookups_are_pruned(spark, tmp_path):
+    from clickweave.operators import curated, live
+
+    frame(spark, visits(4)).write.parquet(str(tmp_path / "ev"))
+    ev = spark.read.parquet(str(tmp_path / "ev"))
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in live.live_snapshot(ev, T0)._jdf.queryExecution().toString()
+    maintenance.write_for_lookup(sessions.session_aggregates(frame(spark, visits(4))), str(tmp_path / "s"), "userId")
+    table = spark.read.parquet(str(tmp_path / "s"))
+    plan = spark._jvm.PythonSQLUtils.explainString(curated.sessions(table, "u", "2024-01-01", "2024-01-02")._jdf.queryExecution(), "formatted")
+    assert "EqualTo(userId,u)" in plan
+    assert "PartitionFilters: [isnotnull(date" in plan
+    assert curated.sessions(table, "u", "2024-01-01", "2024-01-02").count() == 1
+
+
 def test_archive_reading_retention_and_compaction(spark, tmp_path):
     path = str(tmp_path / "lake")
     rows = [row(f"e{k}", "u", "s", "PAGE_VIEW", "/", at) for k, at in enumerate((59 * MIN, 61 * MIN, 25 * 60 * MIN))]

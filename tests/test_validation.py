@@ -54,6 +54,15 @@ CASES = [
     ({"referrerUrl": "ftp://example.com/x"}, ["referrerUrl must use http or https"]),
     ({"referrerUrl": ""}, []),
     ({"eventId": "x" * 256}, ["eventId is longer than 255"]),
+    ({"eventId": "x" * 255}, []),
+    ({"userId": "x" * 256}, ["userId is longer than 255"]),
+    ({"sessionId": "x" * 256}, ["sessionId is longer than 255"]),
+    ({"referrerUrl": "https://e.com/" + "x" * 2048}, ["referrerUrl is longer than 2048"]),
+    ({"targetElement": "x" * 513}, ["targetElement is longer than 512"]),
+    ({"userAgent": "x" * 8193}, ["userAgent is longer than 8192"]),
+    ({"metadata": meta(elementText="x" * 1025)}, ["elementText is longer than 1024"]),
+    ({"pageUrl": "https://e.com/?q=javascript:x"}, ["pageUrl holds markup or script"]),
+    ({"metadata": meta(elementText="a <iframe src=x>")}, ["elementText holds markup or script"]),
     ({"pageUrl": "https://e.com/" + "x" * 2048}, ["pageUrl is longer than 2048"]),
     ({"eventId": None, "timestamp": 0, "eventType": "SCROLL"}, ["eventId is required", "timestamp must be positive", "SCROLL needs scrollDepth"]),
 ]
