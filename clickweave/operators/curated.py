@@ -65,8 +65,13 @@ def session_counts(df: DataFrame, user_id: str | None = None) -> DataFrame:
     return sessions(df, user_id).agg(F.count("*").alias("n"))
 
 
+def counts_by(df: DataFrame, column: str) -> DataFrame:
+    """Rows of every value of a column, as of sessions by user or events by type."""
+    return df.groupBy(column).agg(F.count("*").alias("n"))
+
+
 def counts_by_user(df: DataFrame) -> DataFrame:
-    return df.groupBy("userId").agg(F.count("*").alias("n"))
+    return counts_by(df, "userId")
 
 
 def long_sessions(df: DataFrame, min_ms: int) -> DataFrame:

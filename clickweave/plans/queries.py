@@ -523,7 +523,7 @@ def a12_sessions_by_user(spark, sf_dir):
 
 @query("a13_events_by_type", f"WITH {EV} SELECT eventType, count(*) AS n FROM ev GROUP BY eventType")
 def a13_events_by_type(spark, sf_dir):
-    return all_events(spark, sf_dir).groupBy("eventType").agg(F.count("*").alias("n"))
+    return curated.counts_by(all_events(spark, sf_dir), "eventType")
 
 
 def _top(name: str, column: str, kind: str | None) -> None:

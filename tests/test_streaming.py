@@ -300,6 +300,64 @@ def test_listener_keeps_the_last_reports():
     assert jobs.ProgressListener(keep=5).rows.maxlen == 5
 
 
+def test_a_query_that_falls_behind_is_reported(caplog):
+    class Progress:
+        name, runId, batchId, timestamp, durationMs, stateOperators = "q", "r", 10, "2024-01-01T00:00:00.000Z", {"triggerExecution": 5}, []
+        numInputRows, inputRowsPerSecond, processedRowsPerSecond = 100, 160.0, 100.0
+        sources = [type("Source", (), {"metrics": {"maxOffsetsBehindLatest": "1500"}})]
+
+    class Event:
+        progress = Progress
+
+    listener = jobs.ProgressListener()
+    with caplog.at_level("INFO"):
+        listener.onQueryProgress(Event)
+        Progress.inputRowsPerSecond = 149.0
+        listener.onQueryProgress(Event)
+    assert [r.levelname for r in caplog.records if "rows/s" in r.getMessage()] == ["WARNING"]
+    assert sum('"batchId": 10' in r.getMessage() for r in caplog.records) == 2
+    assert [r["lag"] for r in listener.rows] == [1500, 1500]
+
+
+def test_lag_above_a_limit(spark):
+    rows = [("a", "r", 0, "2024-01-01T00:00:00.000Z", 5, 1.0, 1.0, 9, 0, 999), ("b", "r", 0, "2024-01-01T00:00:00.000Z", 5, 1.0, 1.0, 9, 0, 1001)]
+    assert [r.name for r in jobs.over_lag(spark.createDataFrame(rows, jobs.PROGRESS)).collect()] == ["b"]
+
+
+def test_streamed_duplicates_are_dropped_within_the_watermark(spark, tmp_path):
+    from clickweave.functions import scrub
+
+    for rows in (visits(3), visits(4)):
+        write(spark, rows, tmp_path / "in")
+        out = scrub.deduplicate(sources.with_watermark(stream(spark, tmp_path / "in"))).select("eventId").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check")
+        out.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.eventId for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(r["eventId"] for r in visits(4))
+
+
+def test_published_messages(spark, monkeypatch):
+    """What is handed to Spark's Kafka sink, whose package isn't here."""
+    seen = {}
+
+    class Writer:
+        def format(self, name):
+            seen["format"] = name
+            return self
+
+        def option(self, key, value):
+            seen[key] = value
+            return self
+
+        def save(self):
+            seen["saved"] = True
+
+    df = frame(spark, visits(2))
+    messages = sinks.keyed_json(df)
+    monkeypatch.setattr(type(messages), "write", property(lambda self: Writer()))
+    sinks.publish(df, "k:9092", "events")
+    assert seen == {"format": "kafka", "kafka.bootstrap.servers": "k:9092", "topic": "events", "saved": True}
+    assert messages.columns == ["key", "value"]
+
+
 def test_kafka_options():
     """What is handed to Spark's Kafka source, whose package isn't here."""
 
