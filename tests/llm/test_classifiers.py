@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clickweave.llm.common import bounded_sample, sample_texts
 from clickweave.llm.ftrl import Ftrl, fit
-from clickweave.llm.langid import LangParams, by_language, has_letter, predict_langid, quotas, temperature, tfidf, train_langid
+from clickweave.llm.langid import LangModel, LangParams, by_language, has_letter, predict_langid, quotas, temperature, tfidf, train_langid
 from clickweave.llm.quality import QualityParams, features, score_quality, train_quality
 from clickweave.llm.queries import QUERIES
 from clickweave.llm.toxicity import ToxicityParams, buckets, score_toxicity, train_toxicity
@@ -88,6 +88,12 @@ def test_temperature_softens_overconfidence():
     assert temperature([0] * 10, z) < 0.5
 
 
+def test_ties_go_to_the_first_language_by_name(spark):
+    model = LangModel(["aa", "bb"], np.ones(1 << 16, np.float32), np.zeros(((1 << 16) + 1, 2), np.float32), 1.0)
+    got = predict_langid(spark.createDataFrame([(0, "some text"), (0, "some text")], "doc_id long, text string"), model).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("aa", 0.5)] * 2
+
+
 def test_features():
     idx, val = features("De De De de", 20)
     again, _ = features("Ti Ti Ti ti", 20)
