@@ -85,7 +85,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    scratch, docs, before = Scratch(spark), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(before)  # what the next stage has read whole
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
