@@ -104,7 +104,7 @@ def vector_pieces(vector: np.ndarray, pieces: int) -> Iterator[tuple[int, bytes]
 
 
 def add_pieces(parts: DataFrame, size: int, pieces: int = 32, fan_in: int = 32) -> np.ndarray:
-    """parts: piece, data, as of vector_pieces, of any number of int64 vectors of one size. Returns their sum.
+    """parts: a written table of piece, data, as of vector_pieces, of any number of int64 vectors of one size. Returns their sum.
 
     Pieces are added in levels of at most about fan_in inputs a group, so that no task's input grows with their number. Only
     the sum reaches the driver; its size is the parameter `size`, whatever the input.
@@ -117,7 +117,7 @@ def add_pieces(parts: DataFrame, size: int, pieces: int = 32, fan_in: int = 32)
             out = part.copy() if out is None else np.add(out, part, out=out)
         return pa.table({"piece": group["piece"][:1].cast(pa.int32()), "data": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
-    step, groups = -(-size // pieces), parts.rdd.getNumPartitions()
+    step, groups = -(-size // pieces), -(-parts.count() // pieces)
     while groups > 1:
         groups = -(-groups // fan_in)
         parts = parts.withColumn("_group", F.pmod(F.xxhash64("data"), F.lit(groups))).groupBy("piece", "_group").applyInArrow(total, "piece int, data binary")
@@ -135,4 +135,7 @@ def sum_vectors(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.nda
         for k, data in vector_pieces(fill(batches), pieces):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["piece", "data"])
 
-    return add_pieces(df.mapInArrow(partial, "piece int, data binary"), size, pieces)
+    scratch = Scratch(df.sparkSession)
+    out = add_pieces(scratch.save(df.mapInArrow(partial, "piece int, data binary"), "pieces"), size, pieces)
+    scratch.drop("pieces")
+    return out
