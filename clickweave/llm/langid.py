@@ -6,7 +6,8 @@ of each language's rows that didn't train, by least log-loss. Whole texts are sc
 
 A softmax always names some language it knows. What tells texts in none of them is how much of a text the model knows at all:
 `familiar`, the share of its squared TF-IDF length in n-grams that have a weight. The model's limit comes from the calibrating rows, which
-are text of the learned languages: half of the share that all but one in a hundred of them exceed, whatever the number of languages.
+are text of the learned languages: half of the share that all but one in a hundred of them exceed, whatever the number of languages. A text of n
+different n-grams is held to that limit less noise / sqrt(n) of it, since few n-grams say little either way.
 
 Edge cases: null text and text without a letter give `und` with score 0, as does a model that has seen no language; ties: of languages of
 equal probability the first by name; texts of any length are scored whole; rows with null lang don't train; repeated rows are scored each; empty
@@ -30,13 +31,14 @@ from .textnum import char_ngrams, few_rows
 @dataclass(frozen=True)
 class LangParams:
     """sizes: characters of the n-grams; sample_rows: the most documents that train and calibrate; calibrate: the share of them that calibrates;
-    familiar: the limit of familiarity as a share of the calibrating rows' first percentile; max_langs bounds the model's classes."""
+    familiar: the limit of familiarity as a share of the calibrating rows' first percentile; noise: how much lower it is for short texts; max_langs bounds the model's classes."""
 
     sizes: tuple[int, ...] = (1, 2, 3)
     bits: int = 16
     sample_rows: int = 12_000
     calibrate: float = 0.2
     familiar: float = 0.5
+    noise: float = 3.0
     max_langs: int = 256
     ftrl: Ftrl = Ftrl(alpha=0.3, l1=0.05, l2=1e-5, epochs=2)
 
@@ -170,7 +172,7 @@ def predict_langid(docs: DataFrame, model: LangModel, params: LangParams = LangP
                 best = int(e.argmax())
                 langs.append(m.langs[best])
                 scores[k] = e[best] / e.sum()
-                familiar[k] = (val[used[idx]] ** 2).sum() >= m.familiar
+                familiar[k] = (val[used[idx]] ** 2).sum() >= m.familiar * (1 - params.noise / np.sqrt(len(idx)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores), pa.array(familiar)], [*keep, *names])
 
     rows = docs.select(*(F.col(c) for c in keep if c != "text"), F.col("text").cast("string").alias("text"))

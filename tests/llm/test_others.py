@@ -455,14 +455,15 @@ def test_language_stage_drops_unlearned_text_only(spark):
     kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(other), "").select("doc_id").collect()}
     clean = {r.doc_id for r in docs.select("doc_id").collect()}
     assert not {i for i in kept if i < 0}
-    assert len(clean - kept) <= 0.002 * len(clean)
+    assert kept >= clean
     model = train_langid(docs)
     assert model.familiar > 0.2
     got = {r.doc_id: r for r in predict_langid(docs.unionByName(other), model).collect()}
     for r in [*docs.limit(200).collect(), *other.collect()]:  # once more, text by text
         if r.text and any(c.isalpha() for c in r.text):
             idx, val = tfidf(r.text, model.idf, LangParams())
-            assert got[r.doc_id].is_familiar == (sum(float(v) ** 2 for i, v in zip(idx, val, strict=True) if model.weights[i].any()) >= model.familiar)
+            share = sum(float(v) ** 2 for i, v in zip(idx, val, strict=True) if model.weights[i].any())
+            assert got[r.doc_id].is_familiar == (share >= model.familiar * (1 - 3 / math.sqrt(len(idx))))
 
 
 def test_near_duplicates_compares_rows_and_not_ids(spark):
