@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .textnum import few_rows
+from .textnum import few_rows, give_back
 
 
 @dataclass(frozen=True)
@@ -225,6 +225,7 @@ def pack_documents(docs: DataFrame, params: PackParams = PackParams()) -> DataFr
         group = group.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         sequence, offset = pack(group["length"].to_numpy(), params)
         out = group.drop_columns(["_block"]).append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 40)))
+        give_back()
         return out.append_column("offset", pa.array(offset))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

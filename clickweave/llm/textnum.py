@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,12 +53,20 @@ SIGNS = WHITE.copy()
 SIGNS[[b for b in range(0x21, 0x7F) if not (chr(b).isalnum() or b == ord("_"))]] = 2
 
 
+def give_back() -> None:
+    """Returns a worker's unused memory to the system: workers stay for later tasks, and the C library keeps what numpy has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches of fewer rows, so that what a task makes of a batch stays small; workers are used again, so memory is given back at the end."""
+    """Batches of fewer rows, so that what a task makes of a batch stays small; memory is given back at the end."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
