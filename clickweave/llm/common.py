@@ -82,12 +82,6 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 7, total: int
     return df.filter(F.col("_u") < 1.1 * rows / total).orderBy("_u", key).limit(rows)
 
 
-def sample_texts(texts: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """texts of a bounded sample of labels (with _u, as of bounded_sample), `rows` at most: a doc_id that repeats among the texts doesn't exceed the bound."""
-    joined = join_on_key(texts, labels, "doc_id", small_rows=rows)
-    return joined.orderBy("_u", "doc_id", F.xxhash64("text")).limit(rows)
-
-
 def join_on_key(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", small_rows: int | None = None) -> DataFrame:
     """Joins with a narrow table: broadcast if its counted rows fit MAX_BROADCAST_ROWS, else a shuffle join (AQE splits skew)."""
     small_rows = small.count() if small_rows is None else small_rows

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import few_rows
+from .textnum import few_rows, give_back
 
 
 @dataclass(frozen=True)
@@ -57,8 +57,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, classes: int,
     return out, (n > 0).any(1)
 
 
-def train(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]], size: int, classes: int, how: Ftrl) -> np.ndarray:
-    """sample: columns _u (order), text, y (class number); bounded by the caller. Returns float32 weights as of fit()."""
+def featurised(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]], how: Ftrl, most: int | None = None) -> DataFrame:
+    """shard, u, y and features (idx, val) of the rows of a sample that have a class; of more than `most` those first by hash, made where the texts are read."""
 
     def featurise(batches: Iterator[pa.RecordBatch]):
         for batch in few_rows(batches):
@@ -70,15 +70,24 @@ def train(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndar
             shard = pa.array([int(x * 1e9) % how.shards for x in u.to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([shard, u, ys.cast(pa.int32()), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["shard", "u", "y", "idx", "val"])
 
+    some = sample.select("_u", "text", F.col("y").cast("int").alias("y")).filter(F.col("y").isNotNull())
+    rows = some.mapInArrow(featurise, "shard int, u double, y int, idx binary, val binary")
+    return rows if most is None else rows.orderBy("u", "y", F.xxhash64("idx", "val")).limit(most)
+
+
+def train(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]], size: int, classes: int, how: Ftrl, most: int | None = None) -> np.ndarray:
+    """sample: columns _u (order), text, y (class number); bounded by the caller or by `most`. Returns float32 weights as of fit()."""
+
     def shard(group: pa.Table) -> pa.Table:
         group = group.sort_by([("u", "ascending")])
         rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for i, v, y in zip(group["idx"].to_pylist(), group["val"].to_pylist(), group["y"].to_pylist(), strict=True)]
         w, met = fit(rows, size, classes, how)
         keep, w = np.flatnonzero(met).astype(np.int32), w.astype(np.float32)
+        del rows, group
+        give_back()
         return pa.table({"at": pa.array([keep.tobytes()], pa.binary()), "w": pa.array([w[keep].tobytes()], pa.binary())})
 
-    some = sample.select("_u", "text", F.col("y").cast("int").alias("y")).filter(F.col("y").isNotNull())
-    parts = some.mapInArrow(featurise, "shard int, u double, y int, idx binary, val binary").groupBy("shard").applyInArrow(shard, "at binary, w binary").collect()
+    parts = featurised(sample, features, how, most).groupBy("shard").applyInArrow(shard, "at binary, w binary").collect()
     out, met = np.zeros((size + 1, classes), np.float64), np.zeros((size + 1, 1))
     for p in parts:
         at = np.frombuffer(p.at, np.int32)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, sample_texts
+from .common import bounded_sample, join_on_key
 from .ftrl import Ftrl, train
 from .textnum import SIGNS, few_rows, mix, text_slices, word_hashes
 
@@ -57,8 +57,8 @@ def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> np.ndarray:
     """labels: doc_id, y (0 or 1). Returns weights of 2**bits buckets and, last, the bias."""
     labels = bounded_sample(labels.filter("y IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "y"), "doc_id", params.sample_rows)
-    sample = sample_texts(docs.select("doc_id", "text").filter("text IS NOT NULL"), labels, params.sample_rows)
-    return train(sample, lambda t: features(t, params.bits), 1 << params.bits, 1, params.ftrl)[:, 0]
+    sample = join_on_key(docs.select("doc_id", "text").filter("text IS NOT NULL"), labels, "doc_id", small_rows=params.sample_rows)
+    return train(sample, lambda t: features(t, params.bits), 1 << params.bits, 1, params.ftrl, params.sample_rows)[:, 0]
 
 
 def score_quality(docs: DataFrame, model: np.ndarray, params: QualityParams = QualityParams()) -> DataFrame:

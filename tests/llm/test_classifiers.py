@@ -7,8 +7,8 @@ import pytest
 from compare import DATA
 from pyspark.sql import functions as F
 
-from clickweave.llm.common import bounded_sample, sample_texts
-from clickweave.llm.ftrl import Ftrl, fit
+from clickweave.llm.common import bounded_sample, join_on_key
+from clickweave.llm.ftrl import Ftrl, featurised, fit
 from clickweave.llm.langid import LangModel, LangParams, by_language, has_letter, predict_langid, quotas, temperature, tfidf, train_langid
 from clickweave.llm.quality import QualityParams, features, score_quality, train_quality
 from clickweave.llm.queries import QUERIES
@@ -49,7 +49,9 @@ def test_language_on_held_out_rows(spark):
 def test_repeated_ids_stay_within_the_bound(spark):
     texts = spark.range(0, 4000).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text")
     labels = bounded_sample(spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, y int"), "doc_id", 50)
-    assert sample_texts(texts, labels, 50).count() == 50
+    rows = featurised(join_on_key(texts, labels, "doc_id"), lambda t: features(t, 12), Ftrl(shards=1), 50)
+    assert rows.count() == 50
+    assert sorted(map(str, rows.collect())) == sorted(map(str, rows.collect()))
 
 
 def test_ftrl_separates_and_l1_prunes():
