@@ -14,9 +14,12 @@ from .jaccard import JaccardParams, link_documents
 from .langid import predict_langid, train_langid
 from .mixing import MixParams, replicate
 from .packing import pack_documents
+from .prefix_free import remove_repeats
 from .quality import score_quality, train_quality
+from .runs import find_runs, repeat_words
 from .secrets import labelled_samples, scan, train_markov
 from .toxicity import score_toxicity, train_toxicity
+from .variants import VariantParams, count_words, group_variants, word_runs
 from .warc import originals, page_records, read_archives, resolve, write_archives
 
 
@@ -85,6 +88,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, by hash, have their words repeated first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return find_runs(docs.withColumn("text", F.when(h % 10 == 0, repeat_words(F.col("text"), F.floor(h / 10))).otherwise(F.col("text"))))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One in 31 of the words of a document, by hash, lacks a letter."""
+    params = VariantParams()
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(word_runs(F.col("text"), params.min_length)).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    at = (h % F.length("run")).cast("int")
+    misspelt = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return group_variants(count_words(runs.select(F.when(h % 31 == 0, misspelt).otherwise(F.col("run")).alias("word")), params), params)
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -96,7 +120,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_host_rules": op9_host_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_runs": op11_runs,
+    "op12_variants": op12_variants,
+    "op13_repeats": op13_repeats,
 }
+
+
+def _crc32(hex_text: str) -> str:
+    """SQL of the unsigned crc32 of bytes given as a text of hexadecimal digits."""
+    byte = f"('0x' || substr({hex_text}, 2 * i + 1, 2))::BIGINT"
+    bits = f"flatten(list_transform(range(0, length({hex_text}) // 2), lambda i: list_transform(range(0, 8), lambda k: ({byte} >> k) & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {bits}), lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)))"
+
+
 _REACH = """
 both_ways AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
 reach(node, low) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT both_ways.b, reach.low FROM reach JOIN both_ways ON both_ways.a = reach.node),
@@ -160,4 +196,49 @@ spread AS (SELECT m, (ff - n * m * m - m * (1 - m) * (k - 1)) / n AS v FROM mome
 prior AS (SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS strength FROM spread)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AND NOT (rate > m * (1 + 1e-9) AND 100 * n_symbols > 10 * n_words) AS kept
 FROM base JOIN (SELECT host, m, (f + m * strength) / (n + strength) AS rate FROM hosts, prior) USING (host)""",
+    "op11_runs": rf"""
+WITH base AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {_crc32("hex(encode(coalesce(doc_id::VARCHAR, '')))")} AS h FROM documents),
+planted AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM base),
+words AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) END AS ws FROM planted),
+grams AS (SELECT r, i, ws[i + 1:i + 8] AS g FROM (SELECT r, ws, unnest(range(0, len(ws) - 7)) AS i FROM words WHERE len(ws) >= 24)),
+twice AS (SELECT r, i, g FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+lags AS (SELECT x.r, x.i, y.i - x.i AS q FROM twice x JOIN twice y ON x.r = y.r AND x.g = y.g AND x.i < y.i),
+islands AS (SELECT r, q, min(i) AS s, max(i) + 8 - min(i) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM lags) GROUP BY r, q, k HAVING max(i) + 8 - min(i) + q >= greatest(24, 3 * q)),
+found AS (SELECT * FROM islands x WHERE NOT EXISTS (FROM islands y WHERE y.r = x.r AND y.q < x.q AND x.q % y.q = 0 AND y.s <= x.s AND y.s + y.len >= x.s + x.len)),
+per_row AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM found GROUP BY r),
+best AS (SELECT r, s, len, q FROM found x WHERE NOT EXISTS (FROM found y WHERE y.r = x.r AND (y.len * x.q > x.len * y.q OR (y.len * x.q = x.len * y.q AND (y.s < x.s OR (y.s = x.s AND y.q < x.q)))))),
+dropped AS (SELECT DISTINCT r, unnest(range(s + q, s + len)) AS i FROM found),
+gone AS (SELECT r, list(i) AS gone FROM dropped GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(range(0, n), lambda i: NOT list_contains(gone, i)), lambda i: ws[i + 1]) END, ' ')) AS collapsed_sha256
+FROM words LEFT JOIN per_row USING (r) LEFT JOIN best USING (r) LEFT JOIN gone USING (r)""",
+    "op12_variants": rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT *, {_crc32("hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run))")} AS h FROM counted),
+spelt AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+vocabulary AS (SELECT word, sum(k)::BIGINT AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary),
+shorter AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM places),
+holed AS (SELECT word, n, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS hole FROM places),
+pairs AS (SELECT s.word AS a, s.n AS an, v.word AS b, v.n AS bn FROM shorter s JOIN vocabulary v ON v.word = s.less
+  UNION ALL SELECT v.word, v.n, s.word, s.n FROM shorter s JOIN vocabulary v ON v.word = s.less
+  UNION ALL SELECT x.word, x.n, y.word, y.n FROM holed x JOIN holed y ON x.hole = y.hole AND x.i = y.i AND x.word <> y.word),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY bn DESC, encode(b)) AS place, count(*) OVER (PARTITION BY a) AS n_near FROM pairs),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 10 * n THEN b END AS form, CASE WHEN bn >= 10 * n THEN bn END AS form_n FROM vocabulary LEFT JOIN ranked ON a = word AND place = 1),
+chain(word, reached) AS (SELECT word, word FROM forms UNION ALL SELECT chain.word, f.form FROM chain JOIN forms f ON f.word = chain.reached WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, reached AS root FROM chain JOIN forms f ON f.word = reached WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)""",
+    "op13_repeats": """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS d, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+windows AS (SELECT r, d, i, substr(hx, 2 * i + 1, 100) AS s FROM (SELECT r, d, hx, unnest(range(0, length(hx) // 2 - 49)) AS i FROM texts)),
+firsts AS (SELECT r, d, i, min(d) OVER (PARTITION BY s) AS f FROM windows),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM firsts WHERE f < d),
+numbered AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM hit),
+spans AS (SELECT r, k, min(i) AS s, max(i) + 50 AS e FROM numbered GROUP BY r, k),
+edges AS (SELECT r, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM spans GROUP BY r)
+SELECT doc_id, length(hx) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN ss IS NULL THEN hx ELSE array_to_string(list_transform(range(0, len(ss) + 1),
+    lambda j: substr(hx, 1 + 2 * CASE WHEN j = 0 THEN 0 ELSE es[j] END, 2 * (CASE WHEN j = len(ss) THEN length(hx) // 2 ELSE ss[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE es[j] END))), '') END)) AS kept_sha256
+FROM texts LEFT JOIN edges USING (r)""",
 }
