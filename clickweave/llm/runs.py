@@ -193,6 +193,7 @@ def repeat_words(text, seed):
         return F.array_join(F.transform(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.get(ws, at(i).cast("int"))), " ")
 
     n = lambda s: F.size(s["words"]).cast("long")
-    with_a = F.transform(F.array(F.struct(words.alias("words"))), lambda s: F.struct(s["words"].alias("words"), (seed % n(s)).alias("a")))
+    held = F.filter(F.array(F.struct(words.alias("words"))), lambda s: F.size(s["words"]) > 0)
+    with_a = F.transform(held, lambda s: F.struct(s["words"].alias("words"), (seed % n(s)).alias("a")))
     with_p = F.transform(with_a, lambda s: F.struct(s["words"].alias("words"), s["a"].alias("a"), (1 + F.floor((n(s) - s["a"]) / (3 + seed % 8))).cast("long").alias("p")))
-    return F.get(F.transform(F.filter(with_p, lambda s: F.size(s["words"]) > 0), repeated), 0)
+    return F.get(F.transform(with_p, repeated), 0)
