@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, Scratch
+from .common import Scratch
 from .textnum import _VALUES, _Tables, few_rows, mix, text_slices
 
 _M = np.uint64
@@ -43,8 +43,7 @@ _LAST = (1 << 63) - 1
 @dataclass(frozen=True)
 class ParseParams:
     """length: of the strings; gram: of triggers; bucket_bytes: text for each exchange group; block_bytes: text that is settled before the exchange; hot: phrases of
-    a trigger in a block from which on it is dealt by phrase; group: the same in an exchange group; piece: bytes of a long text worked on at once;
-    broadcast_bytes: of packed spans that may be broadcast."""
+    a trigger in a block from which on it is dealt by phrase; group: the same in an exchange group; piece: bytes of a long text worked on at once."""
 
     length: int = 50
     gram: int = 20
@@ -53,7 +52,6 @@ class ParseParams:
     hot: int = 16
     group: int = 64
     piece: int = 2 << 20
-    broadcast_bytes: int = 32 << 20
 
     def __post_init__(self):
         if not 8 <= self.gram <= self.length:
@@ -196,6 +194,7 @@ def _span_rows(row: np.ndarray, start: np.ndarray, end: np.ndarray, homes: int)
 _SPAN = ("<i8", "<i8", "<i8")
 _PHRASE = ("5", "<u8", "<i8", "<i8", "<u4", "<u4")
 _CANDIDATE = ("<u8", "<i8", "<i8", "<u4", "<u4", "<u1")
+_WANTED = np.dtype([("key", "<u8"), ("start", "<u4"), ("windows", "<u4"), ("hot", "<u1")])
 
 
 # --- the steps ---------------------------------------------------------------------------------------------------------------
@@ -282,11 +281,15 @@ def _dictionary(parsed: DataFrame, buckets: int, params: ParseParams) -> DataFra
 
 
 def _by_row(phrases_: DataFrame) -> DataFrame:
-    """Returns row, data: the phrases of each row to be compared, packed."""
+    """Returns row, data: the phrases of each row to be compared, packed as _WANTED."""
 
     def regroup(group: pa.Table) -> pa.Table:
         key, doc, row, start, windows, hot = unpack(group["data"].to_pylist(), *_CANDIDATE)
-        return _rows(["row", "data"], [(r, pack(key[at], doc[at], row[at], start[at], windows[at], hot[at])) for r, at in _groups(row)])
+        order = np.argsort(row, kind="stable")
+        held = np.empty(len(row), _WANTED)
+        held["key"], held["start"], held["windows"], held["hot"] = key[order], start[order], windows[order], hot[order]
+        rows, first = np.unique(row[order], return_index=True)
+        return _rows(["row", "data"], [(r, part.tobytes()) for r, part in zip(rows.tolist(), np.split(held, first[1:]), strict=True)] if len(rows) else [])
 
     return phrases_.groupBy("home").applyInArrow(regroup, "row long, data binary")
 
@@ -301,68 +304,68 @@ def _big_endian(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches' numbers and the places in them, one after the other."""
+    which = np.repeat(np.arange(len(start)), size)
+    return which, start[which] + np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+
+
 def _suffixes(found: DataFrame, buckets: int, params: ParseParams) -> DataFrame:
-    """found: text, data (phrases of the row). Returns home, data: the covered spans."""
+    """found: row, doc, text, data (phrases of the row). Returns home, data: the covered spans."""
     length, places = params.length, [*range(0, params.length - 8, 8), params.length - 8]
 
-    def windows_of(start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The phrase and the place of every window."""
-        which = np.repeat(np.arange(len(start)), windows)
-        return which, start[which] + np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-
-    def flush(cold: list[tuple], hot: list[tuple]) -> Iterator[pa.RecordBatch]:
-        out = []
-        if cold:
-            key, doc, row, start, windows, texts = [np.concatenate(a) for a in zip(*(c[:5] for c in cold), strict=True)] + [[t for c in cold for t in c[5]]]
-            for bucket, at in _groups(((mix(key) >> _M(8)) % _M(buckets)).astype(np.int64)):
-                head = pack(key[at], doc[at], row[at], start[at].astype("<u4"), windows[at].astype("<u4"))
-                out.append((bucket, len(at).to_bytes(4, "little") + head + b"".join(texts[i] for i in at.tolist())))
-        if hot:
-            key, one, two, doc, row, place = (np.concatenate(a) for a in zip(*hot, strict=True))
-            number, later = classes([key, one, two], doc)
-            out += [(-1 - home, data) for home, data in _span_rows(row[later], place[later], place[later] + length, buckets)]
-            for bucket, at in _groups(np.where(later, -1, ((one >> _M(8)) % _M(buckets)).astype(np.int64))):
+    def exchange(data: np.ndarray, at: np.ndarray, doc: np.ndarray, row: np.ndarray, wanted: np.ndarray) -> list[tuple[int, bytes]]:
+        """Phrases that begin at `at` in the data: cold ones whole by trigger, of hot ones the suffixes by their hashes."""
+        out, key, start, windows = [], wanted["key"], wanted["start"], wanted["windows"].astype(np.int64)
+        cold, hot = np.flatnonzero(wanted["hot"] == 0), np.flatnonzero(wanted["hot"])
+        for bucket, k in _groups(((mix(key[cold]) >> _M(8)) % _M(buckets)).astype(np.int64)):
+            k = cold[k]
+            head = pack(key[k], doc[k], row[k], start[k], windows[k].astype("<u4"))
+            out.append((bucket, len(k).to_bytes(4, "little") + head + data[_spread(at[k], windows[k] + length - 1)[1]].tobytes()))
+        if len(hot):
+            _, bytes_at = _spread(at[hot], windows[hot] + length - 1)
+            part = data[bytes_at]
+            sums, down = _sums(part)
+            sizes = windows[hot] + length - 1
+            which, s = _spread(np.cumsum(sizes) - sizes, windows[hot])
+            one, words, two = mix((sums[s + length] - sums[s]) * down[s]), _big_endian(part), np.zeros(len(s), np.uint64)
+            for p in places:
+                two = mix(two * _C + words[s + p])
+            place = start[hot][which].astype(np.int64) + s - (np.cumsum(sizes) - sizes)[which]
+            doc, row = doc[hot][which], row[hot][which]
+            _, later = classes([one, two], doc)
+            out += [(-1 - home, spans) for home, spans in _span_rows(row[later], place[later], place[later] + length, buckets)]
+            for bucket, k in _groups(np.where(later, -1, ((one >> _M(8)) % _M(buckets)).astype(np.int64))):
                 if bucket >= 0:
-                    out.append((buckets + bucket, pack(key[at], one[at], two[at], doc[at], row[at], place[at].astype("<u4"))))
-        if out:
-            yield _rows(["bucket", "data"], out).to_batches()[0]
+                    out.append((buckets + bucket, pack(one[k], two[k], doc[k], row[k], place[k].astype("<u4"))))
+        return out
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cold, hot, size = [], [], 0
         for batch in few_rows(batches):
-            for text, packed in zip(batch.column(0), batch.column(1), strict=True):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                key, doc, row, start, windows, is_hot = unpack([packed.as_py()], *_CANDIDATE)
-                start, windows = start.astype(np.int64), windows.astype(np.int64)
-                at = np.flatnonzero(is_hot == 0)
-                if len(at):
-                    cold.append((key[at], doc[at], row[at], start[at], windows[at], [data[s : s + n + length - 1] for s, n in zip(start[at].tolist(), windows[at].tolist(), strict=True)]))
-                    size += int(windows[at].sum()) + length * len(at)
-                for k in np.flatnonzero(is_hot).tolist():
-                    for s in range(int(start[k]), int(start[k] + windows[k]), params.piece):
-                        part = np.frombuffer(data, np.uint8)[s : min(s + params.piece, int(start[k] + windows[k])) + length - 1]
-                        sums, down = _sums(part)
-                        n = len(part) - length + 1
-                        one = mix((sums[length:] - sums[:-length]) * down[:n])
-                        words = _big_endian(part)
-                        two = np.zeros(n, np.uint64)
-                        for p in places:
-                            two = mix(two * _C + words[p : p + n])
-                        full = lambda v, t=np.uint64: np.full(n, v, t)  # noqa: E731, B023
-                        hot.append((full(0), one, two, full(doc[k], np.int64), full(row[k], np.int64), s + np.arange(n)))
-                        size += 40 * n
-                if size >= params.block_bytes:
-                    yield from flush(cold, hot)
-                    cold, hot, size = [], [], 0
-        yield from flush(cold, hot)
+            rows, docs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            packed = [d.as_py() for d in batch.column(3)]
+            for i, j, data, offsets in text_slices(batch, "text", params.block_bytes):
+                wanted = np.frombuffer(b"".join(packed[i:j]), _WANTED)
+                text = np.repeat(np.arange(i, j), [len(p) // _WANTED.itemsize for p in packed[i:j]])
+                if (wanted["windows"] > params.piece).any():  # phrases of one repeated pattern, in pieces
+                    pieces = -(-wanted["windows"].astype(np.int64) // params.piece)
+                    which, k = _spread(np.zeros(len(wanted), np.int64), pieces)
+                    wanted, text = wanted[which].copy(), text[which]
+                    wanted["windows"] = np.minimum(params.piece, wanted["windows"] - k * params.piece)
+                    wanted["start"] += (k * params.piece).astype("<u4")
+                at = offsets[text - i] + wanted["start"]
+                part = np.cumsum(wanted["windows"].astype(np.int64)) // params.piece
+                for lot in np.split(np.arange(len(wanted)), np.flatnonzero(np.diff(part)) + 1):
+                    if len(lot) and (out := exchange(data, at[lot], docs[text[lot]], rows[text[lot]], wanted[lot])):
+                        yield _rows(["bucket", "data"], out).to_batches()[0]
 
     def order(group: pa.Table) -> pa.Table:
         bucket, packed = group["bucket"][0].as_py(), group["data"].to_pylist()
         if bucket < 0:
             return _rows(["home", "data"], _span_rows(*unpack(packed, *_SPAN), buckets))
         if bucket >= buckets:
-            key, one, two, doc, row, place = unpack(packed, "<u8", "<u8", "<u8", "<i8", "<i8", "<u4")
-            _, later = classes([key, one, two], doc)
+            one, two, doc, row, place = unpack(packed, "<u8", "<u8", "<i8", "<i8", "<u4")
+            _, later = classes([one, two], doc)
             place = place.astype(np.int64)
             return _rows(["home", "data"], _span_rows(row[later], place[later], place[later] + length, buckets))
         heads, texts = [], []
@@ -374,21 +377,20 @@ def _suffixes(found: DataFrame, buckets: int, params: ParseParams) -> DataFrame:
         start, windows = start.astype(np.int64), windows.astype(np.int64)
         words = _big_endian(np.frombuffer(b"".join(texts), np.uint8))
         sizes = windows + length - 1
-        which, at = windows_of(np.cumsum(sizes) - sizes, windows)
+        which, at = _spread(np.cumsum(sizes) - sizes, windows)
         # the suffix array of these phrases to `length` bytes: sorted by trigger, then by the bytes themselves
         _, later = classes([key[which], *(words[at + p] for p in places)], doc[which])
         which, at = which[later], at[later]
         place = start[which] + at - (np.cumsum(sizes) - sizes)[which]
         return _rows(["home", "data"], _span_rows(row[which], place, place + length, buckets))
 
-    exchanged = found.select("text", "data").mapInArrow(read, "bucket int, data binary")
+    exchanged = found.select("row", "doc", "text", "data").mapInArrow(read, "bucket int, data binary")
     return exchanged.groupBy("bucket").applyInArrow(order, "home int, data binary")
 
 
-def _join(docs: DataFrame, packed: DataFrame, how: str, params: ParseParams) -> DataFrame:
-    """Joins rows with their packed arrays: broadcast where rows and bytes are few, else a shuffle join."""
-    n, size = packed.agg(F.count("*"), F.coalesce(F.sum(F.length("data")), F.lit(0))).first()
-    return docs.join(F.broadcast(packed) if n <= MAX_BROADCAST_ROWS and size + 64 * n <= params.broadcast_bytes else packed, "row", how)
+def _join(docs: DataFrame, packed: DataFrame, how: str) -> DataFrame:
+    """Joins rows with their packed arrays, which grow with the texts: always a shuffle join."""
+    return docs.join(packed.hint("merge"), "row", how)
 
 
 def covered_spans(docs: DataFrame, scratch: Scratch, params: ParseParams = ParseParams()) -> DataFrame:
@@ -397,7 +399,7 @@ def covered_spans(docs: DataFrame, scratch: Scratch, params: ParseParams = Parse
     buckets = max(1, -(-total // params.bucket_bytes))
     settled = scratch.save(_dictionary(_parse(docs, buckets, params), buckets, params), "settled")
     wanted = scratch.save(_by_row(settled.filter("kind = 1").select("home", "data")), "wanted")
-    more = scratch.save(_suffixes(_join(docs, wanted, "inner", params), buckets, params), "more")
+    more = scratch.save(_suffixes(_join(docs, wanted, "inner"), buckets, params), "more")
 
     def merge(group: pa.Table) -> pa.Table:
         row, start, end = merge_spans(*unpack(group["data"].to_pylist(), *_SPAN))
@@ -435,4 +437,4 @@ def remove_repeats(docs: DataFrame, params: ParseParams = ParseParams(), texts:
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["kept", "spans"] if texts else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(types))], ["doc_id", *names])
 
-    return _join(rows, spans, "left", params).select("doc_id", "text", "data").mapInArrow(cut, schema)
+    return _join(rows, spans, "left").select("doc_id", "text", "data").mapInArrow(cut, schema)
