@@ -39,7 +39,8 @@ _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * _M(0xD6E8FEB86659FD93))
 @dataclass(frozen=True)
 class VariantParams:
     """Words of min_length letters and min_count occurrences count; a form must occur `ratio` times as often. bits: of the filter, for each
-    word (four are set); part_words: words of a part of a shard; pass_bytes: parts that are broadcast at once; edits: generated at once in a task."""
+    word (four are set); part_words: words of a part of a shard; pass_bytes: parts that are broadcast at once; task_words: words whose edits one task probes, for they are
+    small beside the work on them; edits: generated at once in a task."""
 
     min_length: int = 7
     min_count: int = 2
@@ -47,6 +48,7 @@ class VariantParams:
     bits: int = 16
     part_words: int = 500_000
     pass_bytes: int = 32 << 20
+    task_words: int = 50_000
     edits: int = 1 << 20
 
 
@@ -254,10 +256,11 @@ def near_pairs(vocabulary: DataFrame, scratch: Scratch, params: VariantParams =
     plan, pairs = shard_plan(sizes, params), None
     # replacements need words of their own length, deletions a shorter one
     filters = scratch.save(build_filters(vocabulary, plan), "filters")
+    dealt = vocabulary.select("word").repartition(max(1, -(-sum(sizes.values()) // params.task_words)), "word")
     other, source = vocabulary.select(F.col("word").alias("edit"), F.col("n").alias("near_n")), vocabulary.select("word", "n")
     for k, chosen in enumerate(_passes(filters, params.pass_bytes)):
         held = held_parts(filters, chosen)
-        found = probe(vocabulary, held, chosen, plan, "".join(sorted(letters)), params)
+        found = probe(dealt, held, chosen, plan, "".join(sorted(letters)), params)
         part = scratch.save(found.join(other, "edit").join(source, "word").select("word", "n", F.col("edit").alias("near"), "near_n"), f"pairs-{k}")
         held.unpersist()
         pairs = part if pairs is None else pairs.union(part)
