@@ -45,6 +45,17 @@ def page_of(df: DataFrame, page: int = 0, size: int = DEFAULT_SIZE) -> DataFrame
     return newest(df).offset(page * size).limit(size)
 
 
+def page_after(df: DataFrame, after: tuple[datetime.datetime, str] | None = None, size: int = DEFAULT_SIZE) -> DataFrame:
+    """The page that follows a row (its windowStart and _compositeKey), newest first: as page_of, without sorting the pages before it. Folders of later days aren't read."""
+    check_page(0, size)
+    if after is not None:
+        start, key = F.lit(after[0]).cast("timestamp"), after[1]
+        if "date" in df.columns:
+            df = df.filter(F.col("date") <= F.to_date(start))
+        df = df.filter((F.col("windowStart") <= start) & ((F.col("windowStart") < start) | (F.col("_compositeKey") > key)))
+    return newest(df).limit(size)
+
+
 def envelope(df: DataFrame, page: int = 0, size: int = DEFAULT_SIZE) -> DataFrame:
     """One row: page, size, totalElements, totalPages, hasNext, hasPrevious; a page after the last has correct totals."""
     check_page(page, size)

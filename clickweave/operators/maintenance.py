@@ -88,7 +88,32 @@ def key_skew(events: DataFrame, key: str, partitions: int = 6) -> DataFrame:
     return counts.join(F.broadcast(total), F.lit(True)).select("partition", "n", (F.col("n") * partitions / F.col("total")).alias("skew"))
 
 
+#: Ids that one broadcast may hold.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def hours_of(events: DataFrame, archive: DataFrame, most: int = 1000) -> DataFrame:
+    """The part of a lake that can hold these events: events are filed under their own hour, so only their hours' folders are read (beyond `most` hours all from
+    the first to the last)."""
+    if not set(PARTITIONS) <= set(archive.columns):
+        return archive
+    number = F.date_format("ts", "yyyyMMddHH").cast("int")
+    hours = sorted(r[0] for r in events.filter(F.col("ts").isNotNull()).select(number).distinct().limit(most + 1).collect())
+    at = sum((F.col(c).cast("int") * factor for c, factor in zip(PARTITIONS, (1_000_000, 10_000, 100, 1), strict=True)), F.lit(0))
+    if len(hours) > most:
+        first, last = events.agg(F.min(number), F.max(number)).first()
+        return archive.filter(at.between(first, last))
+    return archive.filter(at.isin(hours) if hours else F.lit(False))
+
+
 def reingest(quarantine: DataFrame, archive: DataFrame, as_of_ms: int) -> DataFrame:
-    """Quarantined events that are valid by now, once each, and that the archive doesn't hold yet."""
-    again = validate(quarantine.drop("errors", "batch_id"), as_of_ms).filter(F.size("errors") == 0).drop("errors")
-    return again.dropDuplicates(["eventId"]).join(archive.select("eventId"), "eventId", "left_anti")
+    """Quarantined events that are valid by now, once each, and that the archive doesn't hold yet.
+
+    Of a lake only the hours of these events are read, and of them only ids are kept that are asked for, where they are read; beyond MAX_BROADCAST_ROWS
+    events ids are shuffled instead.
+    """
+    again = validate(quarantine.drop("errors", "batch_id"), as_of_ms).filter(F.size("errors") == 0).drop("errors").dropDuplicates(["eventId"])
+    held = hours_of(again, archive).select("eventId")
+    if again.count() <= MAX_BROADCAST_ROWS:
+        held = held.join(F.broadcast(again.select("eventId")), "eventId", "left_semi")
+    return again.join(held, "eventId", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.events import interval
-from .sessions import composite_key, count_if, is_type, session_pages
+from .sessions import composite_key, count_if, duration_ms, is_bounce, is_type, session_pages
 
 
 def page_metrics(events: DataFrame, window: str = "5 minutes", exact: bool = True) -> DataFrame:
@@ -28,6 +28,19 @@ def bounce_rates(sessions: DataFrame, window: str = "5 minutes") -> DataFrame:
     return pages.agg(F.count("*").alias("sessions"), F.avg(F.col("bounced").cast("int")).alias("bounceRate")).select("pageUrl", F.col("window.start").alias("windowStart"), "sessions", "bounceRate")
 
 
+def closing_bounces(events: DataFrame, gap: str = "30 minutes", window: str = "5 minutes") -> DataFrame:
+    """Sessions and bounce rate of each page and the window in which they end, for streams (append mode) and batches.
+
+    Two steps with state in one query: sessions close when the watermark passes their gap, and their end is the event time by which the second counts
+    them, so a window is final once the watermark has passed it. (bounce_rates counts a session where it starts, which no stream can close.)
+    """
+    sessions = events.groupBy(F.session_window("ts", interval(gap)).alias("session"), "sessionId", "userId").agg(duration_ms().alias("durationMs"), F.collect_set("pageUrl").alias("uniquePages"))
+    visits = sessions.select("session", is_bounce().alias("bounced"), F.explode("uniquePages").alias("pageUrl"))
+    out = visits.groupBy(F.window(F.window_time("session"), interval(window)).alias("window"), "pageUrl").agg(F.count("*").alias("sessions"), F.avg(F.col("bounced").cast("int")).alias("bounceRate"))
+    out = out.select("pageUrl", F.col("window.start").alias("windowStart"), F.col("window.end").alias("windowEnd"), "sessions", "bounceRate")
+    return out.withColumn("_compositeKey", composite_key("pageUrl", "windowStart"))
+
+
 def page_metrics_with_bounces(events: DataFrame, sessions: DataFrame, window: str = "5 minutes", exact: bool = True) -> DataFrame:
     """Page metrics with bounceRate (0 where no session starts): sessions meet the window that holds their start by equality."""
     rates = bounce_rates(sessions, window).select("pageUrl", "windowStart", "bounceRate")

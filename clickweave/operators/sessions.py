@@ -28,6 +28,11 @@ def duration_ms(whole_seconds: bool = False) -> Column:
     return F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts"))
 
 
+def is_bounce() -> Column:
+    """One page and less than BOUNCE_MS."""
+    return (F.size("uniquePages") == 1) & (F.col("durationMs") < BOUNCE_MS)
+
+
 def browser(agent: Column) -> Column:
     """Family of a user agent."""
     return F.when(agent.contains("Edg/"), "Edge").when(agent.contains("Firefox/"), "Firefox").when(agent.contains("Chrome/"), "Chrome").when(agent.contains("Safari/"), "Safari").otherwise("Other")
@@ -56,7 +61,7 @@ def session_aggregates(events: DataFrame, gap: str = "30 minutes", whole_seconds
         *(more if extended else []),
     )
     out = grouped.withColumn("windowStart", F.col("window.start")).withColumn("windowEnd", F.col("window.end")).drop("window")
-    out = out.withColumn("bounced", (F.size("uniquePages") == 1) & (F.col("durationMs") < BOUNCE_MS)).withColumn("_compositeKey", composite_key("sessionId", "windowStart"))
+    out = out.withColumn("bounced", is_bounce()).withColumn("_compositeKey", composite_key("sessionId", "windowStart"))
     names = ["sessionId", "userId", "windowStart", "windowEnd", "durationMs", "pageViewCount", "clickCount", "scrollEvents", "uniquePages", "entryPage", "exitPage", "bounced", "_compositeKey"]
     return out.select(*names, *(["eventCount", "devices", "browsers"] if extended else []))
 

@@ -3,6 +3,7 @@ engine can compare them; the SQL beside each query is independent of the operato
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..functions import scrub, validation
 from ..operators import curated, funnel, journeys, live, maintenance, pages, sessions
 from ..sources import events as sources
 from ..sources.scratch import scratch_path
-from ..streaming import jobs, sinks
+from ..streaming import jobs, sinks, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,8 +146,6 @@ def io7_archive_hours(spark, sf_dir):
 @query("io11_archive_range", f"WITH {EV} SELECT eventType, count(*) AS n FROM ev WHERE ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts <= TIMESTAMP '2024-01-12 18:00:00' GROUP BY eventType")
 def io11_archive_range(spark, sf_dir):
     """Writes the lake by day and hour, reads a range of it with pruned folders, and counts by type."""
-    import datetime as dt
-
     path = scratch_path(spark, "lake")
     sinks.archive(all_events(spark, sf_dir), path)
     start, end = (dt.datetime(2024, 1, d, h, tzinfo=dt.UTC) for d, h in ((10, 6), (12, 18)))
@@ -692,8 +691,6 @@ def io10_reingest(spark, sf_dir):
 @query("m2_retention", f"WITH {EV} SELECT eventId FROM ev WHERE ts >= TIMESTAMP '2024-01-20 07:00:00'")
 def m2_retention(spark, sf_dir):
     """The lake without the hour folders before a cutoff."""
-    import datetime as dt
-
     path = scratch_path(spark, "lake")
     sinks.archive(all_events(spark, sf_dir), path)
     maintenance.drop_before(spark, path, dt.datetime(2024, 1, 20, 7))
@@ -826,3 +823,128 @@ def s_live_series(spark, sf_dir):
     root = scratch_path(spark, "stream")
     jobs.start_series(stream_events(spark, sf_dir), root, "1 hour", "30 minutes", every=None).awaitTermination()
     return flat(sinks.KeyedTable(spark, f"{root}/tables/live-series").read().select("windowStart", "windowEnd", "clicks", "events"))
+
+
+def live_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """Panes of an hour of the trailing days, kept by a stream, and the last hour that its watermark has passed."""
+    place, span = (spark.sparkContext.applicationId, sf_dir, "live-panes"), dt.timedelta(days=5)
+    if place not in _WRITTEN:
+        root = scratch_path(spark, "stream")
+        q = jobs.start_live(stream_events(spark, sf_dir), root, "1 hour", every=None)
+        q.awaitTermination()
+        _WRITTEN[place] = f"{root} {jobs.last_watermark(q).replace(minute=0, second=0, microsecond=0):%Y-%m-%dT%H:%M:%S}"
+    root, _, at = _WRITTEN[place].rpartition(" ")
+    as_of = dt.datetime.fromisoformat(at)
+    return sinks.KeyedTable(spark, f"{root}/tables/live-panes").between(as_of - span, as_of), F.lit(at).cast("timestamp")
+
+
+_MARK = f"WITH {EV}, mark AS (SELECT date_trunc('hour', max(ts) - INTERVAL 10 minutes) AS t FROM va)"
+
+
+@query("s_live_trending", f"{_MARK} SELECT pageUrl, count(*)::INT AS viewCount FROM va, mark WHERE ts < t AND ts >= t - INTERVAL 2 days GROUP BY pageUrl ORDER BY viewCount DESC, pageUrl LIMIT 10")
+def s_live_trending(spark, sf_dir):
+    """The pages with most events of two days before the watermark, from the panes that a stream keeps."""
+    return live.trending_of(*live_table(spark, sf_dir), 2 * DAY_MS)
+
+
+@query(
+    "s_live_snapshot",
+    f"""{_MARK} SELECT round((count(*) FILTER (eventType = 'CLICK' AND ts >= t - INTERVAL 6 hours)) / 21600.0::DOUBLE, 6) AS clicksPerSecond, round((count(*) FILTER (ts >= t - INTERVAL 6 hours)) / 21600.0::DOUBLE, 6) AS eventRate,
+  epoch_ms(any_value(t)) AS computedAt FROM va, mark WHERE ts < t AND ts >= t - INTERVAL 5 days""",
+)
+def s_live_snapshot(spark, sf_dir):
+    """Clicks and events a second of six hours before the watermark, from the same panes (users, approximate there, are left out)."""
+    return rounded(live.snapshot_of(*live_table(spark, sf_dir), 5 * DAY_MS, DAY_MS // 4, DAY_MS // 4).drop("activeUsers"), "clicksPerSecond", "eventRate")
+
+
+@query(
+    "s_stream_bounces",
+    f"""WITH {EV}, {sessions_cte('12 hours')}, visits AS (SELECT unnest(pages) AS pageUrl, time_bucket(INTERVAL 1 DAY, windowEnd - INTERVAL 1 microsecond) AS w, bounced FROM ses)
+SELECT pageUrl, {text("w")} AS windowStart, {text("w + INTERVAL 1 DAY")} AS windowEnd, count(*) AS sessions, round(avg(bounced::INT), 6) AS bounceRate FROM visits
+WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) FROM va) - INTERVAL 10 minutes GROUP BY pageUrl, w""",
+)
+def s_stream_bounces(spark, sf_dir):
+    """Bounce rates by the day in which sessions end, by two chained steps with state: days that the watermark has passed."""
+    root = scratch_path(spark, "stream")
+    jobs._start(pages.closing_bounces(sources.with_watermark(stream_events(spark, sf_dir)), "12 hours", "1 day"), "page-bounces", root, "append", None).awaitTermination()
+    return flat(rounded(sinks.KeyedTable(spark, f"{root}/tables/page-bounces").read().select("pageUrl", "windowStart", "windowEnd", "sessions", "bounceRate"), "bounceRate"))
+
+
+def _settled(spark: SparkSession, out: DataFrame, select: list[str]) -> DataFrame:
+    """Runs a stream over what is there and reads what it wrote."""
+    root = scratch_path(spark, "stream")
+    out.select(*select).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+_PASSED = "(SELECT max(ms) FROM va) - 600000"
+
+
+@query("s_stream_debounce", f"""WITH {EV}, {{bursts}} SELECT eventId FROM bursts WHERE eventType <> 'CLICK' OR ((after IS NULL OR after - ms >= 21600000) AND ms + 21600000 <= {_PASSED})""".replace(
+    "{bursts}", "bursts AS (SELECT *, lead(ms) OVER (PARTITION BY userId, eventType ORDER BY ms, eventId) AS after FROM va)"))
+def s_stream_debounce(spark, sf_dir):
+    """Click bursts (of 6 hours, as in p10_debounce) as a stream: bursts that the watermark has passed, and all other events."""
+    return _settled(spark, stateful.debounce_stream(stream_events(spark, sf_dir), keys=("userId",), gap_ms=21_600_000), ["eventId"])
+
+
+@query("s_stream_session_ids", f"""WITH {EV}, marked AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY userId ORDER BY ms, eventId) < 1800000 THEN 0 ELSE 1 END AS fresh FROM va),
+numbered AS (SELECT eventId, ms, userId || '-' || (sum(fresh) OVER (PARTITION BY userId ORDER BY ms, eventId ROWS UNBOUNDED PRECEDING))::BIGINT AS sessionId FROM marked)
+SELECT eventId, sessionId FROM numbered WHERE ms < {_PASSED}""")
+def s_stream_session_ids(spark, sf_dir):
+    """Session ids as a stream by keyed state: events that the watermark has passed."""
+    return _settled(spark, stateful.assign_sessions_stream(stream_events(spark, sf_dir)), ["eventId", "sessionId"])
+
+
+# --- lookups over what streams keep ------------------------------------------------------------------------------------
+
+
+def _laid_out(name: str, key: str) -> Query:
+    """A table that the streaming jobs keep, laid out for lookups when it is first asked for."""
+
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        place = (spark.sparkContext.applicationId, sf_dir, "streamed")
+        if place not in _WRITTEN:
+            root = scratch_path(spark, "stream")
+            for q in jobs.start_jobs(stream_events(spark, sf_dir), root, "12 hours", "1 day", every=None).values():
+                q.awaitTermination()
+            _WRITTEN[place] = root
+        root = _WRITTEN[place]
+        sinks.lay_out(sinks.KeyedTable(spark, f"{root}/tables/{name}"), f"{root}/lookup/{name}", key)
+        return spark.read.parquet(f"{root}/lookup/{name}").drop("updatedAt")
+
+    return read
+
+
+_LOOKUPS = {"sessions": _laid_out("sessions", "userId"), "pages": _laid_out("page-metrics", "pageUrl"), "journeys": _laid_out("user-journeys", "userId")}
+_CLOSED = "windowEnd <= (SELECT max(ts) FROM va) - INTERVAL 10 minutes"
+_STREAMED_PAGES = lambda sql: f"SELECT * EXCLUDE (uniqueVisitors) FROM ({sql})"  # noqa: E731  (approximate in streams)
+
+
+def _streamed(name: str, sql: str, table: str, pick: Callable[[DataFrame], DataFrame]) -> None:
+    @query(name, sql)
+    def run(spark, sf_dir):
+        df = pick(_LOOKUPS[table](spark, sf_dir)).drop("date", "uniqueVisitors")
+        return flat(rounded(df, "avgScrollDepth") if "avgScrollDepth" in df.columns else df)
+
+
+_streamed("sq1_sessions_page", f"SELECT * FROM ({_SES_WHERE(_CLOSED)}) ORDER BY windowStart DESC, _compositeKey LIMIT 20 OFFSET 40", "sessions", lambda d: curated.page_of(d, 2))
+_streamed("sq2_sessions_user", _SES_WHERE(f"userId = 'user-7' AND {_CLOSED}"), "sessions", lambda d: curated.sessions(d, "user-7"))
+_streamed("sq3_sessions_range", _SES_WHERE(f"{_RANGE} AND {_CLOSED}"), "sessions", lambda d: curated.sessions(d, start=START, end=END))
+_streamed("sq4_sessions_user_range", _SES_WHERE(f"userId = 'user-7' AND {_RANGE} AND {_CLOSED}"), "sessions", lambda d: curated.sessions(d, "user-7", START, END))
+_streamed("sq6_session_by_id", _SES_WHERE(f"sessionId = 'sess-7-20240105' AND {_CLOSED}"), "sessions", lambda d: curated.session_by_id(d, "sess-7-20240105"))
+_streamed("sq8_long_sessions", _SES_WHERE(f"durationMs >= 21600000 AND {_CLOSED}"), "sessions", lambda d: curated.long_sessions(d, 21_600_000))
+_streamed("sq12_pages_url_range", _STREAMED_PAGES(_PM_WHERE(f"pageUrl = 'https://shop.example/p/3' AND {_RANGE}")), "pages", lambda d: curated.page_metrics(d, "https://shop.example/p/3", START, END))
+_streamed("sq13_top_windows", _STREAMED_PAGES(f"SELECT * FROM ({_PM_WHERE(_RANGE)}) ORDER BY totalViews DESC, _compositeKey LIMIT 10"), "pages", lambda d: curated.top_pages(d, START, END))
+
+
+@query("sq14_journeys_user", f"SELECT * FROM ({_A3}) WHERE userId = 'user-7' AND windowEnd <= (SELECT strftime(max(ts) - INTERVAL 10 minutes, '%Y-%m-%d %H:%M:%S.%g') FROM events WHERE event_type <> 'error')")
+def sq14_journeys_user(spark, sf_dir):
+    return flat_journeys(curated.journeys_of_user(_LOOKUPS["journeys"](spark, sf_dir), "user-7").drop("date"))
+
+
+@query("q1_sessions_after", f"SELECT * FROM ({_SES}) ORDER BY windowStart DESC, _compositeKey LIMIT 20 OFFSET 40")
+def q1_sessions_after(spark, sf_dir):
+    """The third page, found after the last row of the second."""
+    table = curated_sessions(spark, sf_dir)
+    last = curated.page_of(table, 1).select("windowStart", "_compositeKey").collect()[-1:]
+    return flat(curated.page_after(table, tuple(last[0]) if last else None).drop("date"))

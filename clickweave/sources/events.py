@@ -53,6 +53,19 @@ def interval(text: str) -> str:
     return text
 
 
+#: Microseconds of the units of intervals that have a fixed length.
+UNITS = {"microsecond": 1, "millisecond": 1000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000}
+
+
+def micros(text: str) -> int:
+    """Microseconds of an interval."""
+    number, _, unit = interval(text).strip().partition(" ")
+    unit = unit.strip().lower().removesuffix("s")
+    if unit not in UNITS:
+        raise ValueError(f"interval needs a unit of fixed length: {text!r}")
+    return int(number) * UNITS[unit]
+
+
 def table_events(table: DataFrame) -> DataFrame:
     """The test table `events` as typed events (event schema and ts). Its `error` rows keep a type that validation rejects."""
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import logging
+import math
 import threading
 from collections import deque
 from collections.abc import Callable
@@ -11,15 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scrub import scrub
 from ..functions.validation import errors
 from ..operators.journeys import user_journeys
-from ..operators.live import metric_series
-from ..operators.pages import page_metrics
+from ..operators.live import live_panes, series_of, windows_of
+from ..operators.pages import closing_bounces, page_metrics
 from ..operators.sessions import session_aggregates
-from ..sources.events import parse_json, with_event_time, with_watermark
-from .sinks import KeyedTable, archive, quarantine, with_retries
+from ..sources.events import micros, parse_json, with_event_time, with_watermark
+from .sinks import KeyedTable, archive_batch, quarantine, undelivered, with_retries
+from .stateful import clicks_by_view_stream, last_reports  # noqa: F401
 
 log = logging.getLogger(__name__)
 
@@ -32,43 +35,74 @@ def _start(df: DataFrame, name: str, root: str, mode: str, every: str | None) ->
 
 
 def start_jobs(events: DataFrame, root: str, gap: str = "30 minutes", window: str = "5 minutes", watermark: str = "10 minutes", every: str | None = "30 seconds") -> dict[str, StreamingQuery]:
-    """events: a stream of valid typed events. Sessions and journeys appear once the watermark has passed their end; page metrics are updated."""
+    """events: a stream of valid typed events. Sessions and journeys appear once the watermark has passed their end, bounce rates once it has passed
+    the window in which sessions end; page metrics are updated."""
     timed = with_watermark(events, watermark)
     return {
         "sessions": _start(session_aggregates(timed, gap), "sessions", root, "append", every),
         "page-metrics": _start(page_metrics(timed, window, exact=False), "page-metrics", root, "update", every),
         "user-journeys": _start(user_journeys(timed, gap), "user-journeys", root, "append", every),
+        "page-bounces": _start(closing_bounces(timed, gap, window), "page-bounces", root, "append", every),
     }
 
 
-def start_series(events: DataFrame, root: str, width: str = "5 minutes", slide: str = "1 minute", watermark: str = "10 minutes", every: str | None = "5 seconds") -> StreamingQuery:
-    """The live metrics as a stream in update mode: users (approximate), clicks and events of each sliding window, merged by window."""
-    series = metric_series(with_watermark(events, watermark), width, slide, exact=False)
-    return _start(series.withColumn("_compositeKey", F.col("windowStart").cast("string")), "live-series", root, "update", every)
+def start_live(events: DataFrame, root: str, pane: str = "1 minute", watermark: str = "10 minutes", every: str | None = "5 seconds") -> StreamingQuery:
+    """The live metrics kept by a stream: a row of counts and sketches for each pane, merged by pane into root/tables/live-panes, from which
+    snapshot_of, trending_of and series_of answer. State is a row a pane, whatever the events, users and pages."""
+    return _start(live_panes(with_watermark(events, watermark), pane), "live-panes", root, "update", every)
 
 
-def _batches(df: DataFrame, name: str, root: str, write: Callable[[DataFrame, int], None], every: str | None) -> StreamingQuery:
-    writer = df.writeStream.queryName(name).outputMode("append").option("checkpointLocation", f"{root}/checkpoints/{name}").foreachBatch(write)
+def start_series(events: DataFrame, root: str, width: str = "5 minutes", slide: str = "1 minute", watermark: str = "10 minutes", every: str | None = "5 seconds") -> StreamingQuery:
+    """The live metrics of sliding windows, kept by a stream: panes of what width and slide have in common, as of start_live, and root/tables/live-series, in which a
+    batch replaces the windows that hold a pane it changed (users are approximate)."""
+    panes, series = KeyedTable(events.sparkSession, f"{root}/tables/live-panes"), KeyedTable(events.sparkSession, f"{root}/tables/live-series")
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            panes.merge(batch, batch_id)
+            first, last = batch.agg(F.min("windowStart"), F.max("windowEnd")).first()
+            if first is None:
+                return
+            span = datetime.timedelta(microseconds=micros(width))
+            near = series_of(panes.between(first - span, last + span), width, slide).join(windows_of(batch, width, slide), "windowStart", "left_semi")
+            series.merge(near.withColumn("_compositeKey", F.col("windowStart").cast("string")), batch_id)
+        finally:
+            batch.unpersist()
+
+    pane = f"{math.gcd(micros(width), micros(slide))} microseconds"
+    return _batches(live_panes(with_watermark(events, watermark), pane), "live-series", root, with_retries(merge), every, "update")
+
+
+def last_watermark(query: StreamingQuery) -> datetime.datetime | None:
+    """The event time up to which a query's results are final."""
+    marks = [p.eventTime["watermark"] for p in query.recentProgress if p.eventTime.get("watermark")]
+    return datetime.datetime.fromisoformat(marks[-1].replace("Z", "+00:00")) if marks else None
+
+
+def _batches(df: DataFrame, name: str, root: str, write: Callable[[DataFrame, int], None], every: str | None, mode: str = "append") -> StreamingQuery:
+    writer = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/checkpoints/{name}").foreachBatch(write)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def start_archive(events: DataFrame, root: str, every: str | None = "60 seconds", write: Callable[[DataFrame, str], None] = archive, first_ms: int = 100) -> StreamingQuery:
-    """Appends every batch to root/lake; a batch that fails three times goes to root/undelivered, and the stream goes on.
+def start_archive(events: DataFrame, root: str, every: str | None = "60 seconds", write: Callable[[DataFrame, str], None] | None = None, first_ms: int = 100) -> StreamingQuery:
+    """Appends every batch to root/lake, each event once even if a batch's commit is lost (with a `write` of one's own it is written again); a batch
+    that fails three times goes to root/undelivered, and the stream goes on."""
+    lake, failed = f"{root}/lake", f"{root}/undelivered"
+    write_batch = with_retries(lambda batch, batch_id: write(batch, lake) if write else archive_batch(batch, batch_id, lake), first_ms=first_ms, failed=lambda batch, batch_id: undelivered(batch, batch_id, lake, failed))
+    return _batches(events, "archive", root, write_batch, every)
 
-    A batch whose commit was lost is appended again (at least once); eventId tells its rows.
-    """
-    failed = lambda batch, batch_id: quarantine(batch, batch_id, f"{root}/undelivered")
-    return _batches(events, "archive", root, with_retries(lambda batch, _: write(batch, f"{root}/lake"), first_ms=first_ms, failed=failed), every)
 
-
-def start_pipeline(values: DataFrame, root: str, gap: str = "30 minutes", window: str = "5 minutes", watermark: str = "10 minutes", every: str | None = "30 seconds", as_of_ms: int | None = None) -> dict[str, StreamingQuery]:
-    """The whole job over a stream of JSON values: parse, validate, jobs and archive over valid events, the others to root/quarantine with their errors.
+def start_pipeline(values: DataFrame, root: str, gap: str = "30 minutes", window: str = "5 minutes", watermark: str = "10 minutes", every: str | None = "30 seconds", as_of_ms: int | None = None, pane: str = "1 minute", salt: str | None = None) -> dict[str, StreamingQuery]:
+    """The whole job over a stream of JSON values: parse, scrub (with a salt user ids are hashed), validate, jobs, live panes and archive over valid
+    events, the others to root/quarantine with their errors. Events on sensitive elements are dropped and leave no trace.
 
     Every query reads the source by itself, with offsets and checkpoint of its own, so one may fall behind or fail without the others.
     """
-    checked = with_event_time(parse_json(values)).withColumn("errors", errors(as_of_ms))
+    checked = with_event_time(scrub(parse_json(values), salt)).withColumn("errors", errors(as_of_ms))
     good = checked.filter(F.size("errors") == 0).drop("errors")
     queries = start_jobs(good, root, gap, window, watermark, every)
+    queries["live-panes"] = start_live(good, root, pane, watermark, every)
     queries["archive"] = start_archive(good, root, every)
     queries["quarantine"] = _batches(checked.filter(F.size("errors") > 0), "quarantine", root, with_retries(lambda b, i: quarantine(b, i, f"{root}/quarantine")), every)
     return queries
@@ -84,11 +118,14 @@ def run_until_stopped(spark: SparkSession, queries: dict[str, StreamingQuery]) -
 
 
 class ProgressListener(StreamingQueryListener):
-    """Keeps a row for each of the last progress reports, logs every tenth, and warns when a query falls behind its input."""
+    """Keeps the last progress reports and, of those before them, one row of totals for each query; logs every tenth, and warns when a query falls
+    behind its input. Memory is bounded by `keep` and the number of queries, and totals stay right however long the jobs run."""
 
     def __init__(self, every: int = 10, behind: float = 1.5, keep: int = 10_000):
         self.rows: deque[dict] = deque(maxlen=keep)
+        self.totals: dict[str, dict] = {}
         self.failures: deque[dict] = deque(maxlen=keep)
+        self._unsaved: dict[str, dict] = {}
         self._every, self._behind, self._lock = every, behind, threading.Lock()
 
     def onQueryStarted(self, event) -> None:
@@ -99,8 +136,13 @@ class ProgressListener(StreamingQueryListener):
         row = {"name": p.name, "runId": str(p.runId), "batchId": p.batchId, "timestamp": p.timestamp, "rows": p.numInputRows, "inputRate": p.inputRowsPerSecond, "processedRate": p.processedRowsPerSecond, "durationMs": dict(p.durationMs).get("triggerExecution", 0)}
         row["late"] = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
         row["lag"] = max((int(dict(s.metrics or {}).get("maxOffsetsBehindLatest", 0)) for s in p.sources), default=0)
+        row["reports"] = 1
         with self._lock:
+            if len(self.rows) == self.rows.maxlen:
+                oldest = self.rows.popleft()
+                self.totals[oldest["name"]] = _added(self.totals.get(oldest["name"]), oldest)
             self.rows.append(row)
+            self._unsaved[p.name] = _added(self._unsaved.get(p.name), row)
         if p.batchId % self._every == 0:
             log.info("%s", json.dumps(row))
         if row["processedRate"] and row["inputRate"] > self._behind * row["processedRate"]:
@@ -111,17 +153,48 @@ class ProgressListener(StreamingQueryListener):
             self.failures.extend([{"runId": str(event.runId), "exception": event.exception}] if event.exception else [])
         (log.error if event.exception else log.info)("ended %s: %s", event.runId, event.exception)
 
+    def reports(self) -> list[dict]:
+        """What is kept: totals of the older reports and the last ones."""
+        with self._lock:
+            return [*self.totals.values(), *self.rows]
+
+    def unsaved(self) -> list[dict]:
+        """Totals for each query since this was last asked."""
+        with self._lock:
+            out, self._unsaved = list(self._unsaved.values()), {}
+        return out
+
+
+def _added(total: dict | None, row: dict) -> dict:
+    """A query's totals and its next report as one row: sums of rows, late rows and reports, the greatest lag, the last of all else."""
+    if total is None:
+        return row
+    return row | {c: total[c] + row[c] for c in ("rows", "late", "reports", "durationMs")} | {"lag": max(total["lag"], row["lag"])}
+
 
 PROGRESS = "name string, runId string, batchId long, timestamp string, rows long, inputRate double, processedRate double, durationMs long, late long, lag long"
 
 
+def _progress(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    schema = f"{PROGRESS}, reports long"
+    return spark.createDataFrame([[r[f.split()[0]] for f in schema.split(", ")] for r in rows], schema)
+
+
 def job_progress(spark: SparkSession, listener: ProgressListener) -> DataFrame:
-    return spark.createDataFrame([[r[f.split()[0]] for f in PROGRESS.split(", ")] for r in list(listener.rows)], PROGRESS)
+    """All progress of this application: the last reports one by one, those before them as a row for each query."""
+    return _progress(spark, listener.reports())
+
+
+def save_progress(spark: SparkSession, listener: ProgressListener, path: str) -> None:
+    """Appends what was reported since the last call, a row for each query, so that counters over the table hold what all applications did."""
+    if rows := listener.unsaved():
+        _progress(spark, rows).coalesce(1).write.mode("append").parquet(path)
 
 
 def counters(progress: DataFrame) -> DataFrame:
-    """Rows, batches and last write of each job, of the reports that the listener keeps."""
-    return progress.groupBy("name").agg(F.sum("rows").alias("processed"), F.count("*").alias("batches"), F.max(F.to_timestamp("timestamp")).alias("lastWrite"), F.sum("late").alias("late"), F.max("lag").alias("maxLag"))
+    """Rows, batches and last write of each job. A row of progress stands for one report, or for as many as its column reports says."""
+    batches = F.sum("reports") if "reports" in progress.columns else F.count("*")
+    return progress.groupBy("name").agg(F.sum("rows").alias("processed"), batches.alias("batches"), F.max(F.to_timestamp("timestamp")).alias("lastWrite"), F.sum("late").alias("late"), F.max("lag").alias("maxLag"))
 
 
 def stalled(progress: DataFrame, as_of, interval_seconds: int, failures: int = 0, max_failures: int = 3) -> DataFrame:
@@ -132,65 +205,3 @@ def stalled(progress: DataFrame, as_of, interval_seconds: int, failures: int = 0
 
 def over_lag(progress: DataFrame, limit: int = 1000) -> DataFrame:
     return counters(progress).filter(F.col("maxLag") > limit)
-
-
-def _apply(view: list | None, rows: list[tuple]) -> tuple[list[list], list | None]:
-    """The views that rows (us, eventId, eventType, pageUrl, in order) close and the one that stays open; a view is eventId, pageUrl, us, clicks, clicks reported."""
-    done = []
-    for us, event_id, kind, page in rows:
-        if kind == "PAGE_VIEW":
-            done += [view] if view else []
-            view = [event_id, page, us, 0, -1]
-        elif view and page is not None and view[1] == page:
-            view = [*view[:3], view[3] + 1, view[4]]
-    return done, view
-
-
-def clicks_by_view_stream(events: DataFrame, watermark: str = "10 minutes", timeout_ms: int = 1_800_000, keep_ms: int = 86_400_000, early: bool = False) -> DataFrame:
-    """Streaming clicks per page view, as clicks_by_view counts them, whatever micro-batches the events come in.
-
-    State per session holds the events that the watermark hasn't passed and the open view. Events are settled in the order of (ts, eventId)
-    once the watermark has passed them. A view is reported when a later one is settled or the session has been silent for timeout_ms of
-    event time; a click after such a silence reports its view again, until the session has been silent for keep_ms and is forgotten. early
-    also reports views that an event above the watermark closes so far (settled is false). Of a view's rows that with the highest revision counts.
-    """
-    output = "userId string, sessionId string, eventId string, pageUrl string, us long, clicksOnPage long, revision long, settled boolean"
-    held = "eventId string, pageUrl string, us long, clicks long, reported long, last long, revision long, waiting array<struct<us:long,eventId:string,eventType:string,pageUrl:string>>"
-    forget_ms = max(keep_ms, timeout_ms)
-
-    def step(key, frames, state: GroupState):
-        import pandas as pd
-
-        *view, last, revision, waiting = state.get if state.exists else (*[None] * 5, 0, 0, [])
-        view, waiting, mark = view if view[2] is not None else None, [tuple(w) for w in waiting], state.getCurrentWatermarkMs()
-        if not state.hasTimedOut:
-            for rows in frames:
-                texts = rows[["eventId", "eventType", "pageUrl"]].astype(object).where(rows[["eventId", "eventType", "pageUrl"]].notna(), None)
-                waiting += zip(rows["us"].tolist(), texts["eventId"], texts["eventType"], texts["pageUrl"], strict=True)
-        waiting.sort(key=lambda w: (w[0], w[1] is not None, w[1] or ""))
-        passed = sum(w[0] <= mark * 1000 for w in waiting)
-        done, view = _apply(view, waiting[:passed])
-        last = max(last, waiting[passed - 1][0]) if passed else last
-        waiting = waiting[passed:]
-        if view and not waiting and last // 1000 + timeout_ms < mark:
-            done.append(view)
-            view = [*view[:4], view[3]]
-        soon = _apply(view, waiting)[0] if early else []
-        if waiting or (view and last // 1000 + forget_ms >= mark):
-            state.update((*(view or [None] * 5), last, revision + 1, waiting))
-            timer = -(-waiting[0][0] // 1000) - 1 if waiting else last // 1000 + (forget_ms if view[3] == view[4] else timeout_ms)
-            state.setTimeoutTimestamp(max(timer, 1))
-        elif state.exists:
-            state.remove()
-        out = [(*key, *v[:4], revision, settled) for views, settled in ((done, True), (soon, False)) for v in views if v[3] != v[4]]
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in output.split(", ")])
-
-    timed = with_watermark(events.filter(F.col("eventType").isin("PAGE_VIEW", "CLICK")), watermark).select("userId", "sessionId", "eventId", "eventType", "pageUrl", "ts", F.unix_micros("ts").alias("us"))
-    out = timed.groupBy("userId", "sessionId").applyInPandasWithState(step, output, held, "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select("userId", "sessionId", "eventId", "pageUrl", F.timestamp_micros("us").alias("ts"), "clicksOnPage", "revision", "settled")
-
-
-def last_reports(reports: DataFrame) -> DataFrame:
-    """Of the rows of clicks_by_view_stream the last of every view."""
-    last = F.max_by(F.struct("pageUrl", "ts", "clicksOnPage"), "revision").alias("last")
-    return reports.groupBy("userId", "sessionId", "eventId").agg(last).select("userId", "sessionId", "eventId", "last.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import time
 from collections.abc import Callable
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.validation import split_valid
-from ..operators.maintenance import PARTITIONS
+from ..operators.maintenance import PARTITIONS, write_for_lookup
 from ..sources.schema import EVENT
 
 
@@ -43,18 +44,11 @@ def archive_stream(events: DataFrame, path: str, checkpoint: str, every: str = "
     return writer.partitionBy(*PARTITIONS).option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every)
 
 
-class KeyedTable:
-    """A Parquet table that is merged by key: a batch is appended, and the newest row of each key counts.
-
-    A batch writes its own rows only, as date=D/v=batch for each day D of `by` that it touches, and a marker in _commits makes it
-    count. Readers take the rows of committed batches and keep the last of every key, so they never see half a merge; a batch that is
-    replayed, after its commit or before it, changes nothing. A day that `fold` batches have touched is folded: its last rows are
-    written once as date=D/f=batch, and what is older than the fold before goes. Batches come in order of their numbers. Keys must hold what
-    `by` is derived from; for keys that don't, by=None keeps one day for all.
-    """
+class _Folder:
+    """A folder on whatever file system Hadoop knows, by paths below it."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "_compositeKey", latest: str = "windowEnd", by: str | None = "windowStart", fold: int = 20):
-        self.spark, self.root, self.key, self.latest, self.by, self.fold = spark, root, key, latest, by, fold
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
 
     def _path(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
@@ -64,14 +58,98 @@ class KeyedTable:
         fs, at = self._path(path)
         return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
+    def _delete(self, path: str) -> None:
+        fs, at = self._path(path)
+        fs.delete(at, True)
+
     def _rename(self, source: str, target: str) -> None:
         fs, at = self._path(target)
         fs.delete(at, True)  # of an attempt that broke off
         fs.mkdirs(at.getParent())
-        fs.rename(self._path(source)[1], at)
+        if not fs.rename(self._path(source)[1], at):
+            raise OSError(f"{source} wasn't moved to {target}")
+
+    def last_mark(self, folder: str) -> int:
+        return max(map(int, self._list(folder)), default=-1)
+
+    def mark(self, folder: str, batch_id: int) -> None:
+        """A batch counts once its mark is there; marks before the last but one go."""
+        fs, at = self._path(f"{folder}/{batch_id}")
+        fs.create(at, True).close()
+        for old in self._list(folder):
+            if int(old) < batch_id - 1:
+                self._delete(f"{folder}/{old}")
+
+
+class _Lake(_Folder):
+    """The raw lake by batches: files are moved into the hour folders under names that hold the query's and the batch's number."""
+
+    def __init__(self, spark: SparkSession, root: str, query: str):
+        super().__init__(spark, root)
+        self.query, self.marks, self.staging = query, f"_batches/{query}", f"_staging/{query}"
+
+    def write(self, events: DataFrame, batch_id: int) -> None:
+        if self.last_mark(self.marks) >= batch_id:
+            return
+        staged = f"{self.staging}/{batch_id}"
+        with_partitions(events).hint("rebalance", *PARTITIONS).write.mode("overwrite").options(**ARCHIVE_OPTIONS).partitionBy(*PARTITIONS).parquet(f"{self.root}/{staged}")
+        self.discard(batch_id)  # what an attempt left whose mark was lost
+        for hour in self._hours(batch_id):
+            for k, name in enumerate(sorted(n for n in self._list(f"{staged}/{hour}") if n.endswith(".parquet"))):
+                self._rename(f"{staged}/{hour}/{name}", f"{hour}/{self._name(batch_id)}{k}.parquet")
+        self.mark(self.marks, batch_id)
+        self._delete(self.staging)
+
+    def discard(self, batch_id: int) -> None:
+        """Takes a batch without a mark out of the hours that it was staged for."""
+        for hour in self._hours(batch_id):
+            for name in self._list(hour):
+                if name.startswith(self._name(batch_id)):
+                    self._delete(f"{hour}/{name}")
+
+    def _name(self, batch_id: int) -> str:
+        return f"batch-{self.query}-{batch_id}-"
+
+    def _hours(self, batch_id: int) -> list[str]:
+        found = [""]
+        for _ in PARTITIONS:
+            found = [f"{f}/{n}".lstrip("/") for f in found for n in self._list(f"{self.staging}/{batch_id}/{f}") if "=" in n]
+        return found
+
+
+def query_id(df: DataFrame) -> str:
+    """Of the streaming query whose batch this is: it stays over restarts from one checkpoint and differs for another."""
+    return (df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none").split("-")[0]
+
+
+def archive_batch(events: DataFrame, batch_id: int, path: str) -> None:
+    """Appends a numbered batch to the lake, once: a batch whose mark is there changes nothing, and one that broke off before it, wherever, is written
+    anew over what it left. Batches of a query come in order of their numbers; queries with checkpoints of their own may share a lake."""
+    _Lake(events.sparkSession, path, query_id(events)).write(events, batch_id)
+
+
+def undelivered(events: DataFrame, batch_id: int, path: str, kept: str) -> None:
+    """Keeps a batch that can't be archived, whole, in a folder of its own, and leaves none of its rows in the lake."""
+    quarantine(events, batch_id, kept)
+    _Lake(events.sparkSession, path, query_id(events)).discard(batch_id)
+
+
+class KeyedTable(_Folder):
+    """A Parquet table that is merged by key: a batch is appended, and the newest row of each key counts.
+
+    A batch writes its own rows only, as date=D/v=batch for each day D of `by` that it touches, and a marker in _commits makes it
+    count. Readers take the rows of committed batches and keep the last of every key, so they never see half a merge; a batch that is
+    replayed, after its commit or before it, changes nothing. A day that `fold` batches have touched is folded: its last rows are
+    written once as date=D/f=batch, and what is older than the fold before goes. Batches come in order of their numbers. Keys must hold what
+    `by` is derived from; for keys that don't, by=None keeps one day for all.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str = "_compositeKey", latest: str = "windowEnd", by: str | None = "windowStart", fold: int = 20):
+        super().__init__(spark, root)
+        self.key, self.latest, self.by, self.fold = key, latest, by, fold
 
     def last_commit(self) -> int:
-        return max(map(int, self._list("_commits")), default=-1)
+        return self.last_mark("_commits")
 
     def parts(self, days: set[str] | None = None) -> dict[str, list[str]]:
         """For each day the folders that count: its newest fold, and the committed batches after it."""
@@ -98,6 +176,11 @@ class KeyedTable:
         rows = self._last_rows(self.parts(days))
         return rows.drop("_batch") if rows is not None else None
 
+    def between(self, start: datetime.datetime, end: datetime.datetime) -> DataFrame | None:
+        """The table's days from that of start to that of end (UTC)."""
+        days = (end.date() - start.date()).days + 1
+        return self.read({f"date={start.date() + datetime.timedelta(days=k)}" for k in range(days)})
+
     def merge(self, rows: DataFrame, batch_id: int) -> None:
         """Rows replace those of their key; of a batch's rows of one key the latest stays; rows without a key are added."""
         if self.last_commit() >= batch_id:
@@ -110,15 +193,11 @@ class KeyedTable:
         days = {d for d in self._list(f"_staging/{batch_id}") if d.startswith("date=")}
         for d in days:
             self._rename(f"_staging/{batch_id}/{d}", f"{d}/v={batch_id}")
-        fs, marker = self._path(f"_commits/{batch_id}")
-        fs.create(marker, True).close()
-        for old in self._list("_commits"):
-            if int(old) < batch_id - 1:
-                fs.delete(self._path(f"_commits/{old}")[1], True)
+        self.mark("_commits", batch_id)
         for d, names in self.parts(days).items():
             if len(names) > self.fold:
                 self._fold(d, names, batch_id)
-        fs.delete(self._path("_staging")[1], True)
+        self._delete("_staging")
 
     def _fold(self, day: str, names: list[str], batch_id: int) -> None:
         self._last_rows({day: names}).write.mode("overwrite").parquet(f"{self.root}/_staging/fold")
@@ -126,8 +205,26 @@ class KeyedTable:
         before = max((int(n[2:]) for n in names if n.startswith("f=")), default=-1)
         for name in self._list(day):  # readers that began earlier still find what they listed
             if int(name[2:]) < before:
-                fs, at = self._path(f"{day}/{name}")
-                fs.delete(at, True)
+                self._delete(f"{day}/{name}")
+
+
+def lay_out(table: KeyedTable, path: str, key: str) -> list[str]:
+    """Brings a lookup table (date folders, rows sorted by key within them) up to what a job has merged; returns the days rewritten.
+
+    Only days that a batch has touched since the last call are read and written; their number is kept in a mark. Filters of lookups then reach
+    the scan, which they can't through a merge by key. Rows without a windowStart are left out. Readers find a day's old rows until its folder is replaced.
+    """
+    folder = _Folder(table.spark, path)
+    now = {day: max(int(n[2:]) for n in names) for day, names in table.parts().items() if day != "date=none"}
+    changed = sorted(day for day, n in now.items() if folder.last_mark(f"_days/{day[5:]}") != n)
+    if changed:
+        write_for_lookup(table.read(set(changed)), f"{path}/_staging", key)
+        for day in changed:
+            folder._rename(f"_staging/{day}", day)
+            folder._delete(f"_days/{day[5:]}")
+            folder.mark(f"_days/{day[5:]}", now[day])
+        folder._delete("_staging")
+    return changed
 
 
 def with_retries(write: Callable[[DataFrame, int], None], tries: int = 3, first_ms: int = 100, failed: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
@@ -168,5 +265,5 @@ def route(valid: Callable[[DataFrame, int], None], errors_path: str, as_of_ms: i
 
 
 def snapshot_arrow(snapshot: DataFrame, trending: DataFrame) -> tuple[pa.Table, pa.Table]:
-    """The one row and the at most ten rows of the live metrics as Arrow tables."""
-    return snapshot.limit(1).toArrow(), trending.limit(100).toArrow()
+    """The one row and the k rows of the live metrics as Arrow tables; k bounds the second."""
+    return snapshot.limit(1).toArrow(), trending.toArrow()
