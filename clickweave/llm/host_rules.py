@@ -1,15 +1,15 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
 Every whole text gives word and line statistics and a base verdict. Failures are counted by host (combined before the
-shuffle), the hosts' failure rates are shrunk with an empirical beta prior (fitted by moments over all hosts), and the shrunk rate gives each host a
-verdict that is joined back to its documents: all documents of a host above host_rate fail; those of a host above the prior's mean are
-watched, and fail if symbols make up too much of them, which by itself is no ground to reject a document; elsewhere the base verdict holds.
+shuffle), the hosts' failure rates are shrunk with an empirical beta prior (fitted by moments over all hosts), and the posterior gives each host a
+verdict that is joined back to its documents: all documents of a host fail whose rate lies above the limit by its lower credible bound. The prior
+decides: a few failures of a small host leave its bound near the mean, those of many documents don't. Elsewhere the base verdict holds.
 
 Words in repeated 5-word windows are found inside each row: 64-bit hashes of all windows are sorted with their places, and
 the places of hashes that occur twice or more are merged, so the cost is n log n for texts of any length.
 
 Edge cases: null and empty texts have no word, fail the base rules and count for their host; a null host is a host of its own, the same as the empty
-one; texts of any length are taken whole; ties: a host at the prior's mean isn't watched, one at host_rate isn't rejected; repeated rows count
+one; texts of any length are taken whole; ties: a host whose bound is at the limit isn't rejected; repeated rows count
 each; an empty table gives an empty result; further columns don't matter and aren't returned.
 """
 
@@ -25,14 +25,17 @@ from .common import MAX_BROADCAST_ROWS, Scratch
 
 @dataclass(frozen=True)
 class HostParams:
-    """Documents of hosts whose shrunk failure rate is above host_rate fail; those of hosts above the mean rate fail if they hold more than
-    symbol_percent symbols for 100 words; salts: parts that a host's rows are joined in if verdicts are too many to broadcast."""
+    """A host is rejected if the lower bound of its failure rate (deviations below the posterior mean; 2.33 leave one in a hundred below it) is above both
+    multiple times the mean of all documents and least_rate; strengths: bounds of the prior's strength, in documents; salts: parts that a host's rows are
+    joined in if verdicts are too many to broadcast."""
 
     window: int = 5
     min_words: int = 10
     repeat_percent: int = 20
-    host_rate: float = 0.5
-    symbol_percent: int = 10
+    multiple: float = 3.0
+    least_rate: float = 0.2
+    deviations: float = 2.33
+    strengths: tuple[float, float] = (1.0, 1000.0)
     salts: int = 16
 
 
@@ -72,11 +75,12 @@ def text_stats(docs: DataFrame, params: HostParams = HostParams()) -> DataFrame:
     return df.select(*others, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
-def host_rates(stats: DataFrame, host: str = "host") -> DataFrame:
-    """host, n, failures, rate, mean: the rate is the mean of the posterior under a beta prior that has the mean and the spread of all hosts' rates.
+def host_rates(stats: DataFrame, host: str = "host", params: HostParams = HostParams()) -> DataFrame:
+    """host, n, failures, rate, bound, mean: the rate is the mean of the posterior under a beta prior that has the mean and the spread of all hosts' rates, the
+    bound lies `deviations` of the posterior below it.
 
     With m the failure share of all documents and v the variance of host rates (weighted by documents) less what chance alone
-    would give, the prior has the strength m (1 - m) / v - 1, held between 1 and 1000; it is 1000 where v isn't above 0.
+    would give, the prior has the strength m (1 - m) / v - 1, held between `strengths`; it is the greater of them where v isn't above 0.
     """
     hosts = stats.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
     total = hosts.agg(F.sum("n").alias("_n"), F.sum("failures").alias("_f"), F.count("*").alias("_hosts"), F.sum(F.col("failures") * F.col("failures") / F.col("n")).alias("_ff")).first()
@@ -84,22 +88,23 @@ def host_rates(stats: DataFrame, host: str = "host") -> DataFrame:
     m = f / n if n else 0.0
     # sum of n_h (r_h - m)^2 has the expectation m (1 - m) (k - 1) + v (n - sum n_h^2 / n), of which the last part is taken as n here
     v = (ff - n * m * m - m * (1 - m) * max(k - 1, 0)) / n if n else 0.0
-    strength = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
-    return hosts.withColumn("rate", (F.col("failures") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))).withColumn("mean", F.lit(m))
+    least, most = params.strengths
+    strength = min(most, max(least, m * (1 - m) / v - 1)) if v > 0 else most
+    rate = (F.col("failures") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
+    bound = F.col("rate") - F.lit(params.deviations) * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(strength + 1)))
+    return hosts.withColumn("rate", rate).withColumn("bound", bound).withColumn("mean", F.lit(m))
 
 
 def judge(docs: DataFrame, host: Column, params: HostParams = HostParams()) -> DataFrame:
-    """doc_id, the statistics, base_failed, host_rate, host_verdict and kept for every row of docs (doc_id, text)."""
+    """doc_id, the statistics, base_failed, host_rate, host_rejected and kept for every row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession)
     stats = scratch.save(text_stats(docs.select("doc_id", F.coalesce(host.cast("string"), F.lit("")).alias("host"), "text"), params), "stats")
-    watched = F.col("rate") > F.col("mean") * (1 + 1e-9)  # in exact numbers: failures / n above the mean
-    verdict = F.when(F.col("rate") > params.host_rate, "rejected").when(watched, "watched").otherwise("trusted")
-    rates = scratch.save(host_rates(stats).select("host", "rate", verdict.alias("verdict")), "rates")
+    rejected = (F.col("bound") > F.lit(params.multiple) * F.col("mean")) & (F.col("bound") > params.least_rate)
+    rates = scratch.save(host_rates(stats, params=params).select("host", "rate", rejected.alias("rejected")), "rates")
     if rates.count() <= MAX_BROADCAST_ROWS:
         out = stats.join(F.broadcast(rates), "host")
     else:  # a hot host's rows and as many copies of its verdict are dealt over salts
         salted = stats.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(params.salts)).cast("int"))
         out = salted.join(rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1)))), ["host", "_salt"])
-    symbols = 100 * F.col("n_symbols") > params.symbol_percent * F.col("n_words")
-    kept = ~F.col("base_failed") & (F.col("verdict") != "rejected") & ~((F.col("verdict") == "watched") & symbols)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rate").alias("host_rate"), F.col("verdict").alias("host_verdict"), kept.alias("kept"))
+    kept = ~F.col("base_failed") & ~F.col("rejected")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rate").alias("host_rate"), F.col("rejected").alias("host_rejected"), kept.alias("kept"))

@@ -11,7 +11,7 @@ different n-grams is held to that limit less noise / sqrt(n) of it, since few n-
 
 Edge cases: null text and text without a letter give `und` with score 0, as does a model that has seen no language; ties: of languages of
 equal probability the first by name; texts of any length are scored whole; rows with null lang don't train; repeated rows are scored each; empty
-tables work; further columns don't matter; of more than max_langs languages the most frequent are learned, ties by name.
+tables work; further columns don't matter; more than max_langs languages (if it is set) are an error.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from .textnum import char_ngrams, few_rows
 @dataclass(frozen=True)
 class LangParams:
     """sizes: characters of the n-grams; sample_rows: the most documents that train and calibrate; calibrate: the share of them that calibrates;
-    familiar: the limit of familiarity as a share of the calibrating rows' first percentile; noise: how much lower it is for short texts; max_langs bounds the model's classes."""
+    familiar: the limit of familiarity as a share of the calibrating rows' first percentile; noise: how much lower it is for short texts; with max_langs, more languages than that are an error."""
 
     sizes: tuple[int, ...] = (1, 2, 3)
     bits: int = 16
@@ -39,7 +39,7 @@ class LangParams:
     calibrate: float = 0.2
     familiar: float = 0.5
     noise: float = 3.0
-    max_langs: int = 256
+    max_langs: int | None = None
     ftrl: Ftrl = Ftrl(alpha=0.3, l1=0.05, l2=1e-5, epochs=2)
 
 
@@ -86,8 +86,9 @@ def train_langid(docs: DataFrame, params: LangParams = LangParams()) -> LangMode
     sums = sum_vectors(known.select("text"), count, size + 1)
     total = int(sums[-1])
     idf = np.log((1 + total) / (1 + sums[:-1])).astype(np.float32) + 1
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_langs)
-    counts = {r["lang"]: r["count"] for r in most.collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if params.max_langs is not None and len(counts) > params.max_langs:
+        raise ValueError(f"{len(counts)} languages, but max_langs is {params.max_langs}")
     langs = sorted(quotas(counts, params.sample_rows))
     if not langs:
         return LangModel([], idf, np.zeros((size + 1, 0), np.float32), 1.0)

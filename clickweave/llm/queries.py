@@ -68,9 +68,10 @@ def source_weights(docs: DataFrame) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, with all sources drawn towards explicit weights, at twice the input's total."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return replicate(docs, MixParams(epochs=2.0), source_weights(docs))
+    """Every document, whole, with all sources drawn towards explicit weights, at twice the input's total; its text is told by a digest after the shuffle."""
+    docs = table(spark, sf_dir, "documents")
+    mixture = replicate(docs, MixParams(epochs=2.0), source_weights(docs))
+    return mixture.select("doc_id", "source", "copy", "order_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's host is its source."""
-    return judge(table(spark, sf_dir, "documents"), F.col("source")).drop("host_rate", "host_verdict")
+    return judge(table(spark, sf_dir, "documents"), F.col("source")).drop("host_rate", "host_rejected")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,9 +170,9 @@ rates AS (SELECT s, rows * 2.0::DOUBLE * weight / total / n AS rate FROM w, sums
 terms AS (SELECT s, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM (SELECT s, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 20)::BIGINT + 1)) AS k FROM rates)),
 cdfs AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS c FROM terms),
 units AS (SELECT *, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
-counts AS (SELECT doc_id, any_value(source) AS source, count(*) AS n FROM units JOIN cdfs ON s = coalesce(source, '') AND c <= u GROUP BY doc_id)
-SELECT doc_id, source, copy::INTEGER AS copy, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR), 1, 15))::BIGINT AS order_key
-FROM (SELECT doc_id, source, unnest(range(1, n + 1)) AS copy FROM counts)""",
+counts AS (SELECT doc_id, any_value(source) AS source, any_value(md5(coalesce(text, ''))) AS text_md5, count(*) AS n FROM units JOIN cdfs ON s = coalesce(source, '') AND c <= u GROUP BY doc_id)
+SELECT doc_id, source, text_md5, copy::INTEGER AS copy, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR), 1, 15))::BIGINT AS order_key
+FROM (SELECT doc_id, source, text_md5, unnest(range(1, n + 1)) AS copy FROM counts)""",
     "op8_embeddings": f"""
 WITH RECURSIVE vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -194,8 +195,8 @@ hosts AS (SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f
 moments AS (SELECT sum(n) AS n, sum(f) / sum(n) AS m, count(*) AS k, sum(f * f / n) AS ff FROM hosts),
 spread AS (SELECT m, (ff - n * m * m - m * (1 - m) * (k - 1)) / n AS v FROM moments),
 prior AS (SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS strength FROM spread)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AND NOT (rate > m * (1 + 1e-9) AND 100 * n_symbols > 10 * n_words) AS kept
-FROM base JOIN (SELECT host, m, (f + m * strength) / (n + strength) AS rate FROM hosts, prior) USING (host)""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (bound > 3 * m AND bound > 0.2) AS kept
+FROM base JOIN (SELECT host, m, rate - 2.33::DOUBLE * sqrt(rate * (1 - rate) / (n + strength + 1)) AS bound FROM (SELECT *, (f + m * strength) / (n + strength) AS rate FROM hosts, prior)) USING (host)""",
     "op11_runs": rf"""
 WITH base AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {_crc32("hex(encode(coalesce(doc_id::VARCHAR, '')))")} AS h FROM documents),
 planted AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM base),

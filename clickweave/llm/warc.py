@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -75,9 +76,10 @@ def resolve(records: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
     if repeated.count() <= MAX_BROADCAST_ROWS // 4:
         joined = records.join(F.broadcast(repeated), "payload_digest", "left")
     else:
-        keys = ["record_id", "payload_digest"]
-        found = headers.join(repeated, "payload_digest").select(*keys, "original").dropDuplicates(keys)
-        joined = records.join(found, keys, "left")
+        # what a record is dealt by only spreads a digest's records over tasks; records without an id have one by their page
+        keys, dealt = ["_dealt", "payload_digest"], F.coalesce("record_id", record_id(F.col("page_id"), F.col("uri")))
+        found = headers.withColumn("_dealt", dealt).join(repeated, "payload_digest").select(*keys, "original").dropDuplicates(keys)
+        joined = records.withColumn("_dealt", dealt).join(found, keys, "left").drop("_dealt")
     revisit = F.col("payload").isNull() | (F.col("original").isNotNull() & (F.col("payload_bytes") >= params.min_bytes) & ~F.col("page_id").eqNullSafe(F.col("original.page_id")))
     joined = joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
     joined = joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "original.payload_bytes"))
@@ -150,11 +152,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """Records of gzip WARC files: page_id, uri, record_id, record_type, refers_to, payload_digest, payload_bytes and, if asked for, payload (null in revisits).
 
     Digest and size are computed from the payload that was read; those of revisits, which hold none, are what the header says and null.
-    Spark's text reader cuts a file at double line ends, which are put back: gzip files aren't split, so a file's parts come in order.
+    A record whose header has no id gets one by its file and place in what a task reads. Spark's text reader cuts a file at double line ends, which are put back: gzip files aren't split, so a file's parts come in order.
     """
 
-    def rows_of(h: dict[str, str], block: bytes) -> dict:
+    def rows_of(h: dict[str, str], block: bytes, place: str) -> dict:
         revisit, body = h["warc-type"] == "revisit", None
+        h.setdefault("warc-record-id", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>")
         if not revisit:
             body = block[block.index(b"\r\n\r\n") + 4 :] if h.get("content-type", "").startswith("application/http") else block
         digest = h.get("warc-payload-digest", "").rpartition(":")[2] if revisit else base64.b32encode(hashlib.sha1(body).digest()).decode()
@@ -162,10 +165,17 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         return row | ({"payload": None if revisit else body.decode("utf-8", "replace")} if payloads else {})
 
     def parse(batches):
-        parts = (part.as_py() + b"\r\n\r\n" for batch in batches for part in batch.column("value"))
+        file = [""]
+
+        def parts():
+            for batch in batches:
+                for part, path in zip(batch.column("value"), batch.column("file"), strict=True):
+                    file[0] = path
+                    yield part.as_py() + b"\r\n\r\n"
+
         rows, size = [], 0
-        for h, block in parse_records(parts):
-            rows.append(rows_of(h, block))
+        for k, (h, block) in enumerate(parse_records(parts())):
+            rows.append(rows_of(h, block, f"{file[0]}#{k}"))
             size += len(block) if payloads else 0
             if len(rows) == 1024 or size >= 1 << 23:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -177,7 +187,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     arrow = pa.schema([("page_id", pa.int64()), *((n, pa.string()) for n in names), ("payload_bytes", pa.int64())] + [("payload", pa.string())] * payloads)
     schema = "page_id long, " + ", ".join(f"{n} string" for n in names) + ", payload_bytes long" + ", payload string" * payloads
     lines = spark.read.option("pathGlobFilter", "*.gz").text(path, lineSep="\r\n\r\n")
-    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(parse, schema)
+    return lines.select(F.col("value").cast("binary").alias("value"), F.input_file_name().alias("file")).mapInArrow(parse, schema)
 
 
 def deduplicate_archives(spark: SparkSession, source: str, target: str, params: WarcParams = WarcParams()) -> None:

@@ -108,6 +108,29 @@ def test_warc_without_pages_and_with_a_shuffled_join(spark, tmp_path, monkeypatc
     assert not any(re.search(r"\bpayload#", columns) for columns in by_digest)
 
 
+@pytest.mark.parametrize("most", [None, 0])
+def test_records_without_an_id_are_resolved_by_any_join(spark, monkeypatch, most):
+    from clickweave.llm import warc
+
+    if most is not None:
+        monkeypatch.setattr(warc, "MAX_BROADCAST_ROWS", most)
+    rows = [(1, None, "u", "same", "d", 4), (2, None, "u", "same", "d", 4), (3, None, "v", "other", "e", 5), (None, None, None, "same", "d", 4), (4, "id", "u", "same", "d", 4)]
+    records = spark.createDataFrame(rows, "page_id long, record_id string, uri string, payload string, payload_digest string, payload_bytes long")
+    got = Counter((r.page_id, r.record_type) for r in resolve(records).collect())
+    assert got == Counter([(1, "response"), (2, "revisit"), (3, "response"), (None, "revisit"), (4, "revisit")])
+
+
+def test_archives_whose_records_have_no_id(spark, tmp_path):
+    record = lambda page, body: f"WARC/1.0\r\nWARC-Type: response\r\nPage-ID: {page}\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    for name, pages_of in (("a", [(3, "xyz"), (1, "xyz")]), ("b", [(2, "xyz"), (4, "else")])):
+        (tmp_path / f"{name}.gz").write_bytes(gzip.compress(b"".join(record(p, b) for p, b in pages_of)))
+    records = read_archives(spark, str(tmp_path)).collect()
+    assert len({r.record_id for r in records}) == 4
+    deduplicate_archives(spark, str(tmp_path), str(tmp_path / "out"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in originals(read_archives(spark, str(tmp_path / "out"), payloads=False)).collect()}
+    assert got == {1: ("response", None), 2: ("revisit", 1), 3: ("revisit", 1), 4: ("response", None)}
+
+
 def test_records_that_end_early_are_refused():
     whole = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
     assert [(h["content-length"], b) for h, b in parse_records([whole, b"\r\n", whole])] == [("5", b"ab\r\nc")] * 2
@@ -351,22 +374,58 @@ def test_hosts_are_shrunk(spark):
     assert host_rates(stats).first().rate == 1.0
 
 
-def test_watched_hosts_are_judged_by_symbols(spark):
-    good, bad, symbols = " ".join(map(str, range(20))), "x", " ".join(map(str, range(20))) + " # $ %"
-    rows = [(k, [good, bad, symbols][k % 3 if k % 9 < 3 else 0], "watched") for k in range(90)] + [(100 + k, [good, good, symbols][k % 3], "trusted") for k in range(90)]
-    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.col("source")).collect()}
-    assert {r.host_verdict for i, r in got.items() if i < 100} == {"watched"}
-    assert {r.host_verdict for i, r in got.items() if i >= 100} == {"trusted"}
-    assert {i for i, r in got.items() if not r.kept} == {i for i, t, s in rows if t == bad or (t == symbols and s == "watched")}
-    same_rate = spark.createDataFrame([(k, [good, bad, symbols][k % 3], f"h{k % 2}") for k in range(60)], "doc_id long, text string, source string")
-    assert {r.host_verdict for r in judge(same_rate, F.col("source")).collect()} == {"trusted"}  # ties with the mean
-
-
-def test_host_verdicts_decide_in_the_query(spark):
-    got = QUERIES["op9_host_rules"](spark, f"{DATA}/sf0.01").groupBy("base_failed", "kept").count().collect()
-    n = {(r.base_failed, r.kept): r["count"] for r in got}
-    assert n[False, False] >= 10
-    assert n[False, True] > 10 * n[False, False]
+def planted_hosts():
+    """Hosts with some failures in some documents: name, documents, failures."""
+    good, bad = " ".join(map(str, range(20))), "x"
+    hosts = [("most", 400, 20), ("bad", 60, 45), ("small", 4, 3), ("one", 1, 1), ("half", 30, 15), ("some", 100, 24), ("none", 50, 0)]
+    rows = [(bad if k < failures else good, host) for host, n, failures in hosts for k in range(n)]
+    return hosts, [(k, t, h) for k, (t, h) in enumerate(rows)]
+
+
+def rejected_hosts(hosts, strengths):
+    """The verdicts by hand."""
+    n, f = sum(h[1] for h in hosts), sum(h[2] for h in hosts)
+    m = f / n
+    v = (sum(h[2] ** 2 / h[1] for h in hosts) - n * m * m - m * (1 - m) * (len(hosts) - 1)) / n
+    s = min(strengths[1], max(strengths[0], m * (1 - m) / v - 1)) if v > 0 else strengths[1]
+    out = set()
+    for host, k, failures in hosts:
+        rate = (failures + m * s) / (k + s)
+        bound = rate - 2.33 * math.sqrt(rate * (1 - rate) / (k + s + 1))
+        out |= {host} if bound > max(3 * m, 0.2) else set()
+    return out
+
+
+@pytest.mark.parametrize("strengths", [(1.0, 1.0), (20.0, 20.0), (1000.0, 1000.0), (1.0, 1000.0)])
+def test_host_verdicts_equal_brute_force_for_every_strength(spark, strengths):
+    hosts, rows = planted_hosts()
+    got = judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.col("source"), HostParams(strengths=strengths)).collect()
+    expected = rejected_hosts(hosts, strengths)
+    assert {rows[r.doc_id][2] for r in got if r.host_rejected} == expected
+    assert {r.doc_id for r in got if r.kept} == {k for k, t, h in rows if t != "x" and h not in expected}
+
+
+def test_the_prior_decides(spark):
+    hosts, _ = planted_hosts()
+    by = {s: rejected_hosts(hosts, (s, s)) for s in (1.0, 20.0, 1000.0)}
+    assert by[1.0] == {"bad"} and by[1000.0] == set()
+    assert "small" not in rejected_hosts(hosts, (1.0, 1000.0))  # three of four failed, which is little evidence
+
+
+def test_planted_hosts_equal_sql(spark, tmp_path):
+    _, rows = planted_hosts()
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    (tmp_path / "made").rename(tmp_path.parent / f"{tmp_path.name}-made")
+    same(spark, str(tmp_path), QUERIES["op9_host_rules"], ORACLE_SQL["op9_host_rules"])
+    got = QUERIES["op9_host_rules"](spark, str(tmp_path)).filter("NOT base_failed AND NOT kept")
+    assert {rows[r.doc_id][2] for r in got.collect()} == {"bad"}  # the host's sound documents fail with it
+
+
+def test_no_host_of_the_tables_is_rejected(spark):
+    """Their hosts differ by chance alone."""
+    got = QUERIES["op9_host_rules"](spark, f"{DATA}/sf0.01")
+    assert got.filter("kept = base_failed").count() == 0
 
 
 def test_salted_verdicts_are_the_same(spark, monkeypatch):
