@@ -11,15 +11,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .textnum import few_rows, give_back
 
 
 @dataclass(frozen=True)
 class Ftrl:
-    """alpha, beta: learning rate; l1, l2: elastic-net penalties; epochs: passes over a shard."""
+    """alpha, beta: learning rate; l1, l2: elastic-net penalties; epochs: passes over a shard; shard_bytes: of features that a shard holds at most, of more
+    rows those first by hash train."""
 
     alpha: float = 0.1
     beta: float = 1.0
@@ -27,6 +29,7 @@ class Ftrl:
     l2: float = 1e-6
     epochs: int = 3
     shards: int = 4
+    shard_bytes: int = 256 << 20
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, classes: int, how: Ftrl) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +78,17 @@ def featurised(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np
     return rows if most is None else rows.orderBy("u", "y", F.xxhash64("idx", "val")).limit(most)
 
 
+def within_bytes(rows: DataFrame, how: Ftrl) -> DataFrame:
+    """rows: shard, u, idx, val, a written table of a bounded number of rows. Of each shard the rows by u whose features have shard_bytes at most together."""
+    size = F.length("idx") + F.length("val")
+    totals = rows.groupBy("shard").agg(F.sum(size).alias("bytes")).filter(F.col("bytes") > how.shard_bytes)
+    if totals.isEmpty():
+        return rows
+    place = Window.partitionBy("shard").orderBy("u", "y", F.xxhash64("idx", "val"))
+    sums = rows.withColumn("_bytes", F.sum(size).over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    return sums.filter(F.col("_bytes") <= how.shard_bytes).drop("_bytes")
+
+
 def train(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]], size: int, classes: int, how: Ftrl, most: int | None = None) -> np.ndarray:
     """sample: columns _u (order), text, y (class number); bounded by the caller or by `most`. Returns float32 weights as of fit()."""
 
@@ -87,7 +101,10 @@ def train(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndar
         give_back()
         return pa.table({"at": pa.array([keep.tobytes()], pa.binary()), "w": pa.array([w[keep].tobytes()], pa.binary())})
 
-    parts = featurised(sample, features, how, most).groupBy("shard").applyInArrow(shard, "at binary, w binary").collect()
+    scratch = Scratch(sample.sparkSession)
+    rows = within_bytes(scratch.save(featurised(sample, features, how, most), "features"), how)
+    parts = rows.groupBy("shard").applyInArrow(shard, "at binary, w binary").collect()
+    scratch.drop("features")
     out, met = np.zeros((size + 1, classes), np.float64), np.zeros((size + 1, 1))
     for p in parts:
         at = np.frombuffer(p.at, np.int32)

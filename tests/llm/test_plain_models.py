@@ -111,12 +111,14 @@ def test_quality(tables):
         assert got[i] == pytest.approx(logistic(sum(v * model.get((b, 0), 0.0) for b, v in f.items()) + model[None, 0]), abs=1e-4)
 
 
-def test_toxicity(tables):
+def test_toxicity(tables, monkeypatch):
     docs, texts, labels = tables
-    params = ToxicityParams(bits=16)
+    params = ToxicityParams(bits=16, least_toxic=1, least_clean=10)
     got = {r.doc_id: r.score for r in score_toxicity(docs, train_toxicity(docs, labels.select("doc_id", F.col("toxic").alias("y")), params), params).collect()}
     by = {i: set(grams(t, params.sizes, params.bits)) if t else set() for i, t in texts.items()}
-    rows = [(i, y) for _, i, y in labelled(labels, "toxic") if i in by]
+    calibrates = {r.doc_id for r in labels.filter("pmod(xxhash64(11, doc_id), 5) = 0").collect()}
+    known = [(i, y) for _, i, y in labelled(labels, "toxic") if i in by]
+    rows, held_out = [r for r in known if r[0] not in calibrates], [r for r in known if r[0] in calibrates]
     total, held = Counter(y for _, y in rows), [Counter(b for i, y in rows if y == c for b in by[i]) for c in (0, 1)]
     share = [(total[c] + 1e-9) / (len(rows) + 2e-9) for c in (0, 1)]
     ratio = {}
@@ -125,9 +127,26 @@ def test_toxicity(tables):
         r = float(np.float32(math.log(p / q)))
         if abs(r) >= params.least_ratio:
             ratio[b] = r
-    model, _ = ftrl([({b: ratio[b] for b in by[i] if b in ratio}, y) for i, y in rows], 1, params.ftrl)
-    for i, buckets in by.items():
-        assert got[i] == pytest.approx(logistic(sum(model.get((b, 0), 0.0) * ratio[b] for b in buckets if b in ratio) + model[None, 0]), abs=1e-4)
+
+    def features(i):
+        v = {b: ratio[b] for b in by[i] if b in ratio}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {b: x / length for b, x in v.items()}
+
+    model, _ = ftrl([({b: float(np.float32(v)) for b, v in features(i).items()}, y) for i, y in rows], 1, params.ftrl)
+    total_of = lambda i: sum(v * model.get((b, 0), 0.0) for b, v in features(i).items()) + model[None, 0]
+    sums = sorted((total_of(i), y) for i, y in held_out)
+    n = Counter(y for _, y in sums)
+    assert n[1] >= 1 and n[0] >= 10
+    costs = []  # of a cut after each place
+    for k, (z, _) in enumerate(sums):
+        if k + 1 == len(sums) or sums[k + 1][0] - z > 1e-9:
+            missed, wrong = sum(y for _, y in sums[: k + 1]), sum(1 - y for _, y in sums[k + 1 :])
+            costs.append((missed / n[1] + params.clean_weight * wrong / n[0], z, sums[min(k + 1, len(sums) - 1)][0]))
+    best = [c for c in costs if c[0] <= min(costs)[0] + 1e-9]
+    cut = (best[len(best) // 2][1] + best[len(best) // 2][2]) / 2
+    for i in by:
+        assert got[i] == pytest.approx(logistic(total_of(i) - cut), abs=2e-3)
 
 
 def test_language(tables):
