@@ -10,19 +10,20 @@ from ..sources.schema import EVENT_TYPES
 #: The patterns and limits of the rules.
 XSS = r"(?i)<script|javascript:|onerror=|onclick=|<iframe"
 PII = r"(?i)\b(password|passwd|pwd|ssn|social.?security|credit.?card|cvv|pin)\b"
-IPV4 = r"(?<![/\d])\b(?:\d{1,3}\.){3}\d{1,3}\b"
+IPV4 = r"(?<!/)\b(?:\d{1,3}\.){3}\d{1,3}\b"
 MAX_LENGTH = {"eventId": 255, "userId": 255, "sessionId": 255, "pageUrl": 2048, "referrerUrl": 2048, "targetElement": 512, "userAgent": 8192, "metadata.elementText": 1024}
 FUTURE_MS, PAST_MS = 5 * 60 * 1000, 24 * 60 * 60 * 1000
 MAX_BATCH = 100
 
 
 def blank(column: str) -> Column:
-    return F.coalesce(F.trim(F.col(column)), F.lit("")) == ""
+    """Null, or nothing but white space of any kind."""
+    return ~F.coalesce(F.col(column).rlike(r"\P{javaWhitespace}"), F.lit(False))
 
 
 def url_error(column: str) -> Column:
-    """A message, or null: not parseable, no scheme, or another scheme than http and https."""
-    scheme = F.lower(F.try_parse_url(F.col(column), F.lit("PROTOCOL")))
+    """A message, or null: not parseable, no scheme, or another scheme than http and https, which are written in lower case."""
+    scheme = F.try_parse_url(F.col(column), F.lit("PROTOCOL"))
     return (
         F.when(scheme.isin("http", "https"), None)
         .when(scheme.isNotNull(), f"{column} must use http or https")

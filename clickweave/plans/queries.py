@@ -235,6 +235,11 @@ _BROKEN: list[tuple[dict[str, str], str]] = [
     ({"eventType": "'HOVER'", "durationMs": "NULL"}, "HOVER needs durationMs"),
     ({"eventType": "'HOVER'"}, ""),
     ({"eventType": "'SWIPE'", "userId": "NULL"}, "userId is required|eventType is unknown"),
+    ({"userId": "'\\t \\n'"}, "userId is required"),
+    ({"pageUrl": "'\\r\\n'"}, "pageUrl is required"),
+    ({"eventType": "'CLICK'", "targetElement": "'\\t'"}, "CLICK needs targetElement"),
+    ({"pageUrl": "'HTTP://e.com/x'"}, "pageUrl must use http or https"),
+    ({"referrerUrl": "'Https://e.com/x'"}, "referrerUrl must use http or https"),
 ]
 
 
@@ -779,14 +784,15 @@ def s_stream_clicks(spark, sf_dir):
 
 
 def piped(spark: SparkSession, sf_dir: str) -> str:
-    """All events as JSON values in files, with text that is no event beside every hundredth, through the whole pipeline as of V_AS_OF; the folder of its outputs."""
+    """All events as JSON values in files, with text that is no event beside every hundredth, through the whole pipeline (without scrubbing) as of V_AS_OF; the
+    folder of its outputs."""
     place = (spark.sparkContext.applicationId, sf_dir, "pipeline")
     if place not in _WRITTEN:
         root = scratch_path(spark, "pipeline")
         values = sinks.keyed_json(all_events(spark, sf_dir))
         broken = values.filter(F.get_json_object("value", "$.eventId").endswith("00")).withColumn("value", F.substring("value", 1, 20))
         values.union(broken).select("value").write.text(f"{root}/in")
-        started = jobs.start_pipeline(spark.readStream.schema("value string").text(f"{root}/in"), root, "12 hours", "1 day", every=None, as_of_ms=V_AS_OF)
+        started = jobs.start_pipeline(spark.readStream.schema("value string").text(f"{root}/in"), root, "12 hours", "1 day", every=None, as_of_ms=V_AS_OF, pane="1 hour", scrubbing=False)
         for q in started.values():
             q.awaitTermination()
         _WRITTEN[place] = root
@@ -807,6 +813,20 @@ def s_pipeline_archive(spark, sf_dir):
     return spark.read.parquet(f"{piped(spark, sf_dir)}/lake").select("eventId")
 
 
+@query(
+    "s_pipeline_scrubbed",
+    f"""WITH {_V} SELECT eventId, sha256('s1' || userId) AS userId, least(1.0, greatest(0.0, scrollDepth)) AS depth FROM checked
+WHERE list_filter(errors, lambda m: m <> 'scrollDepth must lie in 0 to 1') = []""",
+)
+def s_pipeline_scrubbed(spark, sf_dir):
+    """What a pipeline that scrubs first archives: depths are clamped before they are judged, users are hashed."""
+    root = scratch_path(spark, "scrubbed")
+    sinks.keyed_json(all_events(spark, sf_dir)).select("value").write.text(f"{root}/in")
+    checked = jobs.checked_values(spark.readStream.schema("value string").text(f"{root}/in"), V_AS_OF, salt="s1")
+    jobs.start_archive(checked.filter(F.size("errors") == 0).drop("errors"), root, None).awaitTermination()
+    return spark.read.parquet(f"{root}/lake").select("eventId", "userId", F.col("metadata.scrollDepth").alias("depth"))
+
+
 _NO_EVENT = "eventId is required|userId is required|sessionId is required|eventType is required|pageUrl is required|timestamp is required"
 
 
@@ -819,10 +839,10 @@ def s_pipeline_quarantine(spark, sf_dir):
 @query("s_live_series", f"""WITH {EV}, slid AS (SELECT *, time_bucket(INTERVAL 30 minutes, ts) - w * INTERVAL 30 minutes AS s FROM va, range(0, 2) r(w))
 SELECT {text("s")} AS windowStart, {text("s + INTERVAL 1 hour")} AS windowEnd, count(*) FILTER (eventType = 'CLICK') AS clicks, count(*) AS events FROM slid GROUP BY s""")
 def s_live_series(spark, sf_dir):
-    """The live series as a stream in update mode (users, which are approximate there, are left out)."""
+    """The live series from panes that a stream keeps in update mode (users, which are approximate there, are left out)."""
     root = scratch_path(spark, "stream")
-    jobs.start_series(stream_events(spark, sf_dir), root, "1 hour", "30 minutes", every=None).awaitTermination()
-    return flat(sinks.KeyedTable(spark, f"{root}/tables/live-series").read().select("windowStart", "windowEnd", "clicks", "events"))
+    jobs.start_live(stream_events(spark, sf_dir), root, "30 minutes", every=None).awaitTermination()
+    return flat(live.series_of(sinks.KeyedTable(spark, f"{root}/tables/live-panes").read(), "1 hour", "30 minutes").select("windowStart", "windowEnd", "clicks", "events"))
 
 
 def live_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:

@@ -93,13 +93,21 @@ def start_archive(events: DataFrame, root: str, every: str | None = "60 seconds"
     return _batches(events, "archive", root, write_batch, every)
 
 
-def start_pipeline(values: DataFrame, root: str, gap: str = "30 minutes", window: str = "5 minutes", watermark: str = "10 minutes", every: str | None = "30 seconds", as_of_ms: int | None = None, pane: str = "1 minute", salt: str | None = None) -> dict[str, StreamingQuery]:
-    """The whole job over a stream of JSON values: parse, scrub (with a salt user ids are hashed), validate, jobs, live panes and archive over valid
-    events, the others to root/quarantine with their errors. Events on sensitive elements are dropped and leave no trace.
+def checked_values(values: DataFrame, as_of_ms: int | None = None, scrubbing: bool = True, salt: str | None = None) -> DataFrame:
+    """JSON values as events with their errors: parsed, scrubbed (with a salt user ids are hashed; events on sensitive elements are dropped and leave no trace), validated."""
+    events = parse_json(values)
+    return with_event_time(scrub(events, salt) if scrubbing else events).withColumn("errors", errors(as_of_ms))
+
+
+def start_pipeline(
+    values: DataFrame, root: str, gap: str = "30 minutes", window: str = "5 minutes", watermark: str = "10 minutes", every: str | None = "30 seconds", as_of_ms: int | None = None, pane: str = "1 minute", scrubbing: bool = True, salt: str | None = None
+) -> dict[str, StreamingQuery]:
+    """The whole job over a stream of JSON values: parse, scrub, validate, jobs, live panes and archive over valid events, the others to root/quarantine
+    with their errors.
 
     Every query reads the source by itself, with offsets and checkpoint of its own, so one may fall behind or fail without the others.
     """
-    checked = with_event_time(scrub(parse_json(values), salt)).withColumn("errors", errors(as_of_ms))
+    checked = checked_values(values, as_of_ms, scrubbing, salt)
     good = checked.filter(F.size("errors") == 0).drop("errors")
     queries = start_jobs(good, root, gap, window, watermark, every)
     queries["live-panes"] = start_live(good, root, pane, watermark, every)

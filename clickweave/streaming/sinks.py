@@ -81,57 +81,32 @@ class _Folder:
                 self._delete(f"{folder}/{old}")
 
 
-class _Lake(_Folder):
-    """The raw lake by batches: files are moved into the hour folders under names that hold the query's and the batch's number."""
-
-    def __init__(self, spark: SparkSession, root: str, query: str):
-        super().__init__(spark, root)
-        self.query, self.marks, self.staging = query, f"_batches/{query}", f"_staging/{query}"
-
-    def write(self, events: DataFrame, batch_id: int) -> None:
-        if self.last_mark(self.marks) >= batch_id:
-            return
-        staged = f"{self.staging}/{batch_id}"
-        with_partitions(events).hint("rebalance", *PARTITIONS).write.mode("overwrite").options(**ARCHIVE_OPTIONS).partitionBy(*PARTITIONS).parquet(f"{self.root}/{staged}")
-        self.discard(batch_id)  # what an attempt left whose mark was lost
-        for hour in self._hours(batch_id):
-            for k, name in enumerate(sorted(n for n in self._list(f"{staged}/{hour}") if n.endswith(".parquet"))):
-                self._rename(f"{staged}/{hour}/{name}", f"{hour}/{self._name(batch_id)}{k}.parquet")
-        self.mark(self.marks, batch_id)
-        self._delete(self.staging)
-
-    def discard(self, batch_id: int) -> None:
-        """Takes a batch without a mark out of the hours that it was staged for."""
-        for hour in self._hours(batch_id):
-            for name in self._list(hour):
-                if name.startswith(self._name(batch_id)):
-                    self._delete(f"{hour}/{name}")
-
-    def _name(self, batch_id: int) -> str:
-        return f"batch-{self.query}-{batch_id}-"
-
-    def _hours(self, batch_id: int) -> list[str]:
-        found = [""]
-        for _ in PARTITIONS:
-            found = [f"{f}/{n}".lstrip("/") for f in found for n in self._list(f"{self.staging}/{batch_id}/{f}") if "=" in n]
-        return found
-
-
 def query_id(df: DataFrame) -> str:
     """Of the streaming query whose batch this is: it stays over restarts from one checkpoint and differs for another."""
     return (df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none").split("-")[0]
 
 
 def archive_batch(events: DataFrame, batch_id: int, path: str) -> None:
-    """Appends a numbered batch to the lake, once: a batch whose mark is there changes nothing, and one that broke off before it, wherever, is written
-    anew over what it left. Batches of a query come in order of their numbers; queries with checkpoints of their own may share a lake."""
-    _Lake(events.sparkSession, path, query_id(events)).write(events, batch_id)
+    """Appends a numbered batch to the lake, once: in each hour its rows have a folder of their own, named by the query and the batch. A mark says which batch was
+    begun last; one that comes again, wherever it broke off before, first takes out what it left. Queries with checkpoints of their own may share a lake."""
+    lake, query = _Folder(events.sparkSession, path), query_id(events)
+    if lake.last_mark(f"_begun/{query}") >= batch_id:
+        _take_out(lake, f"{query}-{batch_id}")
+    lake.mark(f"_begun/{query}", batch_id)
+    rows = with_partitions(events).withColumn("batch", F.lit(f"{query}-{batch_id}")).hint("rebalance", *PARTITIONS)
+    rows.write.mode("append").options(**ARCHIVE_OPTIONS).partitionBy(*PARTITIONS, "batch").parquet(path)
+
+
+def _take_out(lake: _Folder, batch: str) -> None:
+    fs, hours = lake._path("/".join(f"{c}=*" for c in PARTITIONS) + f"/batch={batch}")
+    for left in fs.globStatus(hours) or []:
+        fs.delete(left.getPath(), True)
 
 
 def undelivered(events: DataFrame, batch_id: int, path: str, kept: str) -> None:
     """Keeps a batch that can't be archived, whole, in a folder of its own, and leaves none of its rows in the lake."""
     quarantine(events, batch_id, kept)
-    _Lake(events.sparkSession, path, query_id(events)).discard(batch_id)
+    _take_out(_Folder(events.sparkSession, path), f"{query_id(events)}-{batch_id}")
 
 
 class KeyedTable(_Folder):

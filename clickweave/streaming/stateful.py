@@ -32,6 +32,7 @@ def _passes(us: int) -> int:
     return max(-(-us // 1000) - 1, 1)
 
 
+MINUTE_MS = 60_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,69 +43,106 @@ def keyed_state(spark: SparkSession) -> None:
 
 
 class ClickProcessor(StatefulProcessor):
-    """Clicks per view of one session. State is one list: the events that wait for the watermark and, once something is settled, a row of
-    the type STATE with the open view; timers of event time settle what the watermark has passed, report a silent session and forget it."""
+    """Clicks per view of the sessions of one bucket. A bucket and not a session is the key, since every key costs a dozen calls between Python and the state
+    store in each batch, whatever it holds.
 
-    held = "eventId string, eventType string, pageUrl string, us long, clicks long, reported long, last long, revision long"
+    State: a list of the events that wait for the watermark; a map from sessions to their open views; an agenda, a map from minutes to the sessions to
+    look at once the watermark has passed the minute. Timers come for the first waiting event and for the minutes of the agenda. Only sessions that a
+    batch touches or the agenda names are read and written.
+    """
+
+    waiting = "userId string, sessionId string, eventId string, eventType string, pageUrl string, us long"
+    session = "userId string, sessionId string"
+    view = "eventId string, pageUrl string, us long, clicks long, reported long, last long"
     output = "userId string, sessionId string, eventId string, pageUrl string, us long, clicksOnPage long, revision long, settled boolean"
 
     def __init__(self, timeout_ms: int, keep_ms: int, early: bool):
         self.timeout_ms, self.forget_ms, self.early = timeout_ms, max(keep_ms, timeout_ms), early
 
     def init(self, handle) -> None:
-        self.handle, self.list = handle, handle.getListState("held", self.held)
+        self.handle, self.events = handle, handle.getListState("waiting", self.waiting)
+        self.open = handle.getMapState("open", self.session, self.view)
+        self.agenda = handle.getMapState("agenda", "minute long", f"sessions array<struct<{self.session.replace(' string', ':string')}>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(r.eventId, r.eventType, r.pageUrl, r.us, None, None, None, None) for r in rows]
-        if self.early:
-            return self._settle(key, new, timerValues.getCurrentWatermarkInMs())
-        self.list.appendList(new)  # without a look at what is there: a timer comes for it
-        self.handle.registerTimer(_passes(min(r[3] for r in new)))
-        return iter(())
+        new = [(r.userId, r.sessionId, r.eventId, r.eventType, r.pageUrl, r.us) for r in rows]
+        out = []
+        if self.early:  # what the events above the watermark close so far
+            sessions, held = {r[:2] for r in new}, self.open.exists()
+            for session, waiting in _by_session([*(r for r in self.events.get() if r[:2] in sessions), *new]).items():
+                found = self.open.getValue(session) if held else None
+                done, _ = _apply(list(found[:5]) if found else None, waiting)
+                out += self._reports(session, done, timerValues, False)
+        self.events.appendList(new)
+        self.handle.registerTimer(_passes(min(r[5] for r in new)))
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        return self._settle(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def _settle(self, key, new: list[tuple], mark: int) -> Iterator[Row]:
-        held = list(self.list.get())
-        state = next((h for h in held if h[1] == "STATE"), None)
-        view = [state[0], state[2], state[3], state[4], state[5]] if state and state[3] is not None else None
-        last, revision = (state[6], state[7]) if state else (0, 0)
-        waiting = sorted([*(h for h in held if h[1] != "STATE"), *new], key=lambda w: (w[3], w[0] is not None, w[0] or ""))
-        passed = sum(w[3] <= mark * 1000 for w in waiting)
-        done, view = _apply(view, waiting[:passed])
-        last = max(last, waiting[passed - 1][3]) if passed else last
-        waiting = waiting[passed:]
-        if view and not waiting and last // 1000 + self.timeout_ms < mark:
-            done.append(view)
-            view = [*view[:4], view[3]]
-        soon = _apply(view, waiting)[0] if self.early and new else []
-        if waiting or (view and last // 1000 + self.forget_ms >= mark):
-            v = view or [None] * 5
-            self.list.put([(v[0], "STATE", v[1], v[2], v[3], v[4], last, revision + 1), *waiting])
-            self.handle.registerTimer(_passes(waiting[0][3]) if waiting else last // 1000 + (self.forget_ms if view[3] == view[4] else self.timeout_ms))
-        elif held:
-            self.list.clear()
-        out = [Row(userId=key[0], sessionId=key[1], eventId=v[0], pageUrl=v[1], us=v[2], clicksOnPage=v[3], revision=revision, settled=settled) for views, settled in ((done, True), (soon, False)) for v in views if v[3] != v[4]]
+        mark, minute = timerValues.getCurrentWatermarkInMs(), -(-expiredTimerInfo.getExpiryTimeInMs() // MINUTE_MS)
+        due = self.agenda.getValue((minute,))
+        if due:
+            self.agenda.removeKey((minute,))
+        events = list(self.events.get())
+        passed, later = [r for r in events if r[5] <= mark * 1000], [tuple(r) for r in events if r[5] > mark * 1000]
+        if passed:
+            self.events.put(later) if later else self.events.clear()
+        if later:
+            self.handle.registerTimer(_passes(min(r[5] for r in later)))
+        touched, busy, held = _by_session(passed), {r[:2] for r in later}, self.open.exists()
+        out, meetings = [], {}
+        for session in {**touched, **{tuple(s): None for s in (due[0] if due else [])}}:
+            rows, found = touched.get(session), self.open.getValue(session) if held else None
+            last = max(rows[-1][3] if rows else 0, found[5] if found else 0)
+            done, view = _apply(list(found[:5]) if found else None, rows or [])
+            if view and session not in busy and last // 1000 + self.timeout_ms < mark:
+                done.append(view)
+                view = [*view[:4], view[3]]
+            out += self._reports(session, done, timerValues, True)
+            if view and (session in busy or last // 1000 + self.forget_ms >= mark):
+                if rows or done:
+                    self.open.updateValue(session, (*view, last))
+                    at = last // 1000 + (self.forget_ms if view[3] == view[4] else self.timeout_ms)
+                    meetings.setdefault(max(at, mark) // MINUTE_MS + 1, []).append(session)
+            elif found:
+                self.open.removeKey(session)
+        for at, sessions in meetings.items():
+            others = self.agenda.getValue((at,))
+            self.agenda.updateValue((at,), ([*(tuple(s) for s in (others[0] if others else [])), *sessions],))
+            self.handle.registerTimer(at * MINUTE_MS)
         return iter(out)
 
+    def _reports(self, session, views: list[list], timerValues, settled: bool) -> list[Row]:
+        revision = 2 * timerValues.getCurrentProcessingTimeInMs() + settled  # of batches in their order; timers come after rows
+        return [Row(userId=session[0], sessionId=session[1], eventId=v[0], pageUrl=v[1], us=v[2], clicksOnPage=v[3], revision=revision, settled=settled) for v in views if v[3] != v[4]]
+
     def close(self) -> None:
         pass
 
 
-def clicks_by_view_stream(events: DataFrame, watermark: str = "10 minutes", timeout_ms: int = 1_800_000, keep_ms: int = 86_400_000, early: bool = False) -> DataFrame:
+def _by_session(events: list[tuple]) -> dict[tuple, list[tuple]]:
+    """(eventId, eventType, pageUrl, us) of every session in the order of time."""
+    out: dict[tuple, list[tuple]] = {}
+    for user, session, *event in events:
+        out.setdefault((user, session), []).append(tuple(event))
+    for rows in out.values():
+        rows.sort(key=lambda r: (r[3], r[0] is not None, r[0] or ""))
+    return out
+
+
+def clicks_by_view_stream(events: DataFrame, watermark: str = "10 minutes", timeout_ms: int = 1_800_000, keep_ms: int = 86_400_000, early: bool = False, buckets: int = 256) -> DataFrame:
     """Streaming clicks per page view, as clicks_by_view counts them, whatever micro-batches the events come in.
 
-    State per session holds the events that the watermark hasn't passed and the open view. Events are settled in the order of (ts, eventId)
+    State holds the events that the watermark hasn't passed and the open view of each session. Events are settled in the order of (ts, eventId)
     once the watermark has passed them. A view is reported when a later one is settled or the session has been silent for timeout_ms of
-    event time; a click after such a silence reports its view again, until the session has been silent for keep_ms and is forgotten. early
+    event time (looked at once a minute); a click after such a silence reports its view again, until the session has been silent for keep_ms and is forgotten. early
     also reports views that an event above the watermark closes so far (settled is false). Of a view's rows that with the highest revision counts.
-    State that outlives its time is dropped by timers of event time and not by a time to live, which Spark counts in processing time. The
-    session must keep state in RocksDB (keyed_state).
+    Sessions are dealt over `buckets` keys, which stay those of the checkpoint: some hundred sessions that are open at once for each are few.
     """
-    timed = with_watermark(events.filter(F.col("eventType").isin("PAGE_VIEW", "CLICK")), watermark).select("userId", "sessionId", "eventId", "eventType", "pageUrl", "ts", F.unix_micros("ts").alias("us"))
+    timed = with_watermark(events.filter(F.col("eventType").isin("PAGE_VIEW", "CLICK")), watermark)
+    bucket = F.pmod(F.xxhash64("userId", "sessionId"), F.lit(buckets)).cast("int").alias("bucket")
+    timed = timed.select(bucket, "userId", "sessionId", "eventId", "eventType", "pageUrl", "ts", F.unix_micros("ts").alias("us"))
     keyed_state(events.sparkSession)
-    out = timed.groupBy("userId", "sessionId").transformWithState(ClickProcessor(timeout_ms, keep_ms, early), ClickProcessor.output, "append", "eventTime")
+    out = timed.groupBy("bucket").transformWithState(ClickProcessor(timeout_ms, keep_ms, early), ClickProcessor.output, "append", "eventTime")
     return out.select("userId", "sessionId", "eventId", "pageUrl", F.timestamp_micros("us").alias("ts"), "clicksOnPage", "revision", "settled")
 
 

@@ -168,53 +168,43 @@ def test_streamed_bursts_equal_the_batch(spark, tmp_path):
 # --- the archive -------------------------------------------------------------------------------------------------------------
 
 
-def test_a_lost_mark_repeats_nothing(spark, tmp_path):
+def test_a_batch_that_comes_again_repeats_nothing(spark, tmp_path):
     events = lambda a, b: frame(spark, [row(f"e{k}", "u", "s", "CLICK", "/", k * 20 * MIN) for k in range(a, b)])
     lake, ids = str(tmp_path / "lake"), lambda: sorted(r.eventId for r in spark.read.parquet(str(tmp_path / "lake")).collect())
     sinks.archive_batch(events(0, 5), 0, lake)
     sinks.archive_batch(events(5, 9), 1, lake)
     assert ids() == [f"e{k}" for k in range(9)]
-    for mark in (tmp_path / "lake" / "_batches" / "none").glob("*1"):
-        mark.unlink()  # the batch's commit is lost: it is replayed
-    sinks.archive_batch(events(5, 9).repartition(7), 1, lake)
-    sinks.archive_batch(events(5, 9), 1, lake)  # and once more, with its mark
+    sinks.archive_batch(events(5, 9).repartition(7), 1, lake)  # its commit was lost, and it is replayed in other parts
     assert ids() == [f"e{k}" for k in range(9)]
     assert {r.hour for r in spark.read.parquet(lake).select("hour").collect()} == {0, 1, 2}
 
 
-def test_a_batch_that_breaks_off_half_moved_is_written_anew(spark, tmp_path, monkeypatch):
-    events, lake = frame(spark, [row(f"e{k}", "u", "s", "CLICK", "/", k * 30 * MIN) for k in range(8)]), str(tmp_path / "lake")
-    rename, moved = sinks._Lake._rename, []
-
-    def breaks(self, source, target):
-        if len(moved) == 2:
-            raise OSError("store lost")
-        moved.append(target)
-        rename(self, source, target)
-
-    monkeypatch.setattr(sinks._Lake, "_rename", breaks)
-    with pytest.raises(OSError):
-        sinks.archive_batch(events, 0, lake)
-    monkeypatch.setattr(sinks._Lake, "_rename", rename)
-    assert 0 < spark.read.parquet(lake).count() < 8
-    sinks.archive_batch(events, 0, lake)
-    assert sorted(r.eventId for r in spark.read.parquet(lake).collect()) == [f"e{k}" for k in range(8)]
+def test_a_lost_commit_of_the_stream_repeats_nothing(spark, tmp_path):
+    """The checkpoint loses the commit of the last batch, as if the driver had died between writing and committing."""
+    for n in (4, 3):
+        write(spark, visits(n, n * 100 * MIN), tmp_path / "in")
+        jobs.start_archive(stream(spark, tmp_path / "in"), str(tmp_path), None).awaitTermination()
+    commits = tmp_path / "checkpoints" / "archive" / "commits"
+    for f in (commits / "1", commits / ".1.crc"):
+        f.unlink(missing_ok=True)
+    jobs.start_archive(stream(spark, tmp_path / "in"), str(tmp_path), None).awaitTermination()
+    assert (commits / "1").exists()
+    got = [r.eventId for r in spark.read.parquet(f"{tmp_path}/lake").collect()]
+    assert len(got) == len(set(got)) == 7
 
 
 def test_an_undelivered_batch_leaves_nothing_in_the_lake(spark, tmp_path, monkeypatch):
-    rename, calls = sinks._Lake._rename, []
+    whole = sinks.archive_batch
 
-    def breaks(self, source, target):
-        calls.append(target)
-        if len(calls) % 2 == 0:
-            raise OSError("store lost")
-        rename(self, source, target)
+    def breaks(batch, batch_id, path):  # half of the rows are there before the store is lost
+        whole(batch.filter("eventType = 'CLICK'"), batch_id, path)
+        raise OSError("store lost")
 
-    monkeypatch.setattr(sinks._Lake, "_rename", breaks)
+    monkeypatch.setattr(jobs, "archive_batch", breaks)
     write(spark, visits(6, 0) + visits(6, 300 * MIN), tmp_path / "in")
     jobs.start_archive(stream(spark, tmp_path / "in"), str(tmp_path), None, first_ms=1).awaitTermination()
-    monkeypatch.setattr(sinks._Lake, "_rename", rename)
-    assert len(calls) == 6 and not list((tmp_path / "lake").rglob("batch-*.parquet"))
+    assert not list((tmp_path / "lake").rglob("*.parquet"))
+    monkeypatch.setattr(jobs, "archive_batch", whole)
     write(spark, visits(3, 600 * MIN), tmp_path / "in")
     jobs.start_archive(stream(spark, tmp_path / "in"), str(tmp_path), None, first_ms=1).awaitTermination()
     kept = spark.read.option("recursiveFileLookup", "true").json(f"{tmp_path}/undelivered")
