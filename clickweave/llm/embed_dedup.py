@@ -1,6 +1,6 @@
 """Near-duplicate embeddings: int8 tile products with rigorous error bounds, full precision only where a pair may link.
 
-Every vector is quantised once: a unit vector x is kept as s * q + e with int8 codes q, a scale s and the measured length of
+Every vector is quantised where it is read, and those of possible pairs once more beside their doubles: a unit vector x is kept as s * q + e with int8 codes q, a scale s and the measured length of
 e. Equal vectors of a label collapse. The classes of a label are dealt by hash to strips, about the square root of its number of tiles
 or more, so that a strip's codes stay bounded; a pair of strips is one task input, so codes (a byte a dimension) are sent about as
 often as a label has strips, and a label that holds most rows is spread over all tasks. For two vectors

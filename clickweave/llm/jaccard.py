@@ -12,8 +12,8 @@
    the overlap with every member (`bound`). Only groups that still qualify are opened: their members meet the query, and intersections
    are counted exactly. What leaves a task is a spanning forest of the links found and each set's number of links.
 
-Whole texts are read twice without a shuffle; the first tokens are shuffled, not all tokens; all tokens move only for sets that are
-candidates. Frequent tokens come last in the order, and a token that many sets do share is counted before the shuffle and
+Whole texts are read three times: twice without a shuffle, and once more for the sets that are candidates, whose texts meet them by a join (a
+broadcast one while they are few). The first tokens are shuffled, not all tokens; all tokens move only for candidates. Frequent tokens come last in the order, and a token that many sets do share is counted before the shuffle and
 joined by an equi-join that AQE may split. What grows faster than the input is a family of distinct near copies: its
 blocks meet pairwise, as its links must all be counted.
 
