@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scrub, validation
 from ..operators import curated, funnel, journeys, live, maintenance, pages, sessions
 from ..sources import events as sources
-from ..sources.scratch import scratch_path
+from ..sources.scratch import exists, scratch_path
 from ..streaming import jobs, sinks, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -591,7 +591,7 @@ _WRITTEN: dict[tuple[str, str, str], str] = {}
 def curated_table(spark: SparkSession, sf_dir: str, name: str, key: str, make: Query) -> DataFrame:
     """A curated table, written for lookups when it is first asked for and read from then on, as services read what the jobs wrote."""
     place = (spark.sparkContext.applicationId, sf_dir, name)
-    if place not in _WRITTEN:
+    if place not in _WRITTEN or not exists(spark, _WRITTEN[place]):  # the scratch folder may have been cleared
         path = scratch_path(spark, name)
         maintenance.write_for_lookup(make(spark, sf_dir), path, key)
         _WRITTEN[place] = path

@@ -13,3 +13,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     shared = shared or "/tmp/checkpoints"
     return f"{shared}/{label}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
