@@ -1,4 +1,4 @@
-"""Follow-the-regularised-leader (proximal) updates for sparse linear models, trained on shards of a bounded sample in Spark tasks.
+"""Follow-the-regularised-leader (proximal) updates for sparse linear models, trained in Spark tasks on shards of a bounded sample (train) or of all rows (train_whole).
 
 Every shard is worked off by one task; a weight of the model is its mean over the shards that have met its feature
 (parameter mixing), so rare features don't fade. Rows of a shard are taken in the order of their hash, so the model is the same in every run.
@@ -6,17 +6,22 @@ Every shard is worked off by one task; a weight of the model is its mean over th
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, add_pieces, vector_pieces
 from .textnum import few_rows, give_back
 
+#: Weights are added as whole multiples of 1 / POINT, so that their sum doesn't depend on the order.
+POINT = 1 << 32
+PIECES = 32
+
 
 @dataclass(frozen=True)
 class Ftrl:
@@ -60,17 +65,24 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, classes: int,
     return out, (n > 0).any(1)
 
 
-def featurised(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]], how: Ftrl, most: int | None = None) -> DataFrame:
-    """shard, u, y and features (idx, val) of the rows of a sample that have a class; of more than `most` those first by hash, made where the texts are read."""
+def featurised(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]], how: Ftrl, most: int | None = None, spread: bool = False) -> DataFrame:
+    """shard, u, y and features (idx, val) of the rows of a sample that have a class; of more than `most` those first by hash, made where the texts are read.
+    spread: rows of one hash, which repeated ids have, are dealt over the shards in turn."""
 
     def featurise(batches: Iterator[pa.RecordBatch]):
+        met = Counter()
         for batch in few_rows(batches):
             u, ys, idx, val = batch.column("_u"), batch.column("y"), [], []
             for text in batch.column("text").to_pylist():
                 i, v = features(text or "")
                 idx.append(i.astype(np.int32).tobytes())
                 val.append(v.astype(np.float32).tobytes())
-            shard = pa.array([int(x * 1e9) % how.shards for x in u.to_pylist()], pa.int32())
+            turns = [0] * len(u)
+            if spread:
+                for k, x in enumerate(u.to_pylist()):
+                    turns[k] = met[x]
+                    met[x] += 1
+            shard = pa.array([(int(x * 1e9) + k) % how.shards for x, k in zip(u.to_pylist(), turns, strict=True)], pa.int32())
             yield pa.RecordBatch.from_arrays([shard, u, ys.cast(pa.int32()), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["shard", "u", "y", "idx", "val"])
 
     some = sample.select("_u", "text", F.col("y").cast("int").alias("y")).filter(F.col("y").isNotNull())
@@ -89,12 +101,16 @@ def within_bytes(rows: DataFrame, how: Ftrl) -> DataFrame:
     return sums.filter(F.col("_bytes") <= how.shard_bytes).drop("_bytes")
 
 
+def rows_of(group: pa.Table) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    return [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for i, v, y in zip(group["idx"].to_pylist(), group["val"].to_pylist(), group["y"].to_pylist(), strict=True)]
+
+
 def train(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]], size: int, classes: int, how: Ftrl, most: int | None = None) -> np.ndarray:
     """sample: columns _u (order), text, y (class number); bounded by the caller or by `most`. Returns float32 weights as of fit()."""
 
     def shard(group: pa.Table) -> pa.Table:
         group = group.sort_by([("u", "ascending")])
-        rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for i, v, y in zip(group["idx"].to_pylist(), group["val"].to_pylist(), group["y"].to_pylist(), strict=True)]
+        rows = rows_of(group)
         w, met = fit(rows, size, classes, how)
         keep, w = np.flatnonzero(met).astype(np.int32), w.astype(np.float32)
         del rows, group
@@ -111,3 +127,26 @@ def train(sample: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndar
         out[at] += np.frombuffer(p.w, np.float32).reshape(-1, classes)
         met[at] += 1
     return (out / np.maximum(met, 1)).astype(np.float32)
+
+
+def train_whole(rows: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]], size: int, how: Ftrl, shards: int) -> np.ndarray:
+    """rows: columns _u (order), text, y (0 or 1), of any number; every one trains, in one of the shards. Returns float32 weights of a logistic model as of fit().
+
+    The caller counts the shards, so that one fits a task. Their weights are added in levels; what reaches the driver depends on `size` alone.
+    """
+
+    def shard(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("u", "y", "idx", "val")])
+        rows = rows_of(group)
+        w, met = fit(rows, size, 1, how)
+        del rows, group
+        pieces = list(vector_pieces(np.concatenate([np.rint(w[:, 0] * POINT).astype(np.int64), met.astype(np.int64)]), PIECES))
+        give_back()
+        return pa.table({"piece": pa.array([k for k, _ in pieces], pa.int32()), "data": pa.array([data for _, data in pieces], pa.binary())})
+
+    scratch = Scratch(rows.sparkSession)
+    dealt = featurised(rows, features, replace(how, shards=shards), spread=True)
+    parts = scratch.save(dealt.groupBy("shard").applyInArrow(shard, "piece int, data binary"), "weights")
+    sums, met = add_pieces(parts, 2 * (size + 1), PIECES).reshape(2, size + 1)
+    scratch.drop("weights")
+    return (sums / POINT / np.maximum(met, 1)).astype(np.float32)[:, None]

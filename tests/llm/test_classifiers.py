@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import cases
 import numpy as np
@@ -7,12 +8,12 @@ import pytest
 from compare import DATA
 from pyspark.sql import functions as F
 
-from clickweave.llm.common import bounded_sample, join_on_key
-from clickweave.llm.ftrl import Ftrl, featurised, fit
+from clickweave.llm.common import bounded_sample, join_on_key, unit_hash
+from clickweave.llm.ftrl import Ftrl, featurised, fit, train_whole
 from clickweave.llm.langid import LangModel, LangParams, by_language, has_letter, predict_langid, quotas, temperature, tfidf, train_langid
 from clickweave.llm.quality import QualityParams, features, score_quality, train_quality
 from clickweave.llm.queries import QUERIES
-from clickweave.llm.toxicity import ToxicityParams, buckets, score_toxicity, threshold, train_toxicity
+from clickweave.llm.toxicity import ToxicityParams, buckets, score_toxicity, shards, threshold, threshold_of, train_toxicity
 
 SMALL = f"{DATA}/sf0.1"
 
@@ -194,3 +195,67 @@ def test_languages_beyond_a_set_bound_are_an_error(spark):
     assert len(train_langid(docs, LangParams(bits=10)).langs) == 3
     with pytest.raises(ValueError):
         train_langid(docs, LangParams(bits=10, max_langs=2))
+
+
+def test_every_labelled_row_trains_the_toxicity_model(spark):
+    """45,000 rows train; those with "vilest" are the last by hash, where a sample of 30,000 ended. Each word is learned."""
+    word = F.when(F.col("u") > 0.97, "vilest").when(F.col("doc_id") % 20 == 0, "horrid").otherwise("gentle")
+    rows = spark.range(56_250).select(F.col("id").alias("doc_id"), unit_hash(F.col("id"), seed=7).alias("u"))
+    rows = rows.withColumn("word", word).select("doc_id", F.concat("word", F.lit(" "), F.col("doc_id") % 7).alias("text"), (F.col("word") != "gentle").cast("int").alias("y"))
+    params = ToxicityParams(bits=14)
+    model = train_toxicity(rows.select("doc_id", "text"), rows.select("doc_id", "y"), params)
+    texts = spark.createDataFrame([(0, "gentle 1"), (1, "horrid 1"), (2, "vilest 1")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_toxicity(texts, model, params).collect()}
+    assert (model[1][np.unique(buckets("vilest", params))] != 0).any()
+    assert got[0] < 0.5 < min(got[1], got[2])
+
+
+def test_whole_training_takes_each_row_once(spark):
+    """Shards of all rows, rows of one hash in turn; the weights are the means over the shards that met a feature."""
+    rows = [(0.5 if k < 30 else 0.5 + k / 1000, f"word{k % 11} sign{k % 5}", int(k % 3 == 0)) for k in range(300)]
+    made, how = (lambda t: features(t, 10)), Ftrl(alpha=0.5, epochs=2)
+    sample = spark.createDataFrame(rows, "_u double, text string, y int").coalesce(1)
+    dealt = featurised(sample, made, Ftrl(shards=3), spread=True).collect()
+    assert len(dealt) == 300
+    assert sorted(Counter(r.shard for r in dealt if r.u == 0.5).values()) == [10, 10, 10]
+    total, met = np.zeros((1025, 1)), np.zeros((1025, 1))
+    for k in range(3):
+        own = sorted((r for r in dealt if r.shard == k), key=lambda r: (r.u, r.y, bytes(r.idx), bytes(r.val)))
+        w, m = fit([(np.frombuffer(r.idx, np.int32), np.frombuffer(r.val, np.float32), r.y) for r in own], 1024, 1, how)
+        total, met = total + w, met + m[:, None]
+    got = train_whole(sample, made, 1024, how, 3)
+    assert (got != 0).sum() > 10
+    assert np.allclose(got, total / np.maximum(met, 1), atol=1e-6)
+    assert (train_whole(sample.limit(0), made, 1024, how, 1) == 0).all()
+
+
+def test_shards_grow_with_rows_and_features():
+    params = ToxicityParams(bits=2, shard_rows=100)
+    sums = np.array([5, 0, 0, 9, 0, 7, 0, 0, 250, 51])  # of other rows, of toxic ones, and their numbers
+    assert shards(sums, np.ones(4, bool), params) == 4
+    assert shards(sums, np.array([True, True, False, False]), ToxicityParams(bits=2, ftrl=Ftrl(shards=1, shard_bytes=96))) == 2
+    assert shards(np.zeros(10, np.int64), np.zeros(4, bool), params) == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_threshold_of_many_rows_is_the_same(spark, seed):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = np.random.default_rng(seed)
+    y = (rng.random(3000) < 0.1).astype(int)
+    z = np.round(rng.normal(0, 1, 3000) + (1 + seed) * y, 1 + seed)  # ties, and with seed 3 kinds that lie apart
+    params = ToxicityParams(clean_weight=(20.0, 9.0, 1.0, 20.0)[seed])
+    sums = lambda keep: spark.createDataFrame([(int(a), float(b)) for a, b in zip(y[keep], z[keep], strict=True)], "y int, z double")
+    try:
+        assert threshold_of(sums(z == z), params) == threshold(y.tolist(), z, params) != 0
+        assert threshold_of(sums(y == 0), params) == 0
+        flat = spark.range(400).selectExpr("cast(id % 4 = 0 AS int) AS y", "1.5D AS z")
+        assert threshold_of(flat, params) == 1.5
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_threshold_cut_in_spark_gives_the_same_model(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet").select("doc_id", F.col("toxic").alias("y"))
+    params = ToxicityParams(bits=14, least_toxic=1, least_clean=10)
+    assert np.array_equal(train_toxicity(docs, labels, params), train_toxicity(docs, labels, replace(params, driver_rows=0)))
