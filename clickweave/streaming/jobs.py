@@ -94,9 +94,13 @@ def start_archive(events: DataFrame, root: str, every: str | None = "60 seconds"
 
 
 def checked_values(values: DataFrame, as_of_ms: int | None = None, scrubbing: bool = True, salt: str | None = None) -> DataFrame:
-    """JSON values as events with their errors: parsed, scrubbed (with a salt user ids are hashed; events on sensitive elements are dropped and leave no trace), validated."""
+    """JSON values as events with their errors: parsed, scrubbed (with a salt user ids are hashed; events on sensitive elements are dropped and leave no trace), validated.
+
+    Rows come out of a generator, so that a filter on errors stays above it and doesn't scrub and judge every event a second time.
+    """
     events = parse_json(values)
-    return with_event_time(scrub(events, salt) if scrubbing else events).withColumn("errors", errors(as_of_ms))
+    checked = with_event_time(scrub(events, salt) if scrubbing else events).withColumn("errors", errors(as_of_ms))
+    return checked.select(F.inline(F.array(F.struct(*checked.columns))))
 
 
 def start_pipeline(

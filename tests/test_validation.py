@@ -1,9 +1,10 @@
 import pytest
 from events import T0, frame, row
+from pyspark.sql import functions as F
 
 from clickweave.functions import validation
 from clickweave.sources import events as sources
-from clickweave.streaming import sinks
+from clickweave.streaming import jobs, sinks
 
 BASE = {"eventId": "valid-event-123", "userId": "user-456", "sessionId": "sess-789", "eventType": "PAGE_VIEW", "pageUrl": "https://example.com/page", "timestamp": T0}
 META = {"x": None, "y": None, "scrollDepth": None, "viewportWidth": None, "viewportHeight": None, "elementText": None, "durationMs": None, "version": None, "deviceType": None, "screenResolution": None}
@@ -97,3 +98,13 @@ def test_json_parsing(spark):
     got = sources.with_event_time(sources.parse_json(spark.createDataFrame([(x,) for x in lines], "value string"))).collect()
     assert [(r.eventId, r.referrerUrl, r.timestamp) for r in got] == [("a", "https://r.com", 1704067200123), (None, None, None), ("b", "https://q.com", None)]
     assert str(got[0].ts) == "2024-01-01 00:00:00.123000"
+
+
+def test_json_is_parsed_once_a_row_whatever_is_filtered(spark):
+    """Spark moves a filter on errors below a projection, with a parse for each column that it names (40 here before)."""
+    values = spark.createDataFrame([('{"eventId": "a", "referrer": "https://r.com"}',), (None,), ("[",)], "value string")
+    for rows in (jobs.checked_values(values, T0, scrubbing) for scrubbing in (False, True)):
+        bad = rows.filter(F.size("errors") > 0)
+        plan = bad._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == plan.count("CLICK needs x and y") == 1
+        assert sorted((r.eventId or "", r.referrerUrl or "", len(r.errors)) for r in bad.collect()) == [("", "", 6), ("", "", 6), ("a", "https://r.com", 5)]
