@@ -789,9 +789,9 @@ def piped(spark: SparkSession, sf_dir: str) -> str:
     place = (spark.sparkContext.applicationId, sf_dir, "pipeline")
     if place not in _WRITTEN:
         root = scratch_path(spark, "pipeline")
-        values = sinks.keyed_json(all_events(spark, sf_dir))
-        broken = values.filter(F.get_json_object("value", "$.eventId").endswith("00")).withColumn("value", F.substring("value", 1, 20))
-        values.union(broken).select("value").write.text(f"{root}/in")
+        values = all_events(spark, sf_dir).select("eventId", sinks.event_json().alias("value"))
+        broken = F.when(F.col("eventId").endswith("00"), F.substring("value", 1, 20))
+        values.select(F.explode(F.array_compact(F.array("value", broken))).alias("value")).write.text(f"{root}/in")
         started = jobs.start_pipeline(spark.readStream.schema("value string").text(f"{root}/in"), root, "12 hours", "1 day", every=None, as_of_ms=V_AS_OF, pane="1 hour", scrubbing=False)
         for q in started.values():
             q.awaitTermination()

@@ -8,11 +8,12 @@ import logging
 import math
 import threading
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from ..functions.scrub import scrub
 from ..functions.validation import errors
@@ -21,29 +22,53 @@ from ..operators.live import live_panes, series_of, windows_of
 from ..operators.pages import closing_bounces, page_metrics
 from ..operators.sessions import session_aggregates
 from ..sources.events import micros, parse_json, with_event_time, with_watermark
-from .sinks import KeyedTable, archive_batch, quarantine, undelivered, with_retries
-from .stateful import clicks_by_view_stream, last_reports  # noqa: F401
+from .sinks import KeyedTable, _Folder, archive_batch, quarantine, undelivered, with_retries
+from .stateful import ROCKSDB_SETTINGS, clicks_by_view_stream, keyed_state, last_reports  # noqa: F401
 
 log = logging.getLogger(__name__)
 
 
+@contextmanager
+def state_settings(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started here keep their state in RocksDB, so that its size isn't bounded by the heap, and in two partitions a core, or in
+    spark.sql.shuffle.partitions if those are fewer: every batch opens and commits each of them, so hundreds cost more than the events of most batches. A stream
+    keeps what it was first started with."""
+    partitions = "spark.sql.shuffle.partitions"
+    was = {partitions: spark.conf.get(partitions)} | {name: spark.conf.get(name, None) for name in ROCKSDB_SETTINGS}
+    keyed_state(spark)
+    spark.conf.set(partitions, str(min(int(was[partitions]), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        for name, value in was.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+def _started(writer: DataStreamWriter, spark: SparkSession, every: str | None) -> StreamingQuery:
+    """every=None works off what is there and ends."""
+    with state_settings(spark):
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def _start(df: DataFrame, name: str, root: str, mode: str, every: str | None) -> StreamingQuery:
-    """Merges a job's output into root/tables/name; every=None works off what is there and ends."""
-    target = KeyedTable(df.sparkSession, f"{root}/tables/{name}")
-    writer = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/checkpoints/{name}").foreachBatch(with_retries(target.merge))
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    """Merges a job's output into root/tables/name."""
+    return _batches(df, name, root, with_retries(KeyedTable(df.sparkSession, f"{root}/tables/{name}").merge), every, mode)
 
 
-def start_jobs(events: DataFrame, root: str, gap: str = "30 minutes", window: str = "5 minutes", watermark: str = "10 minutes", every: str | None = "30 seconds") -> dict[str, StreamingQuery]:
+#: The jobs over valid typed events, with their output mode: event stream, gap, window -> rows by key.
+JOBS: dict[str, tuple[Callable[[DataFrame, str, str], DataFrame], str]] = {
+    "sessions": (lambda timed, gap, window: session_aggregates(timed, gap), "append"),
+    "page-metrics": (lambda timed, gap, window: page_metrics(timed, window, exact=False), "update"),
+    "user-journeys": (lambda timed, gap, window: user_journeys(timed, gap), "append"),
+    "page-bounces": (closing_bounces, "append"),
+}
+
+
+def start_jobs(events: DataFrame, root: str, gap: str = "30 minutes", window: str = "5 minutes", watermark: str = "10 minutes", every: str | None = "30 seconds", names: Iterable[str] = tuple(JOBS)) -> dict[str, StreamingQuery]:
     """events: a stream of valid typed events. Sessions and journeys appear once the watermark has passed their end, bounce rates once it has passed
-    the window in which sessions end; page metrics are updated."""
+    the window in which sessions end; page metrics are updated. names: the jobs to start, which don't need each other."""
     timed = with_watermark(events, watermark)
-    return {
-        "sessions": _start(session_aggregates(timed, gap), "sessions", root, "append", every),
-        "page-metrics": _start(page_metrics(timed, window, exact=False), "page-metrics", root, "update", every),
-        "user-journeys": _start(user_journeys(timed, gap), "user-journeys", root, "append", every),
-        "page-bounces": _start(closing_bounces(timed, gap, window), "page-bounces", root, "append", every),
-    }
+    return {name: _start(JOBS[name][0](timed, gap, window), name, root, JOBS[name][1], every) for name in names}
 
 
 def start_live(events: DataFrame, root: str, pane: str = "1 minute", watermark: str = "10 minutes", every: str | None = "5 seconds") -> StreamingQuery:
@@ -82,7 +107,7 @@ def last_watermark(query: StreamingQuery) -> datetime.datetime | None:
 
 def _batches(df: DataFrame, name: str, root: str, write: Callable[[DataFrame, int], None], every: str | None, mode: str = "append") -> StreamingQuery:
     writer = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/checkpoints/{name}").foreachBatch(write)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    return _started(writer, df.sparkSession, every)
 
 
 def start_archive(events: DataFrame, root: str, every: str | None = "60 seconds", write: Callable[[DataFrame, str], None] | None = None, first_ms: int = 100) -> StreamingQuery:
@@ -103,20 +128,40 @@ def checked_values(values: DataFrame, as_of_ms: int | None = None, scrubbing: bo
     return checked.select(F.inline(F.array(F.struct(*checked.columns))))
 
 
+def start_intake(values: DataFrame, root: str, every: str | None = "30 seconds", as_of_ms: int | None = None, scrubbing: bool = True, salt: str | None = None) -> StreamingQuery:
+    """Parses, scrubs and validates JSON values, once for all jobs that follow, into root/checked: valid events (folder valid=true) apart from the others,
+    which have their errors. Spark's own file sink logs the files of a batch, so that streams over them meet each event once."""
+    checked = checked_values(values, as_of_ms, scrubbing, salt).withColumn("valid", F.size("errors") == 0)
+    writer = checked.writeStream.queryName("intake").outputMode("append").format("parquet").partitionBy("valid").option("path", f"{root}/checked").option("checkpointLocation", f"{root}/checkpoints/intake")
+    return _started(writer, values.sparkSession, every)
+
+
+def checked_stream(spark: SparkSession, root: str, valid: bool) -> DataFrame:
+    """What an intake has written to root/checked, and will write: the valid events, or the others with their errors. Only their own folder is read."""
+    _Folder(spark, root).make("checked")
+    schema = checked_values(spark.createDataFrame([], "value string")).schema.add("valid", "boolean")
+    return spark.readStream.schema(schema).parquet(f"{root}/checked").filter(F.col("valid") == valid).drop(*["valid", "errors"][: 1 + valid])
+
+
 def start_pipeline(
     values: DataFrame, root: str, gap: str = "30 minutes", window: str = "5 minutes", watermark: str = "10 minutes", every: str | None = "30 seconds", as_of_ms: int | None = None, pane: str = "1 minute", scrubbing: bool = True, salt: str | None = None
 ) -> dict[str, StreamingQuery]:
-    """The whole job over a stream of JSON values: parse, scrub, validate, jobs, live panes and archive over valid events, the others to root/quarantine
-    with their errors.
+    """The whole job over a stream of JSON values: parse, scrub, validate (the intake), then jobs, live panes and archive over valid events, the others to
+    root/quarantine with their errors. With every=None the intake has worked off what is there before the others start.
 
-    Every query reads the source by itself, with offsets and checkpoint of its own, so one may fall behind or fail without the others.
+    Every query reads by itself, with offsets and checkpoint of its own, so one may fall behind or fail without the others: the intake reads the source,
+    the others what it has written, which stays in root/checked until it is cleared.
     """
-    checked = checked_values(values, as_of_ms, scrubbing, salt)
-    good = checked.filter(F.size("errors") == 0).drop("errors")
-    queries = start_jobs(good, root, gap, window, watermark, every)
+    spark = values.sparkSession
+    queries = {"intake": start_intake(values, root, every, as_of_ms, scrubbing, salt)}
+    if every is None:
+        queries["intake"].awaitTermination()
+    _Folder(spark, root).make("quarantine")  # found also while nothing is rejected
+    good = checked_stream(spark, root, True)
+    queries |= start_jobs(good, root, gap, window, watermark, every)
     queries["live-panes"] = start_live(good, root, pane, watermark, every)
     queries["archive"] = start_archive(good, root, every)
-    queries["quarantine"] = _batches(checked.filter(F.size("errors") > 0), "quarantine", root, with_retries(lambda b, i: quarantine(b, i, f"{root}/quarantine")), every)
+    queries["quarantine"] = _batches(checked_stream(spark, root, False), "quarantine", root, with_retries(lambda b, i: quarantine(b, i, f"{root}/quarantine")), every)
     return queries
 
 

@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -16,9 +16,14 @@ from ..operators.maintenance import PARTITIONS, write_for_lookup
 from ..sources.schema import EVENT
 
 
+def event_json() -> Column:
+    """An event as JSON, without null fields."""
+    return F.to_json(F.struct(*(c for c in EVENT.fieldNames())))
+
+
 def keyed_json(events: DataFrame) -> DataFrame:
     """key (the session) and value (the event as JSON, without null fields), as message queues take them."""
-    return events.select(F.col("sessionId").alias("key"), F.to_json(F.struct(*(c for c in EVENT.fieldNames()))).alias("value"))
+    return events.select(F.col("sessionId").alias("key"), event_json().alias("value"))
 
 
 def publish(events: DataFrame, servers: str, topic: str) -> None:
@@ -58,6 +63,10 @@ class _Folder:
         fs, at = self._path(path)
         return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
+    def make(self, path: str) -> None:
+        fs, at = self._path(path)
+        fs.mkdirs(at)
+
     def _delete(self, path: str) -> None:
         fs, at = self._path(path)
         fs.delete(at, True)
@@ -160,9 +169,12 @@ class KeyedTable(_Folder):
         """Rows replace those of their key; of a batch's rows of one key the latest stays; rows without a key are added."""
         if self.last_commit() >= batch_id:
             return
-        order = Window.partitionBy(self.key).orderBy(F.desc(self.latest))
-        new = rows.filter(F.col(self.key).isNotNull()).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-        new = new.unionByName(rows.filter(F.col(self.key).isNull())).withColumn("updatedAt", F.current_timestamp()).withColumn("_batch", F.lit(batch_id).cast("long"))
+        keyless = F.col(self.key).isNull()
+        # one plan over the batch, for each branch of a union would run its steps with state again; rows without a key are spread by their content
+        spread = F.when(keyless, F.xxhash64(F.to_json(F.struct(*rows.columns))))
+        order = Window.partitionBy(self.key, "_spread").orderBy(F.desc(self.latest))
+        new = rows.withColumn("_spread", spread).withColumn("_n", F.row_number().over(order)).filter((F.col("_n") == 1) | keyless).drop("_n", "_spread")
+        new = new.withColumn("updatedAt", F.current_timestamp()).withColumn("_batch", F.lit(batch_id).cast("long"))
         day = F.coalesce(F.date_format(self.by, "yyyy-MM-dd"), F.lit("none")) if self.by else F.lit("all")
         new.withColumn("date", day).hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(f"{self.root}/_staging/{batch_id}")
         days = {d for d in self._list(f"_staging/{batch_id}") if d.startswith("date=")}

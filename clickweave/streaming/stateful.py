@@ -33,13 +33,16 @@ def _passes(us: int) -> int:
 
 
 MINUTE_MS = 60_000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROCKSDB_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def keyed_state(spark: SparkSession) -> None:
     """State in RocksDB, which operators with state of their own need; changes are uploaded instead of whole snapshots."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    for name, value in ROCKSDB_SETTINGS.items():
+        spark.conf.set(name, value)
 
 
 class ClickProcessor(StatefulProcessor):

@@ -345,3 +345,60 @@ def test_kept_live_table_is_pruned_by_day(spark):
     panes, _ = queries.live_table(spark, f"{DATA}/sf0.001")
     days = {r[0] for r in panes.select(F.to_date("windowStart")).distinct().collect()}
     assert 0 < len(days) <= 6
+
+
+def test_the_whole_job_reads_its_source_once(spark, tmp_path):
+    rows = [row(f"e{k}", "u", "s", "PAGE_VIEW", "https://e.com/a", k * MIN) for k in range(5)] + [row(f"b{k}", "u", "s", "NONE", "https://e.com/a", k * MIN) for k in range(3)]
+    sinks.keyed_json(frame(spark, rows)).select("value").write.text(str(tmp_path / "in"))
+    started = jobs.start_pipeline(spark.readStream.schema("value string").text(str(tmp_path / "in")), str(tmp_path), every=None, as_of_ms=T0 + 60 * MIN)
+    for q in started.values():
+        q.awaitTermination()
+    taken = {name: sum(p.numInputRows for p in q.recentProgress) for name, q in started.items()}
+    assert taken.pop("intake") == 8
+    assert taken.pop("quarantine") == 3
+    assert set(taken.values()) == {5}  # all eight, parsed and judged again by each, before
+    assert spark.read.parquet(f"{tmp_path}/lake").count() == 5
+
+
+def test_nothing_rejected_leaves_an_empty_quarantine(spark, tmp_path):
+    sinks.keyed_json(frame(spark, [row("e", "u", "s", "PAGE_VIEW", "https://e.com/a", 0)])).select("value").write.text(str(tmp_path / "in"))
+    for q in jobs.start_pipeline(spark.readStream.schema("value string").text(str(tmp_path / "in")), str(tmp_path), every=None, as_of_ms=T0 + MIN).values():
+        q.awaitTermination()
+    assert spark.read.schema("eventId string").option("recursiveFileLookup", "true").json(f"{tmp_path}/quarantine").count() == 0
+
+
+def test_a_timed_pipeline_follows_its_intake(spark, tmp_path):
+    write = lambda rows: sinks.keyed_json(frame(spark, rows)).select("value").write.mode("append").text(str(tmp_path / "in"))
+    write([row("a", "u", "s", "PAGE_VIEW", "https://e.com/a", 0)])
+    started = jobs.start_pipeline(spark.readStream.schema("value string").text(str(tmp_path / "in")), str(tmp_path), every="1 second", as_of_ms=T0 + 60 * MIN)
+    try:
+        write([row("b", "u", "s", "PAGE_VIEW", "https://e.com/a", MIN), row("c", "u", "s", "NONE", "https://e.com/a", MIN)])
+        started["intake"].processAllAvailable()
+        started["archive"].processAllAvailable()
+        started["quarantine"].processAllAvailable()
+        assert sorted(r.eventId for r in spark.read.parquet(f"{tmp_path}/lake").collect()) == ["a", "b"]
+        assert [r.eventId for r in spark.read.schema("eventId string").option("recursiveFileLookup", "true").json(f"{tmp_path}/quarantine").collect()] == ["c"]
+        assert all(q.isActive for q in started.values())
+    finally:
+        for q in started.values():
+            q.stop()
+
+
+def test_steps_with_state_run_once_in_a_batch(spark, tmp_path):
+    write(spark, [row(f"e{k}", "u", "s", "PAGE_VIEW", "/a", k * MIN) for k in range(5)], tmp_path / "in")
+    q = jobs.start_live(stream(spark, tmp_path / "in"), str(tmp_path), every=None)
+    q.awaitTermination()
+    assert q.recentProgress[0].stateOperators[0].numRowsUpdated == 5  # 10 before: a merge ran them for rows with a key and again for those without
+
+
+def test_state_has_few_partitions_and_leaves_the_session_as_it_was(spark, tmp_path):
+    name = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "200")
+    try:
+        q = jobs.start_jobs(queries.stream_events(spark, f"{DATA}/sf0.001"), str(tmp_path), "12 hours", "1 day", every=None, names=["page-metrics"])["page-metrics"]
+        q.awaitTermination()
+        assert spark.conf.get(name) == "200"
+    finally:
+        spark.conf.set(name, was)
+    assert 0 < len([f for f in (tmp_path / "checkpoints/page-metrics/state/0").iterdir() if f.name.isdigit()]) <= 2 * spark.sparkContext.defaultParallelism
