@@ -919,13 +919,13 @@ def s_stream_session_ids(spark, sf_dir):
 
 
 def _laid_out(name: str, key: str) -> Query:
-    """A table that the streaming jobs keep, laid out for lookups when it is first asked for."""
+    """A table that a streaming job keeps, laid out for lookups when it is first asked for; jobs whose tables nobody asks for don't run."""
 
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        place = (spark.sparkContext.applicationId, sf_dir, "streamed")
+        place = (spark.sparkContext.applicationId, sf_dir, f"streamed {name}")
         if place not in _WRITTEN:
             root = scratch_path(spark, "stream")
-            for q in jobs.start_jobs(stream_events(spark, sf_dir), root, "12 hours", "1 day", every=None).values():
+            for q in jobs.start_jobs(stream_events(spark, sf_dir), root, "12 hours", "1 day", every=None, names=[name]).values():
                 q.awaitTermination()
             _WRITTEN[place] = root
         root = _WRITTEN[place]

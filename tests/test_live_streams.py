@@ -402,3 +402,15 @@ def test_state_has_few_partitions_and_leaves_the_session_as_it_was(spark, tmp_pa
     finally:
         spark.conf.set(name, was)
     assert 0 < len([f for f in (tmp_path / "checkpoints/page-metrics/state/0").iterdir() if f.name.isdigit()]) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_lookup_runs_the_job_of_its_table_only(spark, monkeypatch):
+    started = []
+    whole = jobs._start
+    monkeypatch.setattr(jobs, "_start", lambda df, name, *rest: started.append(name) or whole(df, name, *rest))
+    monkeypatch.setattr(queries, "_WRITTEN", {})
+    assert queries.QUERIES["sq13_top_windows"](spark, f"{DATA}/sf0.001").count() > 0
+    assert started == ["page-metrics"]
+    queries.QUERIES["sq6_session_by_id"](spark, f"{DATA}/sf0.001")
+    queries.QUERIES["sq1_sessions_page"](spark, f"{DATA}/sf0.001")
+    assert started == ["page-metrics", "sessions"]
